@@ -1,0 +1,9 @@
+"""Operators for large training corpora. Nothing else in the library imports this
+subpackage."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Workers get the code with the task, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
