@@ -9,9 +9,11 @@ in local tests, a folder of this process is used.
 from __future__ import annotations
 
 import atexit
+import pickle
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 _FALLBACK: list[str] = []
@@ -39,6 +41,20 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(at, True)
 
 
+class Shipped:
+    """A broadcast object whose classes travel with it, so that executors need no
+    copy of this package. ``get`` keeps nothing in the worker but what it returns."""
+
+    def __init__(self, spark: SparkSession, value: object) -> None:
+        self.bytes = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    def get(self):
+        value = pickle.loads(self.bytes.value)
+        if hasattr(self.bytes, "_value"):
+            del self.bytes._value
+        return value
+
+
 class Tables:
     """Tables of one run of an operator. ``drop`` deletes one that nothing reads
     any more; the rest goes when the Python process ends, as the lazy result of

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docweave.llm._shared import Shipped
 from docweave.llm._text import Powers, byte_values, chunks, find_words, hash_words, mix64, text_buffers, word_table
 
 WINDOW = 13
@@ -207,12 +208,13 @@ class Scanner:
 
     def __init__(self, sources: list, window: int) -> None:
         self.sources, self.window = sources, window
+        self.held = [sources[0].get()] if len(sources) == 1 else []  # of more, one at a time
         self.powers, self.values, self.table = Powers(), byte_values(), word_table("alnum")
 
     def report(self, column: pa.Array) -> dict[str, list]:
         out: dict[str, list] = {f.name: [] for f in REPORT}
         bounds, data = text_buffers(column)
-        for lo, hi in chunks(bounds, SHARD_BYTES):
+        for lo, hi in chunks(bounds, SHARD_BYTES if len(self.sources) < 2 else 8 * SHARD_BYTES):
             self._shard(data[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo], out)
         return out
 
@@ -224,8 +226,7 @@ class Scanner:
         edge = np.zeros(len(words) + 1, dtype=np.int64)
         best, best_at = np.zeros(n, np.int64), np.full(n, -1, np.int64)
         items: dict[int, set[str]] = {}
-        for source in self.sources:
-            block = source.value
+        for block in self.held or (s.get() for s in self.sources):
             window, place = search(words, suffix_array(words, block, self.window), block)
             if len(window):
                 np.add.at(edge, place, 1)
@@ -239,8 +240,6 @@ class Scanner:
                     at = s - int(heads[d])
                     if k > best[d] or k == best[d] and at < best_at[d]:
                         best[d], best_at[d] = k, at
-            if len(self.sources) > 1 and hasattr(source, "_value"):
-                del source._value  # the next block takes its room
         hit = np.concatenate([[0], np.cumsum(np.cumsum(edge[:-1]) > 0)])
         n_words = np.diff(first)
         n_hit = hit[heads[1:]] - hit[heads[:-1]]
@@ -255,8 +254,7 @@ class Scanner:
 
 
 def _sources(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, window: int) -> list:
-    context = docs.sparkSession.sparkContext
-    return [context.broadcast(b) for b in blocks(benchmark, id_col, text_col, window=window)]
+    return [Shipped(docs.sparkSession, b) for b in blocks(benchmark, id_col, text_col, window=window)]
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
