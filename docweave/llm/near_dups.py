@@ -7,13 +7,19 @@ buckets and star-shaped candidate edges.
    makes a 128-bit digest of the whole shingle set.
 2. Documents with equal sets are one class, whatever their number; the rest works
    on class representatives.
-3. In each bucket every member is joined to a centre only. Candidate pairs that
-   pass the exact size bound are confirmed on full sets by the JVM.
-4. A link between two members that are not linked to the centre must not get lost:
-   buckets whose other members still lie in different components get further
-   centres, from the smallest components first, until each bucket is settled. A
-   bucket of copies settles after its first centre, so edges stay in proportion
-   to members.
+3. In each bucket every member is joined to a centre only, the first in one of
+   ``ORDERS`` orders. Candidate pairs that pass the exact size bound are confirmed
+   on full sets by the JVM.
+4. A link between two members that are not linked to a centre must not get lost.
+   Buckets whose members still lie in different components stay open; those that
+   share members form a group, and each group gets a hub, its member with most
+   links. What two members have in common lies in the hub, which bounds it, or in
+   what both have besides the hub. A member too far from the hub for the bound can
+   only be linked with members that share enough of what it has besides: an index
+   of those shingles, without each member's most frequent ones, finds them all.
+5. The other members of buckets that still are open get further centres, from the
+   smallest components first, until each bucket is settled. Buckets of copies settle
+   early, so edges stay in proportion to members.
 
 At a similarity of 0.8 a band of 6 bins agrees with probability 0.26, and all of
 50 bands miss a pair with probability 3e-7; higher similarities miss less.
@@ -34,6 +40,10 @@ from docweave.llm._text import Powers, byte_values, chunks, find_words, hash_wor
 from docweave.llm.components import connected_components
 
 BANDS, ROWS = 50, 6
+#: Orders that choose centres; buckets of one group get this many different ones.
+ORDERS = 8
+#: Shared shingles that the index asks for at once.
+MATCHES = 4
 BINS = BANDS * ROWS
 _A = np.uint64(0xD6E8FEB86659FD93)
 _B = np.uint64(0xA5A3564E27F88AB3)
@@ -165,27 +175,37 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     classes = tables.keep(some.groupBy(*digest).agg(F.min("doc_id").alias("id")), "classes")
     chosen = some.withColumnRenamed("doc_id", "id").join(classes, [*digest, "id"], "left_semi")
     members = chosen.select("id", F.col("n_shingles").cast("int").alias("n"), F.explode("keys").alias("key"))
-    centres = members.groupBy("key").agg(F.min(F.struct("id", "n")).alias("c"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    order = F.xxhash64(F.pmod("key", F.lit(ORDERS)), "id")
+    centres = members.groupBy("key").agg(F.min(F.struct(order.alias("o"), "id", "n")).alias("c"), F.count(F.lit(1)).alias("m")).where("m > 1")
     buckets = tables.keep(members.join(centres.select("key", F.col("c.id").alias("c"), F.col("c.n").alias("cn")), "key").where("id <> c"), "stars")
     tried = _pairs(buckets, tables, percent, None, 0)
     links = _confirmed(tried, known, doc_id, text, shingle, percent, tables, 0)
     shared_id = some.groupBy(F.col("doc_id").alias("a")).agg(F.min("h1").alias("x"), F.max("h1").alias("y")).where("x <> y").select("a")
     links = links.unionByName(_repeated(some, classes, shared_id, digest))
     labels = connected_components(links, tables, "components-0")
-    left = _unsettled(buckets.select("key", "id", "n"), labels, tables, 0)
-    turn, each = 1, 4
+    left = _unsettled(buckets.select("key", "id", "n"), labels, tables, "open-0")
+    if not left.isEmpty():
+        apart = tables.keep(_besides_hub(left, links, known, doc_id, text, shingle, percent, tables), "apart")
+        links = links.unionByName(apart.where("linked").select(F.col("hub").alias("a"), F.col("id").alias("b")))
+        labels = connected_components(links, tables, "components-hubs")
+        pairs = _pairs(_sharing(apart, labels), tables, percent, tried, 1)
+        tried = tried.unionByName(pairs)
+        links = links.unionByName(_confirmed(pairs, known, doc_id, text, shingle, percent, tables, 1))
+        labels = connected_components(links, tables, "components-1")
+        near = left.select("key", "id", "n").join(apart.where("needs < 1").select("id"), "id", "left_semi")
+        left = _unsettled(near, labels, tables, "open-1")
+    turn, each = 2, 4
     while not left.isEmpty():
         sizes = left.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size"))
         order = W.partitionBy("key").orderBy("size", "label", "id")
         first = left.join(sizes, ["key", "label"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= each)
         first = tables.keep(first.select("key", F.col("id").alias("c"), F.col("n").alias("cn"), F.col("label").alias("cl")), f"centres-{turn}")
-        stars = left.join(first, "key").where("label <> cl")
-        pairs = _pairs(stars, tables, percent, tried, turn)
+        pairs = _pairs(left.join(first, "key").where("label <> cl"), tables, percent, tried, turn)
         tried = tried.unionByName(pairs)
         links = links.unionByName(_confirmed(pairs, known, doc_id, text, shingle, percent, tables, turn))
         labels = connected_components(links, tables, f"components-{turn}")
         rest = left.select("key", "id", "n").join(first.select("key", F.col("c").alias("id")), ["key", "id"], "left_anti")
-        left = _unsettled(rest, labels, tables, turn)
+        left = _unsettled(rest, labels, tables, f"open-{turn}")
         turn, each = turn + 1, each * 4
     least = labels.groupBy("label").agg(F.min("node").alias("component_id"))
     found = labels.join(least, "label").select(F.col("node").alias("id"), "component_id")
@@ -212,12 +232,51 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, shingl
     return tables.keep(both.where(100 * common >= percent * (F.size("items_a") + F.size("items_b") - common)).select("a", "b"), f"links-{turn}")
 
 
-def _unsettled(buckets: DataFrame, labels: DataFrame, tables: Tables, turn: int) -> DataFrame:
-    """buckets(key, id, n) with each member's component, without the buckets whose
+def _unsettled(buckets: DataFrame, labels: DataFrame, tables: Tables, name: str) -> DataFrame:
+    """buckets(key, id, ...) with each member's component, without the buckets whose
     members lie in one component."""
     named = buckets.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
     mixed = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-    return tables.keep(named.join(mixed, "key", "left_semi"), f"left-{turn}")
+    return tables.keep(named.join(mixed, "key", "left_semi"), name)
+
+
+def _besides_hub(left: DataFrame, links: DataFrame, docs: DataFrame, doc_id: str, text: str, shingle: int, percent: int, tables: Tables) -> DataFrame:
+    """(id, g, hub, linked, n, needs, added) for each open member: its group, the
+    group's hub and whether it is linked with it, the shingles it has besides, and
+    how many of these a linked member must share, less than 1 if none."""
+    members = tables.keep(left.groupBy("id").agg(F.min("n").alias("n")), "members")
+    heads = left.groupBy("key").agg(F.min("id").alias("b"))
+    edges = left.select("key", F.col("id").alias("a")).join(heads, "key").where("a <> b").select("a", "b").distinct()
+    groups = connected_components(edges, tables, "groups").select(F.col("node").alias("id"), F.col("label").alias("g"))
+    degree = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("d"))
+    known = members.join(groups, "id").join(degree, "id", "left")
+    named = tables.keep(known.select("id", "n", "g", F.coalesce("d", F.lit(0)).alias("d")), "grouped")
+    hubs = named.groupBy("g").agg(F.max(F.struct("d", "id")).alias("hub"), F.min("n").alias("least")).select("g", F.col("hub.id").alias("hub"), "least")
+    sets = full_sets(docs.select(doc_id, text).join(named.select(F.col("id").alias(doc_id)), doc_id, "left_semi"), doc_id, text, shingle)
+    hub_sets = hubs.join(sets.withColumnsRenamed({"id": "hub", "items": "hub_items"}), "hub").select("g", "hub", "least", "hub_items")
+    both = named.join(sets, "id").join(hub_sets, "g")
+    smallest = F.greatest("least", F.ceil(F.col("n") * percent / 100))
+    common = F.size(F.array_intersect("items", "hub_items"))
+    needed = F.ceil(percent * (F.col("n") + smallest) / (100 + percent)) - common
+    linked = (100 * common >= percent * (F.size("items") + F.size("hub_items") - common)) & (F.col("id") != F.col("hub"))
+    return both.select("id", "g", "hub", linked.alias("linked"), "n", needed.cast("int").alias("needs"), F.array_except("items", "hub_items").alias("added"))
+
+
+def _sharing(apart: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs of an open member that needs shared shingles besides the hub and one of
+    another component that shares enough of its rarest: of k needed, a linked one
+    shares at least min(k, MATCHES) of all but the k - min(k, MATCHES) most frequent."""
+    named = apart.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    items = named.select("id", "g", "n", "label", "needs", F.explode("added").alias("item"))
+    often = items.groupBy("g", "item").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    shared = items.join(often, ["g", "item"])
+    # items that no one else has are its rarest and pair with nothing
+    order = W.partitionBy("id").orderBy(F.desc("f"), "item")
+    matches = F.least("needs", F.lit(MATCHES))
+    far = shared.where("needs >= 1").withColumn("rank", F.row_number().over(order)).where(F.col("rank") > F.col("needs") - matches)
+    other = shared.select("g", "item", F.col("id").alias("c"), F.col("n").alias("cn"), F.col("label").alias("cl"))
+    both = far.select("g", "item", "id", "n", "label", matches.alias("matches")).join(other, ["g", "item"]).where("label <> cl and id <> c")
+    return both.groupBy("id", "n", "c", "cn", "matches").agg(F.count(F.lit(1)).alias("got")).where("got >= matches")
 
 
 def _repeated(some: DataFrame, classes: DataFrame, shared: DataFrame, digest: list[str]) -> DataFrame:
