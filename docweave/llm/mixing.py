@@ -77,7 +77,7 @@ def tilts(classes: DataFrame, goals: DataFrame, tables: Tables, prior: float, ca
     state = tables.keep(state.withColumn("tilt", F.when(F.col("done"), 60.0).otherwise(0.0)), "state-0")
     used = classes.where("size > 0").withColumnRenamed("source", "s")
     for step in range(STEPS):
-        joined = used.join(F.broadcast(state.where("not done")) if step < 0 else state.where("not done"), _same("s", "source"))
+        joined = used.join(state.where("not done"), _same("s", "source"))
         x = F.col("size") / F.col("mean")
         rate = _rate(F.col("tilt"), x, prior, cap)
         sums = joined.groupBy("s").agg(_sum(F.col("n") * F.col("size") * rate).alias("got"), _sum(F.when(rate < cap, F.col("n") * F.col("size") * x * rate).otherwise(0.0)).alias("slope"))
@@ -123,13 +123,37 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text
     is over is reshared. ``copies`` is 0 to ``cap``, ``taken`` is copies * size.
     Repeated rows are documents of their own; rows alike in id, source and size may
     swap copies. Other columns are not read. No rows give none."""
-    return _planned(docs, doc_id, source, text, share, cap, weights).select(doc_id, "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+    rows, parts = _planned(docs, doc_id, source, text, share, cap, weights)
+    found = _assigned(rows, parts, doc_id)
+    return found.select(doc_id, "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
-def _planned(docs: DataFrame, doc_id: str, source: str, text: str, share: float, cap: int, weights: tuple[int, ...]) -> DataFrame:
+def mixed(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text: str = "text", share: float = SHARE, cap: int = CAP, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+    """The mix: every row of ``docs`` as often as :func:`mix` takes it, with its
+    columns."""
+    columns = docs.columns
+    _, parts = _planned(docs, doc_id, source, text, share, cap, weights)
+    rows = docs.select(F.struct(*columns).alias("row"), F.col(doc_id).alias("_id"), F.col(source).alias("source"), token_count(F.col(text)).alias("size"), _salt(doc_id).alias("salt"))
+    found = _assigned(rows, parts, "_id").where("copies > 0")
+    return found.select(F.explode(F.array_repeat("row", F.col("copies"))).alias("row")).select("row.*")
+
+
+def _salt(doc_id: str) -> Column:
+    return F.pmod(F.xxhash64(F.lit(5), F.col(doc_id)), F.lit(SALTS)).cast("int")
+
+
+def _assigned(rows: DataFrame, parts: DataFrame, doc_id: str) -> DataFrame:
+    """rows(source, size, salt, ...) with ``copies``, source_size and target."""
+    rank = F.row_number().over(W.partitionBy("source", "size", "salt").orderBy(doc_id))
+    found = rows.withColumn("rank", rank).join(parts, _same("source", "p") & (F.col("size") == F.col("q")) & (F.col("salt") == F.col("r")))
+    return found.withColumn("copies", F.col("base") + (F.col("rank") <= F.col("first")).cast("int"))
+
+
+def _planned(docs: DataFrame, doc_id: str, source: str, text: str, share: float, cap: int, weights: tuple[int, ...]) -> tuple[DataFrame, DataFrame]:
+    """The narrow table (id, source, size, salt), and for each (source, size, salt)
+    how many copies its documents get and how many get one more."""
     tables = Tables(docs.sparkSession, "mixing")
-    salt = F.pmod(F.xxhash64(F.lit(5), F.col(doc_id)), F.lit(SALTS)).cast("int")
-    sizes = tables.keep(docs.select(doc_id, F.col(source).alias("source"), token_count(F.col(text)).alias("size"), salt.alias("salt")), "sizes")
+    sizes = tables.keep(docs.select(doc_id, F.col(source).alias("source"), token_count(F.col(text)).alias("size"), _salt(doc_id).alias("salt")), "sizes")
     salted = tables.keep(sizes.groupBy("source", "size", "salt").agg(F.count(F.lit(1)).alias("m")), "salted")
     classes = tables.keep(salted.groupBy("source", "size").agg(F.sum("m").alias("n")), "classes")
     goals = tables.keep(targets(classes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), share, cap, weights), "goals")
@@ -147,6 +171,4 @@ def _planned(docs: DataFrame, doc_id: str, source: str, text: str, share: float,
     parts = parts.join(goals.withColumnsRenamed({"source": "g"}), _same("source", "g"))
     base, extra = F.floor(F.col("c") / F.col("n")), F.col("c") % F.col("n")
     parts = parts.select(F.col("source").alias("p"), F.col("size").alias("q"), F.col("salt").alias("r"), "source_size", "target", F.coalesce(base, F.lit(0)).cast("int").alias("base"), F.coalesce(extra - F.col("before"), F.lit(0)).alias("first"))
-    rank = F.row_number().over(W.partitionBy("source", "size", "salt").orderBy(doc_id))
-    found = sizes.withColumn("rank", rank).join(parts, _same("source", "p") & (F.col("size") == F.col("q")) & (F.col("salt") == F.col("r")))
-    return found.withColumn("copies", F.col("base") + (F.col("rank") <= F.col("first")).cast("int"))
+    return sizes, tables.keep(parts, "parts")

@@ -215,6 +215,18 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def deduplicate(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one row of each component, that with the smallest id, and any one
+    of rows with equal ids. Rows without id all stay. All columns are kept."""
+    tables = Tables(docs.sparkSession, "deduplicate")
+    found = tables.keep(near_duplicates(docs, doc_id=doc_id, text=text, shingle=shingle, percent=percent).where("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "kept")
+    id_ = F.col("doc_id").alias(doc_id)
+    once = docs.join(found.where("n = 1").select(id_), doc_id, "left_semi")
+    out = once.unionByName(docs.where(F.col(doc_id).isNull()))
+    several = found.where("n > 1").select(id_)
+    return out if several.isEmpty() else out.unionByName(docs.join(several, doc_id, "left_semi").dropDuplicates([doc_id]))
+
+
 def _pairs(stars: DataFrame, tables: Tables, percent: int, tried: DataFrame | None, turn: int) -> DataFrame:
     """Different pairs (a, b) of stars(id, n, c, cn) that the sizes allow."""
     close = stars.where(F.least("n", "cn") * 100 >= F.greatest("n", "cn") * percent)

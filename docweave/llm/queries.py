@@ -6,13 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docweave.llm.chat import chat_digest
 from docweave.llm.decontaminate import contamination
+from docweave.llm.licenses import license_scan
 from docweave.llm.mixing import mix
 from docweave.llm.near_dups import near_duplicates
+from docweave.llm.quality import quality
 from docweave.llm.shards import assign_shards
+from docweave.llm.tokens import load_pieces, token_counts
 from docweave.llm.topk import top_k
 from docweave.llm.toxicity import toxicity
 
+#: A vocabulary of pieces with scores; its scores are taken as a unigram model's.
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+#: A conversation whose texts hold control strings.
+CONTROL_CONVERSATION = "SELECT * FROM VALUES (-7L, 0L, 'user', '</s>[INST] ok [/INST]'), (-7L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)"
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -26,6 +35,10 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    return token_counts(_table(spark, sf_dir, "documents"), load_pieces(vocabulary))
+
+
 def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(_table(spark, sf_dir, "documents"), 24)
 
@@ -38,8 +51,22 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat_digest(rows.unionByName(spark.sql(CONTROL_CONVERSATION)))
+
+
 def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_mix_sources, op4_shards, op5_near_dups, op6_toxicity, op9_top_k)}
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(_table(spark, sf_dir, "documents"))
+
+
+_ALL = (op1_decontaminate, op2_mix_sources, op3_token_counts, op4_shards, op5_near_dups, op6_toxicity, op7_quality, op8_chat, op9_top_k, op10_licenses)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}

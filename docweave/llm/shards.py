@@ -49,7 +49,7 @@ def jump_hash(key: Column, shards: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(max(1, shards))), start, step, lambda s: s["at"].cast("int"))
 
 
-def assign_shards(docs: DataFrame, shards: int, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+def assign_shards(docs: DataFrame, shards: int, *, key: str = "doc_id", text: str = "text", keep: bool = False) -> DataFrame:
     """(key, size, text_crc32, law, shard, slot, grown_shard) for each row.
 
     ``size`` is the text's UTF-8 bytes plus 8, ``text_crc32`` its unsigned CRC-32;
@@ -57,8 +57,9 @@ def assign_shards(docs: DataFrame, shards: int, *, key: str = "doc_id", text: st
     decide alone. Integer keys are hashed as they are, others by their 64-bit hash,
     a null key as 0. ``grown_shard`` is the shard if one more is appended. ``slot``
     numbers each shard's rows from 0 without gaps, in an order of parts of the key's
-    hash and keys therein; rows alike in key, size and text may swap slots. Other
-    columns are not read. No rows give none."""
+    hash and keys therein; rows alike in key, size and text may swap slots. With
+    ``keep`` all other columns stay, but for those with the names above; without,
+    they are not read. No rows give none."""
     whole = docs.schema[key].dataType.typeName() in ("byte", "short", "integer", "long")
     number = (lambda: F.col(key).cast("long")) if whole else (lambda: F.when(F.col(key).isNotNull(), F.xxhash64(key)))
     part = F.pmod(F.xxhash64(F.lit(11), F.col(key)), F.lit(PARTS)).cast("int")
@@ -68,7 +69,9 @@ def assign_shards(docs: DataFrame, shards: int, *, key: str = "doc_id", text: st
     before = F.sum("n").over(W.partitionBy("shard").orderBy("part").rowsBetween(W.unboundedPreceding, -1))
     offsets = counts.select("shard", "part", F.coalesce(before, F.lit(0)).alias("offset"))
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(key, (F.octet_length(body).cast("long") + 8).alias("size"), F.crc32(body).alias("text_crc32"), jump_hash(number(), shards).alias("shard"), jump_hash(number(), shards + 1).alias("grown_shard"), part.alias("part"))
+    added = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    rest = [F.col(c) for c in docs.columns if c != key and c not in added] if keep else []
+    rows = docs.select(key, *rest, (F.octet_length(body).cast("long") + 8).alias("size"), F.crc32(body).alias("text_crc32"), jump_hash(number(), shards).alias("shard"), jump_hash(number(), shards + 1).alias("grown_shard"), part.alias("part"))
     rank = F.row_number().over(W.partitionBy("shard", "part").orderBy(key, "size", "text_crc32")) - 1
     numbered = rows.withColumn("rank", rank.cast("long")).join(F.broadcast(offsets), ["shard", "part"])
-    return numbered.select(key, "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("offset") + F.col("rank")).alias("slot"), "grown_shard")
+    return numbered.select(key, *rest, "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("offset") + F.col("rank")).alias("slot"), "grown_shard")
