@@ -5,25 +5,45 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from docweave.llm import toxicity as toxic
 from docweave.llm._shared import Tables
 from docweave.llm.decontaminate import decontaminate
-from docweave.llm.near_dups import near_duplicates
+from docweave.llm.mixing import mixed
+from docweave.llm.near_dups import deduplicate
+from docweave.llm.shards import assign_shards
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below the threshold stay."""
+    model = toxic.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxic.score(docs, model).where("score < 0.7").select(*docs.columns)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = near_duplicates(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    """One document of each group of near-duplicates stays."""
+    return deduplicate(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that repeat benchmark passages go."""
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-STAGES: list[tuple[str, Stage]] = [("near_dedup", near_dedup), ("decontamination", decontamination)]
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stands as often as the mix takes it."""
+    return mixed(docs)
+
+
+def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with their shard and their place in it."""
+    return assign_shards(docs, SHARDS, keep=True)
+
+
+SHARDS = 24
+STAGES: list[tuple[str, Stage]] = [("toxicity", toxicity), ("near_dedup", near_dedup), ("decontamination", decontamination), ("mixing", mixing), ("sharding", sharding)]
 
 #: SQL cannot express the trained, iterative stages; tests hold them to brute force.
 ORACLE_SQL: str | None = None
