@@ -8,18 +8,20 @@ buckets and star-shaped candidate edges.
 2. Documents with equal sets are one class, whatever their number; the rest works
    on class representatives.
 3. In each bucket every member is joined to a centre only, the first in one of
-   ``ORDERS`` orders. Candidate pairs that pass the exact size bound are confirmed
-   on full sets by the JVM.
+   ``ORDERS`` orders; one order goes first, and the others only join what it left in
+   different components. Candidate pairs that pass the exact size bound are
+   confirmed on full sets by the JVM.
 4. A link between two members that are not linked to a centre must not get lost.
    Buckets whose members still lie in different components stay open; those that
    share members form a group, and each group gets a hub, its member with most
    links. What two members have in common lies in the hub, which bounds it, or in
-   what both have besides the hub. A member too far from the hub for the bound can
-   only be linked with members that share enough of what it has besides: an index
-   of those shingles, without each member's most frequent ones, finds them all.
-5. The other members of buckets that still are open get further centres, from the
-   smallest components first, until each bucket is settled. Buckets of copies settle
-   early, so edges stay in proportion to members.
+   what both have besides the hub. Sizes and what each has of the hub tell how much
+   a linked pair must share besides: an index of those shingles, without some of a
+   member's most frequent ones, finds the pairs that share so much, and a join in
+   the open buckets those that need nothing. Only pairs of different components
+   that pass come out, never all pairs of a bucket. Members that share little with
+   the hub form groups of their own, and a margin of members takes part in both,
+   as wide as links can reach.
 
 At a similarity of 0.8 a band of 6 bins agrees with probability 0.26, and all of
 50 bands miss a pair with probability 3e-7; higher similarities miss less.
@@ -31,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -41,8 +43,10 @@ from docweave.llm.components import connected_components
 
 BANDS, ROWS = 50, 6
 #: Orders that choose centres; buckets of one group get this many different ones.
-ORDERS = 8
-#: Shared shingles that the index asks for at once.
+ORDERS = 3
+#: Rounds of groups; members that still share little with a hub join the last one's index.
+GROUPINGS = 3
+#: Shingles that the index keeps of those a member must share.
 MATCHES = 4
 BINS = BANDS * ROWS
 _A = np.uint64(0xD6E8FEB86659FD93)
@@ -178,35 +182,32 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     order = F.xxhash64(F.pmod("key", F.lit(ORDERS)), "id")
     centres = members.groupBy("key").agg(F.min(F.struct(order.alias("o"), "id", "n")).alias("c"), F.count(F.lit(1)).alias("m")).where("m > 1")
     buckets = tables.keep(members.join(centres.select("key", F.col("c.id").alias("c"), F.col("c.n").alias("cn")), "key").where("id <> c"), "stars")
-    tried = _pairs(buckets, tables, percent, None, 0)
-    links = _confirmed(tried, known, doc_id, text, shingle, percent, tables, 0)
+    tried = _pairs(buckets.where(F.pmod("key", F.lit(ORDERS)) == 0), tables, percent, None, "stars")
+    links = _confirmed(tried, known, doc_id, text, shingle, percent, tables, "stars")
     shared_id = some.groupBy(F.col("doc_id").alias("a")).agg(F.min("h1").alias("x"), F.max("h1").alias("y")).where("x <> y").select("a")
     links = links.unionByName(_repeated(some, classes, shared_id, digest))
-    labels = connected_components(links, tables, "components-0")
+    labels = connected_components(links, tables, "components-stars")
+    others = _apart(buckets.where(F.pmod("key", F.lit(ORDERS)) > 0), labels)
+    pairs = _pairs(others, tables, percent, tried, "others")
+    tried = tried.unionByName(pairs)
+    links = links.unionByName(_confirmed(pairs, known, doc_id, text, shingle, percent, tables, "others"))
+    labels = connected_components(links, tables, "components-others")
     left = _unsettled(buckets.select("key", "id", "n"), labels, tables, "open-0")
-    if not left.isEmpty():
-        apart = tables.keep(_besides_hub(left, links, known, doc_id, text, shingle, percent, tables), "apart")
+    for turn in range(GROUPINGS):
+        if left.isEmpty():
+            break
+        apart = tables.keep(_besides_hub(left, links, known, doc_id, text, shingle, percent, tables, turn), f"apart-{turn}")
         links = links.unionByName(apart.where("linked").select(F.col("hub").alias("a"), F.col("id").alias("b")))
-        labels = connected_components(links, tables, "components-hubs")
-        pairs = _pairs(_sharing(apart, labels), tables, percent, tried, 1)
+        labels = connected_components(links, tables, f"components-hubs-{turn}")
+        last = turn == GROUPINGS - 1
+        native = apart if last else apart.where(10000 * F.col("common") >= (percent - 50) * percent * F.col("n"))
+        native = tables.keep(_labelled(native, labels), f"native-{turn}")
+        pairs = _pairs(_sharing(native, percent).unionByName(_within(left, native, percent)), tables, percent, tried, f"open-{turn}")
         tried = tried.unionByName(pairs)
-        links = links.unionByName(_confirmed(pairs, known, doc_id, text, shingle, percent, tables, 1))
-        labels = connected_components(links, tables, "components-1")
-        near = left.select("key", "id", "n").join(apart.where("needs < 1").select("id"), "id", "left_semi")
-        left = _unsettled(near, labels, tables, "open-1")
-    turn, each = 2, 4
-    while not left.isEmpty():
-        sizes = left.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size"))
-        order = W.partitionBy("key").orderBy("size", "label", "id")
-        first = left.join(sizes, ["key", "label"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= each)
-        first = tables.keep(first.select("key", F.col("id").alias("c"), F.col("n").alias("cn"), F.col("label").alias("cl")), f"centres-{turn}")
-        pairs = _pairs(left.join(first, "key").where("label <> cl"), tables, percent, tried, turn)
-        tried = tried.unionByName(pairs)
-        links = links.unionByName(_confirmed(pairs, known, doc_id, text, shingle, percent, tables, turn))
-        labels = connected_components(links, tables, f"components-{turn}")
-        rest = left.select("key", "id", "n").join(first.select("key", F.col("c").alias("id")), ["key", "id"], "left_anti")
-        left = _unsettled(rest, labels, tables, f"open-{turn}")
-        turn, each = turn + 1, each * 4
+        links = links.unionByName(_confirmed(pairs, known, doc_id, text, shingle, percent, tables, f"open-{turn}"))
+        labels = connected_components(links, tables, f"components-open-{turn}")
+        far = apart.where(2 * F.col("common") < F.col("n")).select("id")
+        left = left.limit(0) if last else _unsettled(left.select("key", "id", "n").join(far, "id", "left_semi"), labels, tables, f"open-{turn + 1}")
     least = labels.groupBy("label").agg(F.min("node").alias("component_id"))
     found = labels.join(least, "label").select(F.col("node").alias("id"), "component_id")
     named = classes.join(found, "id", "left").select(*digest, F.coalesce("component_id", "id").alias("component_id"))
@@ -227,14 +228,20 @@ def deduplicate(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     return out if several.isEmpty() else out.unionByName(docs.join(several, doc_id, "left_semi").dropDuplicates([doc_id]))
 
 
-def _pairs(stars: DataFrame, tables: Tables, percent: int, tried: DataFrame | None, turn: int) -> DataFrame:
+def _apart(stars: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of stars(id, c, ...) whose ends lie in different components."""
+    ends = stars.join(labels.withColumnsRenamed({"node": "id", "label": "x"}), "id", "left").join(labels.withColumnsRenamed({"node": "c", "label": "y"}), "c", "left")
+    return ends.where(F.coalesce("x", "id") != F.coalesce("y", "c"))
+
+
+def _pairs(stars: DataFrame, tables: Tables, percent: int, tried: DataFrame | None, turn: int | str) -> DataFrame:
     """Different pairs (a, b) of stars(id, n, c, cn) that the sizes allow."""
     close = stars.where(F.least("n", "cn") * 100 >= F.greatest("n", "cn") * percent)
     pairs = close.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
     return tables.keep(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), f"pairs-{turn}")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, shingle: int, percent: int, tables: Tables, turn: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, shingle: int, percent: int, tables: Tables, turn: int | str) -> DataFrame:
     """The pairs whose full sets are similar enough."""
     ids = pairs.select(F.col("a").alias(doc_id)).union(pairs.select(F.col("b").alias(doc_id))).distinct()
     sets = full_sets(docs.select(doc_id, text).join(ids, doc_id, "left_semi"), doc_id, text, shingle)
@@ -252,43 +259,73 @@ def _unsettled(buckets: DataFrame, labels: DataFrame, tables: Tables, name: str)
     return tables.keep(named.join(mixed, "key", "left_semi"), name)
 
 
-def _besides_hub(left: DataFrame, links: DataFrame, docs: DataFrame, doc_id: str, text: str, shingle: int, percent: int, tables: Tables) -> DataFrame:
-    """(id, g, hub, linked, n, needs, added) for each open member: its group, the
-    group's hub and whether it is linked with it, the shingles it has besides, and
-    how many of these a linked member must share, less than 1 if none."""
-    members = tables.keep(left.groupBy("id").agg(F.min("n").alias("n")), "members")
+def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    members = members.drop("label")
+    return members.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+
+
+def _besides_hub(left: DataFrame, links: DataFrame, docs: DataFrame, doc_id: str, text: str, shingle: int, percent: int, tables: Tables, turn: int) -> DataFrame:
+    """(id, g, hub, linked, n, least, common, added) for each open member: its group,
+    the group's hub and whether it is linked with it, the least size of a partner
+    in its buckets, what it shares with the hub, and the shingles it has besides."""
+    smallest = left.groupBy("key").agg(F.min("n").alias("m"))
+    able = F.greatest("m", F.ceil(F.col("n") * percent / 100).cast("int"))
+    members = tables.keep(left.join(smallest, "key").groupBy("id").agg(F.min("n").alias("n"), F.min(able).alias("least")), f"members-{turn}")
     heads = left.groupBy("key").agg(F.min("id").alias("b"))
     edges = left.select("key", F.col("id").alias("a")).join(heads, "key").where("a <> b").select("a", "b").distinct()
-    groups = connected_components(edges, tables, "groups").select(F.col("node").alias("id"), F.col("label").alias("g"))
+    groups = connected_components(edges, tables, f"groups-{turn}").select(F.col("node").alias("id"), F.col("label").alias("g"))
     degree = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("d"))
     known = members.join(groups, "id").join(degree, "id", "left")
-    named = tables.keep(known.select("id", "n", "g", F.coalesce("d", F.lit(0)).alias("d")), "grouped")
-    hubs = named.groupBy("g").agg(F.max(F.struct("d", "id")).alias("hub"), F.min("n").alias("least")).select("g", F.col("hub.id").alias("hub"), "least")
+    named = tables.keep(known.select("id", "n", "least", "g", F.coalesce("d", F.lit(0)).alias("d")), f"grouped-{turn}")
+    hubs = named.groupBy("g").agg(F.max(F.struct("d", "id")).alias("hub")).select("g", F.col("hub.id").alias("hub"))
     sets = full_sets(docs.select(doc_id, text).join(named.select(F.col("id").alias(doc_id)), doc_id, "left_semi"), doc_id, text, shingle)
-    hub_sets = hubs.join(sets.withColumnsRenamed({"id": "hub", "items": "hub_items"}), "hub").select("g", "hub", "least", "hub_items")
+    hub_sets = hubs.join(sets.withColumnsRenamed({"id": "hub", "items": "hub_items"}), "hub").select("g", "hub", "hub_items")
     both = named.join(sets, "id").join(hub_sets, "g")
-    smallest = F.greatest("least", F.ceil(F.col("n") * percent / 100))
     common = F.size(F.array_intersect("items", "hub_items"))
-    needed = F.ceil(percent * (F.col("n") + smallest) / (100 + percent)) - common
     linked = (100 * common >= percent * (F.size("items") + F.size("hub_items") - common)) & (F.col("id") != F.col("hub"))
-    return both.select("id", "g", "hub", linked.alias("linked"), "n", needed.cast("int").alias("needs"), F.array_except("items", "hub_items").alias("added"))
+    return both.select("id", "g", "hub", linked.alias("linked"), "n", "least", common.alias("common"), F.array_except("items", "hub_items").alias("added"))
+
+
+def _needed(n: Column, m: Column, common: Column, percent: int) -> Column:
+    """Shingles besides the hub that linked sets of n and m shingles must share if no
+    more than ``common`` of what they share is the hub's."""
+    return F.ceil(percent * (n + m) / (100 + percent)).cast("int") - common
+
+
+def _minor(members: DataFrame, by: str) -> DataFrame:
+    """The members outside the largest component of their group or bucket: each pair of
+    different components has one."""
+    sizes = members.groupBy(by, "label").agg(F.count(F.lit(1)).alias("size"))
+    largest = sizes.groupBy(by).agg(F.max(F.struct("size", "label")).alias("l")).select(by, F.col("l.label").alias("largest"))
+    return members.join(largest, by).where("label <> largest").drop("largest")
+
+
+_PARTNER = {"id": "c", "n": "cn", "common": "ck", "label": "cl"}
 
 
-def _sharing(apart: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of an open member that needs shared shingles besides the hub and one of
-    another component that shares enough of its rarest: of k needed, a linked one
-    shares at least min(k, MATCHES) of all but the k - min(k, MATCHES) most frequent."""
-    named = apart.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-    items = named.select("id", "g", "n", "label", "needs", F.explode("added").alias("item"))
-    often = items.groupBy("g", "item").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+def _sharing(native: DataFrame, percent: int) -> DataFrame:
+    """Pairs (id, n, c, cn) of different components of a group that share enough besides
+    the hub. A member's most frequent shingles are left out, so many that the rest
+    must still hold ``MATCHES`` of what any partner shares; the count makes up for it."""
+    items = native.select("id", "g", "n", "least", "common", "label", F.explode("added").alias("item"))
+    often = items.groupBy("g", "item").agg(F.count(F.lit(1)).alias("f"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("g", "item", "f")
     shared = items.join(often, ["g", "item"])
-    # items that no one else has are its rarest and pair with nothing
     order = W.partitionBy("id").orderBy(F.desc("f"), "item")
-    matches = F.least("needs", F.lit(MATCHES))
-    far = shared.where("needs >= 1").withColumn("rank", F.row_number().over(order)).where(F.col("rank") > F.col("needs") - matches)
-    other = shared.select("g", "item", F.col("id").alias("c"), F.col("n").alias("cn"), F.col("label").alias("cl"))
-    both = far.select("g", "item", "id", "n", "label", matches.alias("matches")).join(other, ["g", "item"]).where("label <> cl and id <> c")
-    return both.groupBy("id", "n", "c", "cn", "matches").agg(F.count(F.lit(1)).alias("got")).where("got >= matches")
+    skipped = F.greatest(F.lit(0), _needed(F.col("n"), F.col("least"), F.col("common"), percent) - MATCHES)
+    rare = _minor(shared, "g").withColumn("skipped", skipped).withColumn("rank", F.row_number().over(order)).where("rank > skipped")
+    other = shared.select("g", "item", *(F.col(k).alias(v) for k, v in _PARTNER.items()))
+    met = rare.join(other, ["g", "item"]).where("label <> cl")
+    counted = met.groupBy("id", "n", "common", "skipped", "c", "cn", "ck").agg(F.count(F.lit(1)).cast("int").alias("got"))
+    return counted.where(F.col("got") >= _needed(F.col("n"), F.col("cn"), F.least("common", "ck"), percent) - F.col("skipped")).select("id", "n", "c", "cn")
+
+
+def _within(left: DataFrame, native: DataFrame, percent: int) -> DataFrame:
+    """Pairs (id, n, c, cn) of different components in an open bucket that need share
+    nothing besides the hub."""
+    named = left.select("key", "id").join(native.select("id", "n", "common", "label"), "id")
+    other = named.select("key", *(F.col(k).alias(v) for k, v in _PARTNER.items()))
+    enough = _needed(F.col("n"), F.col("cn"), F.least("common", "ck"), percent) < 1
+    return _minor(named, "key").join(other, "key").where((F.col("label") != F.col("cl")) & enough).select("id", "n", "c", "cn")
 
 
 def _repeated(some: DataFrame, classes: DataFrame, shared: DataFrame, digest: list[str]) -> DataFrame:
