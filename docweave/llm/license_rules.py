@@ -21,8 +21,8 @@ class Rule(NamedTuple):
     confidence: float
 
 
-#: Words that a text must hold, as a regex, before it is cut into words.
-GATE = r"(?i)licen[sc]|spdx|copyright|copyleft|all rights reserved|public domain|creative ?commons|opensource\.org|unlicense|without warranty"
+#: Lower-case strings of which a text must hold one before it is cut into words.
+GATE = ("licens", "licenc", "spdx", "copyright", "copyleft", "all rights reserved", "public domain", "creative commons", "creativecommons", "opensource.org", "without any warranty", "without warranty")
 
 # The phrases that count as base places, with their labels.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
