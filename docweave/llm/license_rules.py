@@ -126,6 +126,7 @@ unknown-license|end user license|user|0.5
 copyright|copyright [c] #|copyright|0.3
 """
 
+_COMMON = frozenset("license licence public software general open free source the of and gnu agreement".split())
 _GRANTED = "(?: licensed | released | distributed | available | published | provided | covered )(?: under | by )(?: the )?(?: terms  of (?: the )?)?"
 _SPDX = " spdx  license  identifier "
 
@@ -153,11 +154,16 @@ def _worded(text: str) -> str:
 
 
 def _named(label: str, ids: str, names: list[str], tail: str = "") -> list[Rule]:
-    anyone = "|".join(_phrase(n) for n in sorted(names, key=len, reverse=True))
-    keyword = lambda text: max(text.split(), key=len)
     found = [Rule(label, _SPDX + _phrase(ids), "spdx", 3, 0.99)]
-    found += [Rule(label, f"{_GRANTED}(?:{_phrase(n)}){tail}", keyword(n), 2, 0.95) for n in names]
-    return [*found, Rule(label, f"(?:{anyone}){tail}", "", 1, 0.7)]
+    for name in sorted(names, key=len, reverse=True):
+        found.append(Rule(label, f"{_GRANTED}{_phrase(name)}{tail}", _keyword(name), 2, 0.95))
+        found.append(Rule(label, _phrase(name) + tail, _keyword(name), 1, 0.7))
+    return found
+
+
+def _keyword(name: str) -> str:
+    """The name's longest word that is not in most names."""
+    return max((w for w in name.split() if w not in _COMMON), key=len, default=name.split()[0])
 
 
 def rules() -> list[Rule]:
