@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docweave.functions.text import let
+
 # What is taken out before counting, in this order.
 CLEANING = (
     (r"(?s)```.*?```", " "),
@@ -48,8 +50,7 @@ def detect(text: Column) -> Column:
         zh, en = zh_chars(sample), en_words(sample)
         return F.struct(classified(zh, en).alias("language"), zh.alias("zh_char_count"), en.alias("en_word_count"), F.length(sample).cast("long").alias("sample_length"))
 
-    # a one-element array binds the cleaned text, so that it is made once
-    return F.get(F.transform(F.array(cleaned(F.coalesce(text, F.lit("")))), found), F.lit(0))
+    return let(cleaned(F.coalesce(text, F.lit(""))), found)
 
 
 def confident(language: Column) -> Column:

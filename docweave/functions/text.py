@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,11 @@ LINE_END = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 SENTENCE = "(?<=[。！？])|(?<=[.!?])(?=[\\s\"')\\]}>])"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def ends_normalised(text: Column) -> Column:
     """Universal newlines: CRLF and CR become LF."""
     return F.regexp_replace(text, "\r\n?", "\n")
@@ -26,8 +33,8 @@ def blank(text: Column) -> Column:
 
 def split_lines(text: Column) -> Column:
     """Lines without their ends; no line behind the last end; none of an empty text."""
-    lines = F.split(text, LINE_END, -1)
-    return F.when(F.element_at(lines, -1) == "", F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)
+    whole = lambda x: F.when(F.element_at(x, -1) == "", F.slice(x, 1, F.size(x) - 1)).otherwise(x)
+    return let(F.split(text, LINE_END, -1), whole)
 
 
 def sentences(text: Column) -> Column:

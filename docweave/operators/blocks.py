@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docweave.functions.text import SPACE, blank, split_lines, stripped
+from docweave.functions.text import SPACE, blank, let, split_lines, stripped
 
 # What lines are.
 FENCE = r"^(```+|~~~+)"
@@ -81,7 +81,10 @@ def block_spans(lines: Column) -> Column:
 
 def parsed(text: Column) -> Column:
     """array<struct<block_index, block_type, raw_text, meta>> of a Markdown text."""
-    lines = split_lines(text)
+    return let(split_lines(text), _blocks_of)
+
+
+def _blocks_of(lines: Column) -> Column:
     return F.transform(
         block_spans(lines),
         lambda b, i: F.struct(
@@ -124,7 +127,10 @@ def inline_tokens(text: Column) -> Column:
 
 def line_classes(text: Column) -> Column:
     """struct of how many lines could start a heading, a list item and a table."""
-    facts = line_facts(split_lines(text))
+    return let(let(split_lines(text), line_facts), _counts)
+
+
+def _counts(facts: Column) -> Column:
     count = lambda test: F.size(F.filter(facts, test)).cast("long")
     return F.struct(count(lambda x: x["level"] > 0).alias("headings"), count(lambda x: x["marker"] != "").alias("list_items"), count(lambda x: x["pipe"] & x["rule"]).alias("table_starts"))
 
