@@ -31,12 +31,21 @@ def stem(path: Column) -> Column:
     return F.when(extension(path) == "", name).otherwise(F.regexp_replace(name, r"\.[^.]*$", ""))
 
 
+def _files(spark: SparkSession, folder: str, recursive: bool) -> DataFrame:
+    """The files of a folder, with its subfolders only if ``recursive``."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    if recursive:
+        return found
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    root = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    return found.where(folder_of(F.col("path")) == root)
+
+
 def scan(spark: SparkSession, folder: str, *, recursive: bool = False, registry: Registry | None = None) -> DataFrame:
     """(path, length, document_type, supported) of a folder's files; contents are not
     read. A missing folder raises when the frame is made."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder if recursive else f"{folder.rstrip('/')}/*")
     kind = (registry or default_registry()).document_type(F.col("path"))
-    return files.select("path", "length", kind.alias("document_type")).withColumn("supported", F.col("document_type").isNotNull())
+    return _files(spark, folder, recursive).select("path", "length", kind.alias("document_type")).withColumn("supported", F.col("document_type").isNotNull())
 
 
 def in_order(files: DataFrame) -> DataFrame:
@@ -46,7 +55,7 @@ def in_order(files: DataFrame) -> DataFrame:
 def read_documents(spark: SparkSession, folder: str, *, recursive: bool = False, limit: int = MAX_BYTES, registry: Registry | None = None) -> tuple[DataFrame, DataFrame]:
     """(documents, failures): texts of the supported files, line ends normalised; files
     over ``limit`` bytes or not in UTF-8 are failures of stage read_source."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder if recursive else f"{folder.rstrip('/')}/*")
+    files = _files(spark, folder, recursive)
     kind = (registry or default_registry()).document_type(F.col("path"))
     known = files.withColumn("document_type", kind).where("document_type is not null")
     fits = known.where(F.col("length") <= limit).withColumn("valid", F.is_valid_utf8(F.col("content").cast("string")))
