@@ -41,11 +41,23 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(at, True)
 
 
+#: Rows in an Arrow batch; whole texts of this many rows lie in a worker's memory twice.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches, which hold whole texts, if they are larger."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 class Shipped:
     """A broadcast object whose classes travel with it, so that executors need no
     copy of this package. ``get`` keeps nothing in the worker but what it returns."""
 
     def __init__(self, spark: SparkSession, value: object) -> None:
+        small_batches(spark)
         self.bytes = spark.sparkContext.broadcast(cloudpickle.dumps(value))
 
     def get(self):
@@ -61,6 +73,7 @@ class Tables:
     the operator may still read it."""
 
     def __init__(self, spark: SparkSession, name: str) -> None:
+        small_batches(spark)
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         atexit.register(self._close)

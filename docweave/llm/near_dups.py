@@ -45,7 +45,7 @@ BANDS, ROWS = 50, 6
 #: Orders that choose centres; buckets of one group get this many different ones.
 ORDERS = 3
 #: Rounds of groups; members that still share little with a hub join the last one's index.
-GROUPINGS = 3
+GROUPINGS = 2
 #: Shingles that the index keeps of those a member must share.
 MATCHES = 4
 BINS = BANDS * ROWS
