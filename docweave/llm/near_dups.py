@@ -72,7 +72,8 @@ class Shingler:
             words = hash_words(part, starts, ends, self.values, self.powers)
             rolled = words * _A
             for k in range(1, self.size):
-                rolled[: len(words) - k] = mix64(rolled[: len(words) - k]) * _B + words[k:]
+                left = max(0, len(words) - k)
+                rolled[:left] = mix64(rolled[:left]) * _B + words[len(words) - left :]
             rolled = mix64(rolled)
             for d in range(hi - lo):
                 i, j = int(first[d]), int(first[d + 1])
