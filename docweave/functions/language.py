@@ -15,7 +15,7 @@ CLEANING = (
     (r"!\[([^\]]*)\]\(([^)]*)\)", "$1"),
     (r"\[([^\]]*)\]\(([^)]*)\)", "$1"),
     (r"(?U)https?://\S+", " "),
-    (r"(?U)(?<!\w)(?:[A-Za-z]:\\|\.?/)[^\s]+", " "),
+    (r"(?U)(?=[A-Za-z]:\\|\.?/)(?<!\w)(?:[A-Za-z]:\\|\.?/)[^\s]+", " "),
     (r"(?imdU)^:::(note|tip|warning)\s*$", " "),
 )
 ZH_CHAR = r"[一-鿿]"

@@ -28,7 +28,7 @@ def stripped(text: Column) -> Column:
 
 
 def blank(text: Column) -> Column:
-    return ~text.rlike(f"(?U)[^{SPACE}]")
+    return F.when(text.rlike(r"[!-~]"), False).otherwise(~text.rlike(f"(?U)[^{SPACE}]"))
 
 
 def split_lines(text: Column) -> Column:

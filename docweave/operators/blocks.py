@@ -2,96 +2,108 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docweave.functions.text import SPACE, blank, let, split_lines, stripped
+from docweave.functions.text import SPACE, blank, let, split_lines
 
 # What lines are.
+BAR = rf"(?U)^[{SPACE}]*---[{SPACE}]*$"
 FENCE = r"^(```+|~~~+)"
 HEADING = r"(?dU)^(#{1,6})\s+(.*)$"
-LIST_ITEM = r"(?dU)^(\s*(?:[-*+]|\d+\.)\s+)(.*)$"
+LIST_ITEM = r"(?dU)^(\s*(?:[-*+]|\d+\.)\s+)"
 ADMONITION = r"(?idU)^:::(note|tip|warning)\s*$"
 ADMONITION_END = r"(?dU)^:::\s*$"
 TABLE_RULE = r"(?dU)^\s*\|?(?:\s*:?-+:?\s*\|)+\s*:?-+:?\s*\|?\s*$"
 INLINE = r"(?d)(!\[([^\]]*)\]\(([^)]*)\))|((?<!!)\[([^\]]*)\]\(([^)]*)\))|((`+)([^\n]*?)\8)"
 
-_BLOCK = "struct<type:string,first:int,size:int,meta:map<string,string>>"
+_BLOCK = "struct<type:string,first:int,size:int>"
 _OPEN = ("front_matter", "fenced_code_block", "admonition")
 
 
 def line_facts(lines: Column) -> Column:
-    """What each line could start or end."""
-    return F.transform(
-        lines,
-        lambda x, i: F.struct(
+    """What each line could start or end, whatever stands before it. Plain prefixes
+    are tested before patterns, as most lines are prose."""
+    starts = lambda x, *marks: reduce(or_, (F.startswith(x, F.lit(m)) for m in marks))
+
+    def facts(x: Column, i: Column) -> Column:
+        return F.struct(
             i.alias("i"),
             x.alias("t"),
-            (stripped(x) == "---").alias("bar"),
-            F.regexp_extract(x, FENCE, 1).alias("fence"),
-            F.lower(F.regexp_extract(x, ADMONITION, 1)).alias("kind"),
-            x.rlike(ADMONITION_END).alias("shut"),
+            F.when(F.contains(x, F.lit("---")), x.rlike(BAR)).otherwise(False).alias("bar"),
+            F.when(starts(x, "```", "~~~"), F.regexp_extract(x, FENCE, 1)).otherwise("").alias("fence"),
+            F.when(starts(x, ":::"), F.lower(F.regexp_extract(x, ADMONITION, 1))).otherwise("").alias("named"),
+            F.when(starts(x, ":::"), x.rlike(ADMONITION_END)).otherwise(False).alias("shut"),
             blank(x).alias("blank"),
             F.contains(x, F.lit("|")).alias("pipe"),
-            F.coalesce(F.get(lines, i + 1).rlike(TABLE_RULE), F.lit(False)).alias("rule"),
-            F.length(F.regexp_extract(x, HEADING, 1)).alias("level"),
+            F.when(F.contains(x, F.lit("|")), F.coalesce(F.get(lines, i + 1).rlike(TABLE_RULE), F.lit(False))).otherwise(False).alias("rule"),
+            F.when(starts(x, "#"), F.length(F.regexp_extract(x, HEADING, 1))).otherwise(0).alias("level"),
             F.regexp_extract(x, LIST_ITEM, 1).alias("marker"),
-        ),
+        )
+
+    return F.transform(F.transform(lines, facts), lambda x: x.withField("kind", _kind(x)))
+
+
+def _kind(x: Column) -> Column:
+    """The block that a line starts where none is open."""
+    return (
+        F.when((x["i"] == 0) & x["bar"], "front_matter")
+        .when(x["fence"] != "", "fenced_code_block")
+        .when(x["named"] != "", "admonition")
+        .when(x["blank"], "blank_line")
+        .when(x["rule"], "table")
+        .when(x["level"] > 0, "heading")
+        .when(x["marker"] != "", "list_item")
+        .otherwise("paragraph")
+    )
+
+
+def _meta(kind: Column, x: Column) -> Column:
+    return (
+        F.when(kind == "fenced_code_block", F.create_map(F.lit("fence"), x["fence"]))
+        .when(kind == "admonition", F.create_map(F.lit("admonition_type"), x["named"]))
+        .when(kind == "heading", F.create_map(F.lit("level"), x["level"].cast("string")))
+        .when(kind == "list_item", F.create_map(F.lit("marker"), x["marker"]))
+        .otherwise(F.create_map().cast("map<string,string>"))
     )
 
 
-def block_spans(lines: Column) -> Column:
-    """array<struct<type, first, size, meta>> of the blocks' lines."""
-    none = F.lit(None).cast("map<string,string>")
-    start = F.struct(F.array().cast(f"array<{_BLOCK}>").alias("done"), F.lit("").alias("type"), F.lit(0).alias("first"), F.lit(0).alias("size"), none.alias("meta"), F.lit(False).alias("open"), F.lit("").alias("fence"))
+def block_spans(facts: Column) -> Column:
+    """array<struct<type, first, size, meta>> of the blocks of classified lines."""
+    start = F.struct(F.array().cast(f"array<{_BLOCK}>").alias("done"), F.lit("").alias("type"), F.lit(0).alias("first"), F.lit(0).alias("size"), F.lit(False).alias("open"), F.lit("").alias("fence"))
 
     def closed(s: Column) -> Column:
-        one = F.struct(s["type"].alias("type"), s["first"].alias("first"), s["size"].alias("size"), s["meta"].alias("meta"))
+        one = F.struct(s["type"].alias("type"), s["first"].alias("first"), s["size"].alias("size"))
         return F.when(s["size"] == 0, s["done"]).otherwise(F.concat(s["done"], F.array(one)))
 
     def step(s: Column, x: Column) -> Column:
-        st, inside = s["type"], s["open"]
+        st = s["type"]
         ends = F.when(st == "front_matter", x["bar"]).when(st == "fenced_code_block", F.startswith(x["t"], s["fence"])).otherwise(x["shut"])
-        table_row = (st == "table") & ~inside & x["pipe"] & ~x["blank"] & (s["size"] > 0)
-        kind = (
-            F.when((x["i"] == 0) & x["bar"], "front_matter")
-            .when(x["fence"] != "", "fenced_code_block")
-            .when(x["kind"] != "", "admonition")
-            .when(x["blank"], "blank_line")
-            .when(x["pipe"] & x["rule"], "table")
-            .when(x["level"] > 0, "heading")
-            .when(x["marker"] != "", "list_item")
-            .otherwise("paragraph")
-        )
-        goes_on = inside | table_row | (kind.isin("blank_line", "paragraph") & (st == kind) & (s["size"] > 0))
-        # a closed fence, front matter or admonition takes no further line
-        meta = (
-            F.when(kind == "fenced_code_block", F.create_map(F.lit("fence"), x["fence"]))
-            .when(kind == "admonition", F.create_map(F.lit("admonition_type"), x["kind"]))
-            .when(kind == "heading", F.create_map(F.lit("level"), x["level"].cast("string")))
-            .when(kind == "list_item", F.create_map(F.lit("marker"), x["marker"]))
-            .otherwise(F.create_map().cast("map<string,string>"))
-        )
-        more = F.struct(s["done"].alias("done"), st.alias("type"), s["first"].alias("first"), (s["size"] + 1).alias("size"), s["meta"].alias("meta"), (inside & ~ends).alias("open"), s["fence"].alias("fence"))
-        new = F.struct(closed(s).alias("done"), kind.alias("type"), x["i"].alias("first"), F.lit(1).alias("size"), meta.alias("meta"), kind.isin(*_OPEN).alias("open"), F.substring(x["fence"], 1, 3).alias("fence"))
+        row = (st == "table") & x["pipe"] & ~x["blank"]
+        goes_on = s["open"] | row | ((x["kind"] == st) & x["kind"].isin("blank_line", "paragraph"))
+        more = F.struct(s["done"].alias("done"), st.alias("type"), s["first"].alias("first"), (s["size"] + 1).alias("size"), F.when(s["open"], ~ends).otherwise(False).alias("open"), s["fence"].alias("fence"))
+        new = F.struct(closed(s).alias("done"), x["kind"].alias("type"), x["i"].alias("first"), F.lit(1).alias("size"), x["kind"].isin(*_OPEN).alias("open"), F.substring(x["fence"], 1, 3).alias("fence"))
         return F.when(goes_on, more).otherwise(new)
 
-    return F.aggregate(line_facts(lines), start, step, closed)
+    return F.aggregate(facts, start, step, closed)
 
 
 def parsed(text: Column) -> Column:
     """array<struct<block_index, block_type, raw_text, meta>> of a Markdown text."""
-    return let(split_lines(text), _blocks_of)
+    return let(let(split_lines(text), line_facts), _blocks_of)
 
 
-def _blocks_of(lines: Column) -> Column:
+def _blocks_of(facts: Column) -> Column:
     return F.transform(
-        block_spans(lines),
+        block_spans(facts),
         lambda b, i: F.struct(
             i.alias("block_index"),
             b["type"].alias("block_type"),
-            F.array_join(F.slice(lines, b["first"] + 1, b["size"]), "\n").alias("raw_text"),
-            b["meta"].alias("meta"),
+            F.array_join(F.transform(F.slice(facts, b["first"] + 1, b["size"]), lambda x: x["t"]), "\n").alias("raw_text"),
+            _meta(b["type"], F.get(facts, b["first"])).alias("meta"),
         ),
     )
 
@@ -132,7 +144,7 @@ def line_classes(text: Column) -> Column:
 
 def _counts(facts: Column) -> Column:
     count = lambda test: F.size(F.filter(facts, test)).cast("long")
-    return F.struct(count(lambda x: x["level"] > 0).alias("headings"), count(lambda x: x["marker"] != "").alias("list_items"), count(lambda x: x["pipe"] & x["rule"]).alias("table_starts"))
+    return F.struct(count(lambda x: x["level"] > 0).alias("headings"), count(lambda x: x["marker"] != "").alias("list_items"), count(lambda x: x["rule"]).alias("table_starts"))
 
 
 def heading_parts(raw: Column) -> Column:

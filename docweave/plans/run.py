@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from docweave.operators import dita
 from docweave.operators.blocks import parse_documents
-from docweave.operators.protect import FIELDS, protect_documents
-from docweave.operators.segments import LIMIT, rebuild_documents, remaining, reused, segment_documents
+from docweave.operators.protect import FIELDS, protect_documents, rebuilt
+from docweave.operators.segments import LIMIT, chunked, rebuild_documents, remaining, reused, segment_documents
 from docweave.operators.translate import Policy, translate_segments
 from docweave.operators.translators import Translator, mock_translated
 
@@ -65,9 +65,10 @@ def _rebuilt(ready: DataFrame, segments: DataFrame, done: DataFrame, document_ty
 
 
 def mock_documents(docs: DataFrame, direction: str, *, limit: int = LIMIT) -> DataFrame:
-    """(doc_id, output, missing): Markdown documents through the offline translator, in
-    one lazy plan without a barrier."""
+    """(doc_id, output): Markdown documents through the offline translator. The mock is an
+    expression, so a document stays in its row: no barrier and no shuffle."""
     ready = prepared(docs, "markdown")
-    segments = segment_documents(ready, limit=limit)
-    done = segments.select("doc_id", "seg_id", mock_translated(F.col("text"), F.lit(direction)).alias("translated_text"))
-    return rebuild_documents(ready, segments, done)
+    way = F.lit(direction)
+    said = lambda b: F.array_join(F.transform(chunked(b["block_type"], b["protected_text"], limit), lambda t: mock_translated(t, way)), "")
+    done = F.transform("blocks", lambda b: b.withField("protected_text", F.when(b["translatable"], said(b)).otherwise(b["protected_text"])))
+    return ready.select("doc_id", rebuilt(done, F.col("trailing_newline")).alias("output"))
