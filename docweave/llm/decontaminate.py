@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docweave.llm._shared import Shipped
+from docweave.llm._shared import Shipped, map_arrow
 from docweave.llm._text import Powers, byte_values, chunks, find_words, hash_words, mix64, text_buffers, word_table
 
 WINDOW = 13
@@ -276,7 +276,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_i
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(found[f.name], type=_ARROW[type(f.dataType)]()) for f in REPORT)], [doc_id, *found])
 
     narrow = docs.select(doc_id, text)
-    return narrow.mapInArrow(scan, T.StructType([narrow.schema[0], *REPORT]))
+    return map_arrow(narrow, scan, T.StructType([narrow.schema[0], *REPORT]))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -291,7 +291,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
             found = scanner.report(batch.column(place))
             yield batch.filter(pa.array([not x for x in found["contaminated"]], type=pa.bool_()))
 
-    return docs.mapInArrow(scan, docs.schema)
+    return map_arrow(docs, scan, docs.schema)
 
 
 _ARROW = {T.LongType: pa.int64, T.StringType: pa.string, T.BooleanType: pa.bool_}

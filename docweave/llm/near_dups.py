@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from docweave.llm._shared import Tables
+from docweave.llm._shared import Tables, map_arrow
 from docweave.llm._text import Powers, byte_values, chunks, find_words, hash_words, mix64, text_buffers, word_table
 from docweave.llm.components import connected_components
 
@@ -146,7 +146,7 @@ def sketch(docs: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
                 digest = np.array([(mix64(x + _A).sum(), mix64(x ^ _B).sum()) for x in sets], dtype=np.uint64).reshape(-1, 2).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array([len(x) for x in sets], type=pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), _lists(keys)], ["doc_id", "n_shingles", "h1", "h2", "keys"])
 
-    return docs.select(doc_id, text).mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>")
+    return map_arrow(docs.select(doc_id, text), run, "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>")
 
 
 def full_sets(docs: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
@@ -159,7 +159,7 @@ def full_sets(docs: DataFrame, doc_id: str, text: str, shingle: int) -> DataFram
                 part = batch.slice(at, STEP)
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), _lists(list(shingler.sets(part.column(1))))], ["id", "items"])
 
-    return docs.select(doc_id, text).mapInArrow(run, "id long, items array<long>")
+    return map_arrow(docs.select(doc_id, text), run, "id long, items array<long>")
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docweave.llm._shared import Shipped
+from docweave.llm._shared import Shipped, map_arrow
 from docweave.llm._text import Powers, byte_values, chunks, find_words, hash_words, text_buffers, word_table
 from docweave.llm.toxicity import held_out, sample_rows, training_rows
 
@@ -156,7 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
             flat = [row.ravel() for x, head in encoder.bags(batch.column(0)) for row in np.split(x, head[1:-1])]
             yield pa.RecordBatch.from_arrays([pa.array(flat, type=pa.list_(pa.float64())), batch.column(1).cast(pa.int32())], ["x", "label"])
 
-    got = sorted(((r.label, r.x) for r in rows.mapInArrow(encode, "x array<double>, label int").collect()))
+    got = sorted(((r.label, r.x) for r in map_arrow(rows, encode, "x array<double>, label int").collect()))
     y = np.array([one for one, _ in got], dtype=float)
     if not y.any() or y.all():
         return float((y.sum() + 1) / (len(y) + 2))
@@ -192,7 +192,7 @@ def score(docs: DataFrame, model: Model | float, *, text: str = "text") -> DataF
                     tops.append(order[head[:-1]] - head[:-1])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(scores)), pa.array(np.concatenate(counts), type=pa.int32()), pa.array(np.concatenate(tops), type=pa.int32())], [f.name for f in schema])
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)
 
 
 def quality(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality", folds: int = 5, held: int = 0, threshold: float = 0.3) -> DataFrame:

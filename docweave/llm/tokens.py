@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from docweave.llm._shared import Shipped
+from docweave.llm._shared import Shipped, map_arrow
 from docweave.llm._text import Powers, chunks, hash_words, mix64, text_buffers
 
 PENALTY = 10.0
@@ -208,4 +208,4 @@ def token_counts(docs: DataFrame, pieces: list[tuple[str, float]], *, doc_id: st
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counter.counts(batch.column(1)), type=pa.int64())], [doc_id, "n_tokens"])
 
     narrow = docs.select(doc_id, text)
-    return narrow.mapInArrow(run, T.StructType([narrow.schema[0], T.StructField("n_tokens", T.LongType())]))
+    return map_arrow(narrow, run, T.StructType([narrow.schema[0], T.StructField("n_tokens", T.LongType())]))

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docweave.llm._shared import Shipped, Tables
+from docweave.llm._shared import Shipped, Tables, map_arrow
 
 #: Query components (8 bytes each) in a broadcast block.
 BLOCK_CELLS = 1 << 20
@@ -148,7 +148,7 @@ def top_k(vectors: DataFrame, *, queries: Column | None = None, k: int = 10, vec
             sizes = [len(i) for i, _ in best]
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, sizes)), pa.array(np.concatenate([none, *(i for i, _ in best)])), pa.array(np.concatenate([none, *(s for _, s in best)]))], _FIELDS)
 
-        return good.mapInArrow(run, "query_id long, vec_id long, score long")
+        return map_arrow(good, run, "query_id long, vec_id long, score long")
 
     ids: list[int] = []
     rows: list = []

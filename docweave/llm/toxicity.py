@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docweave.llm._shared import Shipped, Tables
+from docweave.llm._shared import Shipped, Tables, map_arrow
 from docweave.llm._text import chunks, text_buffers
 from docweave.llm.automaton import Automaton, build, match
 
@@ -170,7 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
             found = sorted({h[5] for hits in scanner.hits(batch.column(0)) for h in hits if h[2]})
             yield pa.RecordBatch.from_arrays([pa.array(found, type=pa.string())], ["form"])
 
-    clean = rows.where("label = 0 and half = 0").select("text").mapInArrow(forms, "form string")
+    clean = map_arrow(rows.where("label = 0 and half = 0").select("text"), forms, "form string")
     common = clean.groupBy("form").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "form").limit(BENIGN).collect()
     benign = frozenset(r.form for r in common)
 
@@ -180,7 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
             x = [features(h).tolist() for h in scanner.hits(batch.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array(x, type=pa.list_(pa.float64())), batch.column(1).cast(pa.int32())], ["x", "label"])
 
-    got = rows.where("half = 1").select("text", "label").mapInArrow(counted, "x array<double>, label int").collect()
+    got = map_arrow(rows.where("half = 1").select("text", "label"), counted, "x array<double>, label int").collect()
     tables.drop("sample")
     x = np.array([r.x for r in got], dtype=float).reshape(-1, FEATURES)
     y = np.array([r.label for r in got], dtype=float)
@@ -210,7 +210,7 @@ def score(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
             counts = [[sum(1 for h in hs if not h[2]) for hs in hits], [sum(1 for h in hs if h[2]) for hs in hits], [sum(1 for h in hs if h[4]) for hs in hits]]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, type=pa.float64()), *(pa.array(c, type=pa.int32()) for c in counts)], [f.name for f in schema])
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)
 
 
 def held_out(doc_id: str, folds: int, held: int) -> Column:
