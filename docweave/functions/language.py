@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docweave.functions.text import let
 
-# What is taken out before counting, in this order.
+# What is taken out before counting, in this order, and strings of which a
+# text must hold one for the pattern to match.
 CLEANING = (
-    (r"(?s)```.*?```", " "),
-    (r"(?U)</?[A-Za-z_][A-Za-z0-9._:-]*(?:\s+[^<>\n]*?)?\s*/?>", " "),
-    (r"`[^`\n]+`", " "),
-    (r"!\[([^\]]*)\]\(([^)]*)\)", "$1"),
-    (r"\[([^\]]*)\]\(([^)]*)\)", "$1"),
-    (r"(?U)https?://\S+", " "),
-    (r"(?U)(?=[A-Za-z]:\\|\.?/)(?<!\w)(?:[A-Za-z]:\\|\.?/)[^\s]+", " "),
-    (r"(?imdU)^:::(note|tip|warning)\s*$", " "),
+    (r"(?s)```.*?```", " ", ("```",)),
+    (r"(?U)</?[A-Za-z_][A-Za-z0-9._:-]*(?:\s+[^<>\n]*?)?\s*/?>", " ", ("<",)),
+    (r"`[^`\n]+`", " ", ("`",)),
+    (r"!\[([^\]]*)\]\(([^)]*)\)", "$1", ("![",)),
+    (r"\[([^\]]*)\]\(([^)]*)\)", "$1", ("](",)),
+    (r"(?U)https?://\S+", " ", ("://",)),
+    (r"(?U)(?=[A-Za-z]:\\|\.?/)(?<!\w)(?:[A-Za-z]:\\|\.?/)[^\s]+", " ", ("/", ":\\")),
+    (r"(?imdU)^:::(note|tip|warning)\s*$", " ", (":::",)),
 )
 ZH_CHAR = r"[一-鿿]"
 EN_WORD = r"(?U)\b[A-Za-z][A-Za-z'-]{1,}\b"
@@ -25,8 +30,12 @@ DIRECTIONS = {"zh": "zh_to_en", "en": "en_to_zh"}
 
 
 def cleaned(text: Column) -> Column:
-    for pattern, replacement in CLEANING:
-        text = F.regexp_replace(text, pattern, replacement)
+    def step(pattern: str, replacement: str, marks: tuple[str, ...]) -> Callable[[Column], Column]:
+        held = lambda x: reduce(or_, (F.contains(x, F.lit(m)) for m in marks))
+        return lambda x: F.when(held(x), F.regexp_replace(x, pattern, replacement)).otherwise(x)
+
+    for rule in CLEANING:
+        text = let(text, step(*rule))
     return text
 
 

@@ -15,6 +15,7 @@ BREAK = r"<br\s*/?>"
 
 url, constant, path, tag = (re.compile(p, f) for p, f in ((URL, re.I), (CONSTANT, 0), (PATH, 0), (TAG, 0)))
 file = re.compile(FILE, re.I)
+dotted = re.compile(r"\.[A-Za-z]")
 token = re.compile(r"@@PROTECT_\d+@@")
 line_break = re.compile(BREAK, re.I)
 
@@ -53,13 +54,18 @@ class Shield:
         return "".join([*out, text[at:]])
 
     def literals(self, text: str, *, urls: bool = False) -> str:
-        text = self.cover(text, file, "file_literal", backwards=True)
-        if urls:
+        """Files, addresses, paths and constants. A pattern is tried only where a text
+        holds what every match must."""
+        if dotted.search(text):
+            text = self.cover(text, file, "file_literal", backwards=True)
+        if urls and "://" in text:
             text = self.cover(text, url, "url_literal")
-        return self.cover(self.cover(text, path, "path_literal"), constant, "upper_constant_literal")
+        if "/" in text or "\\" in text:
+            text = self.cover(text, path, "path_literal")
+        return self.cover(text, constant, "upper_constant_literal") if "_" in text else text
 
     def prose(self, text: str) -> str:
-        return self.literals(self.cover(text, tag, "html_xml_tag", keep=line_break))
+        return self.literals(self.cover(text, tag, "html_xml_tag", keep=line_break) if "<" in text else text)
 
 
 def restore(text: str, made: list[tuple[str, str, str]]) -> str:
