@@ -45,7 +45,7 @@ class Shield:
         """``text`` with tokens for the matches, numbered from the left, or from the
         right if ``backwards``. Matches within a token stay, as do those that
         ``keep`` matches wholly."""
-        spots = [m for m in pattern.finditer(text) if not (text[: m.start()].endswith("@@") and text.startswith("@@", m.end())) and not (keep and keep.fullmatch(m[0]))]
+        spots = [m for m in pattern.finditer(text) if not (text.endswith("@@", 0, m.start()) and text.startswith("@@", m.end())) and not (keep and keep.fullmatch(m[0]))]
         named = {m.start(): self.token(m[0], kind) for m in (reversed(spots) if backwards else spots)}
         out, at = [], 0
         for m in spots:
