@@ -191,22 +191,25 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     others = _apart(buckets.where(F.pmod("key", F.lit(ORDERS)) > 0), labels)
     pairs = _pairs(others, tables, percent, tried, "others")
     tried = tried.unionByName(pairs)
-    links = links.unionByName(_confirmed(pairs, known, doc_id, text, shingle, percent, tables, "others"))
-    labels = connected_components(links, tables, "components-others")
+    new = _confirmed(pairs, known, doc_id, text, shingle, percent, tables, "others")
+    links = links.unionByName(new)
+    labels = _merged(labels, new, tables, "components-others")
     left = _unsettled(buckets.select("key", "id", "n"), labels, tables, "open-0")
     for turn in range(GROUPINGS):
         if left.isEmpty():
             break
         apart = tables.keep(_besides_hub(left, links, known, doc_id, text, shingle, percent, tables, turn), f"apart-{turn}")
-        links = links.unionByName(apart.where("linked").select(F.col("hub").alias("a"), F.col("id").alias("b")))
-        labels = connected_components(links, tables, f"components-hubs-{turn}")
+        new = apart.where("linked").select(F.col("hub").alias("a"), F.col("id").alias("b"))
+        links = links.unionByName(new)
+        labels = _merged(labels, new, tables, f"components-hubs-{turn}")
         last = turn == GROUPINGS - 1
         native = apart if last else apart.where(10000 * F.col("common") >= (percent - 50) * percent * F.col("n"))
         native = tables.keep(_labelled(native, labels), f"native-{turn}")
         pairs = _pairs(_sharing(native, percent).unionByName(_within(left, native, percent)), tables, percent, tried, f"open-{turn}")
         tried = tried.unionByName(pairs)
-        links = links.unionByName(_confirmed(pairs, known, doc_id, text, shingle, percent, tables, f"open-{turn}"))
-        labels = connected_components(links, tables, f"components-open-{turn}")
+        new = _confirmed(pairs, known, doc_id, text, shingle, percent, tables, f"open-{turn}")
+        links = links.unionByName(new)
+        labels = _merged(labels, new, tables, f"components-open-{turn}")
         far = apart.where(2 * F.col("common") < F.col("n")).select("id")
         left = left.limit(0) if last else _unsettled(left.select("key", "id", "n").join(far, "id", "left_semi"), labels, tables, f"open-{turn + 1}")
     least = labels.groupBy("label").agg(F.min("node").alias("component_id"))
@@ -229,6 +232,24 @@ def deduplicate(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     return out if several.isEmpty() else out.unionByName(docs.join(several, doc_id, "left_semi").dropDuplicates([doc_id]))
 
 
+def _merged(labels: DataFrame, new: DataFrame, tables: Tables, name: str) -> DataFrame:
+    """The labels after new links(a, b), found on the graph of the old components."""
+    ends = _labels_of(_labels_of(new, labels, "a"), labels, "b")
+    edges = tables.keep(ends.where("a <> b").distinct(), f"{name}-edges")
+    if edges.isEmpty():
+        return labels
+    found = connected_components(edges, tables, name).select(F.col("node").alias("label"), F.col("label").alias("to"))
+    nodes = new.select(F.col("a").alias("node")).union(new.select(F.col("b").alias("node"))).distinct().join(labels, "node", "left_anti")
+    every = labels.unionByName(nodes.select("node", F.col("node").alias("label")))
+    return tables.keep(every.join(found, "label", "left").select("node", F.coalesce("to", "label").alias("label")), f"{name}-merged")
+
+
+def _labels_of(links: DataFrame, labels: DataFrame, end: str) -> DataFrame:
+    other = "b" if end == "a" else "a"
+    named = links.join(labels.withColumnsRenamed({"node": end, "label": "l"}), end, "left")
+    return named.select(F.coalesce("l", end).alias(end), other)
+
+
 def _apart(stars: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of stars(id, c, ...) whose ends lie in different components."""
     ends = stars.join(labels.withColumnsRenamed({"node": "id", "label": "x"}), "id", "left").join(labels.withColumnsRenamed({"node": "c", "label": "y"}), "c", "left")
@@ -315,7 +336,11 @@ def _sharing(native: DataFrame, percent: int) -> DataFrame:
     skipped = F.greatest(F.lit(0), _needed(F.col("n"), F.col("least"), F.col("common"), percent) - MATCHES)
     rare = _minor(shared, "g").withColumn("skipped", skipped).withColumn("rank", F.row_number().over(order)).where("rank > skipped")
     other = shared.select("g", "item", *(F.col(k).alias(v) for k, v in _PARTNER.items()))
-    met = rare.join(other, ["g", "item"]).where("label <> cl")
+    # what needs nothing besides the hub is found in the buckets; what needs more than
+    # either has besides is not linked
+    needs = _needed(F.col("n"), F.col("cn"), F.least("common", "ck"), percent)
+    possible = (needs >= 1) & (needs <= F.least(F.col("n") - F.col("common"), F.col("cn") - F.col("ck")))
+    met = rare.join(other, ["g", "item"]).where((F.col("label") != F.col("cl")) & possible)
     counted = met.groupBy("id", "n", "common", "skipped", "c", "cn", "ck").agg(F.count(F.lit(1)).cast("int").alias("got"))
     return counted.where(F.col("got") >= _needed(F.col("n"), F.col("cn"), F.least("common", "ck"), percent) - F.col("skipped")).select("id", "n", "c", "cn")
 
