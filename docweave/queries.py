@@ -29,7 +29,7 @@ ORACLES: dict[str, str] = {}
 MD = """SELECT doc_id, concat(
   '---', chr(10), 'title: 示例 ', source, chr(10), 'author: u', cast(doc_id % 7 AS string), chr(10), '---', chr(10), chr(10),
   '## Section ', cast(doc_id AS string), ' `code', cast(doc_id % 5 AS string), '`', chr(10), chr(10),
-  replace(substr(text, 1, 400), '|', '/'), chr(10), chr(10),
+  text, chr(10), chr(10),
   'See [guide](docs/g', cast(doc_id % 11 AS string), '.md) and ![fig](img/f.png), run ./build.sh with CONFIG_A_', cast(doc_id % 13 AS string), '.', chr(10), chr(10),
   '- item one', chr(10), '- item two', chr(10), chr(10),
   ':::warning', chr(10), '请确认 boot0.bin 配置正确。', chr(10), ':::', chr(10), chr(10),
