@@ -21,7 +21,7 @@ class Rule(NamedTuple):
     confidence: float
 
 
-#: Lower-case strings of which a text must hold one before it is cut into words.
+#: Strings that the SQL asks of a text; the scan itself tries every rule by its keyword.
 GATE = ("licens", "licenc", "spdx", "copyright", "copyleft", "all rights reserved", "public domain", "creative commons", "creativecommons", "opensource.org", "without any warranty", "without warranty")
 
 # The phrases that count as base places, with their labels.

@@ -1,7 +1,7 @@
 """License scans by ordered signature rules, in DataFrame functions only.
 
-A few strings gate whole texts; only texts that pass are cut into words. A
-rule's regex is tried where its keyword stands. Matches are intervals of words; in
+Every text is cut into words once. A rule's regex is tried where its keyword, a word of
+all its matches, is among them; most texts hold none. Matches are intervals of words; in
 order of their starts, longest first, an interval that lies within one of the same
 or a higher priority is suppressed. Everything happens within a row, so hot
 sources and long documents shuffle nothing.
@@ -9,13 +9,10 @@ sources and long documents shuffle nothing.
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.license_rules import GATE, Rule, rules
+from docweave.llm.license_rules import Rule, rules
 
 #: ASCII letters and digits and all beyond ASCII; named by what it holds, the class
 #: matches some twenty times faster than as a complement.
@@ -26,8 +23,12 @@ _KEPT = "array<struct<s:int,e:int,p:int,i:int>>"
 _BASE = 4
 
 
-def _literal(found: list[Rule]) -> Column:
-    return F.array(*(F.struct(F.lit(i).alias("i"), F.lit(r.pattern).alias("pattern"), F.lit(f" {r.keyword} " if r.keyword else "").alias("keyword"), F.lit(r.priority).alias("p")) for i, r in enumerate(found)))
+def _by_keyword(found: list[Rule]) -> Column:
+    """map of keyword -> its rules: array<struct<i, pattern, p>>."""
+    rows: dict[str, list[Column]] = {}
+    for i, r in enumerate(found):
+        rows.setdefault(r.keyword, []).append(F.struct(F.lit(i).alias("i"), F.lit(r.pattern).alias("pattern"), F.lit(r.priority).alias("p")))
+    return F.create_map(*(x for k, rs in rows.items() for x in (F.lit(k), F.array(*rs))))
 
 
 def _n_words(x: Column) -> Column:
@@ -49,9 +50,9 @@ def _spans(text: Column, pattern: Column) -> Column:
     return F.aggregate(pieces, start, step, lambda x: x["found"])
 
 
-def _detections(text: Column, found: list[Rule]) -> Column:
-    """All matches, sorted: struct(s, -e, -priority, rule)."""
-    tried = F.filter(_literal(found), lambda r: F.contains(text, r["keyword"]))
+def _detections(text: Column, keywords: Column, found: list[Rule]) -> Column:
+    """All matches of the rules of the keywords, sorted: struct(s, -e, -priority, rule)."""
+    tried = F.flatten(F.transform(keywords, lambda k: F.element_at(_by_keyword(found), k)))
     each = F.transform(tried, lambda r: F.transform(_spans(text, r["pattern"]), lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("e"), (-r["p"]).alias("p"), r["i"].alias("i"))))
     return F.array_sort(F.flatten(each))
 
@@ -78,12 +79,13 @@ def detections(docs: DataFrame, *, text: str = "text") -> DataFrame:
     :func:`~docweave.llm.license_rules.rules`. Columns of these names are replaced."""
     known = rules()
     body = F.coalesce(F.col(text), F.lit(""))
-    counted = docs.withColumn("n_words", F.regexp_count(body, F.lit(_WORD)).cast("long"))
-    gated = reduce(or_, (F.contains(F.lower(body), F.lit(w)) for w in GATE))
-    low = F.transform(F.regexp_extract_all(F.translate(body, *_LOWER), F.lit(_WORD), F.lit(0)), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
-    normal = F.when(gated, F.array_join(low, ""))
-    found = F.when(F.col("_normal").isNotNull(), _kept(_detections(F.col("_normal"), known))).otherwise(F.array().cast(_KEPT))
-    return counted.withColumn("_normal", normal).withColumn("found", found).drop("_normal")
+    cut = docs.withColumn("_words", F.regexp_extract_all(F.translate(body, *_LOWER), F.lit(_WORD), F.lit(0)))
+    keywords = F.array_intersect("_words", F.array(*map(F.lit, sorted({r.keyword for r in known}))))
+    low = F.transform("_words", lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
+    held = cut.withColumn("n_words", F.size("_words").cast("long")).withColumn("_keywords", keywords)
+    normal = held.withColumn("_normal", F.when(F.size("_keywords") > 0, F.array_join(low, ""))).drop("_words")
+    found = F.when(F.col("_normal").isNotNull(), _kept(_detections(F.col("_normal"), F.col("_keywords"), known))).otherwise(F.array().cast(_KEPT))
+    return normal.withColumn("found", found).drop("_normal", "_keywords")
 
 
 def license_scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
