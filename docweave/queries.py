@@ -183,21 +183,19 @@ def protect_restore_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("doc_id", rebuilt(F.col("blocks"), F.col("trailing_newline")).alias("output"))
 
 
-_KINDS = [("front_matter_key", 1), ("front_matter_line", 1), ("inline_code", 1), ("link_target", 1), ("image_path", 1), ("table_pipe", 6), ("table_separator", 1), ("code_fence", 2), ("code_line_prefix", 1), ("comment_prefix", 1)]
+def _placeholders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = protect_documents(B.parse_documents(_md(spark, sf_dir)))
+    return p.select("doc_id", F.explode(F.flatten(F.transform("blocks", lambda b: b["placeholders"])))).select("doc_id", "col.kind", "col.raw_text")
 
 
-@query("SELECT kind, n * (SELECT count(*) FROM documents) AS n FROM (VALUES " + ", ".join(f"('{k}', {n})" for k, n in _KINDS) + ") AS t(kind, n)")
+@query()
 def placeholder_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = protect_documents(B.parse_documents(_md(spark, sf_dir)))
-    kinds = p.select(F.explode(F.flatten(F.transform("blocks", lambda b: b["placeholders"])))).select("col.kind")
-    return kinds.where(F.col("kind").isin(*(k for k, _ in _KINDS))).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    return _placeholders(spark, sf_dir).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"SELECT doc_id, 'CONFIG_A_' || (doc_id % 13)::VARCHAR AS raw_text FROM documents UNION ALL SELECT doc_id, './build.sh' FROM documents UNION ALL SELECT doc_id, 'boot0.bin' FROM documents")
+@query()
 def technical_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = protect_documents(B.parse_documents(_md(spark, sf_dir)))
-    made = p.select("doc_id", F.explode(F.flatten(F.transform("blocks", lambda b: b["placeholders"])))).select("doc_id", "col.raw_text", "col.kind")
-    return made.where("kind in ('upper_constant_literal', 'file_literal') and (raw_text like 'CONFIG%' or raw_text in ('./build.sh', 'boot0.bin'))").drop("kind")
+    return _placeholders(spark, sf_dir)
 
 
 @query()
