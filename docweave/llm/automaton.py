@@ -34,10 +34,11 @@ def allowed_edits(term: str) -> int:
 
 
 def _classes(terms: list[str]) -> tuple[np.ndarray, dict[str, int]]:
-    classes = np.zeros(sys.maxunicode + 1, dtype=np.uint8)
+    letters = sorted({c for t in terms for c in t})
+    classes = np.zeros(sys.maxunicode + 1, dtype=np.min_scalar_type(OTHER + len(letters)))
     classes[0x10000:0xE0000] = OTHER
     classes[[c for c in range(0x10000) if chr(c).isalnum()]] = OTHER
-    known = {c: OTHER + 1 + i for i, c in enumerate(sorted({c for t in terms for c in t})[:250])}
+    known = {c: OTHER + 1 + i for i, c in enumerate(letters)}
     for c, k in known.items():
         classes[ord(c)] = k
         if len(c.upper()) == 1:
@@ -62,7 +63,7 @@ def build(terms: list[str], stems: list[str]) -> Automaton:
         node = 0
         reach[0] = max(reach[0], edits)
         for c in word:
-            node = children[node].setdefault(known.get(c, OTHER), len(children))
+            node = children[node].setdefault(known[c], len(children))
             if node == len(children):
                 children.append({})
                 ends.append(-1)
@@ -90,7 +91,7 @@ def build(terms: list[str], stems: list[str]) -> Automaton:
     ids = {dead: 0, start: 1}
     order = [dead, start]
     width = OTHER + 1 + len(known)
-    rows: list[list[int]] = [[0] * width]
+    rows = [np.zeros(width, dtype=np.int32)]
     at = 1
     while at < len(order):
         state = order[at]
@@ -114,11 +115,10 @@ def build(terms: list[str], stems: list[str]) -> Automaton:
                 order.append(key)
             return ids[key]
 
-        row = [number(dict(inserted))] * width
+        row = np.full(width, number(dict(inserted)), dtype=np.int32)
         row[BOUNDARY] = 0
         for c, here in exact.items():
-            if c != OTHER:
-                row[c] = number(inserted | {n: min(e, inserted.get(n, 9)) for n, e in here.items()})
+            row[c] = number(inserted | {n: min(e, inserted.get(n, 9)) for n, e in here.items()})
         rows.append(row)
         at += 1
     term, edits, stem = (np.full(len(order), -1, dtype=np.int32) for _ in range(3))
@@ -127,7 +127,7 @@ def build(terms: list[str], stems: list[str]) -> Automaton:
         if best:
             edits[k], term[k] = best
         stem[k] = max((stem_at[n] for n, e in state if e == 0 and n in stem_at), default=-1)
-    return Automaton(classes, np.array(rows, dtype=np.int32), term, edits, stem, names, max(map(len, names), default=0) + 2)
+    return Automaton(classes, np.stack(rows), term, edits, stem, names, max(map(len, names), default=0) + 2)
 
 
 def match(a: Automaton, kinds: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
