@@ -21,9 +21,6 @@ class Rule(NamedTuple):
     confidence: float
 
 
-#: Strings that the SQL asks of a text; the scan itself tries every rule by its keyword.
-GATE = ("licens", "licenc", "spdx", "copyright", "copyleft", "all rights reserved", "public domain", "creative commons", "creativecommons", "opensource.org", "without any warranty", "without warranty")
-
 # The phrases that count as base places, with their labels.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
@@ -57,7 +54,7 @@ icu|icu|icu license
 unicode|unicode dfs 2016|unicode license;unicode data files and software license
 ofl-1.1|ofl 1 1|sil open font license;open font license
 beerware|beerware|beerware license;beer ware license
-jsond|json|json license
+json|json|json license
 ms-pl|ms pl|microsoft public license
 ms-rl|ms rl|microsoft reciprocal license
 cpl-1.0|cpl 1 0|common public license

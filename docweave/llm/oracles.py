@@ -4,7 +4,7 @@ mix's rounding and the tokenizer have none; tests hold them to brute force."""
 from __future__ import annotations
 
 from docweave.llm.chat import END, MIDDLE, START
-from docweave.llm.license_rules import GATE, rules
+from docweave.llm.license_rules import rules
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -50,13 +50,12 @@ def _top_k() -> str:
 
 def _licenses() -> str:
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
-    table = ", ".join(f"({i}, {quoted(r.label)}, {quoted(r.pattern)}, {quoted(f' {r.keyword} ' if r.keyword else '')}, {r.priority}, {r.confidence}::DOUBLE)" for i, r in enumerate(rules()))
-    gate = " OR ".join(f"contains(lower(text), {quoted(g)})" for g in GATE)
+    table = ", ".join(f"({i}, {quoted(r.label)}, {quoted(r.pattern)}, {r.priority}, {r.confidence}::DOUBLE)" for i, r in enumerate(rules()))
     count = "((length({0}) - length(replace({0}, ' ', ''))) // 2)"
-    return f"""WITH d AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS l, coalesce({gate}, FALSE) AS gated FROM documents),
-  t AS (SELECT doc_id, array_to_string(list_transform(l, lambda w: ' ' || w || ' '), '') AS t FROM d WHERE gated),
-  r(i, label, pattern, keyword, p, confidence) AS (VALUES {table}),
-  m AS (SELECT doc_id, i, p, string_split_regex(t, pattern) AS g, regexp_extract_all(t, pattern) AS f FROM t JOIN r ON contains(t, keyword) WHERE regexp_matches(t, pattern)),
+    return f"""WITH d AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS l FROM documents),
+  t AS (SELECT doc_id, array_to_string(list_transform(l, lambda w: ' ' || w || ' '), '') AS t FROM d),
+  r(i, label, pattern, p, confidence) AS (VALUES {table}),
+  m AS (SELECT doc_id, i, p, string_split_regex(t, pattern) AS g, regexp_extract_all(t, pattern) AS f FROM t JOIN r ON regexp_matches(t, pattern)),
   x AS (SELECT doc_id, i, p, array_to_string(g[1:k], '') || array_to_string(f[1:k - 1], '') AS before, f[k] AS hit FROM (SELECT *, unnest(range(1, len(f) + 1)) AS k FROM m)),
   s AS (SELECT doc_id, i, p, {count.format('before')} AS a, {count.format('before')} + {count.format('hit')} AS b FROM x),
   k AS (SELECT * FROM s WHERE p = 4 OR NOT EXISTS (SELECT 1 FROM s o WHERE o.doc_id = s.doc_id AND o.p <> 4 AND o.p >= s.p AND o.a <= s.a AND o.b >= s.b AND (o.a, -o.b, -o.p, o.i) < (s.a, -s.b, -s.p, s.i))),

@@ -454,11 +454,7 @@ def test_top_k(spark, monkeypatch):
 def brute_scan(text, rules):
     w = words(text)
     norm = "".join(f" {x} " for x in w)
-    found = []
-    if any(g in (text or "").lower() for g in license_rules.GATE):
-        for i, r in enumerate(rules):
-            if not r.keyword or f" {r.keyword} " in norm:
-                found += [(norm[: m.start()].count(" ") // 2, norm[: m.end()].count(" ") // 2, r.priority, i) for m in re.finditer(r.pattern, norm)]
+    found = [(norm[: m.start()].count(" ") // 2, norm[: m.end()].count(" ") // 2, r.priority, i) for i, r in enumerate(rules) for m in re.finditer(r.pattern, norm)]
     order = lambda x: (x[0], -x[1], -x[2], x[3])
     kept = [a for a in found if a[2] == 4 or not any(b[2] != 4 and b[2] >= a[2] and b[0] <= a[0] and b[1] >= a[1] and order(b) < order(a) for b in found)]
     places = [(i, label) for phrase, label in license_rules.BASE for i in range(len(w)) if w[i : i + len(phrase.split())] == phrase.split()]
