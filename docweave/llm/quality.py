@@ -5,8 +5,9 @@ counts of its characters and words by a learned layer; gated attention weighs th
 passages of a text, and the weighted sum of their encodings gives the score. Only
 texts have labels; which passages matter is learned.
 
-Fitting uses a sample of at most about ``SAMPLE`` labelled rows, chosen by a hash of
-the id; scoring reads every whole text once and shuffles nothing.
+Fitting uses a sample of at most about ``SAMPLE`` labelled ids, chosen by a hash of
+the id, and of whole texts of theirs with ``PASSAGES`` passages at most in all, chosen by
+a hash of the row; scoring reads every whole text once and shuffles nothing.
 """
 
 from __future__ import annotations
@@ -19,13 +20,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docweave.llm._shared import Shipped, map_arrow
+from docweave.llm._shared import Shipped, Tables, map_arrow
 from docweave.llm._text import Powers, byte_values, chunks, find_words, hash_words, text_buffers, word_table
 from docweave.llm.toxicity import held_out, sample_rows, training_rows
 
 PASSAGE = 64
-#: Labelled rows that the model is fitted on, about.
+#: Labelled ids that the model is fitted on, about.
 SAMPLE = 5_000
+#: Passages that the model is fitted on, at most; a text with more than a hundredth of
+#: them is scored like any other but never fitted on.
+PASSAGES = 60_000
 FEATURES = 12
 HIDDEN, ATTENTION = 16, 8
 EPOCHS, RATE, DECAY, SEED = 400, 0.02, 1e-4, 7
@@ -81,7 +85,7 @@ class Encoder:
             sums = np.concatenate([[0], np.cumsum(self.kinds[k][data], dtype=np.int64)])
             x[:, k] = count((sums[ends] - sums[starts]).astype(float)) / size
         breaks = np.concatenate([[0], np.cumsum(self.kinds[_BREAK][data], dtype=np.int64)])
-        x[:, _BREAK] = count((breaks[starts] - breaks[np.maximum(starts - 1, 0)]).astype(float)) / one
+        x[:, _BREAK] = count((breaks[starts] - breaks[np.maximum(starts - 1, bounds[doc])]).astype(float)) / one
         x[:, 7] = size / one / 10
         again = np.zeros(len(starts))
         again[1:] = (hashes[1:] == hashes[:-1]) & (passage[1:] == passage[:-1])
@@ -146,21 +150,33 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality", folds: int = 5, held: int = 0, sample: int = SAMPLE) -> Model | float:
     """The model learned from the labels outside the held-out fold, or the share of
     label 1, smoothed, if these do not hold both labels."""
+    tables = Tables(docs.sparkSession, "quality")
     chosen = sample_rows(training_rows(labels, doc_id, label, folds, held), doc_id, sample)
     texts = docs.select(doc_id, F.col(text).alias("text"))
-    rows = texts.join(F.broadcast(chosen), doc_id).select("text", "label")
+    # a row's place in 4,096 buckets of nearly equal size decides whether it is fitted on
+    bucket = F.pmod(F.xxhash64(F.lit(11), doc_id, "text"), F.lit(4096)).cast("int").alias("bucket")
+    rows = texts.join(F.broadcast(chosen), doc_id).select("text", "label", bucket)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder()
         for batch in batches:
-            flat = [row.ravel() for x, head in encoder.bags(batch.column(0)) for row in np.split(x, head[1:-1])]
-            yield pa.RecordBatch.from_arrays([pa.array(flat, type=pa.list_(pa.float64())), batch.column(1).cast(pa.int32())], ["x", "label"])
-
-    got = sorted(((r.label, r.x) for r in map_arrow(rows, encode, "x array<double>, label int").collect()))
+            bags = [bag for x, head in encoder.bags(batch.column(0)) for bag in np.split(x, head[1:-1])]
+            yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.int32()), batch.column(2), pa.array([len(bag) for bag in bags], type=pa.int32()), pa.array([bag.tobytes() for bag in bags], type=pa.binary())], ["label", "bucket", "n", "x"])
+
+    encoded = tables.keep(map_arrow(rows, encode, "label int, bucket int, n int, x binary").where(F.col("n") <= PASSAGES // 100), "bags")
+    sizes = encoded.groupBy("bucket").agg(F.sum("n").alias("n")).orderBy("bucket").collect()
+    left, last = PASSAGES, -1
+    for r in sizes:
+        left -= r.n
+        if left < 0:
+            break
+        last = r.bucket
+    got = sorted((r.label, bytes(r.x)) for r in encoded.where(F.col("bucket") <= last).collect())
+    tables.drop("bags")
     y = np.array([one for one, _ in got], dtype=float)
     if not y.any() or y.all():
         return float((y.sum() + 1) / (len(y) + 2))
-    bags = [np.array(x).reshape(-1, FEATURES) for _, x in got]
+    bags = [np.frombuffer(x).reshape(-1, FEATURES) for _, x in got]
     x, first = np.concatenate(bags), np.concatenate([[0], np.cumsum([len(b) for b in bags])])
     return Model(x.mean(axis=0), x.std(axis=0) + 1e-3).train(x, first, y)
 
@@ -168,8 +184,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
 def score(docs: DataFrame, model: Model | float, *, text: str = "text") -> DataFrame:
     """``docs`` with ``score`` (0 to 1, higher: label 1 likelier), ``n_passages`` and
     ``top_passage``, the passage that weighs most. Columns of these names are
-    replaced. A null or empty text is one empty passage. Every row is scored by
-    itself, so repeated rows get equal scores."""
+    replaced. A null or empty text is one empty passage; an empty table gives no
+    rows. Of passages that weigh the same the first is ``top_passage``. A text of any
+    length is one bag. Every row is scored by itself, so repeated rows get equal
+    scores, whatever stands beside them."""
     shared = Shipped(docs.sparkSession, model)
     added = {"score": T.DoubleType(), "n_passages": T.IntegerType(), "top_passage": T.IntegerType()}
     docs = docs.drop(*added)
