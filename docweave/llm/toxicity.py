@@ -29,10 +29,6 @@ from docweave.llm.automaton import Automaton, build, match
 
 #: Labelled rows that the model is fitted on, about.
 SAMPLE = 12_000
-#: Terms and stems in the lexicon, at most; the strongest stay.
-TERMS = 512
-#: Misspellings seen in clean texts that are remembered, at most; the most frequent stay.
-BENIGN = 20_000
 #: What a word's evidence must exceed besides ln(words tried).
 CHANCE = 3.0
 #: Lengths of stems.
@@ -42,7 +38,7 @@ WINDOW = 6
 # Insults known without labels, quotation marks, words that announce a quotation.
 SEEDS = ("idiot", "moron", "stupid", "loser", "scum", "imbecile", "pathetic", "worthless", "disgusting", "retard", "bastard", "dumbass")
 QUOTES = "\"'`«»“”„‘’‹›"
-CUES = frozenset("quote quoted quoting word words term terms phrase called said says wrote writes meaning means definition".split())
+CUES = frozenset(("quote", "quoted", "quoting", "word", "words", "term", "terms", "phrase", "called", "said", "says", "wrote", "writes", "meaning", "means", "definition"))
 FEATURES = 7
 
 
@@ -52,6 +48,10 @@ class Model:
     benign: frozenset[str]
     weights: np.ndarray
 
+    def scores(self, hits: Iterator[list[tuple]]) -> np.ndarray:
+        x = np.array([features(h) for h in hits]).reshape(-1, FEATURES)
+        return 1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30)))
+
 
 def training_rows(labels: DataFrame, doc_id: str, label: str, folds: int, held: int) -> DataFrame:
     """(doc_id, label) of the rows outside the held-out fold; a row labelled twice
@@ -82,7 +82,7 @@ def learn_lexicon(sample: DataFrame, tables: Tables) -> tuple[list[str], list[st
     p = F.col("t") / (F.col("t") + F.col("n"))
     evidence = F.col("t") * F.log(p / base) + F.when(F.col("n") > 0, F.col("n") * F.log((1 - p) / (1 - base))).otherwise(0.0)
     found = by_word.unionByName(by_stem.drop("forms")).where("t >= 3 and t >= 9 * n").select("word", evidence.alias("e"))
-    best = found.where(F.col("e") > math.log(max(1, tried)) + CHANCE).orderBy(F.desc("e"), "word").limit(TERMS).collect()
+    best = found.where(F.col("e") > math.log(max(1, tried)) + CHANCE).select("word").collect()
     tables.drop("words")
     return sorted({r.word for r in best if r.word[-1] != "*"} | set(SEEDS)), sorted(r.word[:-1] for r in best if r.word[-1] == "*")
 
@@ -134,16 +134,17 @@ def features(hits: list[tuple]) -> np.ndarray:
     return np.array([1.0, exact > 0, math.log1p(exact), quoted > 0, math.log1p(quoted), math.log1p(near), math.log1p(near_quoted)])
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, turns: int = 60) -> np.ndarray:
-    """Newton's method with a small ridge; hits never speak for a clean text."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1e-2, turns: int = 60) -> np.ndarray:
+    """Newton's method with a small ridge over rows that stand n times each; hits never
+    speak for a clean text."""
     w = np.zeros(x.shape[1])
-    w[0] = math.log((y.sum() + 1) / (len(y) - y.sum() + 1))
-    penalty = np.full(x.shape[1], ridge * max(1.0, len(y) / 1000))
+    w[0] = math.log(((n * y).sum() + 1) / ((n * (1 - y)).sum() + 1))
+    penalty = np.full(x.shape[1], ridge * max(1.0, n.sum() / 1000))
     penalty[0] = 1e-6
     for _ in range(turns):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (p - y) + penalty * w
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty + 1e-9)
+        gradient = x.T @ (n * (p - y)) + penalty * w
+        hessian = (x * (n * p * (1 - p))[:, None]).T @ x + np.diag(penalty + 1e-9)
         step = np.linalg.solve(hessian, gradient)
         w = w - np.clip(step, -2, 2)
         w[1:] = np.maximum(w[1:], 0)
@@ -171,8 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
             yield pa.RecordBatch.from_arrays([pa.array(found, type=pa.string())], ["form"])
 
     clean = map_arrow(rows.where("label = 0 and half = 0").select("text"), forms, "form string")
-    common = clean.groupBy("form").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "form").limit(BENIGN).collect()
-    benign = frozenset(r.form for r in common)
+    benign = frozenset(r.form for r in clean.distinct().collect())
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(shared.get(), benign)
@@ -180,19 +180,21 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
             x = [features(h).tolist() for h in scanner.hits(batch.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array(x, type=pa.list_(pa.float64())), batch.column(1).cast(pa.int32())], ["x", "label"])
 
-    got = map_arrow(rows.where("half = 1").select("text", "label"), counted, "x array<double>, label int").collect()
+    # rows alike in their counts come to the driver once
+    got = map_arrow(rows.where("half = 1").select("text", "label"), counted, "x array<double>, label int").groupBy("x", "label").agg(F.count(F.lit(1)).alias("n")).orderBy("x", "label").collect()
     tables.drop("sample")
     x = np.array([r.x for r in got], dtype=float).reshape(-1, FEATURES)
     y = np.array([r.label for r in got], dtype=float)
-    weights = fit_logistic(x, y) if y.any() and not y.all() else np.array([-2.0, 3.0, 1.0, 0.5, 0.5, 0.5, 0.0])
+    weights = fit_logistic(x, y, np.array([r.n for r in got], dtype=float)) if y.any() and not y.all() else np.array([-2.0, 3.0, 1.0, 0.5, 0.5, 0.5, 0.0])
     return Model(automaton, benign, weights)
 
 
 def score(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
     """``docs`` with ``score`` (0 to 1, higher: toxic likelier), ``n_exact``,
     ``n_near`` and ``n_quoted`` (hits). Columns of these names are replaced. A null
-    or empty text has no hits and gets the score of such texts. Every row is
-    scored by itself, so repeated rows get equal scores."""
+    or empty text has no hits and gets the score of such texts; an empty table gives
+    no rows. A text of any length is scored whole. Every row is scored by itself, so
+    repeated rows get equal scores."""
     shared = Shipped(docs.sparkSession, model)
     added = ["score", "n_exact", "n_near", "n_quoted"]
     docs = docs.drop(*added)
@@ -205,14 +207,28 @@ def score(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
         scanner = Scanner(m.automaton, m.benign)
         for batch in batches:
             hits = list(scanner.hits(batch.column(place)))
-            x = np.array([features(h) for h in hits]).reshape(-1, FEATURES)
-            p = 1 / (1 + np.exp(-np.clip(x @ m.weights, -30, 30)))
+            p = m.scores(hits)
             counts = [[sum(1 for h in hs if not h[2]) for hs in hits], [sum(1 for h in hs if h[2]) for hs in hits], [sum(1 for h in hs if h[4]) for hs in hits]]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, type=pa.float64()), *(pa.array(c, type=pa.int32()) for c in counts)], [f.name for f in schema])
 
     return map_arrow(docs, run, schema)
 
 
+def clean(docs: DataFrame, model: Model, *, text: str = "text", threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs`` that score below the threshold, with all their columns,
+    whatever their names; see :func:`score`."""
+    shared = Shipped(docs.sparkSession, model)
+    place = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.get()
+        scanner = Scanner(m.automaton, m.benign)
+        for batch in batches:
+            yield batch.filter(pa.array(m.scores(scanner.hits(batch.column(place))) < threshold))
+
+    return map_arrow(docs, run, docs.schema)
+
+
 def held_out(doc_id: str, folds: int, held: int) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % folds == held, F.lit(False))
 
