@@ -37,8 +37,12 @@ def _stepped(key: Column) -> Column:
     return low.bitwiseOR(F.shiftleft(_and(t2, _TOP), 2 * LIMB))
 
 
-def jump_hash(key: Column, shards: int) -> Column:
-    """The shard, from 0, of a long key among ``shards``; a null key counts as 0."""
+def jumps(key: Column, shards: int) -> Column:
+    """struct<at, next> of a long key among ``shards``: its shard, from 0, and where
+    it would jump to from there, the first place beyond; a null key counts as 0.
+
+    About ln(shards) jumps reach the end; the few keys that need more than the first
+    fold has go on in a second one."""
     start = F.struct(F.coalesce(key.cast("long"), F.lit(0).cast("long")).alias("key"), F.lit(-1).cast("long").alias("at"), F.lit(0).cast("long").alias("next"))
 
     def step(state: Column, _: Column) -> Column:
@@ -46,7 +50,14 @@ def jump_hash(key: Column, shards: int) -> Column:
         jump = F.floor((state["next"] + 1).cast("double") * (F.lit(float(1 << 31)) / (F.shiftrightunsigned(key, 33) + 1).cast("double"))).cast("long")
         return F.when(state["next"] < shards, F.struct(key.alias("key"), state["next"].alias("at"), jump.alias("next"))).otherwise(state)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(max(1, shards))), start, step, lambda s: s["at"].cast("int"))
+    first = F.aggregate(F.sequence(F.lit(1), F.lit(min(max(1, shards), 6 + 3 * shards.bit_length()))), start, step)
+    rest = lambda s: F.when(s["next"] < shards, F.aggregate(F.sequence(F.lit(1), F.lit(max(1, shards))), s, step)).otherwise(s)
+    return F.element_at(F.transform(F.array(first), rest), 1)
+
+
+def jump_hash(key: Column, shards: int) -> Column:
+    """The shard, from 0, of a long key among ``shards``; a null key counts as 0."""
+    return jumps(key, shards)["at"].cast("int")
 
 
 def assign_shards(docs: DataFrame, shards: int, *, key: str = "doc_id", text: str = "text", keep: bool = False) -> DataFrame:
@@ -56,13 +67,14 @@ def assign_shards(docs: DataFrame, shards: int, *, key: str = "doc_id", text: st
     a null text counts as empty. The law is ``key``: the key and the shard count
     decide alone. Integer keys are hashed as they are, others by their 64-bit hash,
     a null key as 0. ``grown_shard`` is the shard if one more is appended. ``slot``
-    numbers each shard's rows from 0 without gaps, in an order of parts of the key's
-    hash and keys therein; rows alike in key, size and text may swap slots. With
+    numbers each shard's rows from 0 without gaps, in an order of parts of a hash of
+    key and text and keys therein, so that a key that stands in many rows is no part of
+    its own; rows alike in key, size and text may swap slots. With
     ``keep`` all other columns stay, but for those with the names above; without,
     they are not read. No rows give none."""
     whole = docs.schema[key].dataType.typeName() in ("byte", "short", "integer", "long")
     number = (lambda: F.col(key).cast("long")) if whole else (lambda: F.when(F.col(key).isNotNull(), F.xxhash64(key)))
-    part = F.pmod(F.xxhash64(F.lit(11), F.col(key)), F.lit(PARTS)).cast("int")
+    part = F.pmod(F.xxhash64(F.lit(11), F.col(key), F.col(text)), F.lit(PARTS)).cast("int")
     keys = docs.select(jump_hash(number(), shards).alias("shard"), part.alias("part"))
     # shards * PARTS rows at most, whatever the table's size
     counts = keys.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"))
@@ -71,7 +83,10 @@ def assign_shards(docs: DataFrame, shards: int, *, key: str = "doc_id", text: st
     body = F.coalesce(F.col(text), F.lit(""))
     added = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
     rest = [F.col(c) for c in docs.columns if c != key and c not in added] if keep else []
-    rows = docs.select(key, *rest, (F.octet_length(body).cast("long") + 8).alias("size"), F.crc32(body).alias("text_crc32"), jump_hash(number(), shards).alias("shard"), jump_hash(number(), shards + 1).alias("grown_shard"), part.alias("part"))
+    rows = docs.select(key, *rest, (F.octet_length(body).cast("long") + 8).alias("size"), F.crc32(body).alias("text_crc32"), jumps(number(), shards).alias("_jump"), part.alias("part"))
+    # with one more shard a key moves only if its next jump ends there
+    grown = F.when(F.col("_jump.next") == shards, F.lit(shards)).otherwise(F.col("_jump.at")).cast("int")
+    rows = rows.withColumns({"shard": F.col("_jump.at").cast("int"), "grown_shard": grown}).drop("_jump")
     rank = F.row_number().over(W.partitionBy("shard", "part").orderBy(key, "size", "text_crc32")) - 1
     numbered = rows.withColumn("rank", rank.cast("long")).join(F.broadcast(offsets), ["shard", "part"])
     return numbered.select(key, *rest, "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("offset") + F.col("rank")).alias("slot"), "grown_shard")
