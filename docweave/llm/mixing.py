@@ -15,6 +15,8 @@ class take turns in an order of a hash; no step sorts a class or source in one t
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,10 +27,8 @@ from docweave.llm._shared import Tables
 WEIGHTS = (3, 1, 2)
 #: Share of all tokens that the mix takes, and times that a document is taken at most.
 SHARE, CAP = 1.5, 2
-#: Newton steps at most, and the relative gap that ends them.
-STEPS, GAP = 40, 1e-9
-#: Single documents added or left out to meet a target, at most, a source.
-REPAIRS = 12
+#: The relative gap that ends the Newton steps, or the interval of tilts that does.
+GAP, NARROW = 1e-9, 1e-13
 SALTS = 256
 #: Rates are rounded to whole multiples of 2**-30, so that sums are exact.
 _UNIT = float(1 << 30)
@@ -76,7 +76,9 @@ def tilts(classes: DataFrame, goals: DataFrame, tables: Tables, prior: float, ca
     state = state.select("source", "source_size", "target", F.coalesce("mean", F.lit(1.0)).alias("mean"), F.lit(0.0).alias("tilt"), F.lit(-60.0).alias("lo"), F.lit(60.0).alias("hi"), (F.col("target") >= cap * F.col("source_size")).alias("done"))
     state = tables.keep(state.withColumn("tilt", F.when(F.col("done"), 60.0).otherwise(0.0)), "state-0")
     used = classes.where("size > 0").withColumnRenamed("source", "s")
-    for step in range(STEPS):
+    for step in count():
+        if state.where("not done").isEmpty():
+            return state.select("source", "source_size", "target", "mean", "tilt")
         joined = used.join(state.where("not done"), _same("s", "source"))
         x = F.col("size") / F.col("mean")
         rate = _rate(F.col("tilt"), x, prior, cap)
@@ -87,18 +89,18 @@ def tilts(classes: DataFrame, goals: DataFrame, tables: Tables, prior: float, ca
         lo, hi = F.when(F.col("gap") < 0, F.col("tilt")).otherwise(F.col("lo")), F.when(F.col("gap") > 0, F.col("tilt")).otherwise(F.col("hi"))
         moved = moved.withColumns({"done": F.col("done") | F.coalesce(close, F.lit(True)), "lo": F.coalesce(lo, "lo"), "hi": F.coalesce(hi, "hi")})
         newton = F.col("tilt") - F.col("gap") / F.greatest(F.col("slope"), F.lit(1e-300))
-        inside = (newton > F.col("lo")) & (newton < F.col("hi"))
+        # a halving now and then ends what Newton steps creep along
+        inside = (newton > F.col("lo")) & (newton < F.col("hi")) & F.lit(step % 4 != 3)
+        narrow = F.col("hi") - F.col("lo") <= NARROW
         following = F.when(F.col("done"), F.col("tilt")).when(inside, newton).otherwise((F.col("lo") + F.col("hi")) / 2)
-        state = tables.keep(moved.withColumn("tilt", following).select("source", "source_size", "target", "mean", "tilt", "lo", "hi", "done"), f"state-{step + 1}")
-        if state.where("not done").isEmpty():
-            break
-    return state.select("source", "source_size", "target", "mean", "tilt")
+        state = tables.keep(moved.withColumns({"tilt": following, "done": F.col("done") | narrow}).select("source", "source_size", "target", "mean", "tilt", "lo", "hi", "done"), f"state-{step + 1}")
 
 
 def _repaired(plan: DataFrame, goals: DataFrame, tables: Tables, cap: int) -> DataFrame:
     """plan(source, size, n, copies) with single documents added or left out, a
-    source's largest that fits its gap first, until nothing fits."""
-    for turn in range(REPAIRS):
+    source's largest that fits its gap first, until nothing fits: every turn leaves a
+    smaller gap."""
+    for turn in count():
         taken = plan.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"))
         gaps = goals.select(F.col("source").alias("s"), "target").join(taken, _same("s", "source")).select("s", (F.col("target") - F.col("taken")).alias("gap"))
         at = plan.join(gaps, _same("source", "s"))
@@ -108,10 +110,9 @@ def _repaired(plan: DataFrame, goals: DataFrame, tables: Tables, cap: int) -> Da
         best = at.where(fits).groupBy(F.col("source").alias("b")).agg(F.min(F.struct(F.abs(F.abs("gap") - F.col("size")).alias("miss"), F.col("size").alias("size"), F.signum("gap").cast("long").alias("sign"))).alias("best"))
         best = tables.keep(best.select("b", F.col("best.size").alias("bs"), F.col("best.sign").alias("sign")), f"repair-{turn}")
         if best.isEmpty():
-            break
+            return plan
         changed = plan.join(best, _same("source", "b") & (F.col("size") == F.col("bs")), "left")
         plan = tables.keep(changed.select("source", "size", "n", (F.col("copies") + F.coalesce("sign", F.lit(0))).alias("copies")), f"plan-{turn + 1}")
-    return plan
 
 
 def mix(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text: str = "text", share: float = SHARE, cap: int = CAP, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -122,7 +123,8 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text
     ``share`` times all sizes; a target stops at ``cap`` times its source, and what
     is over is reshared. ``copies`` is 0 to ``cap``, ``taken`` is copies * size.
     Repeated rows are documents of their own; rows alike in id, source and size may
-    swap copies. Other columns are not read. No rows give none."""
+    swap copies. Ties between documents of a size go by a hash of id and text, then by
+    id. A text of any length is one size. Other columns are not read. No rows give none."""
     rows, parts = _planned(docs, doc_id, source, text, share, cap, weights)
     found = _assigned(rows, parts, doc_id)
     return found.select(doc_id, "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
@@ -133,13 +135,13 @@ def mixed(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", te
     columns."""
     columns = docs.columns
     _, parts = _planned(docs, doc_id, source, text, share, cap, weights)
-    rows = docs.select(F.struct(*columns).alias("row"), F.col(doc_id).alias("_id"), F.col(source).alias("source"), token_count(F.col(text)).alias("size"), _salt(doc_id).alias("salt"))
+    rows = docs.select(F.struct(*columns).alias("row"), F.col(doc_id).alias("_id"), F.col(source).alias("source"), token_count(F.col(text)).alias("size"), _salt(doc_id, text).alias("salt"))
     found = _assigned(rows, parts, "_id").where("copies > 0")
     return found.select(F.explode(F.array_repeat("row", F.col("copies"))).alias("row")).select("row.*")
 
 
-def _salt(doc_id: str) -> Column:
-    return F.pmod(F.xxhash64(F.lit(5), F.col(doc_id)), F.lit(SALTS)).cast("int")
+def _salt(doc_id: str, text: str) -> Column:
+    return F.pmod(F.xxhash64(F.lit(5), F.col(doc_id), F.col(text)), F.lit(SALTS)).cast("int")
 
 
 def _assigned(rows: DataFrame, parts: DataFrame, doc_id: str) -> DataFrame:
@@ -153,7 +155,7 @@ def _planned(docs: DataFrame, doc_id: str, source: str, text: str, share: float,
     """The narrow table (id, source, size, salt), and for each (source, size, salt)
     how many copies its documents get and how many get one more."""
     tables = Tables(docs.sparkSession, "mixing")
-    sizes = tables.keep(docs.select(doc_id, F.col(source).alias("source"), token_count(F.col(text)).alias("size"), _salt(doc_id).alias("salt")), "sizes")
+    sizes = tables.keep(docs.select(doc_id, F.col(source).alias("source"), token_count(F.col(text)).alias("size"), _salt(doc_id, text).alias("salt")), "sizes")
     salted = tables.keep(sizes.groupBy("source", "size", "salt").agg(F.count(F.lit(1)).alias("m")), "salted")
     classes = tables.keep(salted.groupBy("source", "size").agg(F.sum("m").alias("n")), "classes")
     goals = tables.keep(targets(classes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), share, cap, weights), "goals")
