@@ -33,6 +33,7 @@ SHARD_ROWS = 4096
 PROBE = 8
 _FIELDS = ["query_id", "vec_id", "score"]
 _LONG = (1 << 63) - 1
+_FAR = np.finfo(np.float64).max
 
 
 def usable(vector: str) -> Column:
@@ -46,7 +47,8 @@ def scaled(column: pa.Array, scale: float) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     sizes = np.diff(column.offsets.to_numpy())
-    flat = np.floor(np.asarray(column.flatten().cast(pa.float64())) * scale)
+    with np.errstate(over="ignore"):
+        flat = np.clip(np.floor(np.asarray(column.flatten().cast(pa.float64())) * scale), -_FAR, _FAR)
     out = np.zeros((len(sizes), int(sizes.max(initial=0))))
     rows = np.repeat(np.arange(len(sizes)), sizes)
     out[rows, np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
@@ -69,7 +71,9 @@ class Shard:
     def best(self, own: int, q: np.ndarray, k: int, floor: tuple | None) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of the k best, none of which is worse than ``floor``, the
         (score, id) of the k-th found before."""
-        if self.most * np.abs(q).max(initial=0) * len(q) >= 2.0**53:
+        with np.errstate(over="ignore"):
+            large = self.most * np.abs(q).max(initial=0) * len(q) >= 2.0**53
+        if large:
             return self._large(own, q, k)
         bound = np.where(q > 0, q * self.high, q * self.low)
         terms = np.argsort(-bound, kind="stable")
@@ -118,7 +122,7 @@ def top_k(vectors: DataFrame, *, queries: Column | None = None, k: int = 10, vec
 
     ``queries`` selects query rows, by default those whose id is divisible by 100;
     candidates are all rows but those with the query's id. Each component counts as
-    floor(scale * x). Rows without id, and vectors that are null or hold a null or
+    floor(scale * x), one beyond the range of double as the largest double. Rows without id, and vectors that are null or hold a null or
     non-finite component, take no part; shorter vectors count as ending in zeros.
     A candidate id that comes twice is ranked twice, a repeated query row once. A
     score beyond the range of long is held at its end. Other columns are not read.
