@@ -31,6 +31,8 @@ MARK = "▁".encode()
 STEP_BYTES = 1 << 23
 #: Cells of the score table held at once.
 CELLS = 1 << 22
+#: Segments that are walked one by one rather than side by side, and bytes of one at a time.
+FEW, WALK_BYTES = 8, 1 << 16
 
 
 @dataclass
@@ -100,7 +102,11 @@ def count_words(v: Vocabulary, data: np.ndarray, starts: np.ndarray, lengths: np
             end += max(1, min(4096, len(order) - end, CELLS // (int(lengths[order[end]]) + 1) - (end - at)))
         end = min(end, len(order))
         some = order[at:end]
-        counts[some] = _walk(v, data, starts[some], lengths[some])
+        if len(some) <= FEW:
+            for i in some.tolist():
+                counts[i] = _walk_one(v, data[starts[i] : starts[i] + lengths[i]])
+        else:
+            counts[some] = _walk(v, data, starts[some], lengths[some])
         at = end
     return counts
 
@@ -157,6 +163,37 @@ def _walk(v: Vocabulary, data: np.ndarray, starts: np.ndarray, lengths: np.ndarr
     return result
 
 
+def _walk_one(v: Vocabulary, data: np.ndarray) -> int:
+    """:func:`_walk` of one segment, a byte a step without arrays."""
+    size, n = int(v.length.max(initial=1)) + 5, len(data)
+    step, out, shorter, score, length = (x.item for x in (v.step, v.out, v.shorter, v.score, v.length))
+    best, pieces, open_run = [0.0] + [-np.inf] * (size - 1), [0] * size, [False] * size
+    state = char = 0
+    for at in range(0, n, WALK_BYTES):
+        part = data[at : at + WALK_BYTES + 1]
+        kinds, heads = v.classes[part].tolist(), ((part & 0xC0) != 0x80).tolist() + [True]
+        for e in range(at + 1, min(n, at + WALK_BYTES) + 1):
+            if heads[e - 1 - at]:
+                char = e - 1
+            state = step(state, kinds[e - 1 - at])
+            value, count, run, single = -np.inf, 0, False, False
+            node = out(state)
+            while node:
+                begin = e - length(node)
+                single = single or begin == char
+                other = best[begin % size] + score(node)
+                if other > value:
+                    value, count = other, pieces[begin % size] + 1
+                node = shorter(node)
+            if not single and heads[e - at]:
+                b = char % size
+                other = best[b] + v.unknown
+                if other > value:
+                    value, count, run = other, pieces[b] + (e - char if v.byte_pieces else int(not open_run[b])), True
+            best[e % size], pieces[e % size], open_run[e % size] = value, count, run
+    return pieces[n % size]
+
+
 class Counter:
     def __init__(self, v: Vocabulary) -> None:
         self.v, self.powers = v, Powers()
@@ -198,8 +235,9 @@ class Counter:
 
 def token_counts(docs: DataFrame, pieces: list[tuple[str, float]], *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_tokens) for each row of ``docs``: the tokens of its whole text. A
-    null or empty text has none. Repeated rows each get a row; other columns are
-    not read. ``pieces`` is the vocabulary with scores."""
+    null or empty text has none; an empty table gives no rows. Repeated rows each get
+    a row; other columns are not read. ``pieces`` is the vocabulary with scores. A text of
+    any length is counted whole; long segments take a step a byte."""
     shared = Shipped(docs.sparkSession, pieces)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
