@@ -265,8 +265,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_i
     all words of a shorter one; an item without words has none. A null text has no
     words and is clean. Items without id or text take no part; an item id that
     comes twice counts once. Repeated rows of ``docs`` each get a row. An empty
-    benchmark finds nothing. Other columns of ``docs`` are not read, whatever
-    their names."""
+    benchmark finds nothing; an empty table gives no rows. Of longest matches alike the
+    first is told. A text of any length is one document. Words are compared by 64-bit
+    hashes, so a window of 13 words that differs is taken for equal with a chance below
+    2**-64, and a window of one word likewise a word. Other columns of ``docs`` are not
+    read, whatever their names."""
     sources = _sources(docs, benchmark, item_id, item_text, window)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
