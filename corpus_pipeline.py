@@ -19,7 +19,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the threshold stay."""
     model = toxic.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxic.score(docs, model).where("score < 0.7").select(*docs.columns)
+    return toxic.clean(docs, model, threshold=0.7)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
