@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import re
 
-EXTENSIONS = ("dts dtbo cfg conf ini yaml yml toml mk ko sh xml json html pdf h c cc cpp hpp py txt bin img rc dll so log csv md dita").split()
+EXTENSIONS = ("dts", "dtbo", "cfg", "conf", "ini", "yaml", "yml", "toml", "mk", "ko", "sh", "xml", "json", "html", "pdf", "h", "c", "cc", "cpp", "hpp", "py", "txt", "bin", "img", "rc", "dll", "so", "log", "csv", "md", "dita")
 URL = r"https?://[^\s<>\"']{1,2048}"
 CONSTANT = r"\b[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+\b"
 PATH = r"(?<![@\w])(?:[A-Za-z]:\\[^\s<>\"'|]*|(?:\.\.?|~)?[/\\][^\s<>\"'|]*)"

@@ -13,11 +13,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docweave.functions.literals import Shield, restore
+from docweave.functions.literals import Shield, restore, token
+from docweave.functions.session import bounded_batches
 
 # Elements whose text is translated, and elements that hide theirs.
-TAGS = frozenset("title shortdesc context info note postreq section result p li entry choice ph cmd stepxmp stepresult xref".split())
-HIDDEN = frozenset("codeblock codeph filepath pre lines screen msgblock userinput systemoutput".split())
+TAGS = frozenset(("title", "shortdesc", "context", "info", "note", "postreq", "section", "result", "p", "li", "entry", "choice", "ph", "cmd", "stepxmp", "stepresult", "xref"))
+HIDDEN = frozenset(("codeblock", "codeph", "filepath", "pre", "lines", "screen", "msgblock", "userinput", "systemoutput"))
 
 SLOT = "struct<block_index:int,block_type:string,element_path:array<int>,field_name:string,tag_name:string,protected_text:string,placeholders:array<struct<token:string,raw_text:string,kind:string>>,translatable:boolean,meta:map<string,string>>"
 _MISC = re.compile(r"\A(?:\s+|<\?.*?\?>|<!--.*?-->|<!DOCTYPE[^>\[]*(?:\[.*?\])?\s*>)*", re.S)
@@ -60,7 +61,7 @@ def namespaces(text: str) -> dict[str, str]:
 
 
 def prepare(text: str) -> list[dict]:
-    shield, out = Shield(), []
+    shield, out = Shield(frozenset(token.findall(text))), []  # tokens that the source itself holds stay
     for path, field, tag, body in slots(parse(text)):
         covered = shield.literals(body, urls=True)
         made = [dict(zip(("token", "raw_text", "kind"), m, strict=True)) for m in shield.take()]
@@ -112,6 +113,7 @@ def _serialised(root: ET.Element, known: dict[str, str]) -> str:
 def prepare_documents(docs: DataFrame, *, text: str = "text") -> DataFrame:
     """``docs`` with ``blocks``, ``error`` (why a text cannot be parsed, else null) and
     ``trailing_newline``. A null text cannot be parsed."""
+    bounded_batches(docs.sparkSession, 4000, 32 << 20)
 
     @F.pandas_udf(f"struct<blocks:array<{SLOT}>,error:string>")
     def run(texts: pd.Series) -> pd.DataFrame:
@@ -137,6 +139,19 @@ def rebuilt_text(text: Column, blocks: Column) -> Column:
     return run(text, F.to_json(blocks))
 
 
+def rebuild_documents(filled: DataFrame) -> DataFrame:
+    """filled(doc_id, text, blocks, missing) as (doc_id, output, missing). Blocks that an
+    expression has filled are a column here before a worker sees them; within the call of
+    a UDF Spark could not evaluate their lambdas."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            made = [rebuild(t, found) if (found := json.loads(b or "[]")) else t for t, b in zip(f["text"], f["packed"], strict=True)]
+            yield pd.DataFrame({"doc_id": f["doc_id"], "output": made, "missing": f["missing"]})
+
+    return filled.select("doc_id", "text", F.to_json("blocks").alias("packed"), "missing").mapInPandas(run, "doc_id long, output string, missing long")
+
+
 def detection_text(text: Column) -> Column:
     """What a language is detected from: the translatable texts, or the source if
     there are none."""

@@ -10,22 +10,25 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docweave.functions.literals import Shield, token
+from docweave.operators.blocks import blocks_of, maps, offsets, with_blocks
 
 PLACEHOLDERS = "array<struct<token:string,raw_text:string,kind:string>>"
 PROTECTED = f"array<struct<block_index:int,block_type:string,protected_text:string,placeholders:{PLACEHOLDERS},translatable:boolean,meta:map<string,string>>>"
 
 # Front matter fields that are translated, and comment marks by language.
 FIELDS = ("title", "subtitle", "desc")
-HASH = frozenset("python py ruby rb shell sh bash zsh yaml yml conf cfg mk makefile dockerfile perl pl r tcl".split())
-SLASH = frozenset("c cpp cc h hpp java javascript js typescript ts go rust rs swift kotlin kt csharp cs php scala groovy dart".split())
-MARKUP = frozenset("html xml svg markdown md".split())
-
+HASH = frozenset(("python", "py", "ruby", "rb", "shell", "sh", "bash", "zsh", "yaml", "yml", "conf", "cfg", "mk", "makefile", "dockerfile", "perl", "pl", "r", "tcl"))
+SLASH = frozenset(("c", "cpp", "cc", "h", "hpp", "java", "javascript", "js", "typescript", "ts", "go", "rust", "rs", "swift", "kotlin", "kt", "csharp", "cs", "php", "scala", "groovy", "dart"))
+MARKUP = frozenset(("html", "xml", "svg", "markdown", "md"))
+# Images, links and code; fields and scalars of front matter; table rules and
+# cells; a fence's language; the marks of a heading; block comments.
 _INLINE = re.compile(r"(!\[([^\]]*)\]\(([^)]*)\))|((?<!!)\[([^\]]*)\]\(([^)]*)\))|((`+)([^\n]*?)\8)")
 _FIELD = re.compile(r"(\s*)([A-Za-z0-9_-]+):(\s*)(.*)$")
 _SCALAR = re.compile(r"(\s*)([A-Za-z0-9_-]+):(\s*)([|>][-+]?)\s*$")
@@ -41,16 +44,20 @@ class Protector:
     def __init__(self, fields: tuple[str, ...] = FIELDS) -> None:
         self.fields = frozenset(f.lower() for f in fields)
 
-    def document(self, blocks: list[dict]) -> list[tuple]:
-        self.shield = Shield(frozenset(t for b in blocks for t in token.findall(b["raw_text"])))
-        return [self.block(b) for b in blocks]
+    def document(self, blocks: list[tuple[str, str, dict[str, str]]]) -> list[tuple]:
+        """(place, type, protected text, placeholders, translatable, facts) of blocks
+        (type, raw text, facts)."""
+        self.shield = Shield(frozenset(t for _, raw, _ in blocks if "@@PROTECT_" in raw for t in token.findall(raw)))
+        return [self.block(i, *b) for i, b in enumerate(blocks)]
 
-    def block(self, b: dict) -> tuple:
-        kind, raw, meta = b["block_type"], b["raw_text"], dict(b["meta"] or {})
+    def block(self, place: int, kind: str, raw: str, meta: dict[str, str]) -> tuple:
+        meta = dict(meta)
         text, translatable = getattr(self, f"_{kind}", self._plain)(raw, meta)
-        return b["block_index"], kind, text, self.shield.take(), translatable, list(meta.items())
+        return place, kind, text, self.shield.take(), translatable, meta
 
     def inline(self, text: str) -> str:
+        if "`" not in text and "](" not in text:
+            return self.shield.prose(text)
         out, at = [], 0
         for m in _INLINE.finditer(text):
             out.append(self.shield.prose(text[at : m.start()]))
@@ -175,25 +182,40 @@ class Protector:
 _COMMENTS = {"/*": re.compile(r"(/\*)(.*?)(\*/)", re.S), "<!--": re.compile(r"(<!--)(.*?)(-->)", re.S)}
 
 
+_ARROW = pa.list_(pa.struct([("block_index", pa.int32()), ("block_type", pa.string()), ("protected_text", pa.string()), ("placeholders", pa.list_(pa.struct([(m, pa.string()) for m in ("token", "raw_text", "kind")]))), ("translatable", pa.bool_()), ("meta", pa.map_(pa.string(), pa.string()))]))
+
+
+def _packed(found: list[list[tuple]]) -> pa.Array:
+    """Protected blocks of documents, column by column."""
+    flat = [b for blocks in found for b in blocks]
+    made = [m for b in flat for m in b[3]]
+    parts = _ARROW.value_type.field("placeholders").type
+    marks = pa.StructArray.from_arrays([pa.array([m[k] for m in made], pa.string()) for k in range(3)], fields=list(parts.value_type))
+    index = np.concatenate([np.zeros(0, np.int32), *(np.arange(len(blocks), dtype=np.int32) for blocks in found)])
+    fields = [pa.array(index), pa.array([b[1] for b in flat], pa.string()), pa.array([b[2] for b in flat], pa.string()), pa.ListArray.from_arrays(offsets([len(b[3]) for b in flat]), marks), pa.array([b[4] for b in flat], pa.bool_()), maps([b[5] for b in flat])]
+    return pa.ListArray.from_arrays(offsets([len(blocks) for blocks in found]), pa.StructArray.from_arrays(fields, fields=list(_ARROW.value_type)))
+
+
+def protect_markdown(docs: DataFrame, fields: tuple[str, ...] = FIELDS, *, text: str = "text") -> DataFrame:
+    """Texts to protected blocks in one pass: :func:`parse_documents` and
+    :func:`protect_documents` without the blocks going through the JVM between."""
+    protector = Protector(fields)
+    return with_blocks(docs, text, PROTECTED, lambda texts: _packed([protector.document(blocks_of(t)) for t in texts]))
+
+
 def protect_documents(parsed: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """parsed(..., blocks) with ``blocks`` protected: struct(block_index, block_type,
     protected_text, placeholders, translatable, meta)."""
     place = parsed.columns.index("blocks")
     kind = T._parse_datatype_string(PROTECTED)
     schema = T.StructType([T.StructField(f.name, kind if f.name == "blocks" else f.dataType) for f in parsed.schema])
-    names = ("block_index", "block_type", "protected_text", "placeholders", "translatable", "meta")
-    marks = ("token", "raw_text", "kind")
-    arrow = pa.list_(pa.struct([("block_index", pa.int32()), ("block_type", pa.string()), ("protected_text", pa.string()), ("placeholders", pa.list_(pa.struct([(m, pa.string()) for m in marks]))), ("translatable", pa.bool_()), ("meta", pa.map_(pa.string(), pa.string()))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         protector = Protector(fields)
         for batch in batches:
-            rows = []
-            for blocks in batch.column(place).to_pylist():
-                done = protector.document(blocks or [])
-                rows.append([dict(zip(names, (*b[:3], [dict(zip(marks, m, strict=True)) for m in b[3]], *b[4:]), strict=True)) for b in done])
+            rows = [[(b["block_type"], b["raw_text"], dict(b["meta"] or {})) for b in blocks or []] for blocks in batch.column(place).to_pylist()]
             columns = list(batch.columns)
-            columns[place] = pa.array(rows, type=arrow)
+            columns[place] = _packed([protector.document(blocks) for blocks in rows])
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
     return parsed.mapInArrow(run, schema)
