@@ -10,6 +10,7 @@ result that is there, and a lost executor repeats only its own batches.
 from __future__ import annotations
 
 import re
+import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -21,7 +22,7 @@ from docweave.operators.segments import BATCH, batched
 from docweave.operators.translators import Translator, TranslatorError
 from docweave.operators.validate import DIRECTIONAL, MESSAGES, RESIDUAL, Mode
 
-SCHEMA = "doc_id long, seg_id string, translated_text string, error_code string, message string, retries long, splits long, rescues long"
+SCHEMA = "doc_id long, batch_index long, seg_id string, translated_text string, error_code string, message string, retries long, splits long, rescues long"
 _TOKEN = re.compile(r"@@PROTECT_\d+@@")
 _LOOSE = re.compile(r"@@\s*protect\s*[_-]\s*(\d+)\s*@@", re.I)
 _ORDER = re.compile(DIRECTIONAL.removeprefix("(?iU)"), re.I)
@@ -142,7 +143,7 @@ def _calls(make: Callable[[], Translator], policy: Policy) -> Callable[[Iterator
         translator = None
         for frame in frames:
             out = []
-            for doc, items in zip(frame["doc_id"], frame["items"], strict=True):
+            for doc, index, items in zip(frame["doc_id"], frame["batch_index"], frame["items"], strict=True):
                 translator = translator or make()
                 runner = Runner(translator, policy)
                 pairs = [(x["seg_id"], x["text"]) for x in items]
@@ -151,7 +152,7 @@ def _calls(make: Callable[[], Translator], policy: Policy) -> Callable[[Iterator
                 except TranslatorError as error:
                     done, code, message = {}, "rate_limit" if limited(str(error)) else getattr(error, "code", "call"), str(error)
                 counts = (runner.retries, runner.splits, runner.rescues)
-                out += [(doc, i, done.get(i), code, message, *(counts if k == 0 else (0, 0, 0))) for k, (i, _) in enumerate(pairs)]
+                out += [(doc, index, i, done.get(i), code, message, *(counts if k == 0 else (0, 0, 0))) for k, (i, _) in enumerate(pairs)]
             yield pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")])
         if translator:
             translator.close()
@@ -164,20 +165,33 @@ def _batches(segments: DataFrame, size: int) -> DataFrame:
     return batched(segments, size=size).groupBy("doc_id", "batch_index").agg(F.transform(items, lambda x: F.struct(x["seg_id"].alias("seg_id"), x["text"].alias("text"))).alias("items"))
 
 
-def translate_segments(segments: DataFrame, make: Callable[[], Translator], policy: Policy, folder: str, *, batch: int = BATCH, parallel: int = 2, rounds: int = 8) -> DataFrame:
+def translate_segments(segments: DataFrame, make: Callable[[], Translator], policy: Policy, folder: str, *, batch: int = BATCH, parallel: int = 2, pause: float = 1.0, store: Callable[[DataFrame], None] | None = None) -> DataFrame:
     """translations of segments(doc_id, seg_id, ordinal, text), one row each, with an
-    error code where a batch failed for good. ``make`` builds a translator in a
-    worker; ``folder`` is a shared folder for the results of the ``rounds``, at most so many."""
+    error code where a batch failed for good, the ``round`` and the ``batch_index``
+    therein. ``make`` builds a translator in a worker; ``folder`` is a shared folder for
+    the results of the rounds. Batches that meet a rate limit run again, for as many
+    rounds as it lasts, with half the partitions, at last one by one. A round that got
+    nothing through is followed by a ``pause``, twice as long each time, up to a
+    minute. ``store`` gets each round's translations as soon as they are written.
+    ``parallel`` partitions bound the calls in flight; raise it with the cluster."""
     spark = segments.sparkSession
     rows = _batches(segments, batch)
-    width, turn, results = parallel, 0, []
+    width, turn, wait, results = parallel, 0, pause, []
     while True:
         done = rows.repartition(max(1, width)).mapInPandas(_calls(make, policy), SCHEMA)
         done.write.mode("overwrite").parquet(f"{folder}/round-{turn}")
         results.append(spark.read.parquet(f"{folder}/round-{turn}").withColumn("round", F.lit(turn)))
+        through = results[-1].where("error_code is null")
+        if store is not None:
+            store(through)
         waiting = results[-1].where("error_code = 'rate_limit'").select("doc_id", "seg_id")
-        if turn + 1 >= rounds or waiting.isEmpty():
+        if waiting.isEmpty():
             break
+        if through.isEmpty():
+            time.sleep(wait)
+            wait = min(60.0, 2 * wait)
+        else:
+            wait = pause
         again = segments.join(waiting, ["doc_id", "seg_id"], "left_semi")
         rows = _batches(again, batch)
         width, turn = max(1, width // 2), turn + 1

@@ -23,14 +23,14 @@ ADVICE = {
 }
 LIMITED_ADVICE = "The service limits its rate (429); try again later."
 CONNECTION = (
-    ("authentication", "HTTP 401;HTTP 403;UNAUTHORIZED;FORBIDDEN;INVALID API KEY;INCORRECT API KEY;AUTHENTICATION;AUTHORIZATION"),
-    ("address", "HTTP 404;NOT FOUND;NO ROUTE;/CHAT/COMPLETIONS;/MESSAGES"),
-    ("rate_limit", "HTTP 429;RATE LIMITED;TOO MANY REQUESTS;THROTTL"),
-    ("timeout", "TIMED OUT;TIMEOUT;READ TIMEOUT;CONNECTTIMEOUT;READTIMEOUT"),
-    ("certificate", "CERTIFICATE;SSL;TLS;CERT VERIFY FAILED"),
-    ("unreachable", "NAME OR SERVICE NOT KNOWN;GETADDRINFO;NODENAME;DNS;CONNECTION REFUSED;FAILED TO ESTABLISH A NEW CONNECTION;NO CONNECTION COULD BE MADE;NETWORK IS UNREACHABLE"),
-    ("server", "HTTP 500;HTTP 502;HTTP 503;HTTP 504;INTERNAL SERVER ERROR;BAD GATEWAY;SERVICE UNAVAILABLE;GATEWAY TIME-OUT"),
-    ("incomplete", "BASE_URL IS REQUIRED;API_KEY IS REQUIRED;MODEL IS REQUIRED;不能为空"),
+    ("authentication", ("HTTP 401", "HTTP 403", "UNAUTHORIZED", "FORBIDDEN", "INVALID API KEY", "INCORRECT API KEY", "AUTHENTICATION", "AUTHORIZATION")),
+    ("address", ("HTTP 404", "NOT FOUND", "NO ROUTE", "/CHAT/COMPLETIONS", "/MESSAGES")),
+    ("rate_limit", ("HTTP 429", "RATE LIMITED", "TOO MANY REQUESTS", "THROTTL")),
+    ("timeout", ("TIMED OUT", "TIMEOUT", "READ TIMEOUT", "CONNECTTIMEOUT", "READTIMEOUT")),
+    ("certificate", ("CERTIFICATE", "SSL", "TLS", "CERT VERIFY FAILED")),
+    ("unreachable", ("NAME OR SERVICE NOT KNOWN", "GETADDRINFO", "NODENAME", "DNS", "CONNECTION REFUSED", "FAILED TO ESTABLISH A NEW CONNECTION", "NO CONNECTION COULD BE MADE", "NETWORK IS UNREACHABLE")),
+    ("server", ("HTTP 500", "HTTP 502", "HTTP 503", "HTTP 504", "INTERNAL SERVER ERROR", "BAD GATEWAY", "SERVICE UNAVAILABLE", "GATEWAY TIME-OUT")),
+    ("incomplete", ("BASE_URL IS REQUIRED", "API_KEY IS REQUIRED", "MODEL IS REQUIRED", "不能为空")),
 )
 
 
@@ -72,7 +72,7 @@ def connection_failure(message: Column) -> Column:
     up = F.upper(message)
     out = F.lit("unknown")
     for kind, words in reversed(CONNECTION):
-        out = F.when(reduce(or_, (F.contains(up, F.lit(w)) for w in words.split(";"))), kind).otherwise(out)
+        out = F.when(reduce(or_, (F.contains(up, F.lit(w)) for w in words)), kind).otherwise(out)
     return out
 
 
@@ -88,8 +88,8 @@ def run_metrics(translations: DataFrame) -> DataFrame:
     )
 
 
-def benchmark_rollup(files: DataFrame) -> DataFrame:
-    """files(ok, segments, batches, retries, backoffs, cached, seconds) as one row: sums
-    over what succeeded, and seconds a file over all."""
+def benchmark_rollup(files: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """files(ok, segments, batches, retries, backoffs, cached, seconds) as one row, or one
+    for each of ``by``: sums over what succeeded, and seconds a file over all."""
     good = lambda c: F.coalesce(F.sum(F.when(F.col("ok"), F.col(c))), F.lit(0)).alias(f"total_{c}")
-    return files.agg(F.count(F.lit(1)).alias("files"), F.count_if("ok").alias("succeeded"), F.count_if(~F.col("ok")).alias("failed"), *map(good, ("segments", "batches", "retries", "backoffs", "cached")), (F.sum("seconds") / F.count(F.lit(1))).alias("avg_file_seconds"))
+    return files.groupBy(*by or []).agg(F.count(F.lit(1)).alias("files"), F.count_if("ok").alias("succeeded"), F.count_if(~F.col("ok")).alias("failed"), *map(good, ("segments", "batches", "retries", "backoffs", "cached")), (F.sum("seconds") / F.count(F.lit(1))).alias("avg_file_seconds"))

@@ -9,13 +9,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docweave.operators import dita
-from docweave.operators.blocks import parse_documents
-from docweave.operators.protect import FIELDS, protect_documents, rebuilt
+from docweave.operators.protect import FIELDS, protect_markdown, rebuilt
 from docweave.operators.segments import LIMIT, chunked, rebuild_documents, remaining, reused, segment_documents
 from docweave.operators.translate import Policy, translate_segments
 from docweave.operators.translators import Translator, mock_translated
 
 
+# How segment ids of each type begin.
+SEGMENT_PREFIX = {"markdown": "seg-", "dita": "dita_seg_"}
+
+
 @dataclass
 class Outcome:
     """outputs(doc_id, output, missing), translations and failures(doc_id, stage, message)."""
@@ -28,7 +31,7 @@ class Outcome:
 def prepared(docs: DataFrame, document_type: str, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """docs(doc_id, text) with protected blocks, trailing_newline and error."""
     if document_type == "markdown":
-        return protect_documents(parse_documents(docs), fields).withColumn("error", F.lit(None).cast("string"))
+        return protect_markdown(docs, fields).withColumn("error", F.lit(None).cast("string"))
     if document_type == "dita":
         return dita.prepare_documents(docs)
     raise ValueError(f"unknown document type: {document_type}")
@@ -37,14 +40,19 @@ def prepared(docs: DataFrame, document_type: str, fields: tuple[str, ...] = FIEL
 def translate_documents(docs: DataFrame, document_type: str, make: Callable[[], Translator], policy: Policy, folder: str, *, cached: DataFrame | None = None, limit: int = LIMIT, batch: int = 8, parallel: int = 2) -> Outcome:
     """All documents of one type. ``folder`` is shared; ``cached(doc_id, seg_id,
     translated_text)`` are translations that need no call."""
-    ready = prepared(docs, document_type)
-    ready.write.mode("overwrite").parquet(f"{folder}/prepared")
+    prepared(docs, document_type).write.mode("overwrite").parquet(f"{folder}/prepared")
     ready = docs.sparkSession.read.parquet(f"{folder}/prepared")
+    return translate_prepared(ready, document_type, make, policy, folder, cached=cached, limit=limit, batch=batch, parallel=parallel)
+
+
+def translate_prepared(ready: DataFrame, document_type: str, make: Callable[[], Translator], policy: Policy, folder: str, *, cached: DataFrame | None = None, limit: int = LIMIT, batch: int = 8, parallel: int = 2, store: Callable[[DataFrame], None] | None = None) -> Outcome:
+    """The documents of :func:`prepared`, read from a table; ``store`` gets the
+    translations of each round."""
     good = ready.where("error is null")
-    segments = segment_documents(good, limit=limit, prefix="seg-" if document_type == "markdown" else "dita_seg_")
+    segments = segment_documents(good, limit=limit, prefix=SEGMENT_PREFIX[document_type])
     keys = ["doc_id", "seg_id"]
     todo = segments if cached is None else remaining(segments, cached, keys)
-    made = translate_segments(todo, make, policy, f"{folder}/calls", batch=batch, parallel=parallel)
+    made = translate_segments(todo, make, policy, f"{folder}/calls", batch=batch, parallel=parallel, store=store)
     done = made.where("error_code is null").select(*keys, "translated_text")
     if cached is not None:
         done = done.unionByName(reused(segments, cached.select(*keys, "translated_text"), keys))
@@ -61,7 +69,7 @@ def _rebuilt(ready: DataFrame, segments: DataFrame, done: DataFrame, document_ty
     parts = texts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("block_index", "order_in_block", F.coalesce("translated_text", "text").alias("t")))).alias("parts"), F.count_if(F.col("translated_text").isNull()).alias("missing"))
     both = ready.join(parts, "doc_id", "left")
     filled = F.transform("blocks", lambda b: b.withField("protected_text", F.array_join(F.transform(F.filter("parts", lambda p: p["block_index"] == b["block_index"]), lambda p: p["t"]), "")))
-    return both.select("doc_id", dita.rebuilt_text(F.col("text"), filled).alias("output"), F.coalesce("missing", F.lit(0)).alias("missing"))
+    return dita.rebuild_documents(both.select("doc_id", "text", filled.alias("blocks"), F.coalesce("missing", F.lit(0)).alias("missing")))
 
 
 def mock_documents(docs: DataFrame, direction: str, *, limit: int = LIMIT) -> DataFrame:

@@ -28,11 +28,19 @@ def cache_name(path: Column, direction: Column) -> Column:
 
 
 def fingerprint(document_type: Column, trailing_newline: Column, segments: Column) -> Column:
-    """A hash of a document's segments(ordinal, seg_id, block_index, block_type,
-    order_in_block, text), in order: of lengths and values, so that no two differ alike."""
-    part = lambda x: F.concat(F.length(x.cast("string")).cast("string"), F.lit(":"), x.cast("string"))
-    body = F.array_join(F.transform(F.array_sort(segments), lambda s: F.concat(part(s["seg_id"]), part(s["block_index"]), part(s["block_type"]), part(s["order_in_block"]), part(s["text"]))), "")
-    return F.sha2(F.concat(part(document_type), part(trailing_newline), body), 256)
+    """SHA-256 of a document's segments(ordinal, seg_id, block_index, block_type,
+    order_in_block, text), in order, as compact JSON with its type and whether it ends
+    with a line break; letters beyond ASCII stand as they are."""
+    listed = F.transform(F.array_sort(segments), lambda s: F.struct(s["seg_id"].alias("id"), s["block_index"].alias("block_index"), s["block_type"].alias("block_type"), s["order_in_block"].alias("order_in_block"), s["text"].alias("text")))
+    return F.sha2(_plain_escapes(F.to_json(F.struct(document_type.alias("document_type"), trailing_newline.alias("trailing_newline"), listed.alias("segments")))), 256)
+
+
+def _plain_escapes(json: Column) -> Column:
+    """The JSON with control characters written in lower case: \\u001f for \\u001F."""
+    out = json
+    for code in (0x0B, 0x0E, 0x0F, 0x1A, 0x1B, 0x1C, 0x1D, 0x1E, 0x1F):
+        out = F.regexp_replace(out, rf"(?<!\\)((?:\\\\)*)\\u{code:04X}", rf"$1\\u{code:04x}")
+    return F.when(json.rlike(r"\\u00[01][A-F]"), out).otherwise(json)
 
 
 def read_checkpoints(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
@@ -49,11 +57,24 @@ def write_checkpoints(rows: DataFrame, path: str) -> None:
     rows.select(*KEYS, "seg_id", "translated_text").withColumn("written", F.current_timestamp()).write.mode("append").partitionBy("direction").parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def clear_checkpoints(spark: SparkSession, path: str) -> None:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def write_markdown(outputs: DataFrame, folder: str) -> DataFrame:
+    """:func:`write_documents` of Markdown alone; a row whose source or output is named
+    otherwise is not written and says so."""
+    named = F.endswith(F.lower("source_path"), F.lit(".md")) & F.endswith(F.lower("file_name"), F.lit(".md"))
+    wrong = outputs.where(~F.coalesce(named, F.lit(False))).select(F.lit(None).cast("string").alias("output_path"), "file_name", F.lit(0).cast("long").alias("bytes_written"), F.lit("write_output: not Markdown").alias("error"))
+    return write_documents(outputs.where(named), folder).unionByName(wrong)
+
+
 def write_documents(outputs: DataFrame, folder: str) -> DataFrame:
     """Writes outputs(source_path, file_name, output), one file a row, into a folder that
     all executors share, and returns (output_path, file_name, bytes_written, error). The
@@ -63,8 +84,8 @@ def write_documents(outputs: DataFrame, folder: str) -> DataFrame:
         for frame in frames:
             out = []
             for source, name, text in zip(frame["source_path"], frame["file_name"], frame["output"], strict=True):
-                target, body, error = Path(folder) / name, text.encode(), None
-                if not Path(folder).is_dir():
+                target, body, error = Path(folder.removeprefix("file://").removeprefix("file:")) / name, text.encode(), None
+                if not target.parent.is_dir():
                     error = "write_output: the folder does not exist"
                 elif target.resolve() == Path(str(source).removeprefix("file:")).resolve():
                     error = "write_output: the output would replace its source"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docweave.functions.language import confident, detect, direction
 from docweave.functions.text import ends_normalised
+from docweave.operators.dita import detection_text
 from docweave.sources.registry import Registry, default_registry, extension
 
 MAX_BYTES = 100 << 20
@@ -33,12 +34,15 @@ def stem(path: Column) -> Column:
 
 def _files(spark: SparkSession, folder: str, recursive: bool) -> DataFrame:
     """The files of a folder, with its subfolders only if ``recursive``."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     if recursive:
-        return found
+        return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    root = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
-    return found.where(folder_of(F.col("path")) == root)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    root = fs.makeQualified(at).toString()
+    if not fs.getFileStatus(at).isDirectory():
+        raise NotADirectoryError(folder)
+    # subfolders are not listed; the filter leaves out what lies in folders named like key=value
+    return spark.read.format("binaryFile").load(folder).where(folder_of(F.col("path")) == root).select("path", "modificationTime", "length", "content")
 
 
 def scan(spark: SparkSession, folder: str, *, recursive: bool = False, registry: Registry | None = None) -> DataFrame:
@@ -55,7 +59,11 @@ def in_order(files: DataFrame) -> DataFrame:
 def read_documents(spark: SparkSession, folder: str, *, recursive: bool = False, limit: int = MAX_BYTES, registry: Registry | None = None) -> tuple[DataFrame, DataFrame]:
     """(documents, failures): texts of the supported files, line ends normalised; files
     over ``limit`` bytes or not in UTF-8 are failures of stage read_source."""
-    files = _files(spark, folder, recursive)
+    return texts_of(_files(spark, folder, recursive), limit=limit, registry=registry)
+
+
+def texts_of(files: DataFrame, *, limit: int = MAX_BYTES, registry: Registry | None = None) -> tuple[DataFrame, DataFrame]:
+    """As :func:`read_documents`, of files(path, length, content)."""
     kind = (registry or default_registry()).document_type(F.col("path"))
     known = files.withColumn("document_type", kind).where("document_type is not null")
     fits = known.where(F.col("length") <= limit).withColumn("valid", F.is_valid_utf8(F.col("content").cast("string")))
@@ -79,6 +87,13 @@ def originals(files: DataFrame, path: str = "path") -> DataFrame:
     return files.join(generated(files, path), path, "left_anti")
 
 
+def detection_texts(documents: DataFrame) -> DataFrame:
+    """documents(document_type, text, ...) with ``detection_text``: what a language is
+    detected from, of XML the translatable texts, else the whole text."""
+    xml = documents.where("document_type = 'dita'").withColumn("detection_text", detection_text(F.col("text")))
+    return documents.where("not document_type <=> 'dita'").withColumn("detection_text", F.col("text")).unionByName(xml)
+
+
 def plan_items(documents: DataFrame, fallback: str, *, text: str = "text") -> DataFrame:
     """documents with detected_language, detection_confident, resolved_direction and
     uses_fallback_direction."""
@@ -87,12 +102,13 @@ def plan_items(documents: DataFrame, fallback: str, *, text: str = "text") -> Da
     return found.select(*documents.columns, language.alias("detected_language"), confident(language).alias("detection_confident"), direction(language, fallback).alias("resolved_direction"), (~confident(language)).alias("uses_fallback_direction"))
 
 
-def plan_counts(plan: DataFrame) -> DataFrame:
+def plan_counts(plan: DataFrame, skipped_generated: int = 0) -> DataFrame:
     return plan.agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if(F.col("resolved_direction") == "zh_to_en").alias("zh_to_en"),
         F.count_if(F.col("resolved_direction") == "en_to_zh").alias("en_to_zh"),
         F.count_if("uses_fallback_direction").alias("fallback"),
+        F.lit(skipped_generated).cast("long").alias("skipped_generated"),
     )
 
 
