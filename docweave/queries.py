@@ -3,19 +3,24 @@ where SQL can express them."""
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docweave.functions import language as L
 from docweave.functions import text as X
+from docweave.functions.session import local_path, scratch
 from docweave.operators import blocks as B
 from docweave.operators import segments as G
 from docweave.operators import validate as V
-from docweave.operators.protect import protect_documents, rebuilt
-from docweave.operators.translators import mock_translated
+from docweave.operators.protect import protect_markdown, rebuilt
+from docweave.operators.translate import Policy, translate_segments
+from docweave.operators.translators import MockTranslator, TranslatorError, mock_translated
 from docweave.plans import metrics as M
+from docweave.plans.folder import translate_folder
 from docweave.plans.run import mock_documents, prepared
 from docweave.sources import outputs as O
 from docweave.sources import scan as S
@@ -92,7 +97,7 @@ def lang_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.plan_items(_docs(spark, sf_dir), "zh_to_en").drop("text", "lang", "source")
 
 
-@query(f"SELECT count(*) AS total, count(*) FILTER (language <> 'en') AS zh_to_en, count(*) FILTER (language = 'en') AS en_to_zh, count(*) FILTER (language = 'mixed_or_unknown') AS fallback FROM {_DETECTED.replace('@@', 'documents')}")
+@query(f"SELECT count(*) AS total, count(*) FILTER (language <> 'en') AS zh_to_en, count(*) FILTER (language = 'en') AS en_to_zh, count(*) FILTER (language = 'mixed_or_unknown') AS fallback, 0::BIGINT AS skipped_generated FROM {_DETECTED.replace('@@', 'documents')}")
 def plan_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.plan_counts(S.plan_items(_docs(spark, sf_dir), "zh_to_en"))
 
@@ -179,12 +184,12 @@ def md_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT doc_id, text AS output FROM ({MD})")
 def protect_restore_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = protect_documents(B.parse_documents(_md(spark, sf_dir).withColumn("text", X.ends_normalised(F.col("text")))))
+    p = protect_markdown(_md(spark, sf_dir).withColumn("text", X.ends_normalised(F.col("text"))))
     return p.select("doc_id", rebuilt(F.col("blocks"), F.col("trailing_newline")).alias("output"))
 
 
 def _placeholders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = protect_documents(B.parse_documents(_md(spark, sf_dir)))
+    p = protect_markdown(_md(spark, sf_dir))
     return p.select("doc_id", F.explode(F.flatten(F.transform("blocks", lambda b: b["placeholders"])))).select("doc_id", "col.kind", "col.raw_text")
 
 
@@ -253,7 +258,7 @@ def resume_reused(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.reused(s, cached, ["doc_id", "ordinal"])
 
 
-@query("SELECT doc_id, sha256(concat('8:markdown', '4:true', '8:seg-0000', '1:0', '9:paragraph', '1:0', length(text)::VARCHAR, ':', text)) AS fingerprint FROM documents")
+@query("SELECT doc_id, sha256(to_json({'document_type': 'markdown', 'trailing_newline': true, 'segments': [{'id': 'seg-0000', 'block_index': 0, 'block_type': 'paragraph', 'order_in_block': 0, 'text': text}]})::VARCHAR) AS fingerprint FROM documents")
 def fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = F.array(F.struct(F.lit(0).alias("ordinal"), F.lit("seg-0000").alias("seg_id"), F.lit(0).alias("block_index"), F.lit("paragraph").alias("block_type"), F.lit(0).alias("order_in_block"), F.col("text").alias("text")))
     return _docs(spark, sf_dir).select("doc_id", O.fingerprint(F.lit("markdown"), F.lit(True), one).alias("fingerprint"))
@@ -324,7 +329,160 @@ def dita_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepared(docs, "dita").select("doc_id", rebuilt_text(F.col("text"), F.col("blocks")).alias("output"))
 
 
-@query("SELECT event_type, count(*) AS files, count(*) FILTER (event_id % 5 <> 0) AS succeeded, sum(CASE WHEN event_id % 5 <> 0 THEN event_id % 7 ELSE 0 END)::BIGINT AS total_segments FROM events GROUP BY event_type")
+@query("SELECT event_type, count(*) AS files, count(*) FILTER (event_id % 5 <> 0) AS succeeded, sum(CASE WHEN event_id % 5 <> 0 THEN event_id % 7 ELSE 0 END)::BIGINT AS total_segments, count(*) FILTER (event_id % 5 = 0) AS failed, sum(event_id % 11)::BIGINT / count(*) AS avg_file_seconds FROM events GROUP BY event_type")
 def run_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _table(spark, sf_dir, "events").select("event_type", (F.col("event_id") % 5 != 0).alias("ok"), (F.col("event_id") % 7).alias("segments"))
-    return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("files"), F.count_if("ok").alias("succeeded"), F.sum(F.when(F.col("ok"), F.col("segments")).otherwise(0)).alias("total_segments"))
+    e = _table(spark, sf_dir, "events").select("event_id", "event_type", (F.col("event_id") % 5 != 0).alias("ok"), (F.col("event_id") % 7).alias("segments"))
+    return M.benchmark_rollup(e.withColumns({c: F.lit(0).cast("long") for c in ("batches", "retries", "backoffs", "cached")}).withColumn("seconds", F.col("event_id") % 11), by=["event_type"]).select("event_type", "files", "succeeded", "failed", "total_segments", "avg_file_seconds")
+
+
+# A translator whose work SQL can do: ASCII letters become capitals, tokens stay.
+_CAPITALS = str.maketrans("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+_UP = "translate({0}, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')"
+
+
+class Capitals(MockTranslator):
+    def translate(self, items: list[tuple[str, str]], direction: str, glossary: list[dict[str, str]]) -> list[tuple[str, str]]:
+        return [(i, t.translate(_CAPITALS)) for i, t in items]
+
+
+class Broken(Capitals):
+    """Fails on one document, or on all others."""
+
+    def __init__(self, word: str, on: bool) -> None:
+        self.word, self.on = word, on
+
+    def translate(self, items: list[tuple[str, str]], direction: str, glossary: list[dict[str, str]]) -> list[tuple[str, str]]:
+        if any(self.word in t for _, t in items) == self.on:
+            raise TranslatorError("the call failed")
+        return super().translate(items, direction, glossary)
+
+
+class Swapping(Capitals):
+    """Refuses more than two items, and changes the places of two tokens in a text."""
+
+    def translate(self, items: list[tuple[str, str]], direction: str, glossary: list[dict[str, str]]) -> list[tuple[str, str]]:
+        if len(items) > 2:
+            raise TranslatorError(V.MESSAGES["item_ids"])
+        a, b = "@@PROTECT_0000@@", "@@PROTECT_0001@@"
+        turned = lambda t: t.replace(a, "\x00").replace(b, a).replace("\x00", b) if a in t and b in t else t
+        return [(i, turned(t)) for i, t in super().translate(items, direction, glossary)]
+
+
+# The fixed values of the corpus as capitals: what the run below leaves as it is, and the rest.
+_MD_UP = MD.replace("'title: 示例 ', source", f"'title: 示例 ', {_UP.format('source')}").replace("'## Section '", "'## SECTION '").replace("\n  text, chr(10)", f"\n  {_UP.format('text')}, chr(10)").replace("See [guide]", "SEE [GUIDE]").replace(" and ![fig]", " AND ![FIG]").replace(", run ./", ", RUN ./").replace(" with CONFIG", " WITH CONFIG").replace("item one", "ITEM ONE").replace("item two", "ITEM TWO").replace(":::warning", ":::WARNING").replace("| k | v |", "| K | V |").replace("'| ', source, ' | ', lang, ' |'", f"'| ', {_UP.format('source')}, ' | ', {_UP.format('lang')}, ' |'")
+_DITA_UP = "'<topic id=\"d' || doc_id::VARCHAR || '\"><title>标题</title><body><p>' || replace(replace(replace(" + _UP.format("text") + ", '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '<xref href=\"a.dita\">X</xref> TAIL</p><codeblock>x = 1</codeblock></body></topic>'"
+
+
+@query(f"""SELECT 'd' || doc_id::VARCHAR || '_zh.md' AS file_name, text AS output, true AS resumed FROM ({_MD_UP} WHERE doc_id % 2 = 0)
+  UNION ALL SELECT 'd' || doc_id::VARCHAR || '_zh.dita', {_DITA_UP}, true FROM documents WHERE doc_id % 2 = 1
+  UNION ALL SELECT 'stop_zh.md', 'PLEASE STOPHERE NOW' || chr(10), false
+  UNION ALL SELECT 'broken.dita', 'parse_document', false""")
+def folder_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as files, translated in a run that breaks off and one that goes on."""
+    at = scratch(spark, "folder-run")
+    here = local_path(at)
+    for name in ("in", "out"):
+        os.makedirs(f"{here}/{name}")
+    docs = _docs(spark, sf_dir)
+    even, odd = docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1")
+    md = spark.sql(MD.replace("FROM documents", "FROM {documents}"), documents=even)
+    name = lambda end: F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(end)).alias("file_name")
+    rest = spark.createDataFrame([("stop.md", "please STOPHERE now\n"), ("stop_en.md", "an earlier output"), ("broken.dita", "<topic>"), ("notes.txt", "x")], "file_name string, output string")
+    made = md.select(name(".md"), F.col("text").alias("output")).unionByName(odd.select(name(".dita"), F.expr(DITA).alias("output"))).unionByName(rest)
+    O.write_documents(made.withColumn("source_path", F.lit("")), f"{here}/in").write.format("noop").mode("overwrite").save()
+    run = lambda word, on, work: translate_folder(spark, f"{at}/in", f"{at}/out", lambda: Broken(word, on), Policy("en_to_zh", retries=0), f"{at}/{work}", parallel=8)
+    run("STOPHERE", True, "first")
+    done = run("STOPHERE", False, "second")
+    out = spark.read.text(f"{at}/out", wholetext=True).select(S.file_name(F.col("_metadata.file_path")).alias("file_name"), F.col("value").alias("output"))
+    cached = done.files.select("source_path", (F.col("cached") > 0).alias("resumed")).join(done.written.select("source_path", "file_name"), "source_path").select("file_name", "resumed")
+    failed = done.failures.select(S.file_name(F.col("source_path")).alias("file_name"), F.col("stage").alias("output"), F.lit(False).alias("resumed"))
+    return out.join(cached, "file_name").unionByName(failed)
+
+
+@query(f"""WITH t AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1 AS k FROM conversations WHERE text IS NOT NULL)
+  SELECT conv_id, count(*) AS segments, string_agg('@@PROTECT_0000@@ ' || {_UP.format('text')} || ' @@PROTECT_0001@@', chr(10) ORDER BY k) AS translated, (count(*) - count(DISTINCT k // 8))::BIGINT AS splits, count(*) AS rescues, 0::BIGINT AS failed FROM t GROUP BY conv_id""")
+def retry_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations through a translator that fails in ways that splits and rescues mend."""
+    place = F.row_number().over(W.partitionBy("conv_id").orderBy("turn", "text")) - 1
+    said = _table(spark, sf_dir, "conversations").where("text is not null").withColumn("ordinal", place)
+    segments = said.select(F.col("conv_id").alias("doc_id"), "ordinal", F.concat(F.lit("seg-"), X.padded(F.col("ordinal"))).alias("seg_id"), F.concat(F.lit("@@PROTECT_0000@@ "), "text", F.lit(" @@PROTECT_0001@@")).alias("text"))
+    done = translate_segments(segments, Swapping, Policy("en_to_zh", retries=0), scratch(spark, "ladder"), parallel=8)
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg_id", "translated_text"))), lambda x: x["translated_text"]), "\n")
+    return done.groupBy(F.col("doc_id").alias("conv_id")).agg(F.count(F.lit(1)).alias("segments"), joined.alias("translated"), F.sum("splits").alias("splits"), F.sum("rescues").alias("rescues"), F.count("error_code").alias("failed"))
+
+
+_MASKED = _MASK.format("text")
+
+
+@query(rf"""SELECT conv_id, turn, CASE WHEN n >= 3 THEN 'residual_en' END AS strict, CASE WHEN n >= 5 THEN 'residual_en' END AS balanced, CASE WHEN n >= 8 THEN 'residual_en' END AS lenient, CASE WHEN turn % 2 = 0 THEN 'residual_zh' END AS chinese, CASE WHEN fixed THEN 'placeholders' END AS turned, 'placeholders' AS lost
+  FROM (SELECT conv_id, turn, len(list_filter(regexp_extract_all({_MASKED}, '\b[A-Za-z][A-Za-z0-9_-]*\b'), lambda w: regexp_matches(w, '[a-z]'))) AS n, regexp_matches({_MASKED}, '(?i)\b(from|to|before|after)\b') AS fixed FROM conversations WHERE text IS NOT NULL)""")
+def translation_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each mode says of untranslated texts, of Chinese left over, and of tokens that
+    change places or go."""
+    said = _table(spark, sf_dir, "conversations").where("text is not null")
+    two = lambda a, b: F.concat(F.lit(f"{a} "), "text", F.lit(f" {b}"))
+    one, other = "@@PROTECT_0001@@", "@@PROTECT_0002@@"
+    left = {m: V.error_code(F.lit("中"), F.col("text"), F.lit("en_to_zh"), V.mode(m)).alias(m) for m in V.MODES}
+    chinese = V.error_code(F.lit("中"), F.when(F.col("turn") % 2 == 0, F.concat("text", F.lit(" 中"))).otherwise(F.col("text")), F.lit("zh_to_en"))
+    turned = V.error_code(two(one, other), two(other, one), F.lit("zh_to_en"), V.mode("lenient"))
+    return said.select("conv_id", "turn", *left.values(), chinese.alias("chinese"), turned.alias("turned"), V.error_code(two(one, other), two(one, one), F.lit("zh_to_en"), V.mode("lenient")).alias("lost"))
+
+
+_ROWS = r"list_transform(string_split(text, ' '), lambda x: '| ' || replace(substr(x, 1, 60), chr(10), '') || ' |' || chr(10))"
+
+
+@query(f"""WITH RECURSIVE s AS (SELECT doc_id, list_filter({_ROWS}, lambda x: true) AS l FROM documents WHERE length(text) > 0),
+  w(doc_id, l, i, d, o) AS (SELECT doc_id, l, 1, []::VARCHAR[], '' FROM s
+    UNION ALL SELECT doc_id, l, i + 1, CASE WHEN o = '' OR length(o) + length(l[i]) <= 500 THEN d ELSE list_append(d, o) END, CASE WHEN length(o) + length(l[i]) <= 500 THEN o || l[i] ELSE l[i] END FROM w WHERE i <= len(l)),
+  f AS (SELECT doc_id, list_append(d, o) AS p FROM w WHERE i > len(l))
+  SELECT doc_id, (i - 1)::INT AS place, c AS chunk FROM (SELECT doc_id, unnest(p) AS c, generate_subscripts(p, 1) AS i FROM f)""")
+def table_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each word of a text as a row of a table, packed into segments."""
+    rows = F.transform(F.split("text", " ", -1), lambda x: F.concat(F.lit("| "), F.replace(F.substring(x, 1, 60), F.lit("\n"), F.lit("")), F.lit(" |\n")))
+    docs = _docs(spark, sf_dir).where("length(text) > 0").select("doc_id", F.array_join(rows, "").alias("t"))
+    return docs.select("doc_id", F.posexplode(G.chunked(F.lit("table"), F.col("t"), G.LIMIT)).alias("place", "chunk"))
+
+
+_WIDE = "concat('| ', text, '<br>', text, ' |')"
+
+
+@query(rf"""SELECT doc_id, {_WIDE} AS joined, CASE WHEN length({_WIDE}) <= 500 THEN true END AS whole FROM documents WHERE length(text) > 0 AND NOT contains(text, chr(10))""")
+def wide_table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of tables that may be too long, taken apart at breaks and spaces: joined they
+    are the row again, no piece is over the limit, and a short row stays one piece."""
+    docs = _docs(spark, sf_dir).where("length(text) > 0 and not contains(text, '\n')")
+    chunks = docs.select("doc_id", X.let(F.concat(F.lit("| "), "text", F.lit("<br>"), "text", F.lit(" |")), lambda t: G.chunked(F.lit("table"), t, G.LIMIT)).alias("c"))
+    short = F.forall("c", lambda x: F.length(x) <= G.LIMIT)
+    return chunks.where(short).select("doc_id", F.array_join("c", "").alias("joined"), F.when(F.size("c") == 1, True).alias("whole"))
+
+
+_PIECES = """SELECT doc_id, concat(
+  '---', chr(10), 'desc: |', chr(10), '  ', source, ' x', chr(10), 'author: |', chr(10), '  a', chr(10), 'subtitle: s ', source, chr(10), '---', chr(10), chr(10),
+  '```', chr(10), 'raw ', cast(doc_id AS string), chr(10), '```', chr(10), chr(10),
+  '~~~c', chr(10), 'int a', cast(doc_id AS string), '; // one', chr(10), '/* two */ b;', chr(10), '~~~', chr(10), chr(10),
+  'see <b>', source, '</b> and C:', chr(92), 'tmp', chr(92), 'f', cast(doc_id AS string), ' or /opt/f', cast(doc_id AS string), ' done', chr(10)) AS text FROM documents"""
+_T = lambda k: f"'@@PROTECT_{k:04d}@@'"
+
+
+@query(f"""WITH d AS (SELECT doc_id, source, doc_id::VARCHAR AS n FROM documents),
+  b AS (SELECT doc_id, 0 AS block_index, 'front_matter' AS block_type, '---' || chr(10) || {_T(0)} || chr(10) || {_T(1)} || source || ' x' || chr(10) || {_T(2)} || chr(10) || {_T(3)} || chr(10) || {_T(4)} || 's ' || source || chr(10) || '---' AS protected_text, ['desc: |', '  ', 'author: |', '  a', 'subtitle: '] AS raw FROM d
+    UNION ALL SELECT doc_id, 2, 'fenced_code_block', {_T(5)}, ['```' || chr(10) || 'raw ' || n || chr(10) || '```'] FROM d
+    UNION ALL SELECT doc_id, 4, 'fenced_code_block', {_T(6)} || chr(10) || {_T(7)} || {_T(8)} || ' one' || chr(10) || {_T(9)} || ' two ' || {_T(10)} || {_T(11)} || chr(10) || {_T(12)}, ['~~~c', 'int a' || n || '; ', '//', '/*', '*/', ' b;', '~~~'] FROM d
+    UNION ALL SELECT doc_id, 6, 'paragraph', 'see ' || {_T(13)} || source || {_T(14)} || ' and ' || {_T(15)} || ' or ' || {_T(16)} || ' done', ['<b>', '</b>', 'C:' || chr(92) || 'tmp' || chr(92) || 'f' || n, '/opt/f' || n] FROM d
+    UNION ALL SELECT doc_id, unnest([1, 3, 5]), 'blank_line', '', []::VARCHAR[] FROM d)
+  SELECT doc_id, block_index::INT AS block_index, block_type, protected_text, array_to_string(raw, chr(30)) AS raw FROM b""")
+def protected_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Block scalars, code with and without a language, tags and paths: the protected
+    texts and what their tokens stand for."""
+    docs = spark.sql(_PIECES.replace("FROM documents", "FROM {documents}"), documents=_docs(spark, sf_dir))
+    done = protect_markdown(docs).select("doc_id", F.explode("blocks").alias("b"))
+    return done.select("doc_id", "b.block_index", "b.block_type", "b.protected_text", F.array_join(F.transform("b.placeholders", lambda p: p["raw_text"]), "\x1e").alias("raw"))
+
+
+@query(r"SELECT page_id, unnest(list_filter(regexp_extract_all(html, '</?[A-Za-z][A-Za-z0-9:_-]*(?:\s+[^<>\n]*?)?\s*/?>'), lambda x: NOT regexp_full_match(x, '(?i)<br\s*/?>'))) AS tag FROM pages")
+def page_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags that protection finds in whole pages; breaks are text."""
+    pages = _table(spark, sf_dir, "pages").where("html is not null").select("page_id", F.replace("html", F.lit("\n"), F.lit(" ")).alias("html"))
+    done = protect_markdown(pages.withColumnRenamed("html", "text"))
+    found = done.select("page_id", F.explode(F.flatten(F.transform("blocks", lambda b: b["placeholders"]))).alias("p"))
+    return found.where("p.kind = 'html_xml_tag'").select("page_id", F.col("p.raw_text").alias("tag"))
