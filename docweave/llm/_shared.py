@@ -10,47 +10,20 @@ from __future__ import annotations
 
 import atexit
 import pickle
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
-_FALLBACK: list[str] = []
+from docweave.functions.session import bounded_batches, remove, shared_folder
 
-
-def shared_folder(spark: SparkSession) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if folder:
-        return folder.rstrip("/")
-    if not _FALLBACK:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        _FALLBACK.append(tempfile.mkdtemp(prefix="docweave-"))
-    return "file://" + _FALLBACK[0]
-
-
-def _path(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    at, fs = _path(spark, path)
-    fs.delete(at, True)
-
-
-#: Rows in an Arrow batch; whole texts of this many rows lie in a worker's memory twice.
-BATCH_ROWS = 1000
+#: Rows and bytes in an Arrow batch; its texts lie in a worker's memory twice.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds the session's Arrow batches, which hold whole texts, if they are larger."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    bounded_batches(spark, BATCH_ROWS, BATCH_BYTES)
 
 
 def map_arrow(df: DataFrame, run: Callable[[Iterator], Iterator], schema) -> DataFrame:
