@@ -29,6 +29,8 @@ WEIGHTS = (3, 1, 2)
 SHARE, CAP = 1.5, 2
 #: The relative gap that ends the Newton steps, or the interval of tilts that does.
 GAP, NARROW = 1e-9, 1e-13
+#: Newton steps before intervals are also halved.
+PATIENCE = 24
 SALTS = 256
 #: Rates are rounded to whole multiples of 2**-30, so that sums are exact.
 _UNIT = float(1 << 30)
@@ -89,8 +91,8 @@ def tilts(classes: DataFrame, goals: DataFrame, tables: Tables, prior: float, ca
         lo, hi = F.when(F.col("gap") < 0, F.col("tilt")).otherwise(F.col("lo")), F.when(F.col("gap") > 0, F.col("tilt")).otherwise(F.col("hi"))
         moved = moved.withColumns({"done": F.col("done") | F.coalesce(close, F.lit(True)), "lo": F.coalesce(lo, "lo"), "hi": F.coalesce(hi, "hi")})
         newton = F.col("tilt") - F.col("gap") / F.greatest(F.col("slope"), F.lit(1e-300))
-        # a halving now and then ends what Newton steps creep along
-        inside = (newton > F.col("lo")) & (newton < F.col("hi")) & F.lit(step % 4 != 3)
+        # halving every other time ends what Newton steps creep along
+        inside = (newton > F.col("lo")) & (newton < F.col("hi")) & F.lit(step < PATIENCE or step % 2 == 0)
         narrow = F.col("hi") - F.col("lo") <= NARROW
         following = F.when(F.col("done"), F.col("tilt")).when(inside, newton).otherwise((F.col("lo") + F.col("hi")) / 2)
         state = tables.keep(moved.withColumns({"tilt": following, "done": F.col("done") | narrow}).select("source", "source_size", "target", "mean", "tilt", "lo", "hi", "done"), f"state-{step + 1}")
