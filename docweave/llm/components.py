@@ -1,10 +1,10 @@
 """Connected components of a distributed graph by repeated contraction.
 
-In each round every node hooks onto its smallest neighbour in a random order, the
-edges are rewritten to the hooked ends, and loops and repeats go. The graph
-shrinks by a constant factor a round in expectation, so chains as long as the
-graph take a logarithmic number of rounds. Nothing but one count a round comes to
-the driver.
+In each round every node hooks onto the smallest node within two steps, the edges
+are rewritten to the hooked ends, and loops and repeats go: a star is one node
+after a round. Where ids are in no order along the edges, the graph shrinks by a
+constant factor a round in expectation, so chains as long as the graph take a
+logarithmic number of rounds. Nothing but one count a round comes to the driver.
 """
 
 from __future__ import annotations
@@ -16,27 +16,28 @@ from docweave.llm._shared import Tables
 
 
 def connected_components(edges: DataFrame, tables: Tables, name: str) -> DataFrame:
-    """(node, label) for every node of ``edges(a long, b long)``; nodes of one
-    component share a label, which is one of them. An empty edge table gives none.
+    """(node, label) for every node of ``edges(a long, b long)`` that has another
+    one for a neighbour; nodes of one component share a label, which is one of them.
+    An empty edge table gives none.
     """
-    order = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("n"))
-    graph = tables.keep(edges.select("a", "b").where("a <> b").distinct(), f"{name}-graph-0")
-    labels = None
-    turn = 0
+    graph = tables.keep(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-graph-0")
+    hooks: list[DataFrame] = []
     while not graph.isEmpty():
+        turn = len(hooks)
         both = graph.unionByName(graph.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hooks = both.groupBy(F.col("a").alias("node")).agg(F.min(order("b")).alias("m")).select("node", F.when(F.col("m") < order("node"), F.col("m.n")).otherwise(F.col("node")).alias("to"))
-        hooks = tables.keep(hooks, f"{name}-hooks-{turn}")
-        if labels is None:
-            labels = hooks.select("node", F.col("to").alias("label"))
-        else:
-            step = hooks.select(F.col("node").alias("label"), "to")
-            labels = tables.keep(labels.join(step, "label", "left").select("node", F.coalesce("to", "label").alias("label")), f"{name}-labels-{turn}")
-        left = hooks.select(F.col("node").alias("a"), F.col("to").alias("p"))
-        right = hooks.select(F.col("node").alias("b"), F.col("to").alias("q"))
-        moved = graph.join(left, "a").join(right, "b").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).where("a <> b").distinct()
-        graph = tables.keep(moved, f"{name}-graph-{turn + 1}")
-        turn += 1
-    if labels is None:
+        one = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("m"))
+        two = both.join(one.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("m").alias("to"))
+        hooks.append(tables.keep(two, f"{name}-hooks-{turn}"))
+        moved = graph.join(_renamed(hooks[-1], "a", "p"), "a").join(_renamed(hooks[-1], "b", "q"), "b").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
+        graph = tables.keep(moved.where("a <> b").distinct(), f"{name}-graph-{turn + 1}")
+        tables.drop(f"{name}-graph-{turn}")
+    if not hooks:
         return graph.select(F.col("a").alias("node"), F.col("b").alias("label"))
-    return labels
+    labels = hooks[0].select("node", F.col("to").alias("label"))
+    for step in hooks[1:]:
+        labels = labels.join(_renamed(step, "label", "next"), "label", "left").select("node", F.coalesce("next", "label").alias("label"))
+    return tables.keep(labels, f"{name}-labels") if len(hooks) > 1 else labels
+
+
+def _renamed(hooks: DataFrame, node: str, to: str) -> DataFrame:
+    return hooks.select(F.col("node").alias(node), F.col("to").alias(to))

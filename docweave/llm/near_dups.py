@@ -6,22 +6,20 @@ buckets and star-shaped candidate edges.
    of (bin, attempt). Bands of ``ROWS`` bins become bucket keys. The same pass
    makes a 128-bit digest of the whole shingle set.
 2. Documents with equal sets are one class, whatever their number; the rest works
-   on class representatives.
-3. In each bucket every member is joined to a centre only, the first in one of
-   ``ORDERS`` orders; one order goes first, and the others only join what it left in
-   different components. Candidate pairs that pass the exact size bound are
-   confirmed on full sets by the JVM.
+   on class representatives, under a bijective scramble of their ids (nodes).
+3. In each bucket every member is joined to a centre only, the least node. Pairs
+   that the sizes allow are confirmed on full sets by the JVM.
 4. A link between two members that are not linked to a centre must not get lost.
-   Buckets whose members still lie in different components stay open; those that
-   share members form a group, and each group gets a hub, its member with most
-   links. What two members have in common lies in the hub, which bounds it, or in
-   what both have besides the hub. Sizes and what each has of the hub tell how much
-   a linked pair must share besides: an index of those shingles, without some of a
-   member's most frequent ones, finds the pairs that share so much, and a join in
-   the open buckets those that need nothing. Only pairs of different components
-   that pass come out, never all pairs of a bucket. Members that share little with
-   the hub form groups of their own, and a margin of members takes part in both,
-   as wide as links can reach.
+   Buckets whose members still lie in different components stay open. Each of
+   their larger components (``HEADS`` a bucket at most) names a hub, its member with
+   most links, and every other member of the bucket is compared with it: a second
+   star. What is left is searched by deviations: with D(x) the shingles in which x
+   differs from the hub h, x and y differ in |D(x)| + |D(y)| - 2 |D(x) & D(y)|
+   shingles, so linked ones share at least half of |D(x)| + |D(y)| less what linked
+   sets may differ in. A document that is not linked with the hub deviates by more
+   than that, so the shared part is never empty, and a prefix index over
+   deviations, rarest shingles first, finds every such pair; deviations are short
+   where texts are near copies and rarely shared where they differ at random.
 
 At a similarity of 0.8 a band of 6 bins agrees with probability 0.26, and all of
 50 bands miss a pair with probability 3e-7; higher similarities miss less.
@@ -42,12 +40,8 @@ from docweave.llm._text import Powers, byte_values, chunks, find_words, hash_wor
 from docweave.llm.components import connected_components
 
 BANDS, ROWS = 50, 6
-#: Orders that choose centres; buckets of one group get this many different ones.
-ORDERS = 3
-#: Rounds of groups; members that still share little with a hub join the last one's index.
-GROUPINGS = 2
-#: Shingles that the index keeps of those a member must share.
-MATCHES = 4
+#: A component names a hub in an open bucket if it has one in so many of its members.
+HEADS = 4
 BINS = BANDS * ROWS
 _A = np.uint64(0xD6E8FEB86659FD93)
 _B = np.uint64(0xA5A3564E27F88AB3)
@@ -149,8 +143,8 @@ def sketch(docs: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
     return map_arrow(docs.select(doc_id, text), run, "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>")
 
 
-def full_sets(docs: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
-    """(id, items): all distinct shingle hashes of each text."""
+def full_sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """(id, items): all distinct shingle hashes of each text of docs(id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(shingle)
@@ -159,7 +153,7 @@ def full_sets(docs: DataFrame, doc_id: str, text: str, shingle: int) -> DataFram
                 part = batch.slice(at, STEP)
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), _lists(list(shingler.sets(part.column(1))))], ["id", "items"])
 
-    return map_arrow(docs.select(doc_id, text), run, "id long, items array<long>")
+    return map_arrow(docs.select("id", "text"), run, "id long, items array<long>")
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -170,51 +164,38 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     Texts with 100 * intersection >= ``percent`` * union are linked, and so are
     rows with the same id; ``component_id`` is the smallest id that links reach.
     A null or blank text is linked with nothing; a row without id is linked with
-    nothing either, has no component_id and is kept. Other columns are not read.
+    nothing either, has no component_id and is kept. An empty table gives no rows.
+    A text of any length is one set; only its row grows with it. Other columns are
+    not read.
     """
     tables = Tables(docs.sparkSession, "near-dups")
-    known = docs.where(F.col(doc_id).isNotNull())
+    known = docs.where(F.col(doc_id).isNotNull()).select(_node(F.col(doc_id).cast("long")).alias("id"), F.col(text).alias("text"))
     digest = ["h1", "h2", "n_shingles"]
     sketches = tables.keep(sketch(docs, doc_id, text, shingle), "sketches")
     some = sketches.where("doc_id is not null and n_shingles > 0")
-    classes = tables.keep(some.groupBy(*digest).agg(F.min("doc_id").alias("id")), "classes")
-    chosen = some.withColumnRenamed("doc_id", "id").join(classes, [*digest, "id"], "left_semi")
-    members = chosen.select("id", F.col("n_shingles").cast("int").alias("n"), F.explode("keys").alias("key"))
-    order = F.xxhash64(F.pmod("key", F.lit(ORDERS)), "id")
-    centres = members.groupBy("key").agg(F.min(F.struct(order.alias("o"), "id", "n")).alias("c"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    buckets = tables.keep(members.join(centres.select("key", F.col("c.id").alias("c"), F.col("c.n").alias("cn")), "key").where("id <> c"), "stars")
-    tried = _pairs(buckets.where(F.pmod("key", F.lit(ORDERS)) == 0), tables, percent, None, "stars")
-    links = _confirmed(tried, known, doc_id, text, shingle, percent, tables, "stars")
-    shared_id = some.groupBy(F.col("doc_id").alias("a")).agg(F.min("h1").alias("x"), F.max("h1").alias("y")).where("x <> y").select("a")
-    links = links.unionByName(_repeated(some, classes, shared_id, digest))
+    classes = tables.keep(some.groupBy(*digest).agg(F.min("doc_id").alias("doc_id")).withColumn("id", _node(F.col("doc_id"))), "classes")
+    chosen = some.join(classes, [*digest, "doc_id"])
+    members = chosen.select("id", F.explode("keys").alias("key"))
+    centres = members.groupBy("key").agg(F.min("id").alias("c"), F.count(F.lit(1)).alias("m")).where("m > 1").select("key", "c")
+    buckets = tables.keep(members.join(centres, "key").where("id <> c"), "stars")
+    sizes = classes.select("id", F.col("n_shingles").alias("n"))
+    tried = tables.keep(_close(buckets.select(F.col("c").alias("a"), F.col("id").alias("b")).distinct(), sizes, percent), "pairs-stars")
+    links = _confirmed(tried, known, shingle, percent, tables, "stars")
+    links = links.unionByName(_repeated(some, classes, digest))
     labels = connected_components(links, tables, "components-stars")
-    others = _apart(buckets.where(F.pmod("key", F.lit(ORDERS)) > 0), labels)
-    pairs = _pairs(others, tables, percent, tried, "others")
-    tried = tried.unionByName(pairs)
-    new = _confirmed(pairs, known, doc_id, text, shingle, percent, tables, "others")
-    links = links.unionByName(new)
-    labels = _merged(labels, new, tables, "components-others")
-    left = _unsettled(buckets.select("key", "id", "n"), labels, tables, "open-0")
-    for turn in range(GROUPINGS):
-        if left.isEmpty():
-            break
-        apart = tables.keep(_besides_hub(left, links, known, doc_id, text, shingle, percent, tables, turn), f"apart-{turn}")
-        new = apart.where("linked").select(F.col("hub").alias("a"), F.col("id").alias("b"))
-        links = links.unionByName(new)
-        labels = _merged(labels, new, tables, f"components-hubs-{turn}")
-        last = turn == GROUPINGS - 1
-        native = apart if last else apart.where(10000 * F.col("common") >= (percent - 50) * percent * F.col("n"))
-        native = tables.keep(_labelled(native, labels), f"native-{turn}")
-        pairs = _pairs(_sharing(native, percent).unionByName(_within(left, native, percent)), tables, percent, tried, f"open-{turn}")
-        tried = tried.unionByName(pairs)
-        new = _confirmed(pairs, known, doc_id, text, shingle, percent, tables, f"open-{turn}")
-        links = links.unionByName(new)
-        labels = _merged(labels, new, tables, f"components-open-{turn}")
-        far = apart.where(2 * F.col("common") < F.col("n")).select("id")
-        left = left.limit(0) if last else _unsettled(left.select("key", "id", "n").join(far, "id", "left_semi"), labels, tables, f"open-{turn + 1}")
-    least = labels.groupBy("label").agg(F.min("node").alias("component_id"))
-    found = labels.join(least, "label").select(F.col("node").alias("id"), "component_id")
-    named = classes.join(found, "id", "left").select(*digest, F.coalesce("component_id", "id").alias("component_id"))
+    left = _unsettled(buckets, labels, tables, "open")
+    if not left.isEmpty():
+        near = tables.keep(_deviations(_hubs(left, links), sizes, known, shingle, percent), "near")
+        tables.drop("open")
+        labels = _merged(labels, near.where("linked").select(F.col("g").alias("a"), F.col("id").alias("b")), tables, "components-hubs")
+        pairs = tables.keep(_sharing(near, labels, tables, percent).join(tried, ["a", "b"], "left_anti"), "pairs-open")
+        tables.drop("near")
+        new = _confirmed(pairs, known, shingle, percent, tables, "open")
+        labels = _merged(labels, new, tables, "components-open")
+    tables.drop("stars")
+    found = classes.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    least = found.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    named = found.join(least, "label").select(*digest, "component_id")
     linked = some.select("doc_id", *digest).join(named, digest).select("doc_id", "n_shingles", "component_id")
     alone = sketches.where("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
@@ -232,13 +213,18 @@ def deduplicate(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     return out if several.isEmpty() else out.unionByName(docs.join(several, doc_id, "left_semi").dropDuplicates([doc_id]))
 
 
+def _node(x: Column) -> Column:
+    """A bijective scramble of a long: the least node of some is any of them."""
+    for _ in range(2):
+        for shift, by in ((F.shiftleft, 13), (F.shiftrightunsigned, 7), (F.shiftleft, 17)):
+            x = x.bitwiseXOR(shift(x, by))
+    return x
+
+
 def _merged(labels: DataFrame, new: DataFrame, tables: Tables, name: str) -> DataFrame:
     """The labels after new links(a, b), found on the graph of the old components."""
     ends = _labels_of(_labels_of(new, labels, "a"), labels, "b")
-    edges = tables.keep(ends.where("a <> b").distinct(), f"{name}-edges")
-    if edges.isEmpty():
-        return labels
-    found = connected_components(edges, tables, name).select(F.col("node").alias("label"), F.col("label").alias("to"))
+    found = connected_components(ends, tables, name).select(F.col("node").alias("label"), F.col("label").alias("to"))
     nodes = new.select(F.col("a").alias("node")).union(new.select(F.col("b").alias("node"))).distinct().join(labels, "node", "left_anti")
     every = labels.unionByName(nodes.select("node", F.col("node").alias("label")))
     return tables.keep(every.join(found, "label", "left").select("node", F.coalesce("to", "label").alias("label")), f"{name}-merged")
@@ -250,111 +236,104 @@ def _labels_of(links: DataFrame, labels: DataFrame, end: str) -> DataFrame:
     return named.select(F.coalesce("l", end).alias(end), other)
 
 
-def _apart(stars: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of stars(id, c, ...) whose ends lie in different components."""
-    ends = stars.join(labels.withColumnsRenamed({"node": "id", "label": "x"}), "id", "left").join(labels.withColumnsRenamed({"node": "c", "label": "y"}), "c", "left")
-    return ends.where(F.coalesce("x", "id") != F.coalesce("y", "c"))
+def _close(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sizes(id, n) allow a link."""
+    named = pairs.join(sizes.withColumnsRenamed({"id": "a", "n": "an"}), "a").join(sizes.withColumnsRenamed({"id": "b", "n": "bn"}), "b")
+    return named.where(F.least("an", "bn") * 100 >= F.greatest("an", "bn") * percent).select("a", "b").distinct()
+
+
+def _linked(common: Column, n: Column, m: Column, percent: int) -> Column:
+    return 100 * common >= percent * (n + m - common)
 
 
-def _pairs(stars: DataFrame, tables: Tables, percent: int, tried: DataFrame | None, turn: int | str) -> DataFrame:
-    """Different pairs (a, b) of stars(id, n, c, cn) that the sizes allow."""
-    close = stars.where(F.least("n", "cn") * 100 >= F.greatest("n", "cn") * percent)
-    pairs = close.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
-    return tables.keep(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), f"pairs-{turn}")
+def _size(column: str) -> Column:
+    return F.size(column).cast("long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, shingle: int, percent: int, tables: Tables, turn: int | str) -> DataFrame:
+def _sets(ids: DataFrame, known: DataFrame, shingle: int) -> DataFrame:
+    """(id, items) of the texts known(id, text) whose ids are given."""
+    return full_sets(known.join(ids.distinct(), "id", "left_semi"), shingle)
+
+
+def _confirmed(pairs: DataFrame, known: DataFrame, shingle: int, percent: int, tables: Tables, name: str) -> DataFrame:
     """The pairs whose full sets are similar enough."""
-    ids = pairs.select(F.col("a").alias(doc_id)).union(pairs.select(F.col("b").alias(doc_id))).distinct()
-    sets = full_sets(docs.select(doc_id, text).join(ids, doc_id, "left_semi"), doc_id, text, shingle)
+    sets = _sets(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))), known, shingle)
     first = pairs.join(sets.withColumnsRenamed({"id": "b", "items": "items_b"}), "b")
     both = first.join(sets.withColumnsRenamed({"id": "a", "items": "items_a"}), "a")
-    common = F.size(F.array_intersect("items_a", "items_b"))
-    return tables.keep(both.where(100 * common >= percent * (F.size("items_a") + F.size("items_b") - common)).select("a", "b"), f"links-{turn}")
+    common = F.size(F.array_intersect("items_a", "items_b")).cast("long")
+    return tables.keep(both.where(_linked(common, _size("items_a"), _size("items_b"), percent)).select("a", "b"), f"links-{name}")
 
 
 def _unsettled(buckets: DataFrame, labels: DataFrame, tables: Tables, name: str) -> DataFrame:
-    """buckets(key, id, ...) with each member's component, without the buckets whose
-    members lie in one component."""
-    named = buckets.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    """(key, id, label) of the buckets whose members lie in several components."""
+    named = buckets.select("key", "id").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
     mixed = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
     return tables.keep(named.join(mixed, "key", "left_semi"), name)
 
 
-def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
-    members = members.drop("label")
-    return members.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+def _hubs(left: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, g, both): each member of an open bucket with the hubs of the bucket's larger
+    components; ``both`` where two members outside all of these meet at this hub."""
+    degree = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("d"))
+    ranked = left.join(degree, "id", "left").withColumn("d", F.coalesce("d", F.lit(0)))
+    parts = ranked.groupBy("key", "label").agg(F.count(F.lit(1)).alias("s"), F.max(F.struct("d", "id")).alias("hub"))
+    whole = parts.groupBy("key").agg(F.sum("s").alias("m"), F.max(F.struct("s", "label")).alias("top"))
+    first = F.col("label") == F.col("top.label")
+    heads = parts.join(whole, "key").where((HEADS * F.col("s") >= F.col("m")) | first).select("key", "label", F.col("hub.id").alias("g"), first.alias("first"))
+    marked = left.join(heads.select("key", "label", F.lit(True).alias("own")), ["key", "label"], "left")
+    met = marked.join(heads.drop("label"), "key").where("id <> g")
+    return met.groupBy("id", "g").agg(F.max(F.col("first") & F.col("own").isNull()).alias("both"))
+
 
+def _deviations(rows: DataFrame, sizes: DataFrame, known: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """rows(id, g, both) with the size of the set, the number of shingles in which it
+    deviates from the hub's, these shingles, and whether the two are linked."""
+    sets = _sets(rows.select("id").union(rows.select("g")), known, shingle)
+    both = rows.join(sets, "id").join(sets.withColumnsRenamed({"id": "g", "items": "hub"}), "g")
+    common = F.size(F.array_intersect("items", "hub")).cast("long")
+    n, m = _size("items"), _size("hub")
+    spread = F.concat(F.sort_array(F.array_except("items", "hub")), F.sort_array(F.array_except("hub", "items")))
+    return both.select("id", "g", "both", n.alias("n"), (n + m - 2 * common).alias("d"), _linked(common, n, m, percent).alias("linked"), spread.alias("items"))
 
-def _besides_hub(left: DataFrame, links: DataFrame, docs: DataFrame, doc_id: str, text: str, shingle: int, percent: int, tables: Tables, turn: int) -> DataFrame:
-    """(id, g, hub, linked, n, least, common, added) for each open member: its group,
-    the group's hub and whether it is linked with it, the least size of a partner
-    in its buckets, what it shares with the hub, and the shingles it has besides."""
-    smallest = left.groupBy("key").agg(F.min("n").alias("m"))
-    able = F.greatest("m", F.ceil(F.col("n") * percent / 100).cast("int"))
-    members = tables.keep(left.join(smallest, "key").groupBy("id").agg(F.min("n").alias("n"), F.min(able).alias("least")), f"members-{turn}")
-    heads = left.groupBy("key").agg(F.min("id").alias("b"))
-    edges = left.select("key", F.col("id").alias("a")).join(heads, "key").where("a <> b").select("a", "b").distinct()
-    groups = connected_components(edges, tables, f"groups-{turn}").select(F.col("node").alias("id"), F.col("label").alias("g"))
-    degree = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("d"))
-    known = members.join(groups, "id").join(degree, "id", "left")
-    named = tables.keep(known.select("id", "n", "least", "g", F.coalesce("d", F.lit(0)).alias("d")), f"grouped-{turn}")
-    hubs = named.groupBy("g").agg(F.max(F.struct("d", "id")).alias("hub")).select("g", F.col("hub.id").alias("hub"))
-    sets = full_sets(docs.select(doc_id, text).join(named.select(F.col("id").alias(doc_id)), doc_id, "left_semi"), doc_id, text, shingle)
-    hub_sets = hubs.join(sets.withColumnsRenamed({"id": "hub", "items": "hub_items"}), "hub").select("g", "hub", "hub_items")
-    both = named.join(sets, "id").join(hub_sets, "g")
-    common = F.size(F.array_intersect("items", "hub_items"))
-    linked = (100 * common >= percent * (F.size("items") + F.size("hub_items") - common)) & (F.col("id") != F.col("hub"))
-    return both.select("id", "g", "hub", linked.alias("linked"), "n", "least", common.alias("common"), F.array_except("items", "hub_items").alias("added"))
-
-
-def _needed(n: Column, m: Column, common: Column, percent: int) -> Column:
-    """Shingles besides the hub that linked sets of n and m shingles must share if no
-    more than ``common`` of what they share is the hub's."""
-    return F.ceil(percent * (n + m) / (100 + percent)).cast("int") - common
-
-
-def _minor(members: DataFrame, by: str) -> DataFrame:
-    """The members outside the largest component of their group or bucket: each pair of
-    different components has one."""
-    sizes = members.groupBy(by, "label").agg(F.count(F.lit(1)).alias("size"))
-    largest = sizes.groupBy(by).agg(F.max(F.struct("size", "label")).alias("l")).select(by, F.col("l.label").alias("largest"))
-    return members.join(largest, by).where("label <> largest").drop("largest")
-
-
-_PARTNER = {"id": "c", "n": "cn", "common": "ck", "label": "cl"}
-
-
-def _sharing(native: DataFrame, percent: int) -> DataFrame:
-    """Pairs (id, n, c, cn) of different components of a group that share enough besides
-    the hub. A member's most frequent shingles are left out, so many that the rest
-    must still hold ``MATCHES`` of what any partner shares; the count makes up for it."""
-    items = native.select("id", "g", "n", "least", "common", "label", F.explode("added").alias("item"))
-    often = items.groupBy("g", "item").agg(F.count(F.lit(1)).alias("f"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("g", "item", "f")
-    shared = items.join(often, ["g", "item"])
-    order = W.partitionBy("id").orderBy(F.desc("f"), "item")
-    skipped = F.greatest(F.lit(0), _needed(F.col("n"), F.col("least"), F.col("common"), percent) - MATCHES)
-    rare = _minor(shared, "g").withColumn("skipped", skipped).withColumn("rank", F.row_number().over(order)).where("rank > skipped")
-    other = shared.select("g", "item", *(F.col(k).alias(v) for k, v in _PARTNER.items()))
-    # what needs nothing besides the hub is found in the buckets; what needs more than
-    # either has besides is not linked
-    needs = _needed(F.col("n"), F.col("cn"), F.least("common", "ck"), percent)
-    possible = (needs >= 1) & (needs <= F.least(F.col("n") - F.col("common"), F.col("cn") - F.col("ck")))
-    met = rare.join(other, ["g", "item"]).where((F.col("label") != F.col("cl")) & possible)
-    counted = met.groupBy("id", "n", "common", "skipped", "c", "cn", "ck").agg(F.count(F.lit(1)).cast("int").alias("got"))
-    return counted.where(F.col("got") >= _needed(F.col("n"), F.col("cn"), F.least("common", "ck"), percent) - F.col("skipped")).select("id", "n", "c", "cn")
-
-
-def _within(left: DataFrame, native: DataFrame, percent: int) -> DataFrame:
-    """Pairs (id, n, c, cn) of different components in an open bucket that need share
-    nothing besides the hub."""
-    named = left.select("key", "id").join(native.select("id", "n", "common", "label"), "id")
-    other = named.select("key", *(F.col(k).alias(v) for k, v in _PARTNER.items()))
-    enough = _needed(F.col("n"), F.col("cn"), F.least("common", "ck"), percent) < 1
-    return _minor(named, "key").join(other, "key").where((F.col("label") != F.col("cl")) & enough).select("id", "n", "c", "cn")
-
-
-def _repeated(some: DataFrame, classes: DataFrame, shared: DataFrame, digest: list[str]) -> DataFrame:
+
+_PARTNER = {"id": "c", "n": "cn", "d": "cd", "label": "cl", "rank": "cr", "core": "cc", "both": "cb"}
+
+
+def _sharing(near: DataFrame, labels: DataFrame, tables: Tables, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that meet at a hub and may be linked: one of
+    them lies in the hub's component, or none lies in a larger one of the bucket.
+
+    Linked sets of n and m shingles differ in (100 - percent) * (n + m) / (100 + percent)
+    at most; ``slack`` is that for the largest m that may be linked with n.
+    """
+    label = labels.withColumnRenamed("node", "id")
+    named = near.join(label, "id", "left").join(label.withColumnsRenamed({"id": "g", "label": "gl"}), "g", "left")
+    named = named.withColumn("label", F.coalesce("label", "id")).withColumn("core", F.col("label") == F.coalesce("gl", "g")).drop("gl")
+    slack = F.floor(F.col("n") * (100 - percent) / percent)
+    core = F.col("core")
+    limits = named.groupBy("g").agg(F.max(F.when(core, F.col("d"))).alias("core_most"), F.min(F.when(core, F.col("d"))).alias("core_least"), F.min(F.when(~core, F.col("d"))).alias("guest_least"))
+    # who may be a partner, and the least that a partner deviates
+    inside = (F.col("d") - slack <= F.col("core_most")) & (F.col("core_least") <= F.col("d") + slack)
+    least = F.when(core, F.col("guest_least")).when(F.col("both"), F.least(F.when(inside, F.col("core_least")), F.col("guest_least"))).when(inside, F.col("core_least"))
+    able = named.join(limits, "g").withColumn("reach", F.least(slack, F.floor((F.col("d") - least + slack) / 2)) + 1).where("reach >= 1")
+    every = able.select("g", "id", "n", "d", "label", "core", "both", "reach", F.explode("items").alias("item"))
+    partner = F.col("core") | F.col("both")
+    often = every.groupBy("g", "item").agg(F.count(F.lit(1)).alias("f"), F.min("label").alias("x"), F.max("label").alias("y"), F.max(partner).alias("p"), F.min("core").alias("q")).where("x <> y and p and not q").select("g", "item", "f")
+    # shingles that no two sides share come first in the order, then the rarest
+    row = W.partitionBy("g", "id")
+    rank = F.col("d") - F.count(F.lit(1)).over(row) + F.row_number().over(row.orderBy("f", "item"))
+    entries = tables.keep(every.join(often, ["g", "item"]).withColumn("rank", rank).where("rank <= reach").drop("f", "reach"), "entries")
+    other = entries.where("core or both").select("g", "item", *(F.col(k).alias(v) for k, v in _PARTNER.items()))
+    must = F.ceil((F.col("d") + F.col("cd") - F.floor((F.col("n") + F.col("cn")) * (100 - percent) / (100 + percent))) / 2)
+    allowed = (F.col("label") != F.col("cl")) & (F.col("cc") | (F.col("both") & (F.col("id") < F.col("c"))))
+    close = F.least("n", "cn") * 100 >= F.greatest("n", "cn") * percent
+    early = (F.col("rank") <= F.col("d") - must + 1) & (F.col("cr") <= F.col("cd") - must + 1)
+    met = entries.where("not core").join(other, ["g", "item"]).where(allowed & close & early)
+    return met.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
+
+
+def _repeated(some: DataFrame, classes: DataFrame, digest: list[str]) -> DataFrame:
     """Links between the classes of different texts that stand under one id."""
-    rows = some.select(F.col("doc_id").alias("a"), *digest).join(shared, "a", "left_semi")
-    return rows.join(classes, digest).select("a", F.col("id").alias("b")).distinct()
+    shared = some.groupBy("doc_id").agg(F.min("h1").alias("x"), F.max("h1").alias("y")).where("x <> y").select("doc_id")
+    rows = some.select("doc_id", *digest).join(shared, "doc_id", "left_semi")
+    return rows.join(classes.select(*digest, "id"), digest).select(_node(F.col("doc_id")).alias("a"), F.col("id").alias("b")).distinct()
