@@ -10,10 +10,10 @@ buckets and star-shaped candidate edges.
 3. In each bucket every member is joined to a centre only, the least node. Pairs
    that the sizes allow are confirmed on full sets by the JVM.
 4. A link between two members that are not linked to a centre must not get lost.
-   Buckets whose members still lie in different components stay open. Each of
-   their larger components (``HEADS`` a bucket at most) names a hub, its member with
-   most links, and every other member of the bucket is compared with it: a second
-   star. What is left is searched by deviations: with D(x) the shingles in which x
+   Buckets whose members still lie in different components stay open. The hub of
+   a component is its member with most links; every member of an open bucket is
+   compared with the hubs of the bucket's larger components, ``HEADS`` at most: a
+   second star. What is left is searched by deviations: with D(x) the shingles in which x
    differs from the hub h, x and y differ in |D(x)| + |D(y)| - 2 |D(x) & D(y)|
    shingles, so linked ones share at least half of |D(x)| + |D(y)| less what linked
    sets may differ in. A document that is not linked with the hub deviates by more
@@ -40,9 +40,11 @@ from docweave.llm._text import Powers, byte_values, chunks, find_words, hash_wor
 from docweave.llm.components import connected_components
 
 BANDS, ROWS = 50, 6
-#: A component names a hub in an open bucket if it has one in so many of its members.
+#: A component is large in an open bucket if it has one in so many of its members.
 HEADS = 4
 BINS = BANDS * ROWS
+#: Bits of the map that tells which texts are read again (8 MB), and of one of its pieces.
+BITS, PIECE = 26, 15
 _A = np.uint64(0xD6E8FEB86659FD93)
 _B = np.uint64(0xA5A3564E27F88AB3)
 _C = np.uint64(0x2545F4914F6CDD1D)
@@ -185,7 +187,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     labels = connected_components(links, tables, "components-stars")
     left = _unsettled(buckets, labels, tables, "open")
     if not left.isEmpty():
-        near = tables.keep(_deviations(_hubs(left, links), sizes, known, shingle, percent), "near")
+        near = tables.keep(_deviations(_hubs(left, links, labels), known, shingle, percent), "near")
         tables.drop("open")
         labels = _merged(labels, near.where("linked").select(F.col("g").alias("a"), F.col("id").alias("b")), tables, "components-hubs")
         pairs = tables.keep(_sharing(near, labels, tables, percent).join(tried, ["a", "b"], "left_anti"), "pairs-open")
@@ -250,9 +252,23 @@ def _size(column: str) -> Column:
     return F.size(column).cast("long")
 
 
+def _marked(ids: DataFrame, known: DataFrame) -> DataFrame:
+    """The rows of known(id, ...) whose ids are given, and few others, without a shuffle
+    of them: the ids set bits of a map of 2**``BITS`` bits, whatever their number, which
+    is broadcast in pieces. Where the map would be full, a join by id."""
+    if ids.count() > 1 << BITS - 1:
+        return known.join(ids.distinct(), "id", "left_semi")
+    place = F.shiftrightunsigned(F.xxhash64("id"), 64 - BITS)
+    piece, bit = F.shiftright(place, PIECE).alias("piece"), place.bitwiseAND(F.lit((1 << PIECE) - 1))
+    pieces = ids.select(piece, bit.alias("bit")).groupBy("piece").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    byte = F.conv(F.hex(F.substr("bits", (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    there = byte.bitwiseAND(F.element_at(F.array(*(F.lit(1 << k) for k in range(8))), (bit.bitwiseAND(F.lit(7)) + 1).cast("int"))) != 0
+    return known.withColumn("piece", piece).join(F.broadcast(pieces), "piece").where(there).drop("piece", "bits")
+
+
 def _sets(ids: DataFrame, known: DataFrame, shingle: int) -> DataFrame:
-    """(id, items) of the texts known(id, text) whose ids are given."""
-    return full_sets(known.join(ids.distinct(), "id", "left_semi"), shingle)
+    """(id, items) of the texts known(id, text) whose ids are given, and of few others."""
+    return full_sets(_marked(ids, known), shingle)
 
 
 def _confirmed(pairs: DataFrame, known: DataFrame, shingle: int, percent: int, tables: Tables, name: str) -> DataFrame:
@@ -271,21 +287,22 @@ def _unsettled(buckets: DataFrame, labels: DataFrame, tables: Tables, name: str)
     return tables.keep(named.join(mixed, "key", "left_semi"), name)
 
 
-def _hubs(left: DataFrame, links: DataFrame) -> DataFrame:
+def _hubs(left: DataFrame, links: DataFrame, labels: DataFrame) -> DataFrame:
     """(id, g, both): each member of an open bucket with the hubs of the bucket's larger
     components; ``both`` where two members outside all of these meet at this hub."""
     degree = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("d"))
-    ranked = left.join(degree, "id", "left").withColumn("d", F.coalesce("d", F.lit(0)))
-    parts = ranked.groupBy("key", "label").agg(F.count(F.lit(1)).alias("s"), F.max(F.struct("d", "id")).alias("hub"))
+    hubs = degree.join(labels.withColumnRenamed("node", "id"), "id").groupBy("label").agg(F.max(F.struct("d", "id")).alias("hub"))
+    parts = left.groupBy("key", "label").agg(F.count(F.lit(1)).alias("s"))
     whole = parts.groupBy("key").agg(F.sum("s").alias("m"), F.max(F.struct("s", "label")).alias("top"))
     first = F.col("label") == F.col("top.label")
-    heads = parts.join(whole, "key").where((HEADS * F.col("s") >= F.col("m")) | first).select("key", "label", F.col("hub.id").alias("g"), first.alias("first"))
-    marked = left.join(heads.select("key", "label", F.lit(True).alias("own")), ["key", "label"], "left")
-    met = marked.join(heads.drop("label"), "key").where("id <> g")
-    return met.groupBy("id", "g").agg(F.max(F.col("first") & F.col("own").isNull()).alias("both"))
+    heads = parts.join(whole, "key").where((HEADS * F.col("s") >= F.col("m")) | first).select("key", "label", first.alias("first"))
+    marked = left.join(heads.select("key", "label", F.lit(True).alias("own")), ["key", "label"], "left").drop("label")
+    met = marked.join(heads, "key").groupBy("id", "label").agg(F.max(F.col("first") & F.col("own").isNull()).alias("both"))
+    named = met.join(hubs, "label", "left").select("id", F.coalesce("hub.id", "label").alias("g"), "both")
+    return named.where("id <> g")
 
 
-def _deviations(rows: DataFrame, sizes: DataFrame, known: DataFrame, shingle: int, percent: int) -> DataFrame:
+def _deviations(rows: DataFrame, known: DataFrame, shingle: int, percent: int) -> DataFrame:
     """rows(id, g, both) with the size of the set, the number of shingles in which it
     deviates from the hub's, these shingles, and whether the two are linked."""
     sets = _sets(rows.select("id").union(rows.select("g")), known, shingle)
