@@ -16,6 +16,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,18 @@ WINDOW = 6
 SEEDS = ("idiot", "moron", "stupid", "loser", "scum", "imbecile", "pathetic", "worthless", "disgusting", "retard", "bastard", "dumbass")
 QUOTES = "\"'`«»“”„‘’‹›"
 CUES = frozenset(("quote", "quoted", "quoting", "word", "words", "term", "terms", "phrase", "called", "said", "says", "wrote", "writes", "meaning", "means", "definition"))
-FEATURES = 7
+FEATURES = 9
+
+
+class Hit(NamedTuple):
+    word: int  # place in the text
+    term: int
+    edits: int
+    start: int  # code points from the text's start
+    quoted: bool
+    form: str
+    whole: bool  # a term, not the beginning of a word
+    words: int  # of the text
 
 
 @dataclass
@@ -48,7 +60,7 @@ class Model:
     benign: frozenset[str]
     weights: np.ndarray
 
-    def scores(self, hits: Iterator[list[tuple]]) -> np.ndarray:
+    def scores(self, hits: Iterator[list[Hit]]) -> np.ndarray:
         x = np.array([features(h) for h in hits]).reshape(-1, FEATURES)
         return 1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30)))
 
@@ -92,13 +104,13 @@ class Scanner:
         self.a, self.benign = automaton, benign
         self.quotes = np.array([ord(c) for c in QUOTES], dtype=np.uint32)
 
-    def hits(self, column: pa.Array) -> Iterator[list[tuple[int, int, int, int, bool, str]]]:
-        """For each text its hits: (word, term, edits, start, quoted, form)."""
+    def hits(self, column: pa.Array) -> Iterator[list[Hit]]:
+        """For each text its hits."""
         bounds, data = text_buffers(column)
         for lo, hi in chunks(bounds):
             yield from self._chunk(data[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo])
 
-    def _chunk(self, data: np.ndarray, bounds: np.ndarray) -> Iterator[list[tuple[int, int, int, int, bool, str]]]:
+    def _chunk(self, data: np.ndarray, bounds: np.ndarray) -> Iterator[list[Hit]]:
         heads = np.cumsum(np.concatenate([[0], (data & 0xC0) != 0x80]))[bounds]
         points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le", "replace"), dtype=np.uint32)
         kinds = self.a.classes[points]
@@ -121,17 +133,20 @@ class Scanner:
             marked = starts[w] > heads[d] and ends[w] < heads[d + 1] and points[starts[w] - 1] in self.quotes and points[ends[w]] in self.quotes
             around = range(max(int(first[d]), w - WINDOW), min(int(first[d + 1]), w + WINDOW + 1))
             quoted = bool(marked or any(text(i) in CUES for i in around if ends[i] - starts[i] < 11))
-            out[d].append((w - int(first[d]), t, e, int(starts[w] - heads[d]), quoted, form))
+            out[d].append(Hit(w - int(first[d]), t, e, int(starts[w] - heads[d]), quoted, form, self.a.terms[t][-1] != "*", int(first[d + 1] - first[d])))
         yield from out
 
 
-def features(hits: list[tuple]) -> np.ndarray:
-    """Counts by kind of hit, damped, and whether there is any plain one."""
-    exact = sum(1 for h in hits if not h[2] and not h[4])
-    quoted = sum(1 for h in hits if not h[2] and h[4])
-    near = sum(1 for h in hits if h[2] and not h[4])
-    near_quoted = sum(1 for h in hits if h[2] and h[4])
-    return np.array([1.0, exact > 0, math.log1p(exact), quoted > 0, math.log1p(quoted), math.log1p(near), math.log1p(near_quoted)])
+def features(hits: list[Hit]) -> np.ndarray:
+    """Counts by kind of hit, damped, whether there is any plain one, how many plain ones
+    are whole terms, and how many there are to a hundred words: beginnings of words
+    turn up by chance in long texts."""
+    plain = [h for h in hits if not h.edits and not h.quoted]
+    quoted = sum(1 for h in hits if not h.edits and h.quoted)
+    near = sum(1 for h in hits if h.edits and not h.quoted)
+    near_quoted = sum(1 for h in hits if h.edits and h.quoted)
+    dense = 100 * len(plain) / hits[0].words if hits else 0.0
+    return np.array([1.0, len(plain) > 0, math.log1p(len(plain)), quoted > 0, math.log1p(quoted), math.log1p(near), math.log1p(near_quoted), math.log1p(sum(h.whole for h in plain)), math.log1p(dense)])
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1e-2, turns: int = 60) -> np.ndarray:
@@ -168,7 +183,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     def forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(shared.get(), frozenset())
         for batch in batches:
-            found = sorted({h[5] for hits in scanner.hits(batch.column(0)) for h in hits if h[2]})
+            found = sorted({h.form for hits in scanner.hits(batch.column(0)) for h in hits if h.edits})
             yield pa.RecordBatch.from_arrays([pa.array(found, type=pa.string())], ["form"])
 
     clean = map_arrow(rows.where("label = 0 and half = 0").select("text"), forms, "form string")
@@ -185,7 +200,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     tables.drop("sample")
     x = np.array([r.x for r in got], dtype=float).reshape(-1, FEATURES)
     y = np.array([r.label for r in got], dtype=float)
-    weights = fit_logistic(x, y, np.array([r.n for r in got], dtype=float)) if y.any() and not y.all() else np.array([-2.0, 3.0, 1.0, 0.5, 0.5, 0.5, 0.0])
+    weights = fit_logistic(x, y, np.array([r.n for r in got], dtype=float)) if y.any() and not y.all() else np.array([-2.0, 3.0, 1.0, 0.5, 0.5, 0.5, 0.0, 0.0, 0.0])
     return Model(automaton, benign, weights)
 
 
@@ -208,7 +223,7 @@ def score(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
         for batch in batches:
             hits = list(scanner.hits(batch.column(place)))
             p = m.scores(hits)
-            counts = [[sum(1 for h in hs if not h[2]) for hs in hits], [sum(1 for h in hs if h[2]) for hs in hits], [sum(1 for h in hs if h[4]) for hs in hits]]
+            counts = [[sum(1 for h in hs if not h.edits) for hs in hits], [sum(1 for h in hs if h.edits) for hs in hits], [sum(1 for h in hs if h.quoted) for hs in hits]]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, type=pa.float64()), *(pa.array(c, type=pa.int32()) for c in counts)], [f.name for f in schema])
 
     return map_arrow(docs, run, schema)
