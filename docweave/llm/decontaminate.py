@@ -32,7 +32,7 @@ WINDOW = 13
 #: Words of benchmark text in one broadcast block.
 BLOCK_WORDS = 1 << 20
 #: Bytes of text in one shard's suffix array.
-SHARD_BYTES = 1 << 21
+SHARD_BYTES = 1 << 19
 FILTER_BITS = 22
 
 REPORT = T.StructType([
