@@ -182,17 +182,17 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     buckets = tables.keep(members.join(centres, "key").where("id <> c"), "stars")
     sizes = classes.select("id", F.col("n_shingles").alias("n"))
     tried = tables.keep(_close(buckets.select(F.col("c").alias("a"), F.col("id").alias("b")).distinct(), sizes, percent), "pairs-stars")
-    links = _confirmed(tried, known, shingle, percent, tables, "stars")
-    links = links.unionByName(_repeated(some, classes, digest))
+    links = tables.keep(_confirmed(tried, known, shingle, percent).unionByName(_repeated(some, classes, digest)), "links-stars")
     labels = connected_components(links, tables, "components-stars")
     left = _unsettled(buckets, labels, tables, "open")
     if not left.isEmpty():
         near = tables.keep(_deviations(_hubs(left, links, labels), known, shingle, percent), "near")
         tables.drop("open")
-        labels = _merged(labels, near.where("linked").select(F.col("g").alias("a"), F.col("id").alias("b")), tables, "components-hubs")
         pairs = tables.keep(_sharing(near, labels, tables, percent).join(tried, ["a", "b"], "left_anti"), "pairs-open")
+        tables.drop("entries")
+        to_hubs = near.where("linked").select(F.col("g").alias("a"), F.col("id").alias("b"))
+        new = tables.keep(_confirmed(pairs, known, shingle, percent).unionByName(to_hubs), "links-open")
         tables.drop("near")
-        new = _confirmed(pairs, known, shingle, percent, tables, "open")
         labels = _merged(labels, new, tables, "components-open")
     tables.drop("stars")
     found = classes.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
@@ -271,13 +271,13 @@ def _sets(ids: DataFrame, known: DataFrame, shingle: int) -> DataFrame:
     return full_sets(_marked(ids, known), shingle)
 
 
-def _confirmed(pairs: DataFrame, known: DataFrame, shingle: int, percent: int, tables: Tables, name: str) -> DataFrame:
+def _confirmed(pairs: DataFrame, known: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs whose full sets are similar enough."""
     sets = _sets(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))), known, shingle)
     first = pairs.join(sets.withColumnsRenamed({"id": "b", "items": "items_b"}), "b")
     both = first.join(sets.withColumnsRenamed({"id": "a", "items": "items_a"}), "a")
     common = F.size(F.array_intersect("items_a", "items_b")).cast("long")
-    return tables.keep(both.where(_linked(common, _size("items_a"), _size("items_b"), percent)).select("a", "b"), f"links-{name}")
+    return both.where(_linked(common, _size("items_a"), _size("items_b"), percent)).select("a", "b")
 
 
 def _unsettled(buckets: DataFrame, labels: DataFrame, tables: Tables, name: str) -> DataFrame:
@@ -325,7 +325,9 @@ def _sharing(near: DataFrame, labels: DataFrame, tables: Tables, percent: int) -
     """
     label = labels.withColumnRenamed("node", "id")
     named = near.join(label, "id", "left").join(label.withColumnsRenamed({"id": "g", "label": "gl"}), "g", "left")
-    named = named.withColumn("label", F.coalesce("label", "id")).withColumn("core", F.col("label") == F.coalesce("gl", "g")).drop("gl")
+    # who is linked with a hub counts as of its component
+    named = named.withColumn("gl", F.coalesce("gl", "g")).withColumn("label", F.when(F.col("linked"), F.col("gl")).otherwise(F.coalesce("label", "id")))
+    named = named.withColumn("core", F.col("label") == F.col("gl")).drop("gl")
     slack = F.floor(F.col("n") * (100 - percent) / percent)
     core = F.col("core")
     limits = named.groupBy("g").agg(F.max(F.when(core, F.col("d"))).alias("core_most"), F.min(F.when(core, F.col("d"))).alias("core_least"), F.min(F.when(~core, F.col("d"))).alias("guest_least"))
