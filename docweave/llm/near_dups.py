@@ -186,8 +186,9 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     labels = connected_components(links, tables, "components-stars")
     left = _unsettled(buckets, labels, tables, "open")
     if not left.isEmpty():
-        near = tables.keep(_deviations(_hubs(left, links, labels), known, shingle, percent), "near")
+        met = tables.keep(_hubs(left, links, labels), "hubs")
         tables.drop("open")
+        near = tables.keep(_deviations(met, known, shingle, percent), "near")
         pairs = tables.keep(_sharing(near, labels, tables, percent).join(tried, ["a", "b"], "left_anti"), "pairs-open")
         tables.drop("entries")
         to_hubs = near.where("linked").select(F.col("g").alias("a"), F.col("id").alias("b"))
