@@ -30,6 +30,13 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def files_in(spark: SparkSession, path: str) -> list[str]:
+    """The full paths of the files in a folder, none if there is no folder."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [x.getPath().toString() for x in system.listStatus(at) if x.isFile()] if system.exists(at) else []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, removed when the Python process ends."""
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
