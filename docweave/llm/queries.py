@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from docweave.functions.session import shared_folder
+from docweave.llm.buckets import Side, co_bucket, crc_bucket
 from docweave.llm.chat import chat_digest
 from docweave.llm.decontaminate import contamination
 from docweave.llm.licenses import license_scan
@@ -69,5 +73,13 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(_table(spark, sf_dir, "documents"))
 
 
-_ALL = (op1_decontaminate, op2_mix_sources, op3_token_counts, op4_shards, op5_near_dups, op6_toxicity, op7_quality, op8_chat, op9_top_k, op10_licenses)
+def op12_co_buckets(spark: SparkSession, sf_dir: str, buckets: int = 150, salt: str = "pair") -> DataFrame:
+    sales, lines = _table(spark, sf_dir, "sales"), _table(spark, sf_dir, "sale_lines")
+    b = F.coalesce(crc_bucket(F.col("sale_id"), salt, buckets), F.lit(buckets + 1))
+    by_sale = Side("sales", sales, F.when(b % 5 == 1, b - 1).otherwise(b), buckets + 2)
+    by_item = Side("sale_lines", lines, F.coalesce(crc_bucket(F.col("item_id"), "", buckets), F.lit(0)), buckets)
+    return co_bucket(by_sale, by_item, f"{shared_folder(spark)}/co-buckets-{uuid.uuid4().hex}", key="sale_id", buckets=buckets, salt=salt)
+
+
+_ALL = (op1_decontaminate, op2_mix_sources, op3_token_counts, op4_shards, op5_near_dups, op6_toxicity, op7_quality, op8_chat, op9_top_k, op10_licenses, op12_co_buckets)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
