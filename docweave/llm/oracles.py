@@ -63,10 +63,23 @@ def _licenses() -> str:
   SELECT doc_id, len(l)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score, coalesce(n_found, 0)::BIGINT AS n_found FROM d LEFT JOIN y USING (doc_id)"""
 
 
+def _clusters(k: int = 16, rounds: int = 3, width: int = 64) -> str:
+    kept = f"""SELECT row_number() OVER () AS i, vec_id, list_transform(embedding, lambda x: floor({width} * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE len(embedding) = {width} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"""
+    parts = [f"e AS ({kept})", f"c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST, v) - 1 AS j, v AS c FROM e QUALIFY j < {k})"]
+    for r in range(rounds + 1):
+        parts.append(f"d{r} AS (SELECT i, j, list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM e, c{r})")
+        parts.append(f"a{r} AS (SELECT i, j, d FROM d{r} QUALIFY row_number() OVER (PARTITION BY i ORDER BY d, j) = 1)")
+        if r < rounds:
+            parts.append(f"m{r} AS (SELECT j, list((s - ((s % n) + n) % n) // n ORDER BY p) AS c FROM (SELECT j, p, sum(v[p])::BIGINT AS s, count(*) AS n FROM (SELECT j, v, unnest(range(1, {width} + 1)) AS p FROM a{r} JOIN e USING (i)) GROUP BY ALL) GROUP BY j)")
+            parts.append(f"c{r + 1} AS (SELECT j, coalesce(m{r}.c, c{r}.c) AS c FROM c{r} LEFT JOIN m{r} USING (j))")
+    return f"""WITH {", ".join(parts)} SELECT vec_id, j::INT AS cluster, d AS distance, (sum(d) OVER (PARTITION BY j))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256 FROM a{rounds} JOIN e USING (i) JOIN c{rounds} USING (j)"""
+
+
 ORACLES: dict[str, str] = {
     "op1_decontaminate": _decontaminate(),
     "op5_near_dups": _near_dups(),
     "op8_chat": _chat(),
     "op9_top_k": _top_k(),
     "op10_licenses": _licenses(),
+    "op13_clusters": _clusters(),
 }

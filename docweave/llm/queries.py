@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from docweave.functions.session import shared_folder
 from docweave.llm.buckets import Side, co_bucket, crc_bucket
 from docweave.llm.chat import chat_digest
+from docweave.llm.clusters import k_means
 from docweave.llm.decontaminate import contamination
 from docweave.llm.licenses import license_scan
 from docweave.llm.mixing import mix
@@ -20,6 +21,7 @@ from docweave.llm.shards import assign_shards
 from docweave.llm.tokens import load_pieces, token_counts
 from docweave.llm.topk import top_k
 from docweave.llm.toxicity import toxicity
+from docweave.llm.warc import page_of, read_archives, write_archives
 
 #: A vocabulary of pieces with scores; its scores are taken as a unigram model's.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -73,6 +75,13 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(_table(spark, sf_dir, "documents"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    write_archives(_table(spark, sf_dir, "pages"), folder, least=0)
+    found = read_archives(spark, folder).where("gap is null")
+    return found.select(page_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", page_of(F.col("refers_to")).alias("refers_to"))
+
+
 def op12_co_buckets(spark: SparkSession, sf_dir: str, buckets: int = 150, salt: str = "pair") -> DataFrame:
     sales, lines = _table(spark, sf_dir, "sales"), _table(spark, sf_dir, "sale_lines")
     b = F.coalesce(crc_bucket(F.col("sale_id"), salt, buckets), F.lit(buckets + 1))
@@ -81,5 +90,9 @@ def op12_co_buckets(spark: SparkSession, sf_dir: str, buckets: int = 150, salt:
     return co_bucket(by_sale, by_item, f"{shared_folder(spark)}/co-buckets-{uuid.uuid4().hex}", key="sale_id", buckets=buckets, salt=salt)
 
 
-_ALL = (op1_decontaminate, op2_mix_sources, op3_token_counts, op4_shards, op5_near_dups, op6_toxicity, op7_quality, op8_chat, op9_top_k, op10_licenses, op12_co_buckets)
+def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return k_means(_table(spark, sf_dir, "embeddings"), k=16, rounds=3, width=64)
+
+
+_ALL = (op1_decontaminate, op2_mix_sources, op3_token_counts, op4_shards, op5_near_dups, op6_toxicity, op7_quality, op8_chat, op9_top_k, op10_licenses, op11_warc, op12_co_buckets, op13_clusters)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
