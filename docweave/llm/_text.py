@@ -6,6 +6,8 @@ documents at a time: no per-word Python objects are made for the corpus.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 
@@ -41,29 +43,6 @@ def word_table(kind: str) -> np.ndarray:
     return table
 
 
-def byte_values() -> np.ndarray:
-    """A fixed 64-bit value for each byte; A-Z share the values of a-z."""
-    values = mix64(np.arange(1, 257, dtype=np.uint64) * _BASE)
-    values[0x41:0x5B] = values[0x61:0x7B]
-    return values
-
-
-class Powers:
-    """Powers of the hash base and of its inverse modulo 2**64, grown on demand."""
-
-    def __init__(self) -> None:
-        self.up = np.ones(1, dtype=np.uint64)
-        self.down = np.ones(1, dtype=np.uint64)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n + 1:
-            size = max(n + 1, 1 << 16)
-            inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-            self.up = np.concatenate([[np.uint64(1)], np.cumprod(np.full(size, _BASE, dtype=np.uint64))])
-            self.down = np.concatenate([[np.uint64(1)], np.cumprod(np.full(size, inverse, dtype=np.uint64))])
-        return self.up, self.down
-
-
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(offsets, bytes) of a string column; nulls become empty texts."""
     if isinstance(column, pa.ChunkedArray):
@@ -105,10 +84,91 @@ def find_words(data: np.ndarray, bounds: np.ndarray, table: np.ndarray) -> tuple
     return starts, ends, np.searchsorted(starts, bounds)
 
 
-def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray, powers: Powers) -> np.ndarray:
-    """A 64-bit hash of the bytes of each word, the same wherever the word stands."""
-    up, down = powers.get(len(data))
-    sums = np.empty(len(data) + 1, dtype=np.uint64)
-    sums[0] = 0
-    np.cumsum(values[data] * up[: len(data)], out=sums[1:])
-    return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+@dataclass
+class Words:
+    """The bytes of words, told apart exactly: ``sizes`` in bytes, and from ``first`` on the
+    word's bytes in blocks of eight, the last one filled up with zeros. ``hashes`` mixes
+    each block with its place before it sums, so it is not linear in the bytes."""
+
+    hashes: np.ndarray
+    sizes: np.ndarray
+    first: np.ndarray
+    blocks: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.sizes)
+
+
+def lower_bytes() -> np.ndarray:
+    """For each byte itself, for A-Z the small letter."""
+    table = np.arange(256, dtype=np.uint8)
+    table[0x41:0x5B] += 0x20
+    return table
+
+
+def _runs(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, place within the owner) of the items of runs of these lengths."""
+    owner = np.repeat(np.arange(len(counts)), counts)
+    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def read_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Words:
+    """The words ``data[start:end]``, none of which is empty."""
+    sizes = (ends - starts).astype(np.int64)
+    counts = (sizes + 7) >> 3
+    first = np.cumsum(counts) - counts
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eights = np.ndarray((len(padded) - 7,), "<u8", padded, 0, (1,))
+    if len(sizes) and counts.max() == 1:
+        blocks, place = eights[starts], np.zeros(1, np.uint64)
+        left = sizes
+    else:
+        owner, at = _runs(counts)
+        blocks, place = eights[starts[owner] + 8 * at], at.astype(np.uint64)
+        left = np.minimum(sizes[owner] - 8 * at, 8)
+    blocks = blocks & _MASKS[left]
+    mixed = mix64(blocks ^ mix64((place + np.uint64(1)) * _BASE))
+    sums = np.add.reduceat(mixed, first) if len(mixed) else mixed
+    return Words(mix64(sums ^ (sizes.astype(np.uint64) * _MIX_1)), sizes, first, blocks)
+
+
+#: Blocks compared at once.
+STEP_BLOCKS = 1 << 20
+
+
+def same_words(a: Words, i: np.ndarray, b: Words, j: np.ndarray) -> np.ndarray:
+    """Whether words ``i`` of ``a`` have the bytes of words ``j`` of ``b``."""
+    same = a.sizes[i] == b.sizes[j]
+    rows = np.flatnonzero(same)
+    rows = rows[a.blocks[a.first[i[rows]]] == b.blocks[b.first[j[rows]]]]
+    same[:] = False
+    same[rows] = True
+    rows = rows[a.sizes[i[rows]] > 8]
+    counts = (a.sizes[i[rows]] + 7) >> 3
+    ends = np.cumsum(counts)
+    at = 0
+    while at < len(rows):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + STEP_BLOCKS, side="right")))
+        some = rows[at:end]
+        owner, k = _runs(counts[at:end])
+        bad = a.blocks[a.first[i[some]][owner] + k] != b.blocks[b.first[j[some]][owner] + k]
+        same[some[np.unique(owner[bad])]] = False
+        at = end
+    return same
+
+
+def told_apart(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(representatives, the number of each word's representative): words with equal bytes
+    share one. Equal hashes of different words cost a second look, nothing else."""
+    _, one, number = np.unique(words.hashes, return_index=True, return_inverse=True)
+    odd = np.flatnonzero(~same_words(words, np.arange(len(words)), words, one[number]))
+    more: dict[bytes, tuple[int, int]] = {}
+    for i in odd.tolist():
+        own = words.blocks[words.first[i] : words.first[i] + (words.sizes[i] + 7 >> 3)].tobytes() + words.sizes[i].tobytes()
+        if own not in more:
+            more[own] = (len(one) + len(more), i)
+        number[i] = more[own][0]
+    return np.concatenate([one, np.array([i for _, i in more.values()], dtype=one.dtype)]), number
+
+
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)

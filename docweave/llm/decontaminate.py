@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docweave.llm._shared import Shipped, map_arrow
-from docweave.llm._text import Powers, byte_values, chunks, find_words, hash_words, mix64, text_buffers, word_table
+from docweave.llm._text import Words, chunks, find_words, lower_bytes, mix64, read_words, same_words, text_buffers, word_table
 
 WINDOW = 13
 #: Words of benchmark text in one broadcast block.
@@ -46,14 +46,32 @@ REPORT = T.StructType([
 ])
 
 
+@dataclass
+class Spaced:
+    """Words of documents one behind the other: ``hashes`` with a zero behind each document
+    and some more at the end, ``heads`` where documents start in it, ``number`` the place of
+    each hash's word in ``words``."""
+
+    hashes: np.ndarray
+    heads: np.ndarray
+    number: np.ndarray
+    words: Words
+
+    def same(self, i: np.ndarray, other: Spaced, j: np.ndarray) -> np.ndarray:
+        """Whether the words at ``i`` here and ``j`` there are words and equal in all bytes."""
+        out = (self.hashes[i] == other.hashes[j]) & (self.hashes[i] != 0)
+        at = np.flatnonzero(out)
+        out[at] = same_words(self.words, self.number[i[at]], other.words, other.number[j[at]])
+        return out
+
+
 @dataclass
 class Block:
-    """A part of the benchmark. ``words`` holds the items one behind the other with
-    a zero behind each; ``suffix`` are the starts to search, one for each different
-    window, ``length`` their windows' lengths, ``items[first[i]:first[i + 1]]``
-    the items (as strings) that contain window i."""
+    """A part of the benchmark. ``text`` holds the items one behind the other; ``suffix``
+    are the starts to search, one for each different window, ``length`` their windows'
+    lengths, ``items[first[i]:first[i + 1]]`` the items (as strings) that contain window i."""
 
-    words: np.ndarray
+    text: Spaced
     suffix: np.ndarray
     length: np.ndarray
     first: np.ndarray
@@ -66,26 +84,33 @@ def _slot(words: np.ndarray, after: np.ndarray) -> np.ndarray:
     return (mix64(words * np.uint64(3) + after) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
 
-def _hashed(texts: list[str], powers: Powers, values: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    bounds, data = text_buffers(pa.array(texts, type=pa.large_string()))
+def spaced(data: np.ndarray, bounds: np.ndarray, table: np.ndarray, window: int) -> tuple[Spaced, np.ndarray]:
+    """The words of lower-cased texts, and each text's first word and the total."""
     starts, ends, first = find_words(data, bounds, table)
-    return _spaced(hash_words(data, starts, ends, values, powers), first)
+    words = read_words(data, starts, ends)
+    n = len(first) - 1
+    hashes = np.zeros(len(words) + n + window + 1, dtype=np.uint64)
+    number = np.zeros(len(hashes), dtype=np.int64)
+    place = np.arange(len(words)) + np.repeat(np.arange(n), np.diff(first))
+    hashes[place], number[place] = np.maximum(words.hashes, np.uint64(1)), np.arange(len(words))
+    return Spaced(hashes, first + np.arange(n + 1), number, words), first
 
 
-def _spaced(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes with a zero behind each document, and where the documents start."""
-    n = len(first) - 1
-    out = np.zeros(len(hashes) + n, dtype=np.uint64)
-    place = np.arange(len(hashes)) + np.repeat(np.arange(n), np.diff(first))
-    out[place] = np.maximum(hashes, np.uint64(1))
-    return out, first + np.arange(n + 1)
+def _equal_windows(text: Spaced, i: np.ndarray, other: Spaced, j: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether the windows of ``length`` words at ``i`` and ``j`` are equal in all bytes."""
+    out = np.ones(len(i), dtype=bool)
+    for d in range(int(length.max(initial=0))):
+        at = np.flatnonzero(out & (length > d))
+        out[at] = text.same(i[at] + d, other, j[at] + d)
+    return out
 
 
 def make_block(ids: list, texts: list[str], window: int = WINDOW) -> Block:
-    words, heads = _hashed(texts, Powers(), byte_values(), word_table("alnum"))
+    bounds, data = text_buffers(pa.array(texts, type=pa.large_string()))
+    text, _ = spaced(lower_bytes()[data], bounds, word_table("alnum"), window)
     starts, lengths, owners = [], [], []
     for i in range(len(ids)):
-        lo, n = int(heads[i]), int(heads[i + 1] - heads[i] - 1)
+        lo, n = int(text.heads[i]), int(text.heads[i + 1] - text.heads[i] - 1)
         if n:
             count = max(1, n - window + 1)
             starts.append(np.arange(lo, lo + count))
@@ -94,17 +119,19 @@ def make_block(ids: list, texts: list[str], window: int = WINDOW) -> Block:
     start = np.concatenate(starts) if starts else np.zeros(0, np.int64)
     length = np.concatenate(lengths) if lengths else np.zeros(0, np.int64)
     owner = np.concatenate(owners) if owners else np.zeros(0, np.int64)
-    padded = np.concatenate([words, np.zeros(window + 1, np.uint64)])
     key = np.zeros((len(start), window + 1), dtype=np.uint64)
     for d in range(window):
-        key[:, d] = np.where(d < length, padded[start + d], 0)
+        key[:, d] = np.where(d < length, text.hashes[start + d], 0)
     key[:, window] = length.astype(np.uint64)
     _, unique, inverse = np.unique(key, axis=0, return_index=True, return_inverse=True) if len(start) else (None, np.zeros(0, np.int64), np.zeros(0, np.int64))
+    odd = np.flatnonzero(~_equal_windows(text, start, text, start[unique][inverse], length))
+    inverse[odd] = len(unique) + np.arange(len(odd))  # alike in hashes only: windows of their own
+    unique = np.concatenate([unique, odd])
     order = np.argsort(inverse, kind="stable")
     pairs = np.zeros(1 << FILTER_BITS, dtype=bool)
     at = start[unique]
-    pairs[_slot(padded[at], padded[at + 1])] = True
-    return Block(padded, at, length[unique], np.searchsorted(inverse[order], np.arange(len(unique) + 1)), np.array([str(x) for x in ids], dtype=object)[owner[order]], pairs, np.unique(padded[at][length[unique] == 1]))
+    pairs[_slot(text.hashes[at], text.hashes[at + 1])] = True
+    return Block(text, at, length[unique], np.searchsorted(inverse[order], np.arange(len(unique) + 1)), np.array([str(x) for x in ids], dtype=object)[owner[order]], pairs, np.unique(text.hashes[at][length[unique] == 1]))
 
 
 def blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int = BLOCK_WORDS, window: int = WINDOW) -> Iterator[Block]:
@@ -160,7 +187,7 @@ def search(words: np.ndarray, order: np.ndarray, block: Block) -> tuple[np.ndarr
     found, below, above = [], [], []
     depth = 0
     while len(active):
-        sought = block.words[block.suffix[active] + depth]
+        sought = block.text.hashes[block.suffix[active] + depth]
         lo, hi = _bisect(words, order, lo, hi, depth, sought, False), _bisect(words, order, lo, hi, depth, sought, True)
         depth += 1
         left = lo < hi
@@ -176,7 +203,13 @@ def search(words: np.ndarray, order: np.ndarray, block: Block) -> tuple[np.ndarr
     return np.repeat(window, count), order[np.repeat(lo, count) + rank]
 
 
-def longest(words: np.ndarray, block: Block, window: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def confirmed(text: Spaced, block: Block, window: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The occurrences whose words are equal in all bytes, not in their hashes only."""
+    out = _equal_windows(text, place, block.text, block.suffix[window], block.length[window])
+    return window[out], place[out]
+
+
+def longest(text: Spaced, block: Block, window: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(start, length) of the matches that the occurrences grow into along their
     diagonals, each grown from the head of its run."""
     source = block.suffix[window]
@@ -191,13 +224,13 @@ def longest(words: np.ndarray, block: Block, window: np.ndarray, place: np.ndarr
     size = end - start
     while True:
         grow = (start > 0) & (at > 0)
-        grow[grow] = (words[start[grow] - 1] == block.words[at[grow] - 1]) & (words[start[grow] - 1] != 0)
+        grow[grow] = text.same(start[grow] - 1, block.text, at[grow] - 1)
         if not grow.any():
             break
         start, at, size = start - grow, at - grow, size + grow
     while True:
-        grow = (start + size < len(words)) & (at + size < len(block.words))
-        grow[grow] = (words[(start + size)[grow]] == block.words[(at + size)[grow]]) & (words[(start + size)[grow]] != 0)
+        grow = (start + size < len(text.hashes)) & (at + size < len(block.text.hashes))
+        grow[grow] = text.same((start + size)[grow], block.text, (at + size)[grow])
         if not grow.any():
             return start, size
         size = size + grow
@@ -209,32 +242,31 @@ class Scanner:
     def __init__(self, sources: list, window: int) -> None:
         self.sources, self.window = sources, window
         self.held = [sources[0].get()] if len(sources) == 1 else []  # of more, one at a time
-        self.powers, self.values, self.table = Powers(), byte_values(), word_table("alnum")
+        self.lower, self.table = lower_bytes(), word_table("alnum")
 
     def report(self, column: pa.Array) -> dict[str, list]:
         out: dict[str, list] = {f.name: [] for f in REPORT}
         bounds, data = text_buffers(column)
         for lo, hi in chunks(bounds, SHARD_BYTES if len(self.sources) < 2 else 8 * SHARD_BYTES):
-            self._shard(data[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo], out)
+            self._shard(self.lower[data[bounds[lo] : bounds[hi]]], bounds[lo : hi + 1] - bounds[lo], out)
         return out
 
     def _shard(self, data: np.ndarray, bounds: np.ndarray, out: dict[str, list]) -> None:
-        starts, ends, first = find_words(data, bounds, self.table)
-        words, heads = _spaced(hash_words(data, starts, ends, self.values, self.powers), first)
+        text, first = spaced(data, bounds, self.table, self.window)
+        words, heads = text.hashes, text.heads
         n = len(heads) - 1
-        words = np.concatenate([words, np.zeros(self.window, np.uint64)])
         edge = np.zeros(len(words) + 1, dtype=np.int64)
         best, best_at = np.zeros(n, np.int64), np.full(n, -1, np.int64)
         items: dict[int, set[str]] = {}
         for block in self.held or (s.get() for s in self.sources):
-            window, place = search(words, suffix_array(words, block, self.window), block)
+            window, place = confirmed(text, block, *search(words, suffix_array(words, block, self.window), block))
             if len(window):
                 np.add.at(edge, place, 1)
                 np.add.at(edge, place + block.length[window], -1)
                 doc = np.searchsorted(heads, place, side="right") - 1
                 for d, w in np.unique(np.stack([doc, window], axis=1), axis=0).tolist():
                     items.setdefault(d, set()).update(block.items[block.first[w] : block.first[w + 1]])
-                start, size = longest(words, block, window, place)
+                start, size = longest(text, block, window, place)
                 doc = np.searchsorted(heads, start, side="right") - 1
                 for d, s, k in zip(doc.tolist(), start.tolist(), size.tolist(), strict=True):
                     at = s - int(heads[d])
@@ -266,10 +298,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_i
     words and is clean. Items without id or text take no part; an item id that
     comes twice counts once. Repeated rows of ``docs`` each get a row. An empty
     benchmark finds nothing; an empty table gives no rows. Of longest matches alike the
-    first is told. A text of any length is one document. Words are compared by 64-bit
-    hashes, so a window of 13 words that differs is taken for equal with a chance below
-    2**-64, and a window of one word likewise a word. Other columns of ``docs`` are not
-    read, whatever their names."""
+    first is told. A text of any length is one document. Hashes only find the places; every
+    hit is confirmed on the bytes of its words. Other columns of ``docs`` are not read,
+    whatever their names."""
     sources = _sources(docs, benchmark, item_id, item_text, window)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

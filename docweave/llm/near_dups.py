@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from docweave.llm._shared import Tables, map_arrow
-from docweave.llm._text import Powers, byte_values, chunks, find_words, hash_words, mix64, text_buffers, word_table
+from docweave.llm._text import chunks, find_words, lower_bytes, mix64, read_words, text_buffers, word_table
 from docweave.llm.components import connected_components
 
 BANDS, ROWS = 50, 6
@@ -56,16 +56,16 @@ class Shingler:
 
     def __init__(self, size: int) -> None:
         self.size = size
-        self.powers, self.values, self.table = Powers(), byte_values(), word_table("nonspace")
+        self.lower, self.table = lower_bytes(), word_table("nonspace")
 
     def sets(self, column: pa.Array) -> Iterator[np.ndarray]:
         """For each text the sorted distinct hashes of its shingles of ``size``
         words; of a shorter text, one for the whole sequence; of none, nothing."""
         bounds, data = text_buffers(column)
         for lo, hi in chunks(bounds):
-            part = data[bounds[lo] : bounds[hi]]
+            part = self.lower[data[bounds[lo] : bounds[hi]]]
             starts, ends, first = find_words(part, bounds[lo : hi + 1] - bounds[lo], self.table)
-            words = hash_words(part, starts, ends, self.values, self.powers)
+            words = read_words(part, starts, ends).hashes
             rolled = words * _A
             for k in range(1, self.size):
                 left = max(0, len(words) - k)
@@ -168,7 +168,9 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     A null or blank text is linked with nothing; a row without id is linked with
     nothing either, has no component_id and is kept. An empty table gives no rows.
     A text of any length is one set; only its row grows with it. Other columns are
-    not read.
+    not read. Links are confirmed on full sets, whose shingles stand there as 64-bit hashes
+    that mix every eight bytes with their place: sizes count hashes, and two different
+    shingles are taken for one with a chance of 2**-64 a pair.
     """
     tables = Tables(docs.sparkSession, "near-dups")
     known = docs.where(F.col(doc_id).isNotNull()).select(_node(F.col(doc_id).cast("long")).alias("id"), F.col(text).alias("text"))

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docweave.llm._shared import Shipped, Tables, map_arrow
-from docweave.llm._text import Powers, byte_values, chunks, find_words, hash_words, text_buffers, word_table
+from docweave.llm._text import chunks, find_words, lower_bytes, read_words, text_buffers, word_table
 from docweave.llm.toxicity import held_out, sample_rows, training_rows
 
 PASSAGE = 64
@@ -56,7 +56,7 @@ class Encoder:
     """Passage features of texts."""
 
     def __init__(self) -> None:
-        self.powers, self.values, self.table, self.kinds = Powers(), byte_values(), word_table("nonspace"), _kinds()
+        self.lower, self.table, self.kinds = lower_bytes(), word_table("nonspace"), _kinds()
 
     def bags(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For runs of texts: (features of their passages, first passage of each
@@ -67,7 +67,7 @@ class Encoder:
 
     def _chunk(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         starts, ends, first = find_words(data, bounds, self.table)
-        hashes = hash_words(data, starts, ends, self.values, self.powers)
+        hashes = read_words(self.lower[data], starts, ends).hashes
         sizes = np.diff(first)
         each = np.maximum(1, sizes // PASSAGE)  # a short rest belongs to the last passage
         head = np.concatenate([[0], np.cumsum(each)])

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from docweave.llm._shared import Shipped, map_arrow
-from docweave.llm._text import Powers, chunks, hash_words, mix64, text_buffers
+from docweave.llm._text import chunks, read_words, text_buffers, told_apart
 
 PENALTY = 10.0
 MARK = "▁".encode()
@@ -196,8 +196,7 @@ def _walk_one(v: Vocabulary, data: np.ndarray) -> int:
 
 class Counter:
     def __init__(self, v: Vocabulary) -> None:
-        self.v, self.powers = v, Powers()
-        self.values = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        self.v = v
 
     def counts(self, column: pa.Array) -> np.ndarray:
         bounds, data = text_buffers(column)
@@ -225,8 +224,7 @@ class Counter:
                 out[where + i] = b
         starts = np.sort(np.concatenate([place[:-1][space | given], body[marked]]))
         ends = np.append(starts[1:], len(out))
-        hashes = hash_words(out, starts, ends, self.values, self.powers)
-        _, one, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        one, inverse = told_apart(read_words(out, starts, ends))
         counts = count_words(self.v, out, starts[one], (ends - starts)[one])[inverse]
         sums = np.concatenate([[0], np.cumsum(counts)])
         cut = np.searchsorted(starts, place[bounds])
@@ -237,7 +235,8 @@ def token_counts(docs: DataFrame, pieces: list[tuple[str, float]], *, doc_id: st
     """(doc_id, n_tokens) for each row of ``docs``: the tokens of its whole text. A
     null or empty text has none; an empty table gives no rows. Repeated rows each get
     a row; other columns are not read. ``pieces`` is the vocabulary with scores. A text of
-    any length is counted whole; long segments take a step a byte."""
+    any length is counted whole; long segments take a step a byte. Segments share a count
+    only if their bytes are equal, so a row's count depends on its text alone."""
     shared = Shipped(docs.sparkSession, pieces)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
