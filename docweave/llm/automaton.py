@@ -29,8 +29,12 @@ class Automaton:
     longest: int
 
 
+#: Letters of the longest term that may be misspelled; longer ones match as they stand.
+LONGEST_MISSPELLED = 64
+
+
 def allowed_edits(term: str) -> int:
-    return 0 if len(term) < 5 else 1 if len(term) < 10 else 2
+    return 0 if len(term) < 5 or len(term) > LONGEST_MISSPELLED else 1 if len(term) < 10 else 2
 
 
 def _classes(terms: list[str]) -> tuple[np.ndarray, dict[str, int]]:

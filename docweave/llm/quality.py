@@ -99,6 +99,11 @@ class Encoder:
         return x, head
 
 
+def _thinned(bag: np.ndarray, most: int) -> np.ndarray:
+    """At most so many passages, evenly spread over the bag."""
+    return bag if len(bag) <= most else bag[(np.arange(most) * len(bag)) // most]
+
+
 def _segments(x: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.add.reduceat(x, first[:-1], axis=0) if len(first) > 1 else np.zeros((0, *x.shape[1:]))
 
@@ -149,29 +154,36 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality", folds: int = 5, held: int = 0, sample: int = SAMPLE) -> Model | float:
     """The model learned from the labels outside the held-out fold, or the share of
-    label 1, smoothed, if these do not hold both labels."""
+    label 1, smoothed, if these do not hold both labels.
+
+    About ``sample`` labelled ids are looked at; texts alike with one label count once, and
+    as many texts are fitted on as ``PASSAGES`` passages hold. Of a text of more than a
+    hundredth of these, as many passages evenly spread over the whole text are taken."""
     tables = Tables(docs.sparkSession, "quality")
     chosen = sample_rows(training_rows(labels, doc_id, label, folds, held), doc_id, sample)
     texts = docs.select(doc_id, F.col(text).alias("text"))
-    # a row's place in 4,096 buckets of nearly equal size decides whether it is fitted on
-    bucket = F.pmod(F.xxhash64(F.lit(11), doc_id, "text"), F.lit(4096)).cast("int").alias("bucket")
-    rows = texts.join(F.broadcast(chosen), doc_id).select("text", "label", bucket)
+    # a text counts once, however often it stands there; its place in 4,096 buckets of nearly
+    # equal size decides whether it is fitted on
+    rows = texts.join(F.broadcast(chosen), doc_id).withColumn("h", F.xxhash64(F.lit(11), "text")).dropDuplicates(["h", "label"])
+    rows = rows.select("text", "label", F.pmod("h", F.lit(4096)).cast("int").alias("bucket"))
+    most = max(1, PASSAGES // 100)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder()
         for batch in batches:
-            bags = [bag for x, head in encoder.bags(batch.column(0)) for bag in np.split(x, head[1:-1])]
+            bags = [_thinned(bag, most) for x, head in encoder.bags(batch.column(0)) for bag in np.split(x, head[1:-1])]
             yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.int32()), batch.column(2), pa.array([len(bag) for bag in bags], type=pa.int32()), pa.array([bag.tobytes() for bag in bags], type=pa.binary())], ["label", "bucket", "n", "x"])
 
-    encoded = tables.keep(map_arrow(rows, encode, "label int, bucket int, n int, x binary").where(F.col("n") <= PASSAGES // 100), "bags")
+    encoded = tables.keep(map_arrow(rows, encode, "label int, bucket int, n int, x binary"), "bags")
     sizes = encoded.groupBy("bucket").agg(F.sum("n").alias("n")).orderBy("bucket").collect()
-    left, last = PASSAGES, -1
-    for r in sizes:
-        left -= r.n
-        if left < 0:
-            break
-        last = r.bucket
-    got = sorted((r.label, bytes(r.x)) for r in encoded.where(F.col("bucket") <= last).collect())
+    left, taken = PASSAGES, []
+    for r in sizes:  # a bucket that does not fit is passed over, the next ones are not
+        if r.n <= left:
+            left -= r.n
+            taken.append(r.bucket)
+    if sizes and not taken:
+        raise ValueError(f"no bucket of labelled texts fits into {PASSAGES} passages")
+    got = sorted((r.label, bytes(r.x)) for r in encoded.where(F.col("bucket").isin(taken)).collect())
     tables.drop("bags")
     y = np.array([one for one, _ in got], dtype=float)
     if not y.any() or y.all():

@@ -79,11 +79,11 @@ def sample_rows(rows: DataFrame, doc_id: str, bound: int) -> DataFrame:
 
 
 def learn_lexicon(sample: DataFrame, tables: Tables) -> tuple[list[str], list[str]]:
-    """(terms, stems) from sample(text, label)."""
+    """(terms, stems) from sample(text, label); words of any length are tried."""
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     beside = F.transform(F.col("w"), lambda x, i: F.struct(x.alias("word"), F.when(i > 0, F.get(F.col("w"), i - 1)).otherwise("").alias("near")))
     pairs = sample.select("label", F.xxhash64("text").alias("d"), words.alias("w")).select("label", "d", F.explode(beside).alias("p")).select("label", "d", "p.word", "p.near")
-    by_text = pairs.where(F.length("word").between(3, 40)).groupBy("label", "d", "word").agg(F.min("near").alias("near"))
+    by_text = pairs.groupBy("label", "d", "word").agg(F.min("near").alias("near"))
     by_pair = by_text.groupBy("word", "near").agg(F.max("label").alias("t"), F.max(1 - F.col("label")).alias("n"))
     by_word = tables.keep(by_pair.groupBy("word").agg(F.sum("t").alias("t"), F.sum("n").alias("n")), "words")
     lengths = F.expr(f"sequence({STEMS[0]}, least({STEMS[1]}, length(word) - 1))")

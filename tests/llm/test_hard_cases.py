@@ -181,6 +181,37 @@ def test_quality_fits_on_a_bounded_number_of_passages(spark, monkeypatch):
     assert 0 < seen[0] <= 300
 
 
+def test_quality_fit_survives_repeated_rows_and_long_texts(spark, monkeypatch):
+    """A labelled row that stands 5,000 times counts once, wherever its bucket lies, and a
+    text longer than the bound is thinned, not left out."""
+    monkeypatch.setattr(quality, "PASSAGES", 400)
+    few = [(i, ("Fine words here again. " if i % 2 else "@@ %% ## ") * (3 + i)) for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(77, 1), (78, 0)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality.Model, "train", lambda self, x, first, y: seen.append((len(x), np.diff(first).tolist(), y.tolist())) or self)
+    for turn in range(6):
+        docs = documents(spark, few + [(77, f"hot text {turn}")] * 5000 + [(78, "long one " * 40_000)])
+        assert not isinstance(quality.fit(docs, labels), float)
+    for n, bags, y in seen:
+        # held-out ids are no part; the long text gives PASSAGES // 100 passages
+        assert 0 < n <= 400 and max(bags) <= 4 and len(bags) > 20 and {0.0, 1.0} == set(y)
+
+
+@pytest.mark.parametrize("term", ["xq", "坏蛋", "k", "z" * 45, "q" * 300, "abc", "vwxyz"])
+def test_toxic_terms_of_any_length_are_learned(spark, term):
+    draw = random.Random(9)
+    rows, labels = [], []
+    for i in range(600):
+        toxic = i % 2
+        words_ = [f"w{draw.randrange(300):03d}" for _ in range(12)] + [term] * toxic
+        draw.shuffle(words_)
+        rows.append((i, " ".join(words_)))
+        labels.append((i, toxic))
+    docs, marks = documents(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = toxicity.toxicity(docs, marks).where("held_out").collect()
+    assert all(r.predicted == r.doc_id % 2 for r in got) and len(got) > 100
+
+
 def plain_hits(a, terms, stems, text, benign):
     """(edits, quoted, whole) of each hit by edit distances alone, and the words."""
     fold = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t"}
