@@ -45,8 +45,8 @@ def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 SHARDS = 24
 STAGES: list[tuple[str, Stage]] = [("toxicity", toxicity), ("near_dedup", near_dedup), ("decontamination", decontamination), ("mixing", mixing), ("sharding", sharding)]
 
-#: SQL cannot express the trained, iterative stages; tests hold near_dedup and decontamination to
-#: brute force, the ids of toxicity and mixing are not compared.
+#: SQL cannot express the trained, iterative stages; tests hold the ids that each stage keeps to
+#: brute force or plain versions.
 ORACLE_SQL: str | None = None
 
 
