@@ -1,7 +1,7 @@
 """A folder, or a list of files, from scan to sink in one run.
 
-Files are read once into a table of the shared folder, which also gives every
-document its id. Documents go by type and direction, one dataflow each; translations
+Contents are read once into a table of the shared folder, from which every document gets
+its id and the plan is made. Documents go by type and direction, one dataflow each; translations
 that an earlier run stored for the same path, direction and fingerprint are taken,
 and what a round gets through is stored before the next one begins, so a run that is
 broken off goes on where it stopped. A file that fails is a row of ``failures``; the
@@ -18,15 +18,18 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docweave.functions.session import qualified
 from docweave.operators.segments import BATCH, LIMIT, segment_documents
 from docweave.operators.translate import Policy
 from docweave.operators.translators import Translator
 from docweave.plans.metrics import benchmark_rollup, run_metrics
 from docweave.plans.reporter import Reporter
 from docweave.plans.run import SEGMENT_PREFIX, Outcome, prepared, translate_prepared
+from docweave.sources import checkpoints as C
 from docweave.sources import outputs as O
-from docweave.sources.registry import Registry
-from docweave.sources.scan import MAX_BYTES, PlanError, checked_plan, detection_texts, originals, plan_counts, plan_items, read_documents, scan, texts_of
+from docweave.sources.registry import Registry, default_registry
+from docweave.sources.scan import MAX_BYTES, PlanError, checked_plan, detection_texts, folder_files, originals, plan_counts, plan_items, read_texts, relative_folder, scan
+from docweave.sources.sink import write_documents
 
 DIRECTIONS = ("zh_to_en", "en_to_zh")
 _FAILURE = "source_path string, stage string, message string"
@@ -49,17 +52,16 @@ class Report:
 
 def translate_folder(spark: SparkSession, folder: str, out: str, make: Callable[[], Translator], policy: Policy, work: str, *, recursive: bool = False, registry: Registry | None = None, max_bytes: int = MAX_BYTES, limit: int = LIMIT, batch: int = BATCH, parallel: int = 2, reporter: Reporter | None = None) -> Report:
     """Translates the supported files of ``folder`` into ``out``. Outputs of earlier runs
-    are left out. Each document goes in the direction of its language; where that is
-    not sure, in the policy's. ``work`` is a folder of this run that all executors share.
+    are left out; those of subfolders keep their folder. Each document goes in the
+    direction of its language; where that is not sure, in the policy's. ``work`` is a folder of this run that all executors share.
     :class:`PlanError` if there is nothing to do."""
     files = scan(spark, folder, recursive=recursive, registry=registry)
     supported = files.where("supported")
     chosen = checked_plan(files)
     skipped = supported.count() - chosen.count()
-    documents, unread = read_documents(spark, folder, recursive=recursive, limit=max_bytes, registry=registry)
-    keep = originals(supported).select(F.col("path").alias("source_path"))
-    documents, unread = documents.join(keep, "source_path", "left_semi"), unread.join(keep, "source_path", "left_semi")
-    return _run(documents, unread, out, make, policy, work, None, skipped, limit, batch, parallel, reporter)
+    keep = originals(supported).select("path")
+    texts = read_texts(folder_files(spark, folder, recursive).join(keep, "path", "left_semi"), limit=max_bytes, registry=registry)
+    return _run(texts, out, make, policy, work, None, qualified(spark, folder), skipped, limit, batch, parallel, reporter)
 
 
 def translate_files(spark: SparkSession, paths: list[str], out: str, make: Callable[[], Translator], policy: Policy, work: str, *, registry: Registry | None = None, max_bytes: int = MAX_BYTES, limit: int = LIMIT, batch: int = BATCH, parallel: int = 2, reporter: Reporter | None = None) -> Report:
@@ -68,39 +70,42 @@ def translate_files(spark: SparkSession, paths: list[str], out: str, make: Calla
     if not paths:
         raise PlanError("no files")
     files = spark.read.format("binaryFile").load(list(dict.fromkeys(paths)))
-    documents, unread = texts_of(files, limit=max_bytes, registry=registry)
-    known = documents.select("source_path").unionByName(unread.select("source_path"))
-    odd = files.select(F.col("path").alias("source_path")).join(known, "source_path", "left_anti")
-    unread = unread.unionByName(odd.select("source_path", F.lit("scan_source").alias("stage"), F.lit("unknown format").alias("message")))
-    return _run(documents, unread, out, make, policy, work, policy.direction, 0, limit, batch, parallel, reporter)
+    unknown = files.where((registry or default_registry()).document_type(F.col("path")).isNull())
+    none = F.lit(None).cast("string")
+    odd = unknown.select(F.col("path").alias("source_path"), none.alias("document_type"), none.alias("text"), F.lit("scan_source").alias("stage"), F.lit("unknown format").alias("message"))
+    texts = read_texts(files, limit=max_bytes, registry=registry).unionByName(odd)
+    return _run(texts, out, make, policy, work, policy.direction, None, 0, limit, batch, parallel, reporter)
 
 
-def _run(documents: DataFrame, unread: DataFrame, out: str, make: Callable[[], Translator], policy: Policy, work: str, direction: str | None, skipped: int, limit: int, batch: int, parallel: int, reporter: Reporter | None) -> Report:
-    spark, say, began = documents.sparkSession, reporter or Reporter(), time.time()
+def _run(texts: DataFrame, out: str, make: Callable[[], Translator], policy: Policy, work: str, direction: str | None, root: str | None, skipped: int, limit: int, batch: int, parallel: int, reporter: Reporter | None) -> Report:
+    spark, say, began = texts.sparkSession, reporter or Reporter(), time.time()
 
     def kept(df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{work}/{name}")
         return spark.read.schema(df.schema).parquet(f"{work}/{name}")
 
     say("read_source", "reading")
-    unread = kept(unread, "unread")
-    planned = plan_items(detection_texts(documents), policy.direction, text="detection_text").drop("detection_text")
+    texts = kept(texts, "texts")
+    unread = texts.where("stage is not null").select("source_path", "stage", "message")
+    planned = plan_items(detection_texts(texts.where("stage is null").drop("stage", "message")), policy.direction, text="detection_text").drop("detection_text")
     if direction is not None:
         planned = planned.withColumn("resolved_direction", F.lit(direction)).withColumn("uses_fallback_direction", F.lit(False))
     plan = kept(planned.withColumn("doc_id", F.monotonically_increasing_id()), "plan")
     counts = plan_counts(plan, skipped).first().asDict()
     say("plan", f"{counts['total']} documents, {counts['zh_to_en']} zh_to_en, {counts['en_to_zh']} en_to_zh, {skipped} outputs of earlier runs left out")
     store = f"{out}/.doc_translation_cache"
-    written, failures, translations, reused = [], [unread.select("source_path", "stage", "message")], [], []
+    written, failures, translations, reused, marked = [], [unread], [], [], []
     for row in sorted(plan.groupBy("document_type", "resolved_direction").count().collect()):
         kind, way = row["document_type"], row["resolved_direction"]
         say("translate", f"{row['count']} {kind} documents, {way}")
         part = plan.where((F.col("document_type") == kind) & (F.col("resolved_direction") == way))
-        done, taken = _translated(part, kind, replace(policy, direction=way), make, f"{work}/{kind}-{way}", store, limit, batch, parallel)
+        done, taken, marks = _translated(part, kind, replace(policy, direction=way), make, f"{work}/{kind}-{way}", store, limit, batch, parallel)
         named = done.outputs.join(part.select("doc_id", "source_path"), "doc_id")
-        named = kept(named.select("source_path", O.output_name(F.col("source_path"), F.lit(way)).alias("file_name"), "output"), f"{kind}-{way}/outputs")
+        below = relative_folder(F.col("source_path"), root) if root else F.lit("")
+        named = named.select("source_path", F.concat(below, O.output_name(F.col("source_path"), F.lit(way))).alias("file_name"), "output")
         say("write_output", f"{kind}, {way}")
-        wrote = kept(O.write_documents(named, out).join(named.select("source_path", "file_name"), "file_name"), f"{kind}-{way}/written")
+        wrote = write_documents(named, out)
+        marked.append(marks)
         written.append(wrote)
         failures.append(done.failures.join(part.select("doc_id", "source_path"), "doc_id").select("source_path", "stage", "message"))
         failures.append(wrote.where("error is not null").select("source_path", F.lit("write_output").alias("stage"), F.col("error").alias("message")))
@@ -109,15 +114,17 @@ def _run(documents: DataFrame, unread: DataFrame, out: str, make: Callable[[], T
     failed = kept(_united(failures, spark, _FAILURE), "failures")
     calls = _united(translations, spark, "batch_index long, seg_id string, translated_text string, error_code string, message string, retries long, splits long, rescues long, round int, source_path string")
     files = kept(_files(plan, unread, failed, calls, _united(reused, spark, "source_path string"), time.time() - began), "files")
-    if failed.isEmpty():
-        O.clear_checkpoints(spark, store)
+    if marked and failed.isEmpty():  # this run's documents only; other runs keep theirs
+        C.clear_checkpoints(_united(marked, spark, ""), store)
+    say.files(files, failed)
     rollup = benchmark_rollup(files).first().asDict()
     say("done", f"{rollup['succeeded']} of {rollup['files']} files")
     return Report(plan.drop("text"), _united(written, spark, "file_name string, output_path string, bytes_written long, error string, source_path string"), failed, files, counts, run_metrics(calls).first().asDict(), rollup)
 
 
-def _translated(part: DataFrame, kind: str, policy: Policy, make: Callable[[], Translator], folder: str, store: str, limit: int, batch: int, parallel: int) -> tuple[Outcome, DataFrame]:
-    """The documents of one type and direction, and the translations that were stored."""
+def _translated(part: DataFrame, kind: str, policy: Policy, make: Callable[[], Translator], folder: str, store: str, limit: int, batch: int, parallel: int) -> tuple[Outcome, DataFrame, DataFrame]:
+    """The documents of one type and direction, the translations that were stored, and the
+    documents' fingerprints."""
     spark = part.sparkSession
     prepared(part.select("doc_id", "text"), kind).write.mode("overwrite").parquet(f"{folder}/prepared")
     ready = spark.read.parquet(f"{folder}/prepared")
@@ -127,14 +134,11 @@ def _translated(part: DataFrame, kind: str, policy: Policy, make: Callable[[], T
     marks = each.join(part.select("doc_id", "source_path"), "doc_id").select("doc_id", "source_path", F.lit(policy.direction).alias("direction"), O.fingerprint(F.lit(kind), F.col("trailing_newline"), F.col("s")).alias("fingerprint"))
     marks.write.mode("overwrite").parquet(f"{folder}/fingerprints")
     marks = spark.read.parquet(f"{folder}/fingerprints")
-    earlier = O.read_checkpoints(spark, store, marks) if O.exists(spark, store) else None
-    cached = spark.createDataFrame([], "doc_id long, seg_id string, translated_text string")
-    if earlier is not None:
-        cached = earlier.join(marks, O.KEYS).select("doc_id", "seg_id", "translated_text")
+    cached = C.read_checkpoints(spark, store, marks).join(marks, C.KEYS).select("doc_id", "seg_id", "translated_text")
     cached.write.mode("overwrite").parquet(f"{folder}/cached")
     cached = spark.read.parquet(f"{folder}/cached")
-    done = translate_prepared(ready, kind, make, policy, folder, cached=cached, limit=limit, batch=batch, parallel=parallel, store=lambda rows: O.write_checkpoints(rows.join(marks, "doc_id"), store))
-    return done, cached
+    done = translate_prepared(ready, kind, make, policy, folder, cached=cached, limit=limit, batch=batch, parallel=parallel, store=lambda rows: C.write_checkpoints(rows.join(marks, "doc_id"), store))
+    return done, cached, marks
 
 
 def _files(plan: DataFrame, unread: DataFrame, failed: DataFrame, calls: DataFrame, reused: DataFrame, seconds: float) -> DataFrame:

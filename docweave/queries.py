@@ -3,7 +3,6 @@ where SQL can express them."""
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 
 from docweave.functions import language as L
 from docweave.functions import text as X
-from docweave.functions.session import local_path, scratch
+from docweave.functions.session import make_folder, scratch
 from docweave.operators import blocks as B
 from docweave.operators import segments as G
 from docweave.operators import validate as V
@@ -22,9 +21,11 @@ from docweave.operators.translators import MockTranslator, TranslatorError, mock
 from docweave.plans import metrics as M
 from docweave.plans.folder import translate_folder
 from docweave.plans.run import mock_documents, prepared
+from docweave.sources import checkpoints as K
 from docweave.sources import outputs as O
 from docweave.sources import scan as S
 from docweave.sources.registry import default_registry
+from docweave.sources.sink import write_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -380,16 +381,15 @@ _DITA_UP = "'<topic id=\"d' || doc_id::VARCHAR || '\"><title>标题</title><body
 def folder_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as files, translated in a run that breaks off and one that goes on."""
     at = scratch(spark, "folder-run")
-    here = local_path(at)
     for name in ("in", "out"):
-        os.makedirs(f"{here}/{name}")
+        make_folder(spark, f"{at}/{name}")
     docs = _docs(spark, sf_dir)
     even, odd = docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1")
     md = spark.sql(MD.replace("FROM documents", "FROM {documents}"), documents=even)
     name = lambda end: F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(end)).alias("file_name")
     rest = spark.createDataFrame([("stop.md", "please STOPHERE now\n"), ("stop_en.md", "an earlier output"), ("broken.dita", "<topic>"), ("notes.txt", "x")], "file_name string, output string")
     made = md.select(name(".md"), F.col("text").alias("output")).unionByName(odd.select(name(".dita"), F.expr(DITA).alias("output"))).unionByName(rest)
-    O.write_documents(made.withColumn("source_path", F.lit("")), f"{here}/in").write.format("noop").mode("overwrite").save()
+    write_documents(made.withColumn("source_path", F.lit("")), f"{at}/in")
     run = lambda word, on, work: translate_folder(spark, f"{at}/in", f"{at}/out", lambda: Broken(word, on), Policy("en_to_zh", retries=0), f"{at}/{work}", parallel=8)
     run("STOPHERE", True, "first")
     done = run("STOPHERE", False, "second")
@@ -411,6 +411,51 @@ def retry_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.groupBy(F.col("doc_id").alias("conv_id")).agg(F.count(F.lit(1)).alias("segments"), joined.alias("translated"), F.sum("splits").alias("splits"), F.sum("rescues").alias("rescues"), F.count("error_code").alias("failed"))
 
 
+@query("""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, 's' || lpad(doc_id::VARCHAR, 12, '0') AS source, doc_id - (doc_id % 10 = 3)::BIGINT AS n FROM documents),
+  f AS (SELECT *, 'p' || (n % 5)::VARCHAR || '/d' || n::VARCHAR || '.md' AS file_name, CASE WHEN n % 100 = 7 THEN 'write_output: the target is a folder' WHEN row_number() OVER (PARTITION BY n ORDER BY source) > 1 THEN 'write_output: another document has this file name' END AS error FROM d)
+  SELECT doc_id, file_name, error, CASE WHEN error IS NULL THEN sha256(text) END AS output_sha256, CASE WHEN error IS NULL THEN octet_length(encode(text)) ELSE 0 END::BIGINT AS bytes_written, 0::BIGINT AS left_by_failed_job FROM f""")
+def sink_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents through the sink: a job whose last partition fails leaves nothing; in the
+    next one some targets are folders and some names are taken, which are rows."""
+    out = scratch(spark, "sink")
+    make_folder(spark, out)
+    n = F.col("doc_id") - (F.col("doc_id") % 10 == 3).cast("long")
+    docs = _docs(spark, sf_dir).withColumn("n", n)
+    named = docs.select("doc_id", F.concat(F.lit("s"), F.lpad(F.col("doc_id").cast("string"), 12, "0")).alias("source_path"), F.concat(F.lit("p"), (F.col("n") % 5).cast("string"), F.lit("/d"), F.col("n").cast("string"), F.lit(".md")).alias("file_name"), F.coalesce("text", F.lit("")).alias("output"))
+    last = docs.agg(F.max("doc_id")).first()[0]
+    try:
+        write_documents(named.withColumn("output", F.when(F.col("doc_id") == last, F.raise_error(F.lit("broken"))).otherwise(F.col("output"))), out)
+    except Exception as error:
+        if "broken" not in str(error):
+            raise
+    left = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(out).count()
+    for r in docs.where("n % 100 = 7").select("n").distinct().toLocalIterator():
+        make_folder(spark, f"{out}/p{r.n % 5}/d{r.n}.md")
+    report = write_documents(named, out)
+    back = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(out).select(F.regexp_extract("path", r"(p\d/[^/]+)$", 1).alias("file_name"), F.sha2("content", 256).alias("sha"))
+    both = named.select("doc_id", "source_path").join(report, "source_path").join(back, "file_name", "left")
+    return both.select("doc_id", "file_name", "error", F.when(F.col("error").isNull(), F.col("sha")).alias("output_sha256"), "bytes_written", F.lit(left).cast("long").alias("left_by_failed_job"))
+
+
+@query(f"""WITH s AS (SELECT conv_id, turn, min(text) AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL)
+  SELECT conv_id, turn, {_UP.format("coalesce(text, '')")} || CASE WHEN conv_id % 3 = 0 THEN '!' ELSE '' END AS translated_text, 1::BIGINT AS stored FROM s WHERE conv_id % 3 <> 0 AND turn < 4 OR conv_id % 6 = 0 AND turn >= 1""")
+def checkpoint_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two interleaved runs that store turns of conversations in one table: both store some
+    turns, one repeats itself, a third of the conversations is cleared, half of these come
+    again with other texts, and the table is compacted."""
+    at = scratch(spark, "store")
+    turns = _table(spark, sf_dir, "conversations").where("conv_id is not null and turn is not null").groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
+    rows = turns.select("conv_id", "turn", F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("source_path"), F.lit("en_to_zh").alias("direction"), F.sha2(F.col("conv_id").cast("string"), 256).alias("fingerprint"), F.concat(F.lit("seg-"), X.padded(F.col("turn"))).alias("seg_id"), F.expr(_UP.format("coalesce(text, '')")).alias("translated_text"))
+    for part in ("turn < 2", "turn < 3", "turn < 2", "turn between 2 and 3"):
+        K.write_checkpoints(rows.where(part), at)
+    K.clear_checkpoints(rows.where("conv_id % 3 = 0"), at)
+    K.write_checkpoints(rows.where("conv_id % 6 = 0 and turn >= 1").withColumn("translated_text", F.concat("translated_text", F.lit("!"))), at)
+    K.compact_checkpoints(spark, at)
+    keys = [*K.KEYS, "seg_id"]
+    times = spark.read.parquet(at).groupBy(*keys).agg(F.count(F.lit(1)).alias("stored"))
+    return K.read_checkpoints(spark, at, rows).join(rows.select("conv_id", "turn", *keys), keys).join(times, keys).select("conv_id", "turn", "translated_text", "stored")
+
+
 _MASKED = _MASK.format("text")
 
 

@@ -1,19 +1,13 @@
-"""Output names, checkpoints and the sink for translated documents."""
+"""Names of outputs and caches, and what tells one content from another."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from pathlib import Path
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docweave.sources.scan import file_name, stem
 
 SUFFIX = {"zh_to_en": "_en", "en_to_zh": "_zh"}
-KEYS = ["source_path", "direction", "fingerprint"]
 
 
 def output_name(path: Column, direction: Column) -> Column:
@@ -41,59 +35,3 @@ def _plain_escapes(json: Column) -> Column:
     for code in (0x0B, 0x0E, 0x0F, 0x1A, 0x1B, 0x1C, 0x1D, 0x1E, 0x1F):
         out = F.regexp_replace(out, rf"(?<!\\)((?:\\\\)*)\\u{code:04X}", rf"$1\\u{code:04x}")
     return F.when(json.rlike(r"\\u00[01][A-F]"), out).otherwise(json)
-
-
-def read_checkpoints(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
-    """Stored translations of the documents in wanted(source_path, direction,
-    fingerprint): an inner join on all three, the latest of each segment."""
-    stored = spark.read.schema("source_path string, fingerprint string, seg_id string, translated_text string, written timestamp, direction string").parquet(path)
-    order = W.partitionBy(*KEYS, "seg_id").orderBy(F.desc("written"), "translated_text")
-    return stored.join(wanted.select(*KEYS), KEYS).withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
-
-
-def write_checkpoints(rows: DataFrame, path: str) -> None:
-    """Appends translations(source_path, direction, fingerprint, seg_id,
-    translated_text), partitioned by direction so that reads prune."""
-    rows.select(*KEYS, "seg_id", "translated_text").withColumn("written", F.current_timestamp()).write.mode("append").partitionBy("direction").parquet(path)
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
-
-
-def clear_checkpoints(spark: SparkSession, path: str) -> None:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def write_markdown(outputs: DataFrame, folder: str) -> DataFrame:
-    """:func:`write_documents` of Markdown alone; a row whose source or output is named
-    otherwise is not written and says so."""
-    named = F.endswith(F.lower("source_path"), F.lit(".md")) & F.endswith(F.lower("file_name"), F.lit(".md"))
-    wrong = outputs.where(~F.coalesce(named, F.lit(False))).select(F.lit(None).cast("string").alias("output_path"), "file_name", F.lit(0).cast("long").alias("bytes_written"), F.lit("write_output: not Markdown").alias("error"))
-    return write_documents(outputs.where(named), folder).unionByName(wrong)
-
-
-def write_documents(outputs: DataFrame, folder: str) -> DataFrame:
-    """Writes outputs(source_path, file_name, output), one file a row, into a folder that
-    all executors share, and returns (output_path, file_name, bytes_written, error). The
-    folder must exist and an output must not be its source; files are replaced whole."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for source, name, text in zip(frame["source_path"], frame["file_name"], frame["output"], strict=True):
-                target, body, error = Path(folder.removeprefix("file://").removeprefix("file:")) / name, text.encode(), None
-                if not target.parent.is_dir():
-                    error = "write_output: the folder does not exist"
-                elif target.resolve() == Path(str(source).removeprefix("file:")).resolve():
-                    error = "write_output: the output would replace its source"
-                else:
-                    part = target.with_name(f".{name}.part")
-                    part.write_bytes(body)
-                    part.replace(target)
-                out.append((str(target), name, 0 if error else len(body), error))
-            yield pd.DataFrame(out, columns=["output_path", "file_name", "bytes_written", "error"])
-
-    return outputs.select("source_path", "file_name", "output").mapInPandas(run, "output_path string, file_name string, bytes_written long, error string")

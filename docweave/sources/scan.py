@@ -56,22 +56,37 @@ def in_order(files: DataFrame) -> DataFrame:
     return files.orderBy(F.lower(file_name(F.col("path"))), "path")
 
 
+def read_texts(files: DataFrame, *, limit: int = MAX_BYTES, registry: Registry | None = None) -> DataFrame:
+    """(source_path, document_type, text, stage, message) of the supported files among
+    files(path, length, content), line ends normalised. Files over ``limit`` bytes, whose
+    contents are not read, or not in UTF-8 have no text but a stage, read_source, and a
+    message. Contents are read once."""
+    kind = (registry or default_registry()).document_type(F.col("path"))
+    known = files.withColumn("document_type", kind).where("document_type is not null")
+    said = lambda m: (F.lit("read_source").alias("stage"), m.alias("message"))
+    body = known.where(F.col("length") <= limit).select("path", "document_type", F.col("content").cast("string").alias("body")).withColumn("valid", F.is_valid_utf8("body"))
+    read = body.select(F.col("path").alias("source_path"), "document_type", F.when(F.col("valid"), ends_normalised(F.col("body"))).alias("text"), F.when(~F.col("valid"), "read_source").alias("stage"), F.when(~F.col("valid"), "not UTF-8").alias("message"))
+    big = known.where(F.col("length") > limit).select(F.col("path").alias("source_path"), "document_type", F.lit(None).cast("string").alias("text"), *said(F.concat(F.lit("larger than "), F.lit(limit), F.lit(" bytes"))))
+    return read.unionByName(big)
+
+
 def read_documents(spark: SparkSession, folder: str, *, recursive: bool = False, limit: int = MAX_BYTES, registry: Registry | None = None) -> tuple[DataFrame, DataFrame]:
-    """(documents, failures): texts of the supported files, line ends normalised; files
-    over ``limit`` bytes or not in UTF-8 are failures of stage read_source."""
-    return texts_of(_files(spark, folder, recursive), limit=limit, registry=registry)
+    """(documents, failures) of the supported files of a folder; see :func:`read_texts`."""
+    texts = read_texts(_files(spark, folder, recursive), limit=limit, registry=registry)
+    return texts.where("stage is null").drop("stage", "message"), texts.where("stage is not null").select("source_path", "stage", "message")
 
 
-def texts_of(files: DataFrame, *, limit: int = MAX_BYTES, registry: Registry | None = None) -> tuple[DataFrame, DataFrame]:
-    """As :func:`read_documents`, of files(path, length, content)."""
-    kind = (registry or default_registry()).document_type(F.col("path"))
-    known = files.withColumn("document_type", kind).where("document_type is not null")
-    fits = known.where(F.col("length") <= limit).withColumn("valid", F.is_valid_utf8(F.col("content").cast("string")))
-    text = ends_normalised(F.col("content").cast("string"))
-    documents = fits.where("valid").select(F.col("path").alias("source_path"), "document_type", text.alias("text"))
-    big = known.where(F.col("length") > limit).select(F.col("path").alias("source_path"), F.lit("read_source").alias("stage"), F.concat(F.lit("larger than "), F.lit(limit), F.lit(" bytes")).alias("message"))
-    bad = fits.where("not valid").select(F.col("path").alias("source_path"), F.lit("read_source").alias("stage"), F.lit("not UTF-8").alias("message"))
-    return documents, big.unionByName(bad)
+def folder_files(spark: SparkSession, folder: str, recursive: bool) -> DataFrame:
+    """files(path, modificationTime, length, content) of a folder."""
+    return _files(spark, folder, recursive)
+
+
+def relative_folder(path: Column, root: str) -> Column:
+    """The folder of a path below ``root``, ending in a slash; empty for ``root`` itself and
+    for paths elsewhere."""
+    plain = lambda x: F.regexp_replace(x, "^file:/+", "/")
+    above, own = F.concat(plain(folder_of(path)), F.lit("/")), F.regexp_replace(plain(F.lit(root.rstrip("/"))), "$", "/")
+    return F.when(F.startswith(above, own), F.substr(above, F.length(own) + 1)).otherwise("")
 
 
 def generated(files: DataFrame, path: str = "path") -> DataFrame:

@@ -73,8 +73,42 @@ def test_folder(spark, folder):
 
 
 def test_recursive(spark, folder):
-    got = run(spark, folder, "r", recursive=True)
-    assert "g_en.md" in names(folder) and got.counts["total"] == 5
+    """Outputs of subfolders keep their folder, so equal names do not meet."""
+    (folder / "in/sub/deep").mkdir()
+    (folder / "in/sub/deep/g.md").write_text(EN)
+    (folder / "in/sub/a.md").write_text(EN)
+    told = {}
+    got = run(spark, folder, "r", recursive=True, reporter=Reporter(file=lambda path, why: told.update({path.rsplit("/", 1)[1]: why})))
+    assert {str(p.relative_to(folder / "out")) for p in (folder / "out").rglob("*.[dm]*") if ".doc" not in str(p)} == {"a_en.md", "b_zh.md", "c_en.dita", "sub/a_zh.md", "sub/g_en.md", "sub/deep/g_zh.md"}
+    assert got.counts["total"] == 7 and got.rollup["succeeded"] == 6 == got.written.where("error is null").count() and got.written.count() == 6
+    assert told["e.md"] == "read_source: not UTF-8" and told["b.md"] is None and len(told) == 6
+
+
+def test_clashes_and_broken_targets(spark, folder):
+    """Files of one name from two folders, and a target that is a folder: rows, not a stop."""
+    (folder / "in/sub/b.md").write_text(EN)
+    (folder / "out/a_en_en.md").mkdir()
+    paths = [str(folder / "in" / n) for n in ("a_en.md", "b.md", "sub/b.md")]
+    got = translate_files(spark, paths, str(folder / "out"), T.MockTranslator, R.Policy("zh_to_en"), f"file://{folder}/work")
+    failed = {r.source_path.rsplit("/in/", 1)[1]: (r.stage, r.message) for r in got.failures.collect()}
+    assert failed == {"a_en.md": ("write_output", "write_output: the target is a folder"), "sub/b.md": ("write_output", "write_output: another document has this file name")}
+    assert got.rollup["succeeded"] == 1 and got.rollup["failed"] == 2
+
+
+def test_runs_into_one_folder_keep_their_checkpoints(spark, folder):
+    """A run that succeeds leaves what another one has stored."""
+    for name in ("a.md", "a_en.md", "b.md", "c.dita", "d.dita", "e.md"):
+        (folder / "in" / name).unlink()
+    (folder / "in/h.md").write_text("\n\n".join(f"第{i}段文字内容示例" for i in range(9)) + "\n\n最后一段 BOOM 在这里\n")
+    assert run(spark, folder, "1", batch=2).rollup["failed"] == 1
+    other = folder / "other"
+    other.mkdir()
+    (other / "i.md").write_text(ZH)
+    at = str(folder / "calls")
+    assert translate_folder(spark, str(other), str(folder / "out"), lambda: Counted(at), R.Policy("zh_to_en", retries=0), f"file://{folder}/work-2").rollup["succeeded"] == 1
+    (folder / "calls/mended").touch()
+    third = run(spark, folder, "3", batch=2)
+    assert third.failures.isEmpty() and [r.cached for r in third.files.collect()] == [8]
 
 
 def test_a_broken_run_goes_on(spark, folder):
@@ -90,7 +124,7 @@ def test_a_broken_run_goes_on(spark, folder):
     sent = sorted(x for p in (folder / "calls").glob("*.sent") for x in p.read_text().split("\n"))
     assert sent == ["seg-0008", "seg-0009"] and second.failures.isEmpty() and "h_en.md" in names(folder)
     assert {r.source_path.rsplit("/", 1)[1]: r.cached for r in second.files.collect()} == {"a.md": 2, "b.md": 4, "h.md": 8}
-    assert not (folder / "out/.doc_translation_cache").exists()
+    assert run(spark, folder, "2b", batch=2).files.agg({"cached": "sum"}).first()[0] == 0  # cleared
     (folder / "in/h.md").write_text("别的文字内容示例\n")
     assert run(spark, folder, "3").files.agg({"cached": "sum"}).first()[0] == 0
 

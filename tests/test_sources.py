@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from docweave.sources import config as C
+from docweave.sources import checkpoints as K
 from docweave.sources import outputs as O
+from docweave.sources.sink import write_documents
 from docweave.sources import scan as S
 from docweave.sources.registry import Registry, default_registry
 from docweave.streaming.inbox import directions_by_window, inbox, planned, run_inbox
@@ -85,22 +87,60 @@ def test_input_checks(tmp_path):
     assert C.check_input([str(tmp_path)], str(tmp_path), folder=True).valid
 
 
+CHECKPOINT = "source_path string, direction string, fingerprint string, seg_id string, translated_text string"
+
+
+def stored(spark, at, rows):
+    asked = spark.createDataFrame([(p, "zh_to_en", f) for p, f in rows], "source_path string, direction string, fingerprint string")
+    return sorted((r.source_path, r.seg_id, r.translated_text) for r in K.read_checkpoints(spark, at, asked).collect())
+
+
 def test_checkpoints(spark, tmp_path):
     at = str(tmp_path / "c")
-    row = lambda t: spark.createDataFrame([("p", "zh_to_en", "f", "s", t)], "source_path string, direction string, fingerprint string, seg_id string, translated_text string")
-    O.write_checkpoints(row("old"), at)
-    O.write_checkpoints(row("new"), at)
-    assert [r.translated_text for r in O.read_checkpoints(spark, at, row("").drop("seg_id", "translated_text")).collect()] == ["new"]
-    assert O.read_checkpoints(spark, at, row("").withColumn("fingerprint", F.lit("other"))).isEmpty()
-    O.clear_checkpoints(spark, at)
-    assert not (tmp_path / "c").exists()
+    rows = lambda *found: spark.createDataFrame([(p, "zh_to_en", f"f{p}", s, t) for p, s, t in found], CHECKPOINT)
+    both = [("p", "fp"), ("q", "fq")]
+    assert stored(spark, at, both) == []
+    K.write_checkpoints(rows(("p", "s", "old"), ("q", "s", "x"), ("p", "t", "y")), at)
+    K.write_checkpoints(rows(("p", "s", "new"), ("q", "s", "x")), at)  # the second one is stored already
+    assert spark.read.parquet(at).count() == 4
+    assert stored(spark, at, both) == [("p", "s", "new"), ("p", "t", "y"), ("q", "s", "x")]
+    assert stored(spark, at, [("p", "other")]) == []
+    K.clear_checkpoints(rows(("p", "", "")), at)
+    assert stored(spark, at, both) == [("q", "s", "x")]
+    K.write_checkpoints(rows(("p", "s", "new")), at)  # again, after it was cleared
+    assert stored(spark, at, both) == [("p", "s", "new"), ("q", "s", "x")]
+    K.compact_checkpoints(spark, at)
+    assert stored(spark, at, both) == [("p", "s", "new"), ("q", "s", "x")] and spark.read.parquet(at).count() == 2
+    K.clear_checkpoints(rows(("p", "", ""), ("q", "", "")), at)
+    K.compact_checkpoints(spark, at)
+    assert stored(spark, at, both) == [] and not list((tmp_path / "c").glob("shard=*"))
+
+
+SINK = "source_path string, file_name string, output string"
 
 
 def test_sink(spark, tmp_path):
-    rows = spark.createDataFrame([(f"{tmp_path}/a.md", "a_en.md", "é\n"), (f"{tmp_path}/b.md", "b.md", "x")], "source_path string, file_name string, output string")
-    got = {r.file_name: r for r in O.write_documents(rows, str(tmp_path)).collect()}
-    assert got["a_en.md"].bytes_written == 3 and (tmp_path / "a_en.md").read_text() == "é\n"
-    assert "replace its source" in got["b.md"].error and not (tmp_path / "b.md").exists()
+    (tmp_path / "dir.md").mkdir()
+    (tmp_path / "file").write_text("x")
+    (tmp_path / "old.md").write_text("old")
+    given = [(f"file:{tmp_path}/a.md", "a_en.md", "é\n"), (f"{tmp_path}/b.md", "b.md", "x"), ("s", "dir.md", "x"), ("s", "file/below.md", "x"), ("s", "sub/deep/c.md", ""), ("s", "old.md", "new"), ("s", "null.md", None), ("x/2", "same.md", "two"), ("x/1", "same.md", "one")]
+    got = {(r.source_path, r.file_name): r for r in write_documents(spark.createDataFrame(given, SINK), str(tmp_path)).collect()}
+    assert len(got) == len(given)
+    errors = {k[1]: v.error for k, v in got.items() if v.error}
+    assert set(errors) == {"b.md", "dir.md", "file/below.md", "null.md", "same.md"} and all(x.startswith("write_output: ") for x in errors.values())
+    assert "replace its source" in errors["b.md"] and "a folder" in errors["dir.md"] and got["x/2", "same.md"].error and not got["x/1", "same.md"].error
+    there = {str(p.relative_to(tmp_path)): p.read_text() for p in tmp_path.rglob("*") if p.is_file() and not p.name.endswith(".crc")}
+    assert there == {"a_en.md": "é\n", "file": "x", "sub/deep/c.md": "", "old.md": "new", "same.md": "one"}
+    assert got[f"file:{tmp_path}/a.md", "a_en.md"].bytes_written == 3 and got["s", "sub/deep/c.md"].output_path == f"{tmp_path}/sub/deep/c.md"
+    missing = write_documents(spark.createDataFrame(given, SINK), f"{tmp_path}/nowhere").collect()
+    assert len(missing) == len(given) and all("does not exist" in r.error for r in missing) and not (tmp_path / "nowhere").exists()
+
+
+def test_a_sink_that_fails_publishes_nothing(spark, tmp_path):
+    rows = spark.range(40).select(F.col("id").cast("string").alias("source_path"), F.concat("id", F.lit(".md")).alias("file_name"), F.when(F.col("id") == 39, F.raise_error(F.lit("stop"))).otherwise("x").alias("output")).repartition(4)
+    with pytest.raises(Exception, match="stop"):
+        write_documents(rows, str(tmp_path))
+    assert list(tmp_path.iterdir()) == []
 
 
 def test_output_name_refuses_unknown_directions(spark):
