@@ -32,6 +32,9 @@ TABLE_RULE = r"(?dU)^\s*\|?(?:\s*:?-+:?\s*\|)+\s*:?-+:?\s*\|?\s*$"
 INLINE = r"(?d)(!\[([^\]]*)\]\(([^)]*)\))|((?<!!)\[([^\]]*)\]\(([^)]*)\))|((`+)([^\n]*?)\8)"
 
 _BAR = "---"
+# Line ends; all but the line feed are rare.
+_END = re.compile("\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]")
+_ODD = re.compile("[\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]")
 _FENCE, _HEADING, _LIST_ITEM, _ADMONITION, _ADMONITION_END, _TABLE_RULE = (re.compile(re.sub(r"^\(\?[a-zU]+\)", "", x), f) for x, f in ((FENCE, 0), (HEADING, 0), (LIST_ITEM, 0), (ADMONITION, re.I), (ADMONITION_END, 0), (TABLE_RULE, 0)))
 _ARROW = pa.list_(pa.struct([("block_index", pa.int32()), ("block_type", pa.string()), ("raw_text", pa.string()), ("meta", pa.map_(pa.string(), pa.string()))]))
 BLOCKS = "array<struct<block_index:int,block_type:string,raw_text:string,meta:map<string,string>>>"
@@ -70,10 +73,35 @@ def start_of(lines: list[str], i: int) -> tuple[str, dict[str, str]]:
     return "paragraph", {}
 
 
+def split_ends(text: str) -> tuple[list[str], list[str]]:
+    """Lines, and the line ends between them, one fewer."""
+    if not _ODD.search(text):
+        lines = text.split("\n")
+        return lines, ["\n"] * (len(lines) - 1)
+    return _END.split(text), _END.findall(text)
+
+
+def joined(lines: list[str], ends: list[str]) -> str:
+    return "".join(x for pair in zip(lines, [*ends, ""], strict=True) for x in pair)
+
+
 def blocks_of(text: str) -> list[tuple[str, str, dict[str, str]]]:
-    """(type, raw text, facts) of the blocks of a text, one walk over its lines."""
+    """(type, raw text, facts) of the blocks of a text, one walk over its lines. Lines end
+    at any of Unicode's line ends, which the raw text keeps; the end behind a block is a
+    fact, ``line_end``, where it is none of a plain text's."""
     lines = text.splitlines()
+    ends = None
+    if _ODD.search(text):
+        ends = [kept[len(line) :] for line, kept in zip(lines, text.splitlines(keepends=True), strict=True)]
     out: list[tuple[str, str, dict[str, str]]] = []
+
+    def close(kind: str, first: int, last: int, facts: dict[str, str]) -> None:
+        if ends is None:
+            out.append((kind, "\n".join(lines[first:last]), facts))
+            return
+        own = facts if ends[last - 1] in ("", "\n") else {**facts, "line_end": ends[last - 1]}
+        out.append((kind, joined(lines[first:last], ends[first : last - 1]), own))
+
     kind, facts, first, inside = "", {}, 0, False
     for i, x in enumerate(lines):
         if inside:
@@ -85,11 +113,11 @@ def blocks_of(text: str) -> list[tuple[str, str, dict[str, str]]]:
         if new == kind and new in ("blank_line", "paragraph"):
             continue
         if i:
-            out.append((kind, "\n".join(lines[first:i]), facts))
+            close(kind, first, i, facts)
         kind, facts, first = new, found, i
         inside = new in ("front_matter", "fenced_code_block", "admonition")
     if lines:
-        out.append((kind, "\n".join(lines[first:]), facts))
+        close(kind, first, len(lines), facts)
     return out
 
 

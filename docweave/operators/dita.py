@@ -1,13 +1,14 @@
 """Topic-style XML to segments and back. The tree walk and the rebuild need a parser,
-so they run in Arrow workers, a document at a time; splitting stays in Catalyst."""
+so they run in Arrow workers, a document at a time; splitting stays in Catalyst. A
+rebuild changes the source only where a translated text goes in."""
 
 from __future__ import annotations
 
-import io
 import json
 import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
+from xml.parsers import expat
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -21,7 +22,6 @@ TAGS = frozenset(("title", "shortdesc", "context", "info", "note", "postreq", "s
 HIDDEN = frozenset(("codeblock", "codeph", "filepath", "pre", "lines", "screen", "msgblock", "userinput", "systemoutput"))
 
 SLOT = "struct<block_index:int,block_type:string,element_path:array<int>,field_name:string,tag_name:string,protected_text:string,placeholders:array<struct<token:string,raw_text:string,kind:string>>,translatable:boolean,meta:map<string,string>>"
-_MISC = re.compile(r"\A(?:\s+|<\?.*?\?>|<!--.*?-->|<!DOCTYPE[^>\[]*(?:\[.*?\])?\s*>)*", re.S)
 
 
 def parse(text: str) -> ET.Element:
@@ -56,10 +56,6 @@ def slots(root: ET.Element) -> Iterator[tuple[tuple[int, ...], str, str, str]]:
             todo.append(("in", child, (*path, k), under or own, hidden))
 
 
-def namespaces(text: str) -> dict[str, str]:
-    return {prefix or "": uri for _, (prefix, uri) in ET.iterparse(io.StringIO(text), events=("start-ns",))}
-
-
 def prepare(text: str) -> list[dict]:
     shield, out = Shield(frozenset(token.findall(text))), []  # tokens that the source itself holds stay
     for path, field, tag, body in slots(parse(text)):
@@ -69,45 +65,76 @@ def prepare(text: str) -> list[dict]:
     return out
 
 
-def behind_root(text: str) -> str:
-    """Comments, instructions and space behind the root element."""
-    end = len(text)
-    while True:
-        end = len(text[:end].rstrip())
-        for close, opening in (("-->", "<!--"), ("?>", "<?")):
-            if text.endswith(close, 0, end):
-                end = text.rfind(opening, 0, end)
-                break
-        else:
-            return text[end:]
+def spans(body: bytes) -> dict[tuple[tuple[int, ...], str], tuple[int, int]]:
+    """Where in the source (UTF-8) each text and tail stands, by path and field, as the
+    parser's byte offsets tell: from behind one piece of markup to the next one. Character
+    references and CDATA belong to the text; comments and instructions count as elements."""
+    found: dict[tuple[tuple[int, ...], str], tuple[int, int]] = {}
+    parser = expat.ParserCreate("utf-8")
+    open_: list[list] = []  # [path, children so far] of the elements around
+    slot: tuple[tuple[int, ...], str] | None = None
+    begin: int | None = None
+
+    def markup() -> None:
+        nonlocal begin
+        if begin is not None and slot is not None:
+            found[slot] = (begin, parser.CurrentByteIndex)
+        begin = None
+
+    def child() -> tuple[int, ...]:
+        if not open_:
+            return ()
+        open_[-1][1] += 1
+        return (*open_[-1][0], open_[-1][1] - 1)
+
+    def start(*_: object) -> None:
+        nonlocal slot
+        markup()
+        path = child()
+        open_.append([path, 0])
+        slot = (path, "text")
+
+    def end(*_: object) -> None:
+        nonlocal slot
+        markup()
+        slot = (open_.pop()[0], "tail")
+
+    def lone(*_: object) -> None:
+        nonlocal slot
+        markup()
+        slot = (child(), "tail") if open_ else None
+
+    def characters(*_: object) -> None:
+        nonlocal begin
+        if begin is None:
+            begin = parser.CurrentByteIndex
+
+    parser.StartElementHandler, parser.EndElementHandler = start, end
+    parser.CommentHandler = parser.ProcessingInstructionHandler = lone
+    parser.CharacterDataHandler = parser.StartCdataSectionHandler = characters
+    parser.Parse(body, True)
+    return found
+
+
+def escaped(text: str) -> str:
+    return text.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace("\r", "&#13;")
 
 
 def rebuild(text: str, blocks: list[dict]) -> str:
-    """The document with the blocks' texts in their slots; what stands before and
-    behind the root stays."""
-    root = parse(text)
-    for block in blocks:
-        element = root
-        for k in block["element_path"]:
-            element = element[int(k)]
-        made = [(p["token"], p["raw_text"], p["kind"]) for p in block["placeholders"]]
-        setattr(element, block["field_name"], restore(block["protected_text"], made))
-    known = {p: u for p, u in namespaces(text).items()}
-    body = _serialised(root, known)
-    head, tail = _MISC.match(text)[0], behind_root(text)
-    return head + body + tail
-
-
-def _serialised(root: ET.Element, known: dict[str, str]) -> str:
-    """ElementTree's own writer, with the document's prefixes and no global state."""
-    body = ET.tostring(root, encoding="unicode")
-    for made, uri in re.findall(r'xmlns:(ns\d+)="([^"]*)"', body):
-        prefix = next((p for p, u in known.items() if u == uri), None)
-        if prefix is not None:
-            body = re.sub(rf"(</?){made}:", rf"\1{prefix}:" if prefix else r"\1", body)
-            body = re.sub(rf"(\s){made}:(?=[\w.-]+=)", rf"\1{prefix}:" if prefix else r"\1", body)
-            body = body.replace(f'xmlns:{made}="{uri}"', f'xmlns:{prefix}="{uri}"' if prefix else f'xmlns="{uri}"')
-    return body
+    """The document with the blocks' texts spliced into their places in the source. What is
+    not translated, and a text that came back as it was, keeps its bytes."""
+    known = {(path, field): body for path, field, _, body in slots(parse(text))}
+    source = text.encode()
+    where = spans(source)
+    out, at = [], 0
+    for block in sorted(blocks, key=lambda b: where[tuple(map(int, b["element_path"])), b["field_name"]]):
+        slot = tuple(map(int, block["element_path"])), block["field_name"]
+        new = restore(block["protected_text"], [(p["token"], p["raw_text"], p["kind"]) for p in block["placeholders"]])
+        if new != known.get(slot):
+            begin, end = where[slot]
+            out += [source[at:begin], escaped(new).encode()]
+            at = end
+    return b"".join([*out, source[at:]]).decode()
 
 
 def prepare_documents(docs: DataFrame, *, text: str = "text") -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docweave.functions.literals import Shield, token
-from docweave.operators.blocks import blocks_of, maps, offsets, with_blocks
+from docweave.operators.blocks import blocks_of, joined, maps, offsets, split_ends, with_blocks
 
 PLACEHOLDERS = "array<struct<token:string,raw_text:string,kind:string>>"
 PROTECTED = f"array<struct<block_index:int,block_type:string,protected_text:string,placeholders:{PLACEHOLDERS},translatable:boolean,meta:map<string,string>>>"
@@ -36,6 +36,7 @@ _RULE = re.compile(r"\s*\|?(?:\s*:?-+:?\s*\|)+\s*:?-+:?\s*\|?\s*$")
 _CELL = re.compile(r"((?:\\.|[^\\|]|\\$)*)(\||$)")
 _LANGUAGE = re.compile(r"[`~]{3,}\s*(\w+)?")
 _HEAD = re.compile(r"#{1,6}\s+")
+_COMMENTS = {"/*": re.compile(r"(/\*)(.*?)(\*/)", re.S), "<!--": re.compile(r"(<!--)(.*?)(-->)", re.S)}
 
 
 class Protector:
@@ -88,12 +89,16 @@ class Protector:
         return head + self.inline(raw[len(head) :]), True
 
     def _admonition(self, raw: str, meta: dict) -> tuple[str, bool]:
-        first, end, body = raw.partition("\n")
-        body, close, last = body.rpartition("\n") if body.rsplit("\n", 1)[-1].rstrip() == ":::" else (body, "", "")
-        return first + end + self.inline(body) + close + last, True
+        lines, ends = split_ends(raw)
+        if len(lines) < 2:
+            return raw, True
+        stop = len(lines) - 1 if lines[-1].rstrip() == ":::" else len(lines)
+        body = self.inline(joined(lines[1:stop], ends[1 : stop - 1])) if stop > 1 else ""
+        close = (ends[-1] if stop > 1 else "") + lines[-1] if stop < len(lines) else ""
+        return lines[0] + ends[0] + body + close, True
 
     def _front_matter(self, raw: str, meta: dict) -> tuple[str, bool]:
-        lines = raw.split("\n")
+        lines, ends = split_ends(raw)
         if len(lines) < 2:
             return raw, False
         out, content = [lines[0]], False
@@ -118,11 +123,12 @@ class Protector:
                 content = True
             else:
                 out.append(self.shield.token(line, "front_matter_line"))
-        return "\n".join([*out, lines[-1]]), content
+        return joined([*out, lines[-1]], ends), content
 
     def _table(self, raw: str, meta: dict) -> tuple[str, bool]:
         out, content = [], False
-        for i, line in enumerate(raw.split("\n")):
+        lines, ends = split_ends(raw)
+        for i, line in enumerate(lines):
             if i == 1 and _RULE.match(line):
                 out.append(self.shield.token(line, "table_separator"))
                 continue
@@ -134,22 +140,22 @@ class Protector:
                     break
                 row.append(self.shield.token(m[2], "table_pipe"))
             out.append("".join(row))
-        return "\n".join(out), content
+        return joined(out, ends), content
 
     def _fenced_code_block(self, raw: str, meta: dict) -> tuple[str, bool]:
-        lines = raw.split("\n")
+        lines, ends = split_ends(raw)
         language = _LANGUAGE.match(lines[0].strip())[1]
         if not language:
             return self.shield.token(raw, "fenced_code_block"), False
         meta["language"] = language = language.lower()
         out = [self.shield.token(lines[0], "code_fence")]
-        body, content = "\n".join(lines[1:-1]), False
+        body, content = joined(lines[1:-1], ends[1:-1]) if len(lines) > 2 else "", False
         if len(lines) > 2:
             text, content = self._code(body, language)
             out.append(text)
         if len(lines) > 1:
             out.append(self.shield.token(lines[-1], "code_fence") if lines[-1] else "")
-        return "\n".join(out), content
+        return joined(out, (ends[:1] + ends[-1:])[: len(out) - 1]), content
 
     def _code(self, body: str, language: str) -> tuple[str, bool]:
         marks = {"#"} if language in HASH else {"//", "/*"} if language in SLASH else {"<!--"} if language in MARKUP else {"#"}
@@ -169,17 +175,15 @@ class Protector:
         """Line comments exposed, their marks and the code before them shielded."""
         mark = next((m for m in ("#", "//") if m in marks), None)
         out, content = [], False
-        for line in code.split("\n"):
+        lines, ends = split_ends(code)
+        for line in lines:
             before, found, text = line.partition(mark) if mark else (line, "", "")
             if not found:
                 out.append(self.shield.token(line, "code_line") if line else "")
                 continue
             out.append((self.shield.token(before, "code_line_prefix") if before else "") + self.shield.token(found, "comment_prefix") + text)
             content = content or bool(text)
-        return "\n".join(out), content
-
-
-_COMMENTS = {"/*": re.compile(r"(/\*)(.*?)(\*/)", re.S), "<!--": re.compile(r"(<!--)(.*?)(-->)", re.S)}
+        return joined(out, ends), content
 
 
 _ARROW = pa.list_(pa.struct([("block_index", pa.int32()), ("block_type", pa.string()), ("protected_text", pa.string()), ("placeholders", pa.list_(pa.struct([(m, pa.string()) for m in ("token", "raw_text", "kind")]))), ("translatable", pa.bool_()), ("meta", pa.map_(pa.string(), pa.string()))]))
@@ -227,6 +231,7 @@ def restored(text: Column, placeholders: Column) -> Column:
 
 
 def rebuilt(blocks: Column, trailing_newline: Column) -> Column:
-    """A document from its protected blocks, in order."""
-    lines = F.transform(blocks, lambda b: restored(b["protected_text"], b["placeholders"]))
-    return F.concat(F.array_join(lines, "\n"), F.when(trailing_newline & (F.size(blocks) > 0), "\n").otherwise(""))
+    """A document from its protected blocks, in order, with the line ends it had."""
+    behind = lambda i: F.when((i < F.size(blocks) - 1) | trailing_newline, "\n").otherwise("")
+    whole = lambda b, i: F.concat(restored(b["protected_text"], b["placeholders"]), F.coalesce(b["meta"]["line_end"], behind(i)))
+    return F.array_join(F.transform(blocks, whole), "")

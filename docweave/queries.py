@@ -13,6 +13,7 @@ from docweave.functions import language as L
 from docweave.functions import text as X
 from docweave.functions.session import make_folder, scratch
 from docweave.operators import blocks as B
+from docweave.operators import dita
 from docweave.operators import segments as G
 from docweave.operators import validate as V
 from docweave.operators.protect import protect_markdown, rebuilt
@@ -313,6 +314,7 @@ def document_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", L.document_kind(X.sentences(F.col("text"))).alias("kind"))
 
 
+_UP = "translate({0}, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')"
 DITA = "concat('<topic id=\"d', cast(doc_id as string), '\"><title>标题</title><body><p>', replace(replace(replace(regexp_replace(text, '[\\\\x00-\\\\x08\\\\x0b-\\\\x1f]', ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '<xref href=\"a.dita\">x</xref> tail</p><codeblock>x = 1</codeblock></body></topic>')"
 
 
@@ -324,10 +326,40 @@ def dita_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def dita_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from docweave.operators.dita import rebuilt_text
-
     docs = _docs(spark, sf_dir).select("doc_id", F.expr(DITA).alias("text"))
-    return prepared(docs, "dita").select("doc_id", rebuilt_text(F.col("text"), F.col("blocks")).alias("output"))
+    return prepared(docs, "dita").select("doc_id", dita.rebuilt_text(F.col("text"), F.col("blocks")).alias("output"))
+
+
+_XML = """concat('<?xml version="1.0" encoding="UTF-8"?>', chr(10), '<?style href="a.css"?>', chr(10), '<!-- ', source, ' -->', chr(10), '<x:topic xmlns:x="urn:t" xmlns:q="urn:unused" id=', chr(39), 'd', cast(doc_id as string), chr(39), ' ><x:title>', {title}, '</x:title>', chr(10),
+  ' <x:p a=', chr(39), '1', chr(39), '>', {p}, '<x:ph/>', {tail}, '</x:p><codeblock>x &gt; 1</codeblock><x:b></x:b></x:topic>', chr(10), '<!-- end -->', chr(10))"""
+_ESCAPED = "replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+_URL = "https://h.example/a?b=1&amp;c=2"
+_CLEAN, _CLEAN_SQL = r"regexp_replace(coalesce(text, ''), '[\\x00-\\x08\\x0b-\\x1f]', '')", r"regexp_replace(coalesce(text, ''), '[\x00-\x08\x0b-\x1f]', '', 'g')"
+_xml = lambda text: _XML.format(title="'caf&#233; ', " + _ESCAPED.format(text), p=f"'see {_URL} and CONFIG_A_1 now'", tail="'tail &lt;<![CDATA[raw <b> & c]]>'")
+_XML_UP = _XML.format(title="'CAFé ', " + _ESCAPED.format(_UP.format(_CLEAN_SQL)), p=f"'SEE {_URL} AND CONFIG_A_1 NOW'", tail="'TAIL &lt;RAW &lt;B&gt; &amp; C'")
+
+
+@query(f"SELECT doc_id, {_xml(_CLEAN_SQL)} AS same, {_XML_UP} AS capitals FROM documents")
+def xml_splice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Topics with prefixes, quotes of both kinds, references, CDATA, empty elements, unused
+    namespaces, a prolog and an address: rebuilt untranslated, and with capitals."""
+    docs = _docs(spark, sf_dir).select("doc_id", F.expr(_xml(_CLEAN)).alias("text"))
+    ready = prepared(docs, "dita").withColumn("missing", F.lit(0).cast("long"))
+    raised = F.transform("blocks", lambda b: b.withField("protected_text", F.translate(b["protected_text"], "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")))
+    same = dita.rebuild_documents(ready).select("doc_id", F.col("output").alias("same"))
+    return same.join(dita.rebuild_documents(ready.withColumn("blocks", raised)).select("doc_id", F.col("output").alias("capitals")), "doc_id")
+
+
+_ENDS = ["\n", "\r\n", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029"]
+_ENDS_SQL = "[" + ", ".join("concat(" + ", ".join(f"chr({ord(c)})" for c in e) + ")" for e in _ENDS) + "]"
+
+
+@query(f"SELECT doc_id, replace(text, chr(10), {_ENDS_SQL}[(doc_id % 11 + 1)::INT]) AS output FROM ({MD})")
+def line_end_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markdown whose lines end in any of eleven ways, through protection and back."""
+    ended = F.replace(F.col("text"), F.lit("\n"), F.get(F.array(*map(F.lit, _ENDS)), (F.col("doc_id") % 11).cast("int")))
+    done = protect_markdown(_md(spark, sf_dir).withColumn("text", ended))
+    return done.select("doc_id", rebuilt(F.col("blocks"), F.col("trailing_newline")).alias("output"))
 
 
 @query("SELECT event_type, count(*) AS files, count(*) FILTER (event_id % 5 <> 0) AS succeeded, sum(CASE WHEN event_id % 5 <> 0 THEN event_id % 7 ELSE 0 END)::BIGINT AS total_segments, count(*) FILTER (event_id % 5 = 0) AS failed, sum(event_id % 11)::BIGINT / count(*) AS avg_file_seconds FROM events GROUP BY event_type")
@@ -338,7 +370,6 @@ def run_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # A translator whose work SQL can do: ASCII letters become capitals, tokens stay.
 _CAPITALS = str.maketrans("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
-_UP = "translate({0}, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')"
 
 
 class Capitals(MockTranslator):

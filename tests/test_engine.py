@@ -34,7 +34,9 @@ def one(spark, column):
 def torture(spark):
     draw = random.Random(3)
     rows = [(i, "\n".join(draw.choice(LINES) for _ in range(draw.randint(0, 14))) + draw.choice(["", "\n"])) for i in range(400)]
-    return spark.createDataFrame([*rows, (900, None)], "doc_id long, text string").repartition(4)
+    ends = ["\n", "\r\n", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029"]
+    odd = [(1000 + i, "".join(draw.choice(LINES) + draw.choice(ends) for _ in range(draw.randint(0, 14))) + draw.choice(["", "x", "```"])) for i in range(400)]
+    return spark.createDataFrame([*rows, *odd, (900, None)], "doc_id long, text string").repartition(4)
 
 
 def test_blocks_of_every_kind(spark):
@@ -205,6 +207,20 @@ def test_dita_slots_and_round_trip(spark):
         D.parse("<!DOCTYPE a [<!ENTITY b 'c'>]><a>&b;</a>")
 
 
+XML = "<?xml version='1.0' encoding=\"GB2312\"?>\n<!DOCTYPE topic PUBLIC 'a' \"b\">\n<?style a='1'?><!-- c --><x:topic xmlns:x='u:x' xmlns:q=\"u:q\" id = 'd' ><x:title>caf&#233; &amp; 标</x:title>\r\n <x:p a='1'\tb = \"2\">in<!-- no -->after<?pi x?>then<x:ph/>tail &lt;<![CDATA[raw <b> & c]]> end</x:p><codeblock>x &gt; 1</codeblock><x:b></x:b><x:li>é一😀 z</x:li>\n</x:topic>\n<!-- end --> <?z?>\n"
+
+
+def test_xml_keeps_the_bytes_of_what_is_not_translated():
+    found = D.prepare(XML)
+    assert [b["protected_text"] for b in found] == ["café & 标", "in", "after", "then", "tail <raw <b> & c end", "é一😀 z"]
+    assert D.rebuild(XML, found) == XML
+    for k, (old, new) in enumerate([("caf&#233; &amp; 标", "N &amp; &lt;"), ("in<!--", "N &amp; &lt;<!--"), ("after", "N &amp; &lt;"), ("then", "N &amp; &lt;"), ("tail &lt;<![CDATA[raw <b> & c]]> end", "N &amp; &lt;"), ("é一😀 z", "N &amp; &lt;")]):
+        given = [{**b, "protected_text": "N & <" if i == k else b["protected_text"]} for i, b in enumerate(found)]
+        assert D.rebuild(XML, given) == XML.replace(old, new, 1)
+    every = D.rebuild(XML, [{**b, "protected_text": f"{i}\r"} for i, b in enumerate(found)])
+    assert [b["protected_text"] for b in D.prepare(every)] == [f"{i}\r" for i in range(6)]
+
+
 def test_messages(spark):
     said = {"HTTP 429": "rate_limit", "placeholder order": "placeholder_order", V.MESSAGES["residual_en"]: "residual_language", "Connection reset": "network", "HTTP 502": "server", "odd": "failed: odd"}
     assert {m: one(spark, V.retry_reason(F.lit(m))) for m in said} == said
