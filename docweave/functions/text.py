@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 #: Unicode white space, as a class body; 0x1C-0x1F count too.
 SPACE = r"\s\x1c-\x1f"
 LINE_END = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
+SENTENCE_END = "([。！？]|[.!?](?=[\\s\"')\\]}>]))"
+_CUT = "\x01"
 SENTENCE = "(?<=[。！？])|(?<=[.!?])(?=[\\s\"')\\]}>])"
 
 
@@ -39,8 +41,13 @@ def split_lines(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Chunks that end behind every 。！？, and behind . ! ? before white space or a
-    closing mark; what separates them stays with the left chunk."""
-    return F.filter(F.split(text, "(?U)" + SENTENCE, -1), lambda x: x != "")
+    closing mark; what separates them stays with the left chunk.
+
+    Ends are marked in one scan and the text is cut at the marks; a text that holds the
+    mark itself is cut by a pattern that looks back at every place."""
+    marked = F.split(F.regexp_replace(text, "(?U)" + SENTENCE_END, f"$1{_CUT}"), _CUT, -1)
+    cut = F.when(F.contains(text, F.lit(_CUT)), F.split(text, "(?U)" + SENTENCE, -1)).otherwise(marked)
+    return F.filter(cut, lambda x: x != "")
 
 
 def hard_split(text: Column, limit: int) -> Column:
@@ -49,39 +56,49 @@ def hard_split(text: Column, limit: int) -> Column:
     return F.transform(starts, lambda i: F.substr(text, i, F.lit(limit)))
 
 
+def greedy(chunks: Column, limit: int) -> Column:
+    """Neighbouring chunks joined while they fit ``limit``; a longer one stays whole. None
+    may be empty.
+
+    The fold looks at lengths alone and keeps where groups begin, so a step costs a sum and
+    no text is copied until its group is joined."""
+
+    def begins(sizes: Column) -> Column:
+        start = F.struct(F.array().cast("array<int>").alias("at"), F.lit(limit).alias("open"), F.lit(0).alias("i"))
+        fits = lambda s, n: s["open"] + n <= limit
+        step = lambda s, n: F.struct(F.when(fits(s, n), s["at"]).otherwise(F.concat(s["at"], F.array(s["i"]))).alias("at"), F.when(fits(s, n), s["open"] + n).otherwise(n).alias("open"), (s["i"] + 1).alias("i"))
+        return F.aggregate(sizes, start, step, lambda s: s["at"])
+
+    def groups(xs: Column) -> Column:
+        cut = lambda at: F.transform(at, lambda a, k: F.array_join(F.slice(xs, a + 1, F.coalesce(F.get(at, k + 1), F.size(xs)) - a), ""))
+        return let(begins(F.transform(xs, F.length)), cut)
+
+    return let(chunks, groups)
+
+
 def pack(chunks: Column, limit: int) -> Column:
     """Neighbouring chunks joined while they fit ``limit``. A longer chunk ends what
     is open and stands as slices; a placeholder token is never cut by slicing."""
-    strings = "array<string>"
-    start = F.struct(F.array().cast(strings).alias("done"), F.lit("").alias("open"))
+    return _apart(greedy(F.filter(chunks, lambda x: x != ""), limit), limit)
 
-    def step(s: Column, c: Column) -> Column:
-        closed = F.when(s["open"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(s["open"])))
-        return (
-            F.when(F.length(c) > limit, F.struct(F.concat(closed, token_safe_split(c, limit)).alias("done"), F.lit("").alias("open")))
-            .when(F.length(s["open"]) + F.length(c) <= limit, F.struct(s["done"].alias("done"), F.concat(s["open"], c).alias("open")))
-            .otherwise(F.struct(closed.alias("done"), c.alias("open")))
-        )
 
-    return F.aggregate(chunks, start, step, lambda s: F.when(s["open"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(s["open"]))))
+def packed_sentences(text: Column, limit: int) -> Column:
+    """:func:`pack` of :func:`sentences`, in one scan: each piece is the longest run within
+    ``limit`` that ends where a sentence does, or else one whole longer sentence."""
+    end = f"(?:{SENTENCE}|\\z)"
+    return _apart(F.regexp_extract_all(text, F.lit(f"(?sU).{{1,{limit}}}{end}|.+?{end}"), F.lit(0)), limit)
+
+
+def _apart(pieces: Column, limit: int) -> Column:
+    cut = lambda xs: F.flatten(F.transform(xs, lambda c: F.when(F.length(c) > limit, token_safe_split(c, limit)).otherwise(F.array(c))))
+    return let(pieces, lambda xs: F.when(F.exists(xs, lambda c: F.length(c) > limit), cut(xs)).otherwise(xs))
 
 
 def token_safe_split(text: Column, limit: int) -> Column:
     """Slices of at most ``limit`` code points that cut no placeholder token."""
     units = F.regexp_extract_all(text, F.lit(r"(?s)@@PROTECT_\d+@@|.(?:(?!@@PROTECT_).)*"), F.lit(0))
-    return F.when(F.contains(text, F.lit("@@PROTECT_")), _pack_units(units, limit)).otherwise(hard_split(text, limit))
-
-
-def _pack_units(units: Column, limit: int) -> Column:
     pieces = F.flatten(F.transform(units, lambda u: F.when(F.startswith(u, F.lit("@@PROTECT_")), F.array(u)).otherwise(hard_split(u, limit))))
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
-
-    def step(s: Column, c: Column) -> Column:
-        fits = F.length(s["open"]) + F.length(c) <= limit
-        closed = F.when(s["open"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(s["open"])))
-        return F.when(fits, F.struct(s["done"].alias("done"), F.concat(s["open"], c).alias("open"))).otherwise(F.struct(closed.alias("done"), c.alias("open")))
-
-    return F.aggregate(pieces, start, step, lambda s: F.when(s["open"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(s["open"]))))
+    return F.when(F.contains(text, F.lit("@@PROTECT_")), greedy(pieces, limit)).otherwise(hard_split(text, limit))
 
 
 def truncated(text: Column, limit: int, suffix: str = "...") -> Column:

@@ -4,6 +4,7 @@ rebuild changes the source only where a translated text goes in."""
 
 from __future__ import annotations
 
+import io
 import json
 import re
 import xml.etree.ElementTree as ET
@@ -56,6 +57,33 @@ def slots(root: ET.Element) -> Iterator[tuple[tuple[int, ...], str, str, str]]:
             todo.append(("in", child, (*path, k), under or own, hidden))
 
 
+# Fixed value: what may stand before the root.
+_BEFORE = re.compile(r"\A(?:\s+|<\?.*?\?>|<!--.*?-->|<!DOCTYPE[^>\[]*(?:\[.*?\])?\s*>)*", re.S)
+
+
+def namespaces(text: str) -> dict[str, str]:
+    """Prefixes and what they stand for, the last declaration of each; "" is the default."""
+    return {prefix or "": uri for _, (prefix, uri) in ET.iterparse(io.StringIO(text), events=("start-ns",))}
+
+
+def xml_facts(text: Column) -> Column:
+    """struct<namespaces, leading, error>: the prefixes of an XML text, what stands before its
+    root, as it stands, and why it cannot be parsed; null parts of such a text."""
+
+    @F.pandas_udf("struct<namespaces:map<string,string>,leading:string,error:string>")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for one in texts:
+            try:
+                parse(one or "")
+                rows.append((namespaces(one), _BEFORE.match(one)[0], None))
+            except (ET.ParseError, ValueError) as error:
+                rows.append((None, None, f"parse_document: {error}"))
+        return pd.DataFrame(rows, columns=["namespaces", "leading", "error"])
+
+    return run(text)
+
+
 def prepare(text: str) -> list[dict]:
     shield, out = Shield(frozenset(token.findall(text))), []  # tokens that the source itself holds stay
     for path, field, tag, body in slots(parse(text)):

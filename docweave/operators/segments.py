@@ -6,28 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docweave.functions.text import hard_split, pack, padded, sentences
+from docweave.functions.text import greedy, hard_split, pack, packed_sentences, padded
 from docweave.operators.protect import rebuilt
 
 LIMIT = 500
 BATCH = 8
 
 
-def _greedy(lines: Column, limit: int) -> Column:
-    """Neighbours joined while they fit; a longer line stays whole."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
-
-    def step(s: Column, c: Column) -> Column:
-        closed = F.concat(s["done"], F.array(s["open"]))
-        return (
-            F.when(s["open"] == "", F.struct(s["done"].alias("done"), c.alias("open")))
-            .when(F.length(s["open"]) + F.length(c) <= limit, F.struct(s["done"].alias("done"), F.concat(s["open"], c).alias("open")))
-            .otherwise(F.struct(closed.alias("done"), c.alias("open")))
-        )
-
-    return F.aggregate(lines, start, step, lambda s: F.when(s["open"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(s["open"]))))
-
-
 def newline_chunks(text: Column) -> Column:
     """Lines with their ends."""
     return F.filter(F.split(text, r"(?<=\n)", -1), lambda x: x != "")
@@ -55,8 +40,8 @@ def chunked(block_type: Column, text: Column, limit: int = LIMIT) -> Column:
     """The segment texts of a block, which joined give the block."""
     if limit <= 0:
         raise ValueError("the segment limit must be positive")
-    table = _greedy(F.flatten(F.transform(newline_chunks(text), lambda x: _row(x, limit))), limit)
-    return F.when(text == "", F.array().cast("array<string>")).when(F.length(text) <= limit, F.array(text)).when(block_type == "table", table).otherwise(pack(sentences(text), limit))
+    table = greedy(F.flatten(F.transform(newline_chunks(text), lambda x: _row(x, limit))), limit)
+    return F.when(text == "", F.array().cast("array<string>")).when(F.length(text) <= limit, F.array(text)).when(block_type == "table", table).otherwise(packed_sentences(text, limit))
 
 
 def segment_documents(protected: DataFrame, *, doc_id: str = "doc_id", limit: int = LIMIT, prefix: str = "seg-") -> DataFrame:

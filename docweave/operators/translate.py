@@ -1,26 +1,37 @@
 """Segments to translations, behind one barrier.
 
-Batches are rows; a worker opens one translator a partition and sends its batches.
-The number of partitions bounds how many calls run at once. Batches that meet a rate
-limit come back as rows, and the next round runs them with half the partitions.
-Each round is written before the next reads it, so no call is made twice for a
-result that is there, and a lost executor repeats only its own batches.
+Batches are rows; a worker opens one translator a partition and sends its batches in
+order. The number of partitions bounds how many calls run at once. The first task that
+meets a rate limit leaves a mark in the shared folder; all tasks of the round look for it
+before each call, and give back what they have not sent. The next round sends these
+batches, in order, from half the partitions. A mark needs no barrier stage, which would
+have to hold all its tasks at once, in lockstep, and start all of them again if one is lost.
+
+Each round is written before the next reads it. Within a round a batch's results are noted
+in a small file as soon as they are there, so a task that runs again, after its executor
+was lost, takes them from there and calls only for the rest.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import time
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow.fs as pafs
+from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from docweave.functions.session import qualified, remove
 from docweave.operators.segments import BATCH, batched
+from docweave.operators.terms import term_matches, terms_of_batches
 from docweave.operators.translators import Translator, TranslatorError
 from docweave.operators.validate import DIRECTIONAL, MESSAGES, RESIDUAL, Mode
+from docweave.sources.staged import store as file_store
 
 SCHEMA = "doc_id long, batch_index long, seg_id string, translated_text string, error_code string, message string, retries long, splits long, rescues long"
 _TOKEN = re.compile(r"@@PROTECT_\d+@@")
@@ -90,7 +101,7 @@ class Runner:
 
     def __init__(self, translator: Translator, policy: Policy) -> None:
         self.translator, self.policy = translator, policy
-        self.retries = self.splits = self.rescues = 0
+        self.retries = self.splits = self.rescues = self.tried = 0
 
     def attempt(self, items: list[tuple[str, str]], check: bool = True) -> dict[str, str]:
         for turn in range(self.policy.retries + 1):
@@ -103,6 +114,7 @@ class Runner:
                         check_text(source, done[i], self.policy)
                 return done
             except TranslatorError as error:
+                self.tried = turn + 1
                 if limited(str(error)) or turn == self.policy.retries:
                     raise
                 self.retries += 1
@@ -138,21 +150,67 @@ class Runner:
         return {name: done}
 
 
-def _calls(make: Callable[[], Translator], policy: Policy) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+class Notes:
+    """What the tasks of a round tell each other through the shared folder: that the rate is
+    limited, and which batches are done."""
+
+    def __init__(self, folder: str) -> None:
+        self.system, self.root = file_store(folder)
+        self.system.create_dir(self.root, recursive=True)
+
+    def _there(self, name: str) -> bool:
+        return self.system.get_file_info(f"{self.root}/{name}").type == pafs.FileType.File
+
+    def limited(self) -> bool:
+        return self._there("limited")
+
+    def limit(self) -> None:
+        self._write("limited", b"")
+
+    def done(self, doc: object, index: int) -> list[list] | None:
+        if not self._there(f"{doc}-{index}.json"):
+            return None
+        with self.system.open_input_stream(f"{self.root}/{doc}-{index}.json") as file:
+            return json.loads(file.read())
+
+    def note(self, doc: object, index: int, rows: list[tuple]) -> None:
+        self._write(f"{doc}-{index}.json", json.dumps(rows).encode())
+
+    def _write(self, name: str, body: bytes) -> None:
+        part = f"{self.root}/{name}.{time.time_ns()}.part"  # appears whole or not at all
+        with self.system.open_output_stream(part, compression=None) as file:
+            file.write(body)
+        self.system.move(part, f"{self.root}/{name}")
+
+
+def _calls(make: Callable[[], Translator], policy: Policy, notes_at: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def batch(translator: Translator, doc: object, index: int, of: int, pairs: list[tuple[str, str]], terms: list[dict[str, str]]) -> list[tuple]:
+        runner = Runner(translator, replace(policy, glossary=[*policy.glossary, *terms]))
+        try:
+            done, code, message = runner.run(pairs), None, None
+        except TranslatorError as error:
+            code = "rate_limit" if limited(str(error)) else getattr(error, "code", "call")
+            done, message = {}, f"batch {index} of {of}, segments {', '.join(i for i, _ in pairs)}, attempt {runner.tried} of {policy.retries + 1}: {error}"
+        counts = (runner.retries, runner.splits, runner.rescues)
+        return [(i, done.get(i), code, message, *(counts if k == 0 else (0, 0, 0))) for k, (i, _) in enumerate(pairs)]
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        translator = None
+        translator, notes = None, Notes(notes_at)
         for frame in frames:
-            out = []
-            for doc, index, items in zip(frame["doc_id"], frame["batch_index"], frame["items"], strict=True):
-                translator = translator or make()
-                runner = Runner(translator, policy)
+            out: list[tuple] = []
+            for doc, index, of, items, terms in zip(*(frame[c] for c in ("doc_id", "batch_index", "of", "items", "glossary")), strict=True):
                 pairs = [(x["seg_id"], x["text"]) for x in items]
-                try:
-                    done, code, message = runner.run(pairs), None, None
-                except TranslatorError as error:
-                    done, code, message = {}, "rate_limit" if limited(str(error)) else getattr(error, "code", "call"), str(error)
-                counts = (runner.retries, runner.splits, runner.rescues)
-                out += [(doc, index, i, done.get(i), code, message, *(counts if k == 0 else (0, 0, 0))) for k, (i, _) in enumerate(pairs)]
+                rows = notes.done(doc, index)
+                if rows is None and notes.limited():
+                    rows = [(i, None, PENDING, None, 0, 0, 0) for i, _ in pairs]
+                elif rows is None:
+                    translator = translator or make()
+                    rows = batch(translator, doc, index, of, pairs, [{"source": t["source"], "target": t["target"]} for t in terms])
+                    if rows[0][2] == "rate_limit":
+                        notes.limit()
+                    else:
+                        notes.note(doc, index, rows)
+                out += [(doc, index, *r) for r in rows]
             yield pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")])
         if translator:
             translator.close()
@@ -160,31 +218,69 @@ def _calls(make: Callable[[], Translator], policy: Policy) -> Callable[[Iterator
     return run
 
 
-def _batches(segments: DataFrame, size: int) -> DataFrame:
+#: The code of batches that were given back without a call.
+PENDING = "pending"
+
+
+def _counters() -> list[Column]:
+    code = F.coalesce("error_code", F.lit(""))
+    waits = code.isin("rate_limit", PENDING)
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("retries", "splits", "rescues")]
+    return [F.count(F.lit(1)).alias("segments"), F.count_if(code == "").alias("translated"), F.count_if((code != "") & ~waits).alias("failed"), F.count_if(waits).alias("waiting"), *sums]
+
+
+def _batches(segments: DataFrame, size: int, matches: DataFrame | None) -> DataFrame:
+    """(doc_id, batch_index, of, items, glossary): batches, how many a document has, and the
+    glossary entries that their texts hold."""
     items = F.array_sort(F.collect_list(F.struct("ordinal", "seg_id", "text")))
-    return batched(segments, size=size).groupBy("doc_id", "batch_index").agg(F.transform(items, lambda x: F.struct(x["seg_id"].alias("seg_id"), x["text"].alias("text"))).alias("items"))
+    listed = F.transform(items, lambda x: F.struct(x["seg_id"].alias("seg_id"), x["text"].alias("text")))
+    of = F.max("batch_index").over(W.partitionBy("doc_id"))
+    placed = batched(segments, size=size).withColumn("of", of)
+    rows = placed.groupBy("doc_id", "batch_index").agg(F.first("of").alias("of"), listed.alias("items"))
+    none = F.array().cast("array<struct<source:string,target:string>>")
+    if matches is None:
+        return rows.withColumn("glossary", none)
+    return rows.join(terms_of_batches(placed, matches), ["doc_id", "batch_index"], "left").withColumn("glossary", F.coalesce("glossary", none))
 
 
-def translate_segments(segments: DataFrame, make: Callable[[], Translator], policy: Policy, folder: str, *, batch: int = BATCH, parallel: int = 2, pause: float = 1.0, store: Callable[[DataFrame], None] | None = None) -> DataFrame:
+def translate_segments(segments: DataFrame, make: Callable[[], Translator], policy: Policy, folder: str, *, batch: int = BATCH, parallel: int = 2, pause: float = 1.0, store: Callable[[DataFrame], None] | None = None, glossary: DataFrame | None = None, told: Callable[[int, dict], None] | None = None) -> DataFrame:
     """translations of segments(doc_id, seg_id, ordinal, text), one row each, with an
     error code where a batch failed for good, the ``round`` and the ``batch_index``
     therein. ``make`` builds a translator in a worker; ``folder`` is a shared folder for
-    the results of the rounds. Batches that meet a rate limit run again, for as many
-    rounds as it lasts, with half the partitions, at last one by one. A round that got
-    nothing through is followed by a ``pause``, twice as long each time, up to a
-    minute. ``store`` gets each round's translations as soon as they are written.
-    ``parallel`` partitions bound the calls in flight; raise it with the cluster."""
+    the results of the rounds. Batches that meet a rate limit, and those that were not sent
+    because of one, run again, for as many rounds as it lasts, with half the partitions,
+    at last one by one. A round that got nothing through is followed by a ``pause``, twice
+    as long each time, up to a minute. ``store`` gets each round's translations as soon as
+    they are written. ``parallel`` partitions bound the calls in flight; raise it with
+    the cluster. A message names batch, segments and attempts. A translator gets the
+    entries of ``glossary(source, target)`` that its batch's texts hold, besides the policy's.
+    ``told`` gets each round's number and its counters (segments, translated, failed, waiting,
+    retries, splits, rescues), which are counted while the calls are made."""
     spark = segments.sparkSession
-    rows = _batches(segments, batch)
-    width, turn, wait, results = parallel, 0, pause, []
+    rounds, notes = f"{folder}/rounds", qualified(spark, f"{folder}/notes")
+    for old in (rounds, notes):
+        remove(spark, old)
+    matches = None
+    if glossary is not None:
+        term_matches(segments, glossary, ["doc_id", "seg_id"]).write.mode("overwrite").parquet(f"{folder}/terms")
+        matches = spark.read.parquet(f"{folder}/terms")
+    rows = _batches(segments, batch, matches)
+    width, turn, wait = parallel, 0, pause
+
+    def of_round(k: int) -> DataFrame:
+        return spark.read.schema(SCHEMA).parquet(f"{rounds}/round={k}")
+
     while True:
-        done = rows.repartition(max(1, width)).mapInPandas(_calls(make, policy), SCHEMA)
-        done.write.mode("overwrite").parquet(f"{folder}/round-{turn}")
-        results.append(spark.read.parquet(f"{folder}/round-{turn}").withColumn("round", F.lit(turn)))
-        through = results[-1].where("error_code is null")
+        in_order = rows.repartition(max(1, width)).sortWithinPartitions("doc_id", "batch_index")
+        counted = Observation(f"round-{turn}")
+        called = in_order.mapInPandas(_calls(make, policy, f"{notes}/{turn}"), SCHEMA).observe(counted, *_counters())
+        called.write.mode("overwrite").parquet(f"{rounds}/round={turn}")
+        if told is not None:
+            told(turn, counted.get)
+        through = of_round(turn).where("error_code is null")
         if store is not None:
             store(through)
-        waiting = results[-1].where("error_code = 'rate_limit'").select("doc_id", "seg_id")
+        waiting = of_round(turn).where(F.col("error_code").isin("rate_limit", PENDING)).select("doc_id", "seg_id")
         if waiting.isEmpty():
             break
         if through.isEmpty():
@@ -193,9 +289,7 @@ def translate_segments(segments: DataFrame, make: Callable[[], Translator], poli
         else:
             wait = pause
         again = segments.join(waiting, ["doc_id", "seg_id"], "left_semi")
-        rows = _batches(again, batch)
+        rows = _batches(again, batch, matches)
         width, turn = max(1, width // 2), turn + 1
-    last = results[-1]
-    for earlier in reversed(results[:-1]):
-        last = last.unionByName(earlier.where("error_code is null or error_code <> 'rate_limit'"))
-    return last
+    every = spark.read.schema(f"{SCHEMA}, round int").parquet(rounds)
+    return every.where(F.col("error_code").isNull() | ~F.col("error_code").isin("rate_limit", PENDING))

@@ -50,7 +50,7 @@ class Report:
     rollup: dict
 
 
-def translate_folder(spark: SparkSession, folder: str, out: str, make: Callable[[], Translator], policy: Policy, work: str, *, recursive: bool = False, registry: Registry | None = None, max_bytes: int = MAX_BYTES, limit: int = LIMIT, batch: int = BATCH, parallel: int = 2, reporter: Reporter | None = None) -> Report:
+def translate_folder(spark: SparkSession, folder: str, out: str, make: Callable[[], Translator], policy: Policy, work: str, *, recursive: bool = False, registry: Registry | None = None, max_bytes: int = MAX_BYTES, limit: int = LIMIT, batch: int = BATCH, parallel: int = 2, reporter: Reporter | None = None, glossary: DataFrame | None = None) -> Report:
     """Translates the supported files of ``folder`` into ``out``. Outputs of earlier runs
     are left out; those of subfolders keep their folder. Each document goes in the
     direction of its language; where that is not sure, in the policy's. ``work`` is a folder of this run that all executors share.
@@ -61,10 +61,10 @@ def translate_folder(spark: SparkSession, folder: str, out: str, make: Callable[
     skipped = supported.count() - chosen.count()
     keep = originals(supported).select("path")
     texts = read_texts(folder_files(spark, folder, recursive).join(keep, "path", "left_semi"), limit=max_bytes, registry=registry)
-    return _run(texts, out, make, policy, work, None, qualified(spark, folder), skipped, limit, batch, parallel, reporter)
+    return _run(texts, out, make, policy, work, None, qualified(spark, folder), skipped, limit, batch, parallel, reporter, glossary)
 
 
-def translate_files(spark: SparkSession, paths: list[str], out: str, make: Callable[[], Translator], policy: Policy, work: str, *, registry: Registry | None = None, max_bytes: int = MAX_BYTES, limit: int = LIMIT, batch: int = BATCH, parallel: int = 2, reporter: Reporter | None = None) -> Report:
+def translate_files(spark: SparkSession, paths: list[str], out: str, make: Callable[[], Translator], policy: Policy, work: str, *, registry: Registry | None = None, max_bytes: int = MAX_BYTES, limit: int = LIMIT, batch: int = BATCH, parallel: int = 2, reporter: Reporter | None = None, glossary: DataFrame | None = None) -> Report:
     """Translates the listed files, all in the policy's direction, whatever their
     language and names. Files of unknown formats are failures of stage scan_source."""
     if not paths:
@@ -74,10 +74,10 @@ def translate_files(spark: SparkSession, paths: list[str], out: str, make: Calla
     none = F.lit(None).cast("string")
     odd = unknown.select(F.col("path").alias("source_path"), none.alias("document_type"), none.alias("text"), F.lit("scan_source").alias("stage"), F.lit("unknown format").alias("message"))
     texts = read_texts(files, limit=max_bytes, registry=registry).unionByName(odd)
-    return _run(texts, out, make, policy, work, policy.direction, None, 0, limit, batch, parallel, reporter)
+    return _run(texts, out, make, policy, work, policy.direction, None, 0, limit, batch, parallel, reporter, glossary)
 
 
-def _run(texts: DataFrame, out: str, make: Callable[[], Translator], policy: Policy, work: str, direction: str | None, root: str | None, skipped: int, limit: int, batch: int, parallel: int, reporter: Reporter | None) -> Report:
+def _run(texts: DataFrame, out: str, make: Callable[[], Translator], policy: Policy, work: str, direction: str | None, root: str | None, skipped: int, limit: int, batch: int, parallel: int, reporter: Reporter | None, glossary: DataFrame | None) -> Report:
     spark, say, began = texts.sparkSession, reporter or Reporter(), time.time()
 
     def kept(df: DataFrame, name: str) -> DataFrame:
@@ -99,7 +99,7 @@ def _run(texts: DataFrame, out: str, make: Callable[[], Translator], policy: Pol
         kind, way = row["document_type"], row["resolved_direction"]
         say("translate", f"{row['count']} {kind} documents, {way}")
         part = plan.where((F.col("document_type") == kind) & (F.col("resolved_direction") == way))
-        done, taken, marks = _translated(part, kind, replace(policy, direction=way), make, f"{work}/{kind}-{way}", store, limit, batch, parallel)
+        done, taken, marks = _translated(part, kind, replace(policy, direction=way), make, f"{work}/{kind}-{way}", store, limit, batch, parallel, glossary, lambda turn, c, kind=kind, way=way: say("translate", f"{kind}, {way}, round {turn}: {c['translated']} of {c['segments']} segments, {c['waiting']} wait, {c['failed']} failed, {c['retries']} retries"))
         named = done.outputs.join(part.select("doc_id", "source_path"), "doc_id")
         below = relative_folder(F.col("source_path"), root) if root else F.lit("")
         named = named.select("source_path", F.concat(below, O.output_name(F.col("source_path"), F.lit(way))).alias("file_name"), "output")
@@ -122,7 +122,7 @@ def _run(texts: DataFrame, out: str, make: Callable[[], Translator], policy: Pol
     return Report(plan.drop("text"), _united(written, spark, "file_name string, output_path string, bytes_written long, error string, source_path string"), failed, files, counts, run_metrics(calls).first().asDict(), rollup)
 
 
-def _translated(part: DataFrame, kind: str, policy: Policy, make: Callable[[], Translator], folder: str, store: str, limit: int, batch: int, parallel: int) -> tuple[Outcome, DataFrame, DataFrame]:
+def _translated(part: DataFrame, kind: str, policy: Policy, make: Callable[[], Translator], folder: str, store: str, limit: int, batch: int, parallel: int, glossary: DataFrame | None, told: Callable[[int, dict], None]) -> tuple[Outcome, DataFrame, DataFrame]:
     """The documents of one type and direction, the translations that were stored, and the
     documents' fingerprints."""
     spark = part.sparkSession
@@ -137,7 +137,7 @@ def _translated(part: DataFrame, kind: str, policy: Policy, make: Callable[[], T
     cached = C.read_checkpoints(spark, store, marks).join(marks, C.KEYS).select("doc_id", "seg_id", "translated_text")
     cached.write.mode("overwrite").parquet(f"{folder}/cached")
     cached = spark.read.parquet(f"{folder}/cached")
-    done = translate_prepared(ready, kind, make, policy, folder, cached=cached, limit=limit, batch=batch, parallel=parallel, store=lambda rows: C.write_checkpoints(rows.join(marks, "doc_id"), store))
+    done = translate_prepared(ready, kind, make, policy, folder, cached=cached, limit=limit, batch=batch, parallel=parallel, glossary=glossary, told=told, store=lambda rows: C.write_checkpoints(rows.join(marks, "doc_id"), store))
     return done, cached, marks
 
 

@@ -93,3 +93,14 @@ def benchmark_rollup(files: DataFrame, by: list[str] | None = None) -> DataFrame
     for each of ``by``: sums over what succeeded, and seconds a file over all."""
     good = lambda c: F.coalesce(F.sum(F.when(F.col("ok"), F.col(c))), F.lit(0)).alias(f"total_{c}")
     return files.groupBy(*by or []).agg(F.count(F.lit(1)).alias("files"), F.count_if("ok").alias("succeeded"), F.count_if(~F.col("ok")).alias("failed"), *map(good, ("segments", "batches", "retries", "backoffs", "cached")), (F.sum("seconds") / F.count(F.lit(1))).alias("avg_file_seconds"))
+
+
+def corpus_report(files: DataFrame) -> DataFrame:
+    """files(document_type, direction, stage, ok, segments, ...) summed in one pass for each
+    type and direction, each type, each failure stage and all: ``level`` tells which, and
+    columns that a level sums over are null. ``stage`` is null for files that succeeded."""
+    kinds = [F.col(c) for c in ("document_type", "direction", "stage")]
+    sets = [kinds[:2], kinds[:1], [kinds[2]], []]
+    summed = files.groupingSets(sets, *kinds).agg(F.grouping_id().alias("g"), F.count(F.lit(1)).alias("files"), F.count_if("ok").alias("succeeded"), F.count_if(~F.col("ok")).alias("failed"), F.coalesce(F.sum("segments"), F.lit(0)).cast("long").alias("segments"))
+    level = F.when(F.col("g") == 1, "type and direction").when(F.col("g") == 3, "type").when(F.col("g") == 6, "stage").otherwise("all")
+    return summed.select(level.alias("level"), *("document_type", "direction", "stage"), "files", "succeeded", "failed", "segments")

@@ -3,18 +3,22 @@ where SQL can express them."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docweave.functions import language as L
+from docweave.functions import tables
 from docweave.functions import text as X
-from docweave.functions.session import make_folder, scratch
+from docweave.functions.session import files_in, make_folder, scratch
 from docweave.operators import blocks as B
 from docweave.operators import dita
 from docweave.operators import segments as G
+from docweave.operators import terms
 from docweave.operators import validate as V
 from docweave.operators.protect import protect_markdown, rebuilt
 from docweave.operators.translate import Policy, translate_segments
@@ -27,6 +31,7 @@ from docweave.sources import outputs as O
 from docweave.sources import scan as S
 from docweave.sources.registry import default_registry
 from docweave.sources.sink import write_documents
+from docweave.sources.staged import store as file_store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -130,7 +135,7 @@ def hard_split(spark: SparkSession, sf_dir: str) -> DataFrame:
   f AS (SELECT doc_id, CASE WHEN o = '' THEN d ELSE list_append(d, o) END AS p FROM w WHERE i > len(l))
   SELECT doc_id, (i - 1)::INT AS place, c AS chunk FROM (SELECT doc_id, unnest(p) AS c, generate_subscripts(p, 1) AS i FROM f)""")
 def segment_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", F.posexplode(X.pack(X.sentences(F.col("text")), G.LIMIT)).alias("place", "chunk"))
+    return _docs(spark, sf_dir).select("doc_id", F.posexplode(X.packed_sentences(F.col("text"), G.LIMIT)).alias("place", "chunk"))
 
 
 @query(f"""WITH s AS (SELECT doc_id, unnest(l) AS t, generate_subscripts(l, 1) - 1 AS ordinal FROM (SELECT doc_id, {_SENTENCES.format('text')} AS l FROM documents))
@@ -318,9 +323,9 @@ _UP = "translate({0}, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'
 DITA = "concat('<topic id=\"d', cast(doc_id as string), '\"><title>标题</title><body><p>', replace(replace(replace(regexp_replace(text, '[\\\\x00-\\\\x08\\\\x0b-\\\\x1f]', ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '<xref href=\"a.dita\">x</xref> tail</p><codeblock>x = 1</codeblock></body></topic>')"
 
 
-@query("SELECT doc_id, unnest(['text', 'text', 'text', 'tail']) AS field_name, unnest(['title', 'p', 'xref', 'p']) AS tag_name FROM documents WHERE trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> ''")
+@query("SELECT doc_id, field_name, tag_name FROM (SELECT doc_id, trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13)) = '' AS blank, unnest(['text', 'text', 'text', 'tail']) AS field_name, unnest(['title', 'p', 'xref', 'p']) AS tag_name, unnest([0, 1, 2, 3]) AS i FROM documents) WHERE NOT (blank AND i = 1)")
 def dita_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _docs(spark, sf_dir).where(~X.blank(F.col("text"))).select("doc_id", F.expr(DITA).alias("text"))
+    docs = _docs(spark, sf_dir).withColumn("text", F.coalesce("text", F.lit(""))).select("doc_id", F.expr(DITA).alias("text"))
     return prepared(docs, "dita").select("doc_id", F.explode("blocks").alias("b")).select("doc_id", "b.field_name", "b.tag_name")
 
 
@@ -430,12 +435,12 @@ def folder_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.join(cached, "file_name").unionByName(failed)
 
 
-@query(f"""WITH t AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1 AS k FROM conversations WHERE text IS NOT NULL)
+@query(f"""WITH t AS (SELECT conv_id, turn, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, coalesce(text, '')) - 1 AS k FROM conversations)
   SELECT conv_id, count(*) AS segments, string_agg('@@PROTECT_0000@@ ' || {_UP.format('text')} || ' @@PROTECT_0001@@', chr(10) ORDER BY k) AS translated, (count(*) - count(DISTINCT k // 8))::BIGINT AS splits, count(*) AS rescues, 0::BIGINT AS failed FROM t GROUP BY conv_id""")
 def retry_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations through a translator that fails in ways that splits and rescues mend."""
     place = F.row_number().over(W.partitionBy("conv_id").orderBy("turn", "text")) - 1
-    said = _table(spark, sf_dir, "conversations").where("text is not null").withColumn("ordinal", place)
+    said = _table(spark, sf_dir, "conversations").withColumn("text", F.coalesce("text", F.lit(""))).withColumn("ordinal", place)
     segments = said.select(F.col("conv_id").alias("doc_id"), "ordinal", F.concat(F.lit("seg-"), X.padded(F.col("ordinal"))).alias("seg_id"), F.concat(F.lit("@@PROTECT_0000@@ "), "text", F.lit(" @@PROTECT_0001@@")).alias("text"))
     done = translate_segments(segments, Swapping, Policy("en_to_zh", retries=0), scratch(spark, "ladder"), parallel=8)
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg_id", "translated_text"))), lambda x: x["translated_text"]), "\n")
@@ -487,15 +492,134 @@ def checkpoint_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.read_checkpoints(spark, at, rows).join(rows.select("conv_id", "turn", *keys), keys).join(times, keys).select("conv_id", "turn", "translated_text", "stored")
 
 
+class Throttled(Capitals):
+    """Notes each call in a folder, and refuses a marked document's first batch once."""
+
+    def __init__(self, at: str) -> None:
+        self.at = at
+
+    def translate(self, items: list[tuple[str, str]], direction: str, glossary: list[dict[str, str]]) -> list[tuple[str, str]]:
+        system, root = file_store(self.at)
+        with system.open_output_stream(f"{root}/{uuid.uuid4().hex}.call"):
+            pass
+        refused = next((f"{root}/{t.split('|')[0]}" for _, t in items if t.startswith("limit-")), None)
+        if refused and system.get_file_info(refused).type == pafs.FileType.NotFound:
+            with system.open_output_stream(refused):
+                pass
+            raise TranslatorError("HTTP 429: Too Many Requests")
+        return super().translate(items, direction, glossary)
+
+
+_TURNS = "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1 AS k FROM conversations WHERE conv_id IS NOT NULL"
+
+
+@query(f"""WITH t AS ({_TURNS}), m AS (SELECT DISTINCT conv_id FROM t WHERE conv_id IN (3, 7, 11, 40)),
+  c AS (SELECT (SELECT sum(b) FROM (SELECT ceil(count(*) / 8)::BIGINT AS b FROM t GROUP BY conv_id)) + (SELECT count(*) FROM m) AS calls)
+  SELECT t.conv_id, k::INT AS ordinal, (SELECT count(*) FROM m WHERE m.conv_id <= t.conv_id)::INT AS round, calls::BIGINT AS calls FROM t, c""")
+def rate_limit_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations through a translator that meets a rate limit four times: the round in
+    which each turn came through, and all calls: after a limit none is made in its round."""
+    place = F.row_number().over(W.partitionBy("conv_id").orderBy("turn", "text")) - 1
+    said = _table(spark, sf_dir, "conversations").where("conv_id is not null").withColumn("ordinal", place)
+    mark = F.when(F.col("conv_id").isin(3, 7, 11, 40) & (F.col("ordinal") == 0), F.concat(F.lit("limit-"), F.col("conv_id").cast("string"), F.lit("|"))).otherwise("")
+    segments = said.select(F.col("conv_id").alias("doc_id"), "ordinal", F.concat(F.lit("seg-"), X.padded(F.col("ordinal"))).alias("seg_id"), F.concat(mark, F.coalesce("text", F.lit(""))).alias("text"))
+    at, calls = scratch(spark, "limited"), scratch(spark, "calls")
+    make_folder(spark, calls)
+    done = translate_segments(segments, lambda: Throttled(calls), Policy("en_to_zh", retries=0), at, parallel=1, pause=0.0)
+    made = sum(path.endswith(".call") for path in files_in(spark, calls))
+    return done.where("error_code is null").join(segments.select("doc_id", "seg_id", "ordinal"), ["doc_id", "seg_id"]).select(F.col("doc_id").alias("conv_id"), "ordinal", "round", F.lit(made).cast("long").alias("calls"))
+
+
+@query("""WITH f AS (SELECT CASE WHEN event_id % 4 = 0 THEN 'dita' ELSE 'markdown' END AS document_type, CASE WHEN event_type = 'click' THEN 'zh_to_en' ELSE 'en_to_zh' END AS direction, CASE WHEN event_id % 9 = 0 THEN 'translate' WHEN event_id % 13 = 0 THEN 'read_source' END AS stage, user_id % 7 AS segments FROM events)
+  SELECT CASE grouping(document_type, direction, stage) WHEN 1 THEN 'type and direction' WHEN 3 THEN 'type' WHEN 6 THEN 'stage' ELSE 'all' END AS level, document_type, direction, stage, count(*) AS files, count(*) FILTER (stage IS NULL) AS succeeded, count(*) FILTER (stage IS NOT NULL) AS failed, coalesce(sum(segments), 0)::BIGINT AS segments
+  FROM f GROUP BY GROUPING SETS ((document_type, direction), (document_type), (stage), ())""")
+def corpus_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files by type and direction, type, failure stage and all, in one pass."""
+    way = F.when(F.col("event_type") == "click", "zh_to_en").otherwise("en_to_zh")
+    stage = F.when(F.col("event_id") % 9 == 0, "translate").when(F.col("event_id") % 13 == 0, "read_source")
+    files = _table(spark, sf_dir, "events").select(F.when(F.col("event_id") % 4 == 0, "dita").otherwise("markdown").alias("document_type"), way.alias("direction"), stage.alias("stage"), stage.isNull().alias("ok"), (F.col("user_id") % 7).alias("segments"))
+    return M.corpus_report(files)
+
+
+@query(_WALK + """ SELECT doc_id, block_index::INT AS block_index, block_type, n_lines FROM (SELECT doc_id, block AS block_index, first(type) AS block_type, count(*) AS n_lines FROM w GROUP BY doc_id, block)
+  UNION ALL SELECT doc_id, slot::INT, tag, 1 FROM (SELECT doc_id, unnest([0, 1, 2, 3]) AS slot, unnest(['title', 'p', 'xref', 'p']) AS tag FROM documents WHERE trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13)) <> '')
+  UNION ALL SELECT doc_id, slot::INT, tag, 1 FROM (SELECT doc_id, unnest([0, 1, 2]) AS slot, unnest(['title', 'xref', 'p']) AS tag FROM documents WHERE trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13)) = '')""")
+def sql_lateral(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of Markdown and texts of XML by table functions in SQL."""
+    tables.register(spark)
+    docs = _docs(spark, sf_dir)
+    md, xml = _md(spark, sf_dir), docs.withColumn("text", F.coalesce("text", F.lit(""))).select("doc_id", F.expr(DITA).alias("text"))
+    return spark.sql("""SELECT doc_id, block_index, block_type, CAST(size(split(raw_text, chr(10), -1)) AS BIGINT) AS n_lines FROM {md} m, LATERAL md_blocks(m.text)
+      UNION ALL SELECT doc_id, slot, tag_name, 1L FROM {xml} x, LATERAL xml_slots(x.text) WHERE error IS NULL""", md=md, xml=xml)
+
+
+_TERM_WORDS = r"regexp_extract_all(lower(coalesce({0}, '')), '[\p{{L}}\p{{N}}]+')"
+
+
+@query(f"""WITH w AS (SELECT {_TERM_WORDS.format('text')} AS l FROM benchmark), g AS (SELECT DISTINCT array_to_string(l[1:k], ' ') AS source, l[1:k] AS parts FROM w, (VALUES (1), (2), (4)) AS n(k) WHERE len(l) >= k),
+  d AS (SELECT doc_id, text, {_TERM_WORDS.format('text')} AS l FROM documents), p AS (SELECT doc_id, text, l, unnest(range(1, len(l) + 1)) AS i FROM d),
+  m AS (SELECT doc_id, text, i, i + len(parts) AS e, source FROM p JOIN g ON g.parts[1] = p.l[p.i] AND g.parts = p.l[p.i:p.i + len(parts) - 1]),
+  k AS (SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM m o WHERE o.doc_id = m.doc_id AND o.i <= m.i AND o.e >= m.e AND (o.i < m.i OR o.e > m.e))),
+  c AS (SELECT DISTINCT doc_id, source, doc_id % 2 = 0 AND contains(lower(text), source) AS kept FROM k)
+  SELECT source, upper(source) AS target, count(*) AS texts, count(*) FILTER (NOT kept) AS missed FROM c GROUP BY source""")
+def glossary_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Beginnings of benchmark items as a glossary, found in all documents, and in how many
+    translations (of even documents, in capitals) their targets are missed."""
+    words = _table(spark, sf_dir, "benchmark").select(terms.tokens(F.coalesce("text", F.lit(""))).alias("l"))
+    sizes = F.explode(F.filter(F.array(F.lit(1), F.lit(2), F.lit(4)), lambda k: k <= F.size("l")))
+    sources = words.select("l", sizes.alias("k")).select(F.array_join(F.slice("l", F.lit(1), F.col("k")), " ").alias("source")).distinct()
+    glossary = sources.withColumn("target", F.upper("source"))
+    docs = _docs(spark, sf_dir)
+    found = terms.term_matches(docs, glossary, ["doc_id"])
+    done = docs.where("doc_id % 2 = 0").select("doc_id", F.upper("text").alias("translated_text"))
+    return terms.term_report(found, done, ["doc_id"])
+
+
 _MASKED = _MASK.format("text")
 
 
+@query("SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(t, '([。！？.!?])([\\s\\x{85}\\x{a0}\\x{2028}\\x{2029}\\x{3000}\\x{2000}-\\x{200a}\\x{202f}\\x{205f}\\x{1680}\\x0b\\x1c-\\x1f\\x22'')\\]}>])', '\\1' || chr(30) || '\\2', 'g'), chr(30)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))), lambda x: x <> '') AS parts FROM (SELECT doc_id, coalesce(text, '') || chr(10) || '完。x 好。 \"是！\" 不？' || source AS t FROM documents)")
+def strip_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences without their space, of texts with Chinese ends behind them."""
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit('\n完。x 好。 "是！" 不？'), "source")
+    return _docs(spark, sf_dir).select("doc_id", X.strip_sentences(text).alias("parts"))
+
+
+@query("""SELECT doc_id, 'urn:t' AS x, 'urn:unused' AS q, '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<?style href="a.css"?>' || chr(10) || '<!-- ' || source || ' -->' || chr(10) AS leading, doc_id % 5 = 0 AS refused FROM documents WHERE doc_id % 5 <> 0
+  UNION ALL SELECT doc_id, NULL, NULL, NULL, true FROM documents WHERE doc_id % 5 = 0""")
+def xml_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prefixes and what stands before the root; topics that declare entities are refused."""
+    docs = _docs(spark, sf_dir).select("doc_id", F.expr(_xml(_CLEAN)).alias("text"))
+    declared = F.when(F.col("doc_id") % 5 == 0, F.regexp_replace("text", "<x:topic", "<!DOCTYPE t [<!ENTITY e 'x'>]><x:topic")).otherwise(F.col("text"))
+    found = docs.select("doc_id", dita.xml_facts(declared).alias("f"))
+    return found.select("doc_id", F.col("f.namespaces")["x"].alias("x"), F.col("f.namespaces")["q"].alias("q"), "f.leading", F.col("f.error").isNotNull().alias("refused"))
+
+
+class Lazy(Capitals):
+    """Gives texts back as they are, but for single lines and sentences."""
+
+    def translate(self, items: list[tuple[str, str]], direction: str, glossary: list[dict[str, str]]) -> list[tuple[str, str]]:
+        return super().translate(items, direction, glossary) if all("__langchunk_" in i for i, _ in items) else list(items)
+
+
+@query(rf"""WITH t AS (SELECT conv_id, turn, min(text) AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL AND text IS NOT NULL GROUP BY ALL),
+  c AS (SELECT conv_id, turn, text, len(list_filter(regexp_extract_all({_MASK.format('text')}, '\b[A-Za-z][A-Za-z0-9_-]*\b'), lambda w: regexp_matches(w, '[a-z]'))) AS n, contains(rtrim(text, chr(10)), chr(10)) OR text LIKE '%' || chr(10) || chr(10) OR len({_SENTENCES.format('text')}) > 1 AS many FROM t)
+  SELECT conv_id, turn, CASE WHEN n < 5 THEN text WHEN many THEN {_UP.format('text')} END AS translated_text, (n >= 5 AND many)::BIGINT AS rescues, CASE WHEN n >= 5 AND NOT many THEN 'residual_en' END AS error_code FROM c""")
+def language_rescues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns through a translator that leaves English behind unless it gets single lines or
+    sentences: taken apart by language, sent again and joined."""
+    said = _table(spark, sf_dir, "conversations").where("conv_id is not null and turn is not null and text is not null").groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
+    segments = said.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("ordinal"), F.concat(F.lit("seg-"), F.col("turn").cast("string")).alias("seg_id"), "text")
+    done = translate_segments(segments, Lazy, Policy("en_to_zh", retries=0), scratch(spark, "lazy"), batch=1, parallel=8)
+    return done.join(segments.select("doc_id", "seg_id", "ordinal"), ["doc_id", "seg_id"]).select(F.col("doc_id").alias("conv_id"), F.col("ordinal").alias("turn"), "translated_text", "rescues", "error_code")
+
+
 @query(rf"""SELECT conv_id, turn, CASE WHEN n >= 3 THEN 'residual_en' END AS strict, CASE WHEN n >= 5 THEN 'residual_en' END AS balanced, CASE WHEN n >= 8 THEN 'residual_en' END AS lenient, CASE WHEN turn % 2 = 0 THEN 'residual_zh' END AS chinese, CASE WHEN fixed THEN 'placeholders' END AS turned, 'placeholders' AS lost
-  FROM (SELECT conv_id, turn, len(list_filter(regexp_extract_all({_MASKED}, '\b[A-Za-z][A-Za-z0-9_-]*\b'), lambda w: regexp_matches(w, '[a-z]'))) AS n, regexp_matches({_MASKED}, '(?i)\b(from|to|before|after)\b') AS fixed FROM conversations WHERE text IS NOT NULL)""")
+  FROM (SELECT conv_id, turn, len(list_filter(regexp_extract_all({_MASKED}, '\b[A-Za-z][A-Za-z0-9_-]*\b'), lambda w: regexp_matches(w, '[a-z]'))) AS n, regexp_matches({_MASKED}, '(?i)\b(from|to|before|after)\b') AS fixed FROM (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations))""")
 def translation_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each mode says of untranslated texts, of Chinese left over, and of tokens that
     change places or go."""
-    said = _table(spark, sf_dir, "conversations").where("text is not null")
+    said = _table(spark, sf_dir, "conversations").withColumn("text", F.coalesce("text", F.lit("")))
     two = lambda a, b: F.concat(F.lit(f"{a} "), "text", F.lit(f" {b}"))
     one, other = "@@PROTECT_0001@@", "@@PROTECT_0002@@"
     left = {m: V.error_code(F.lit("中"), F.col("text"), F.lit("en_to_zh"), V.mode(m)).alias(m) for m in V.MODES}
@@ -504,32 +628,31 @@ def translation_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said.select("conv_id", "turn", *left.values(), chinese.alias("chinese"), turned.alias("turned"), V.error_code(two(one, other), two(one, one), F.lit("zh_to_en"), V.mode("lenient")).alias("lost"))
 
 
-_ROWS = r"list_transform(string_split(text, ' '), lambda x: '| ' || replace(substr(x, 1, 60), chr(10), '') || ' |' || chr(10))"
+_ROWS = r"list_transform(string_split(coalesce(text, ''), ' '), lambda x: '| ' || replace(x, chr(10), '') || ' |' || chr(10))"
 
 
-@query(f"""WITH RECURSIVE s AS (SELECT doc_id, list_filter({_ROWS}, lambda x: true) AS l FROM documents WHERE length(text) > 0),
+@query(f"""WITH RECURSIVE s AS (SELECT doc_id, list_filter({_ROWS}, lambda x: true) AS l FROM documents),
   w(doc_id, l, i, d, o) AS (SELECT doc_id, l, 1, []::VARCHAR[], '' FROM s
     UNION ALL SELECT doc_id, l, i + 1, CASE WHEN o = '' OR length(o) + length(l[i]) <= 500 THEN d ELSE list_append(d, o) END, CASE WHEN length(o) + length(l[i]) <= 500 THEN o || l[i] ELSE l[i] END FROM w WHERE i <= len(l)),
   f AS (SELECT doc_id, list_append(d, o) AS p FROM w WHERE i > len(l))
   SELECT doc_id, (i - 1)::INT AS place, c AS chunk FROM (SELECT doc_id, unnest(p) AS c, generate_subscripts(p, 1) AS i FROM f)""")
 def table_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each word of a text as a row of a table, packed into segments."""
-    rows = F.transform(F.split("text", " ", -1), lambda x: F.concat(F.lit("| "), F.replace(F.substring(x, 1, 60), F.lit("\n"), F.lit("")), F.lit(" |\n")))
-    docs = _docs(spark, sf_dir).where("length(text) > 0").select("doc_id", F.array_join(rows, "").alias("t"))
+    rows = F.transform(F.split(F.coalesce("text", F.lit("")), " ", -1), lambda x: F.concat(F.lit("| "), F.replace(x, F.lit("\n"), F.lit("")), F.lit(" |\n")))
+    docs = _docs(spark, sf_dir).select("doc_id", F.array_join(rows, "").alias("t"))
     return docs.select("doc_id", F.posexplode(G.chunked(F.lit("table"), F.col("t"), G.LIMIT)).alias("place", "chunk"))
 
 
-_WIDE = "concat('| ', text, '<br>', text, ' |')"
+_WIDE = "concat('| ', replace(coalesce(text, ''), chr(10), ' '), '<br>', replace(coalesce(text, ''), chr(10), ' '), ' |')"
 
 
-@query(rf"""SELECT doc_id, {_WIDE} AS joined, CASE WHEN length({_WIDE}) <= 500 THEN true END AS whole FROM documents WHERE length(text) > 0 AND NOT contains(text, chr(10))""")
+@query(rf"""SELECT doc_id, {_WIDE} AS joined, CASE WHEN length({_WIDE}) <= 500 THEN true END AS whole, true AS within FROM documents""")
 def wide_table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of tables that may be too long, taken apart at breaks and spaces: joined they
     are the row again, no piece is over the limit, and a short row stays one piece."""
-    docs = _docs(spark, sf_dir).where("length(text) > 0 and not contains(text, '\n')")
-    chunks = docs.select("doc_id", X.let(F.concat(F.lit("| "), "text", F.lit("<br>"), "text", F.lit(" |")), lambda t: G.chunked(F.lit("table"), t, G.LIMIT)).alias("c"))
-    short = F.forall("c", lambda x: F.length(x) <= G.LIMIT)
-    return chunks.where(short).select("doc_id", F.array_join("c", "").alias("joined"), F.when(F.size("c") == 1, True).alias("whole"))
+    flat = F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" "))
+    chunks = _docs(spark, sf_dir).select("doc_id", X.let(F.concat(F.lit("| "), flat, F.lit("<br>"), flat, F.lit(" |")), lambda t: G.chunked(F.lit("table"), t, G.LIMIT)).alias("c"))
+    return chunks.select("doc_id", F.array_join("c", "").alias("joined"), F.when(F.size("c") == 1, True).alias("whole"), F.forall("c", lambda x: F.length(x) <= G.LIMIT).alias("within"))
 
 
 _PIECES = """SELECT doc_id, concat(
@@ -558,7 +681,7 @@ def protected_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(r"SELECT page_id, unnest(list_filter(regexp_extract_all(html, '</?[A-Za-z][A-Za-z0-9:_-]*(?:\s+[^<>\n]*?)?\s*/?>'), lambda x: NOT regexp_full_match(x, '(?i)<br\s*/?>'))) AS tag FROM pages")
 def page_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tags that protection finds in whole pages; breaks are text."""
-    pages = _table(spark, sf_dir, "pages").where("html is not null").select("page_id", F.replace("html", F.lit("\n"), F.lit(" ")).alias("html"))
+    pages = _table(spark, sf_dir, "pages").select("page_id", F.replace("html", F.lit("\n"), F.lit(" ")).alias("html"))
     done = protect_markdown(pages.withColumnRenamed("html", "text"))
     found = done.select("page_id", F.explode(F.flatten(F.transform("blocks", lambda b: b["placeholders"]))).alias("p"))
     return found.where("p.kind = 'html_xml_tag'").select("page_id", F.col("p.raw_text").alias("tag"))

@@ -4,16 +4,19 @@ import random
 import re
 import sys
 
+import pandas as pd
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from docweave.functions import language as L
+from docweave.functions import tables
 from docweave.functions import text as X
 from docweave.functions.literals import file
 from docweave.operators import blocks as B
 from docweave.operators import dita as D
 from docweave.operators import segments as G
+from docweave.operators import terms as N
 from docweave.operators import translate as R
 from docweave.operators import translators as T
 from docweave.operators import validate as V
@@ -164,6 +167,82 @@ def test_rate_limited_batches_run_again(spark, tmp_path):
     assert done.translations.agg(F.max("round")).first()[0] == 1 and done.failures.isEmpty()
 
 
+class Terms(T.MockTranslator):
+    """Answers with the entries it was given."""
+
+    def translate(self, items, direction, glossary):
+        return [(i, "|".join(sorted(f"{g['source']}={g['target']}" for g in glossary))) for i, _ in items]
+
+
+def test_a_batch_gets_the_entries_its_texts_hold(spark, tmp_path):
+    glossary = spark.createDataFrame([("Boot Loader", "A"), ("loader", "B"), ("启动", "C"), ("启动镜像", "D"), ("absent", "E"), ("boot", "F"), (None, "x"), ("...", "y"), ("loader", "BB")], "source string, target string")
+    rows = [(1, "s0", 0, "the boot loader, a LOADER"), (1, "s1", 1, "nothing"), (1, "s2", 2, "启动镜像和启动"), (2, "s0", 0, "boots bootloader boot"), (3, "s0", 0, None)]
+    segments = spark.createDataFrame(rows, "doc_id long, seg_id string, ordinal int, text string")
+    found = N.term_matches(segments, glossary, ["doc_id", "seg_id"])
+    assert {(r.doc_id, r.seg_id, r.source): r.n for r in found.collect()} == {(1, "s0", "Boot Loader"): 1, (1, "s0", "loader"): 1, (1, "s2", "启动镜像"): 1, (1, "s2", "启动"): 1, (2, "s0", "boot"): 1}
+    told = []
+    done = R.translate_segments(segments.where("text is not null"), Terms, R.Policy("zh_to_en", retries=0), str(tmp_path), batch=1, glossary=glossary, told=lambda turn, c: told.append((turn, c["segments"], c["translated"])))
+    assert {(r.doc_id, r.seg_id): r.translated_text for r in done.collect()} == {(1, "s0"): "Boot Loader=A|loader=B", (1, "s1"): "", (1, "s2"): None, (2, "s0"): "boot=F"}
+    report = {r.source: (r.texts, r.missed) for r in N.term_report(found, segments.select("doc_id", "seg_id", F.lit("a b c").alias("translated_text")), ["doc_id", "seg_id"]).collect()}
+    assert report == {"Boot Loader": (1, 0), "loader": (1, 0), "启动镜像": (1, 1), "启动": (1, 0), "boot": (1, 1)}
+    assert told == [(0, 4, told[0][2])]
+
+
+def test_counters_equal_the_metrics(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "中文 LIMIT\n"), (2, "# 标题\n\n段落 `code`\n\n第三\n")], "doc_id long, text string")
+    told, at = [], str(tmp_path / "open")
+    ready = tmp_path / "p"
+    from docweave.plans.run import prepared, translate_prepared
+
+    prepared(docs, "markdown").write.parquet(str(ready))
+    done = translate_prepared(spark.read.parquet(str(ready)), "markdown", lambda: Scripted(at), R.Policy("zh_to_en", retries=0), str(tmp_path / "w"), told=lambda turn, c: told.append(c))
+    got = M.run_metrics(done.translations).first()
+    assert (sum(c["translated"] for c in told), sum(c["splits"] for c in told), sum(c["retries"] for c in told)) == (got.translated, got.split_batches, got.retry_attempts)
+    assert told[-1]["waiting"] == 0 and len(told) == got.rate_limit_rounds + 1
+
+
+def test_a_task_that_runs_again_calls_only_for_the_rest(tmp_path):
+    calls = []
+
+    class Counting(T.MockTranslator):
+        def translate(self, items, direction, glossary):
+            calls.append([i for i, _ in items])
+            if len(calls) == 3:
+                raise RuntimeError("the executor is lost")
+            return super().translate(items, direction, glossary)
+
+    frame = pd.DataFrame({"doc_id": [1, 1, 2, 2], "batch_index": [1, 2, 1, 2], "of": [2, 2, 2, 2], "items": [[{"seg_id": f"s{k}", "text": "词"}] for k in range(4)], "glossary": [[]] * 4})
+    task = R._calls(Counting, R.Policy("zh_to_en", retries=0), f"file://{tmp_path}/notes")
+    with pytest.raises(RuntimeError):
+        list(task(iter([frame])))
+    (out,) = task(iter([frame]))
+    assert calls == [["s0"], ["s1"], ["s2"], ["s2"], ["s3"]] and out["seg_id"].tolist() == ["s0", "s1", "s2", "s3"] and out["error_code"].isna().all()
+
+
+def test_a_round_stops_at_the_first_limit_and_says_what_failed(tmp_path):
+    class Limit(T.MockTranslator):
+        def translate(self, items, direction, glossary):
+            if items[0][0] == "s1":
+                raise T.TranslatorError("HTTP 429")
+            if items[0][0] == "s0":
+                raise T.TranslatorError("down")
+            return super().translate(items, direction, glossary)
+
+    frame = pd.DataFrame({"doc_id": [1, 1, 1], "batch_index": [1, 2, 3], "of": [3, 3, 3], "items": [[{"seg_id": f"s{k}", "text": "词"}, {"seg_id": "t", "text": "词"}] for k in range(3)], "glossary": [[]] * 3})
+    (out,) = R._calls(Limit, R.Policy("zh_to_en", retries=1), f"file://{tmp_path}/notes")(iter([frame]))
+    assert out["error_code"].tolist() == ["call", "call", "rate_limit", "rate_limit", "pending", "pending"]
+    assert out["message"].tolist()[::2] == ["batch 1 of 3, segments s0, t, attempt 2 of 2: down", "batch 2 of 3, segments s1, t, attempt 1 of 2: HTTP 429", None]
+
+
+def test_table_functions(spark):
+    tables.register(spark)
+    docs = spark.createDataFrame([(1, "# H\n\np `c`\n"), (2, None), (3, "")], "id int, text string")
+    rows = spark.sql("SELECT id, b.* FROM {docs}, LATERAL md_blocks(text) b ORDER BY id, block_index", docs=docs).collect()
+    assert [(r.id, r.block_type, r.raw_text, r.tokens) for r in rows] == [(1, "heading", "# H", 0), (1, "blank_line", "", 0), (1, "paragraph", "p `c`", 1)]
+    bad = spark.sql("SELECT * FROM xml_slots('<a') UNION ALL SELECT * FROM xml_slots('<p>x</p>')").collect()
+    assert bad[0].error.startswith("parse_document") and (bad[1].tag_name, bad[1].protected_text) == ("p", "x")
+
+
 def test_cached_segments_are_not_sent(spark, tmp_path):
     docs = spark.createDataFrame([(1, "# 一\n\n二\n")], "doc_id long, text string")
     cached = spark.createDataFrame([(1, "seg-0000", "# One"), (1, "seg-0099", "x")], "doc_id long, seg_id string, translated_text string")
