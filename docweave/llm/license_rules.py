@@ -116,6 +116,27 @@ copyleft|this program is free software you can redistribute it and or modify it|
 copyleft|licensed under the same terms|licensed|0.5
 no-warranty|without warranty of any kind|warranty|0.4
 no-warranty|without any warranty|warranty|0.4
+no-warranty|provided as is|provided|0.4
+no-warranty|as is without warranty|warranty|0.5
+no-warranty|express or implied warranties|implied|0.4
+no-warranty|in no event shall the authors/author/copyright be liable|liable|0.5
+permissive|the above copyright notice and this permission notice shall be included|permission|0.9
+permissive|this notice may not be removed or altered from any source distribution|altered|0.8
+permissive|neither the name of|neither|0.5
+permissive|retain the above copyright notice|retain|0.7
+copyleft|you should have received a copy of the gnu|received|0.9
+copyleft|share alike|alike|0.5
+proprietary|unauthorized copying|unauthorized|0.8
+proprietary|trade secret/secrets of|trade|0.5
+proprietary|for internal use only|internal|0.6
+non-commercial|non commercial use only|commercial|0.7
+non-commercial|noncommercial use only|noncommercial|0.7
+non-commercial|not for commercial use|commercial|0.7
+public-domain|dedicated to the public domain|dedicated|0.9
+public-domain|no rights reserved|reserved|0.8
+public-domain|no copyright is claimed|claimed|0.7
+unknown-license|dual licensed|dual|0.6
+unknown-license|triple licensed|triple|0.6
 unknown-license|see [the] license [file] for details|details|0.5
 unknown-license|under [the] terms of [the] [this] license|terms|0.4
 unknown-license|license agreement|agreement|0.4
@@ -152,6 +173,8 @@ def _worded(text: str) -> str:
 
 def _named(label: str, ids: str, names: list[str], tail: str = "") -> list[Rule]:
     found = [Rule(label, _SPDX + _phrase(ids), "spdx", 3, 0.99)]
+    if " " in ids and not tail:  # an identifier of several words stands for itself
+        found.append(Rule(label, _phrase(ids), _keyword(ids), 1, 0.8))
     for name in sorted(names, key=len, reverse=True):
         found.append(Rule(label, f"{_GRANTED}{_phrase(name)}{tail}", _keyword(name), 2, 0.95))
         found.append(Rule(label, _phrase(name) + tail, _keyword(name), 1, 0.7))
@@ -170,9 +193,13 @@ def rules() -> list[Rule]:
         found += _named(label, ids, names.split(";"))
     for label, ids, names, versions in _lines(_VERSIONED):
         for v in versions.split(","):
-            tail = "(?: license | licence )?(?: version | v )?" + _phrase(v)
+            major, *rest = v.split()
+            minor = "".join(_phrase(x) for x in rest)
+            tail = f"(?: license | licence )?(?: version | v )? v?{major} {minor}"
             found += _named(f"{label}-{v.replace(' ', '.')}", f"{ids} {v}", names.split(";"), tail)
-            found.append(Rule(f"{label}-{v.replace(' ', '.')}", f" {ids}  v?{v.split()[0]} " + "".join(_phrase(x) for x in v.split()[1:]), ids, 1, 0.8))
+            found.append(Rule(f"{label}-{v.replace(' ', '.')}", f" {ids}  v?{major} {minor}", ids, 1, 0.8))
+            for glued in (f"{ids}v{major}", f"{ids}{major}"):  # GPLv3, LGPLv2.1, AGPL3
+                found.append(Rule(f"{label}-{v.replace(' ', '.')}", f" {glued} {minor}", glued, 1, 0.8))
         found += _named(label, ids, [n for n in names.split(";") if " " in n])
     for kind in _COMMONS:
         spelled = " ".join(_SPELLED[k] for k in kind.split())
