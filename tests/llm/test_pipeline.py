@@ -36,7 +36,7 @@ def test_query_equals_sql(spark, duck, name):
 
 
 def test_all_queries_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
 
 
 def test_stages(spark):
