@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docweave.functions.literals import Shield, token
+from docweave.functions.text import let
 from docweave.operators.blocks import blocks_of, joined, maps, offsets, split_ends, with_blocks
 
 PLACEHOLDERS = "array<struct<token:string,raw_text:string,kind:string>>"
@@ -231,7 +232,12 @@ def restored(text: Column, placeholders: Column) -> Column:
 
 
 def rebuilt(blocks: Column, trailing_newline: Column) -> Column:
-    """A document from its protected blocks, in order, with the line ends it had."""
-    behind = lambda i: F.when((i < F.size(blocks) - 1) | trailing_newline, "\n").otherwise("")
-    whole = lambda b, i: F.concat(restored(b["protected_text"], b["placeholders"]), F.coalesce(b["meta"]["line_end"], behind(i)))
-    return F.array_join(F.transform(blocks, whole), "")
+    """A document from its protected blocks, in order, with the line ends it had. The blocks,
+    which may be a costly expression, are evaluated once."""
+
+    def joined_blocks(xs: Column) -> Column:
+        behind = lambda i: F.when((i < F.size(xs) - 1) | trailing_newline, "\n").otherwise("")
+        whole = lambda b, i: F.concat(restored(b["protected_text"], b["placeholders"]), F.coalesce(b["meta"]["line_end"], behind(i)))
+        return F.array_join(F.transform(xs, whole), "")
+
+    return let(blocks, joined_blocks)
