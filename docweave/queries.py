@@ -561,17 +561,17 @@ _TERM_WORDS = r"regexp_extract_all(lower(coalesce({0}, '')), '[\p{{L}}\p{{N}}]+'
   m AS (SELECT doc_id, text, i, i + len(parts) AS e, source FROM p JOIN g ON g.parts[1] = p.l[p.i] AND g.parts = p.l[p.i:p.i + len(parts) - 1]),
   k AS (SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM m o WHERE o.doc_id = m.doc_id AND o.i <= m.i AND o.e >= m.e AND (o.i < m.i OR o.e > m.e))),
   c AS (SELECT DISTINCT doc_id, source, doc_id % 2 = 0 AND contains(lower(text), source) AS kept FROM k)
-  SELECT source, upper(source) AS target, count(*) AS texts, count(*) FILTER (NOT kept) AS missed FROM c GROUP BY source""")
+  SELECT source, {_UP.format('source')} AS target, count(*) AS texts, count(*) FILTER (NOT kept) AS missed FROM c GROUP BY source""")
 def glossary_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Beginnings of benchmark items as a glossary, found in all documents, and in how many
     translations (of even documents, in capitals) their targets are missed."""
     words = _table(spark, sf_dir, "benchmark").select(terms.tokens(F.coalesce("text", F.lit(""))).alias("l"))
     sizes = F.explode(F.filter(F.array(F.lit(1), F.lit(2), F.lit(4)), lambda k: k <= F.size("l")))
     sources = words.select("l", sizes.alias("k")).select(F.array_join(F.slice("l", F.lit(1), F.col("k")), " ").alias("source")).distinct()
-    glossary = sources.withColumn("target", F.upper("source"))
+    glossary = sources.withColumn("target", F.expr(_UP.format("source")))
     docs = _docs(spark, sf_dir)
     found = terms.term_matches(docs, glossary, ["doc_id"])
-    done = docs.where("doc_id % 2 = 0").select("doc_id", F.upper("text").alias("translated_text"))
+    done = docs.where("doc_id % 2 = 0").select("doc_id", F.expr(_UP.format("text")).alias("translated_text"))
     return terms.term_report(found, done, ["doc_id"])
 
 
