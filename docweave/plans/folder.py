@@ -77,6 +77,13 @@ def translate_files(spark: SparkSession, paths: list[str], out: str, make: Calla
     return _run(texts, out, make, policy, work, policy.direction, None, 0, limit, batch, parallel, reporter, glossary)
 
 
+def translate_texts(texts: DataFrame, out: str, make: Callable[[], Translator], policy: Policy, work: str, *, root: str | None = None, limit: int = LIMIT, batch: int = BATCH, parallel: int = 2, reporter: Reporter | None = None, glossary: DataFrame | None = None) -> Report:
+    """Translates texts(source_path, document_type, text, stage, message), as ``read_texts``
+    makes them, each in the direction of its language. Outputs of paths below the folder ``root`` keep
+    their folder."""
+    return _run(texts, out, make, policy, work, None, root, 0, limit, batch, parallel, reporter, glossary)
+
+
 def _run(texts: DataFrame, out: str, make: Callable[[], Translator], policy: Policy, work: str, direction: str | None, root: str | None, skipped: int, limit: int, batch: int, parallel: int, reporter: Reporter | None, glossary: DataFrame | None) -> Report:
     spark, say, began = texts.sparkSession, reporter or Reporter(), time.time()
 

@@ -32,6 +32,7 @@ from docweave.sources import scan as S
 from docweave.sources.registry import default_registry
 from docweave.sources.sink import write_documents
 from docweave.sources.staged import store as file_store
+from docweave.streaming.versions import file_versions, run_versions
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -447,6 +448,34 @@ def retry_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.groupBy(F.col("doc_id").alias("conv_id")).agg(F.count(F.lit(1)).alias("segments"), joined.alias("translated"), F.sum("splits").alias("splits"), F.sum("rescues").alias("rescues"), F.count("error_code").alias("failed"))
 
 
+@query("""SELECT doc_id, (1 + (doc_id % 2 = 0)::BIGINT) AS versions, sha256(coalesce(text, '') || CASE WHEN doc_id % 2 = 0 THEN chr(10) || 'changed' ELSE '' END) AS last_sha256, octet_length(encode(coalesce(text, ''))) + CASE WHEN doc_id % 2 = 0 THEN 8 ELSE 0 END::BIGINT AS last_bytes FROM documents""")
+def changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as files in subfolders, watched by one stream through four starts: every
+    second file changes after the first, a third of the files are written again as they
+    are, and nothing happens before the last two."""
+    at = scratch(spark, "changed-files")
+    make_folder(spark, f"{at}/in")
+    name = F.concat(F.lit("p"), (F.col("doc_id") % 5).cast("string"), F.lit("/d"), F.col("doc_id").cast("string"), F.lit(".md")).alias("file_name")
+    docs = _docs(spark, sf_dir).withColumn("text", F.coalesce("text", F.lit("")))
+    put = lambda rows, body: write_documents(rows.select(F.lit("").alias("source_path"), name, body.alias("output")), f"{at}/in")
+
+    def handle(files: DataFrame, number: int) -> None:
+        doc = F.regexp_extract("path", r"/d(-?\d+)\.md$", 1).cast("long")
+        files.select(doc.alias("doc_id"), "modified", F.sha2("content", 256).alias("sha"), "length").write.mode("overwrite").parquet(f"{at}/seen/batch={number}")
+
+    def go() -> None:
+        run_versions(file_versions(spark, f"{at}/in", recursive=True), handle, f"{at}/watch").awaitTermination()
+
+    put(docs, F.col("text"))
+    go()
+    put(docs.where("doc_id % 2 = 0"), F.concat("text", F.lit("\nchanged")))
+    put(docs.where("doc_id % 2 <> 0 and doc_id % 3 = 0"), F.col("text"))
+    for _ in range(3):
+        go()
+    seen = spark.read.schema("doc_id long, modified timestamp, sha string, length long, batch int").parquet(f"{at}/seen")
+    return seen.groupBy("doc_id").agg(F.count(F.lit(1)).alias("versions"), F.max_by("sha", "modified").alias("last_sha256"), F.max_by("length", "modified").alias("last_bytes"))
+
+
 @query("""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, 's' || lpad(doc_id::VARCHAR, 12, '0') AS source, doc_id - (doc_id % 10 = 3)::BIGINT AS n FROM documents),
   f AS (SELECT *, 'p' || (n % 5)::VARCHAR || '/d' || n::VARCHAR || '.md' AS file_name, CASE WHEN n % 100 = 7 THEN 'write_output: the target is a folder' WHEN row_number() OVER (PARTITION BY n ORDER BY source) > 1 THEN 'write_output: another document has this file name' END AS error FROM d)
   SELECT doc_id, file_name, error, CASE WHEN error IS NULL THEN sha256(text) END AS output_sha256, CASE WHEN error IS NULL THEN octet_length(encode(text)) ELSE 0 END::BIGINT AS bytes_written, 0::BIGINT AS left_by_failed_job FROM f""")
