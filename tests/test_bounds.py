@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from docweave.operators import dita
 from docweave.plans.run import prepared
+from docweave.sources.sink import write_documents
 
 KEYS = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
 
@@ -31,3 +32,19 @@ def test_xml_goes_to_workers_in_small_batches(wide):
     assert rows <= 200 and size <= 2 << 20
     done = dita.rebuild_documents(ready)
     assert done.where("output = '<topic><p>one</p></topic>'").count() == 700
+
+
+def test_sink_works_out_each_output_once_and_tells_of_rows_without_a_name(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def made(n):
+        seen.add(1)
+        return None if n == 3 else f"text {n}"
+
+    name = F.when(F.col("id") == 5, F.lit(None)).when(F.col("id") == 7, F.lit("6.md")).otherwise(F.concat(F.col("id").cast("string"), F.lit(".md")))
+    rows = spark.range(40).select(F.format_string("s%02d", "id").alias("source_path"), name.alias("file_name"), made("id").alias("output"))
+    told = {r.source_path: r for r in write_documents(rows, str(tmp_path)).collect()}
+    assert seen.value == 40
+    assert len(told) == 40 and {k: r.error for k, r in told.items() if r.error} == {"s03": "write_output: no output", "s05": "write_output: no file name", "s07": "write_output: another document has this file name"}
+    assert sorted(p.name for p in tmp_path.glob("*.md")) == sorted(f"{n}.md" for n in range(40) if n not in (3, 5, 7))
