@@ -48,3 +48,10 @@ def test_sink_works_out_each_output_once_and_tells_of_rows_without_a_name(spark,
     assert seen.value == 40
     assert len(told) == 40 and {k: r.error for k, r in told.items() if r.error} == {"s03": "write_output: no output", "s05": "write_output: no file name", "s07": "write_output: another document has this file name"}
     assert sorted(p.name for p in tmp_path.glob("*.md")) == sorted(f"{n}.md" for n in range(40) if n not in (3, 5, 7))
+
+
+def test_markdown_goes_to_workers_in_small_batches(wide):
+    done = prepared(wide.range(700).select(F.col("id").alias("doc_id"), F.lit("# one\n\ntwo\n").alias("text")), "markdown")
+    rows, size = bounds(wide)
+    assert rows <= 200 and size <= 2 << 20
+    assert done.where("size(blocks) = 3").count() == 700
