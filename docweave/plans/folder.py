@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.functions.session import qualified
+from docweave.functions.session import qualified, small_files
 from docweave.operators.segments import BATCH, LIMIT, segment_documents
 from docweave.operators.translate import Policy
 from docweave.operators.translators import Translator
@@ -28,7 +28,7 @@ from docweave.plans.run import SEGMENT_PREFIX, Outcome, prepared, translate_prep
 from docweave.sources import checkpoints as C
 from docweave.sources import outputs as O
 from docweave.sources.registry import Registry, default_registry
-from docweave.sources.scan import MAX_BYTES, PlanError, checked_plan, detection_texts, folder_files, originals, plan_counts, plan_items, read_texts, relative_folder, scan
+from docweave.sources.scan import MAX_BYTES, PlanError, checked_plan, detection_texts, folder_files, generated, plan_counts, plan_items, read_texts, relative_folder, scan
 from docweave.sources.sink import write_documents
 
 DIRECTIONS = ("zh_to_en", "en_to_zh")
@@ -56,11 +56,14 @@ def translate_folder(spark: SparkSession, folder: str, out: str, make: Callable[
     direction of its language; where that is not sure, in the policy's. ``work`` is a folder of this run that all executors share.
     :class:`PlanError` if there is nothing to do."""
     files = scan(spark, folder, recursive=recursive, registry=registry)
-    supported = files.where("supported")
-    chosen = checked_plan(files)
-    skipped = supported.count() - chosen.count()
-    keep = originals(supported).select("path")
-    texts = read_texts(folder_files(spark, folder, recursive).join(keep, "path", "left_semi"), limit=max_bytes, registry=registry)
+    with small_files(spark):  # the folder is gone through once; what follows reads the list
+        files.write.mode("overwrite").parquet(f"{work}/files")
+    files = spark.read.schema(files.schema).parquet(f"{work}/files")
+    checked_plan(files)
+    generated(files.where("supported")).write.mode("overwrite").parquet(f"{work}/generated")
+    made = spark.read.schema("path string").parquet(f"{work}/generated")
+    skipped = made.count()
+    texts = read_texts(folder_files(spark, folder, recursive).join(made, "path", "left_anti"), limit=max_bytes, registry=registry)
     return _run(texts, out, make, policy, work, None, qualified(spark, folder), skipped, limit, batch, parallel, reporter, glossary)
 
 
@@ -92,7 +95,8 @@ def _run(texts: DataFrame, out: str, make: Callable[[], Translator], policy: Pol
         return spark.read.schema(df.schema).parquet(f"{work}/{name}")
 
     say("read_source", "reading")
-    texts = kept(texts, "texts")
+    with small_files(spark):
+        texts = kept(texts, "texts")
     unread = texts.where("stage is not null").select("source_path", "stage", "message")
     planned = plan_items(detection_texts(texts.where("stage is null").drop("stage", "message")), policy.direction, text="detection_text").drop("detection_text")
     if direction is not None:
@@ -135,7 +139,8 @@ def _translated(part: DataFrame, kind: str, policy: Policy, make: Callable[[], T
     spark = part.sparkSession
     prepared(part.select("doc_id", "text"), kind).write.mode("overwrite").parquet(f"{folder}/prepared")
     ready = spark.read.parquet(f"{folder}/prepared")
-    segments = segment_documents(ready.where("error is null"), limit=limit, prefix=SEGMENT_PREFIX[kind])
+    segment_documents(ready.where("error is null"), limit=limit, prefix=SEGMENT_PREFIX[kind]).write.mode("overwrite").parquet(f"{folder}/segments")
+    segments = spark.read.parquet(f"{folder}/segments")
     listed = F.collect_list(F.struct("ordinal", "seg_id", "block_index", "block_type", "order_in_block", "text"))
     each = segments.groupBy("doc_id").agg(listed.alias("s")).join(ready.select("doc_id", "trailing_newline"), "doc_id")
     marks = each.join(part.select("doc_id", "source_path"), "doc_id").select("doc_id", "source_path", F.lit(policy.direction).alias("direction"), O.fingerprint(F.lit(kind), F.col("trailing_newline"), F.col("s")).alias("fingerprint"))
@@ -144,7 +149,7 @@ def _translated(part: DataFrame, kind: str, policy: Policy, make: Callable[[], T
     cached = C.read_checkpoints(spark, store, marks).join(marks, C.KEYS).select("doc_id", "seg_id", "translated_text")
     cached.write.mode("overwrite").parquet(f"{folder}/cached")
     cached = spark.read.parquet(f"{folder}/cached")
-    done = translate_prepared(ready, kind, make, policy, folder, cached=cached, limit=limit, batch=batch, parallel=parallel, glossary=glossary, told=told, store=lambda rows: C.write_checkpoints(rows.join(marks, "doc_id"), store))
+    done = translate_prepared(ready, kind, make, policy, folder, cached=cached, segments=segments, limit=limit, batch=batch, parallel=parallel, glossary=glossary, told=told, store=lambda rows: C.write_checkpoints(rows.join(marks, "doc_id"), store))
     return done, cached, marks
 
 
