@@ -1,10 +1,13 @@
 """A folder whose files may change, as a stream of their versions.
 
 Spark's file stream takes a path once. Here every trigger lists the folder, subfolder by
-subfolder in tasks, and state keyed by path tells which files are new: one whose time and
-length are known is not opened; one that differs is read by the task that holds its state,
-and handed on if its bytes differ too. State and offsets lie in the checkpoint folder, so a
-restart hands on what changed meanwhile and repeats nothing.
+subfolder in tasks, and state tells which files are new: one whose time and length are
+known is not opened; one that differs is read by the task that holds its state, and handed
+on if its bytes differ too. State and offsets lie in the checkpoint folder, so a restart
+hands on what changed meanwhile and repeats nothing.
+
+State is kept by buckets of paths: a group of its own for each path would cost some
+milliseconds of pandas a file at every trigger, whether the file changed or not.
 """
 
 from __future__ import annotations
@@ -17,11 +20,12 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from docweave.functions.session import qualified
+from docweave.functions.session import BATCH_BYTES, BATCH_ROWS, bounded_batches, qualified
 from docweave.operators.translate import Policy
 from docweave.operators.translators import Translator
 from docweave.plans.folder import Report, translate_texts
@@ -31,8 +35,10 @@ from docweave.sources.staged import store as file_store
 
 LISTING = "path string, modified long, length long"
 VERSION = "path string, modified timestamp, length long, content binary"
-_STATE = "modified long, length long, sha256 string"
+_STATE = "paths array<string>, modified array<long>, lengths array<long>, hashes array<string>"
 _ROWS = 1000
+#: Groups that share the state; more than any number of tasks, few beside the files of a large folder.
+BUCKETS = 4096
 
 
 class _Part(InputPartition):
@@ -88,25 +94,43 @@ class FolderListing(DataSource):
         return ListingReader(self.options["path"], self.options.get("recursive", "false") == "true")
 
 
+def _versions(rows: list[tuple[str, int, int, bytes | None]]) -> pd.DataFrame:
+    path, modified, length, content = zip(*rows, strict=True)
+    return pd.DataFrame({"path": path, "modified": pd.to_datetime([m // 1000 for m in modified], unit="us", utc=True), "length": length, "content": pd.Series(content, dtype=object)})
+
+
 def _newer(folder: str, limit: int) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        modified, length = max((int(m), int(n)) for f in frames for m, n in zip(f["modified"], f["length"], strict=True))
-        known = state.get if state.exists else (None, None, None)
-        if known[:2] == (modified, length):
-            return
-        body, sha = None, f"{length} bytes"
-        if length <= limit:
-            system, root = file_store(folder)
-            try:
-                with system.open_input_stream(root + key[0][len(folder) :], compression=None) as file:
-                    body = file.read()
-            except FileNotFoundError:  # gone since the listing
-                return
-            sha = hashlib.sha256(body).hexdigest()
-        state.update((modified, length, sha))
-        if sha != known[2]:
-            size = length if body is None else len(body)
-            yield pd.DataFrame({"path": [key[0]], "modified": [pd.Timestamp(modified // 1000, unit="us", tz="UTC")], "length": [size], "content": [body]})
+        known = {p: (m, n, sha) for p, m, n, sha in zip(*state.get, strict=True)} if state.exists else {}
+        listed: dict[str, tuple[int, int]] = {}
+        for f in frames:
+            for path, *now in zip(f["path"].tolist(), f["modified"].tolist(), f["length"].tolist(), strict=True):
+                listed[path] = max(listed.get(path, (-1 << 63, 0)), tuple(now))
+        (system, root), rows, held, moved = file_store(folder), [], 0, False
+        for path, (modified, length) in listed.items():
+            last = known.get(path, (None, None, None))
+            if last[:2] == (modified, length):
+                continue
+            body, sha = None, f"{length} bytes"
+            if length <= limit:
+                try:
+                    with system.open_input_stream(root + path[len(folder) :], compression=None) as file:
+                        body = file.read()
+                except FileNotFoundError:  # gone since the listing
+                    continue
+                sha = hashlib.sha256(body).hexdigest()
+            known[path], moved = (modified, length, sha), True
+            if sha != last[2]:
+                size = length if body is None else len(body)
+                rows.append((path, modified, size, body))
+                held += size if body is not None else 0
+            if len(rows) >= BATCH_ROWS or held >= BATCH_BYTES:
+                yield _versions(rows)
+                rows, held = [], 0
+        if moved:
+            state.update((list(known), *(list(x) for x in zip(*known.values(), strict=True))))
+        if rows:
+            yield _versions(rows)
 
     return run
 
@@ -118,12 +142,14 @@ def file_versions(spark: SparkSession, folder: str, *, recursive: bool = False,
     only touched, or is deleted and comes back as it was, is not handed on again. Names
     and subfolders that begin with a dot or an underscore are left out, as Spark's file sources do; an
     empty folder gives no rows. Of several
-    changes between two triggers the last is seen. State holds a row a path ever seen; for
-    very many, set ``spark.sql.streaming.stateStore.providerClass`` to RocksDB's."""
+    changes between two triggers the last is seen. State holds every path ever seen, a row
+    a bucket; for very many, set ``spark.sql.streaming.stateStore.providerClass`` to RocksDB's."""
     spark.dataSource.register(FolderListing)
     at = qualified(spark, folder)
     listed = spark.readStream.format(FolderListing.name()).option("path", at).option("recursive", str(recursive).lower()).load()
-    return listed.groupBy("path").applyInPandasWithState(_newer(at, limit), VERSION, _STATE, "append", GroupStateTimeout.NoTimeout)
+    bounded_batches(spark)
+    kept = listed.withColumn("bucket", F.pmod(F.xxhash64("path"), F.lit(BUCKETS)))
+    return kept.groupBy("bucket").applyInPandasWithState(_newer(at, limit), VERSION, _STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def run_versions(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, *, every: str | None = None) -> StreamingQuery:

@@ -7,6 +7,7 @@ from pyspark import cloudpickle
 
 from docweave.operators import translate as R
 from docweave.operators import translators as T
+from docweave.streaming import versions
 from docweave.streaming.versions import file_versions, run_versions, translate_changes
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -83,3 +84,26 @@ def test_translated_once(spark, tmp_path):
     go()
     assert reports == [["a_en.md"]] * 2
     assert (out / "a_en.md").read_text() != was and (out / "a_en.md").read_text().count("translated") == 3
+
+
+def test_paths_share_state_by_buckets(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(versions, "BUCKETS", 3)
+    made = tmp_path / "in"
+    made.mkdir()
+    for n in range(30):
+        (made / f"{n}.md").write_text(f"text {n}")
+    taken = []
+
+    def go():
+        stream = versions.run_versions(versions.file_versions(spark, str(made)), lambda files, _: taken.append(sorted(int(r.path.rpartition("/")[2][:-3]) for r in files.collect())), f"file://{tmp_path}/work")
+        stream.awaitTermination()
+        return stream.lastProgress["stateOperators"][0]["numRowsTotal"]
+
+    assert go() <= 3 and taken == [list(range(30))]
+    (made / "4.md").write_text("TEXT 4")
+    (made / "30.md").write_text("new")
+    os.utime(made / "5.md", ns=(1, 1))
+    (made / "6.md").unlink()
+    assert go() <= 3 and taken[1:] == [[4, 30]]
+    (made / "6.md").write_text("text 6")
+    assert go() <= 3 and len(taken) == 2
