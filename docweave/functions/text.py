@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 SPACE = r"\s\x1c-\x1f"
 LINE_END = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 SENTENCE_END = "([。！？]|[.!?](?=[\\s\"')\\]}>]))"
-_CUT = "\x01"
+CUT = "\x01"
 SENTENCE = "(?<=[。！？])|(?<=[.!?])(?=[\\s\"')\\]}>])"
 
 
@@ -45,15 +45,14 @@ def sentences(text: Column) -> Column:
 
     Ends are marked in one scan and the text is cut at the marks; a text that holds the
     mark itself is cut by a pattern that looks back at every place."""
-    marked = F.split(F.regexp_replace(text, "(?U)" + SENTENCE_END, f"$1{_CUT}"), _CUT, -1)
-    cut = F.when(F.contains(text, F.lit(_CUT)), F.split(text, "(?U)" + SENTENCE, -1)).otherwise(marked)
+    marked = F.split(F.regexp_replace(text, "(?U)" + SENTENCE_END, f"$1{CUT}"), CUT, -1)
+    cut = F.when(F.contains(text, F.lit(CUT)), F.split(text, "(?U)" + SENTENCE, -1)).otherwise(marked)
     return F.filter(cut, lambda x: x != "")
 
 
 def hard_split(text: Column, limit: int) -> Column:
-    """Slices of ``limit`` code points."""
-    starts = F.when(F.length(text) > 0, F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)), F.lit(limit))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.substr(text, i, F.lit(limit)))
+    """Slices of ``limit`` code points, in one scan: a substring counts from the text's start."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"(?s).{{1,{limit}}}"), F.lit(0))
 
 
 def greedy(chunks: Column, limit: int) -> Column:

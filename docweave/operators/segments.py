@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docweave.functions.text import greedy, hard_split, pack, packed_sentences, padded
+from docweave.functions.text import CUT, greedy, hard_split, let, pack, packed_sentences, padded
 from docweave.operators.protect import rebuilt
 
 LIMIT = 500
@@ -15,12 +15,14 @@ BATCH = 8
 
 def newline_chunks(text: Column) -> Column:
     """Lines with their ends."""
-    return F.filter(F.split(text, r"(?<=\n)", -1), lambda x: x != "")
+    return F.filter(F.regexp_extract_all(text, F.lit(r"[^\n]*+\n?+"), F.lit(0)), lambda x: x != "")
 
 
 def break_chunks(text: Column) -> Column:
-    """Pieces that end behind each <br>."""
-    return F.filter(F.regexp_extract_all(text, F.lit(r"(?is).*?(?:<br\s*/?>|$)"), F.lit(0)), lambda x: x != "")
+    """Pieces that end behind each <br>, cut at marks as sentences are."""
+    marked = F.split(F.regexp_replace(text, r"(?i)<br\s*/?>", f"$0{CUT}"), CUT, -1)
+    cut = F.when(F.contains(text, F.lit(CUT)), F.regexp_extract_all(text, F.lit(r"(?is).*?(?:<br\s*/?>|\z)"), F.lit(0))).otherwise(marked)
+    return F.filter(cut, lambda x: x != "")
 
 
 def space_chunks(text: Column) -> Column:
@@ -30,9 +32,10 @@ def space_chunks(text: Column) -> Column:
 
 def _row(line: Column, limit: int) -> Column:
     """A table line; only one that is too long and holds <br> is taken apart."""
-    by_break, by_space = pack(break_chunks(line), limit), pack(space_chunks(line), limit)
     fits = lambda xs: F.forall(xs, lambda x: F.length(x) <= limit)
-    apart = F.when((F.size(by_break) > 1) & fits(by_break), by_break).when(fits(by_space), by_space).otherwise(hard_split(line, limit))
+    by_space = lambda xs: F.when(fits(xs), xs).otherwise(hard_split(line, limit))
+    by_break = lambda xs: F.when((F.size(xs) > 1) & fits(xs), xs).otherwise(let(pack(space_chunks(line), limit), by_space))
+    apart = let(pack(break_chunks(line), limit), by_break)
     return F.when((F.length(line) > limit) & line.rlike(r"(?i)<br\s*/?>"), apart).otherwise(F.array(line))
 
 

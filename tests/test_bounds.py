@@ -3,7 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from docweave.functions import text as X
 from docweave.operators import dita
+from docweave.operators import segments as G
 from docweave.plans.run import prepared
 from docweave.sources.sink import write_documents
 
@@ -55,3 +57,18 @@ def test_markdown_goes_to_workers_in_small_batches(wide):
     rows, size = bounds(wide)
     assert rows <= 200 and size <= 2 << 20
     assert done.where("size(blocks) = 3").count() == 700
+
+
+def test_long_rows_of_tables_are_whole_when_joined(spark):
+    """Also where a row ends in a line break, of any kind, or holds the mark of the cutter."""
+    rows = ["| " + body + "<br>" + "z" * 30 + end for body in ("word " * 9, "é😀" * 20, "a<BR />b" * 8, "x\x01" * 20, "@@PROTECT_0001@@" * 3) for end in (" |\n", " |\r\n", "\x85", "\u2028\n", "\n")]
+    frame = spark.createDataFrame([(r, 2) for r in rows] + [(r, 1) for r in rows], "t string, n int").withColumn("t", F.repeat("t", F.col("n")))
+    for r in frame.select("t", G.chunked(F.lit("table"), F.col("t"), 20).alias("c")).collect():
+        assert "".join(r.c) == r.t and all(len(x) <= 20 for x in r.c)
+
+
+def test_slices_are_cut_in_one_scan(spark):
+    text = "é😀\n" * 7
+    frame = spark.createDataFrame([(text,), ("",), (None,), ("abcd",)], "t string").select(X.hard_split(F.col("t"), 4).alias("x"))
+    assert [r.x for r in frame.collect()] == [[text[i : i + 4] for i in range(0, 21, 4)], [], [], ["abcd"]]
+    assert "substr" not in frame._jdf.queryExecution().optimizedPlan().toString().lower()
