@@ -8,20 +8,24 @@ batches, in order, from half the partitions. A mark needs no barrier stage, whic
 have to hold all its tasks at once, in lockstep, and start all of them again if one is lost.
 
 Each round is written before the next reads it. Within a round a batch's results are noted
-in a small file as soon as they are there, so a task that runs again, after its executor
-was lost, takes them from there and calls only for the rest.
+as soon as they are there, a line in a file of the task's, so a task that runs again, after its
+executor was lost, takes them from there and calls only for the rest. A round that is written
+needs its notes no more; they are removed.
 """
 
 from __future__ import annotations
 
+import io
 import json
 import re
 import time
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 
 import pandas as pd
 import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -152,35 +156,56 @@ class Runner:
 
 class Notes:
     """What the tasks of a round tell each other through the shared folder: that the rate is
-    limited, and which batches are done."""
+    limited, and which batches of a partition are done.
 
-    def __init__(self, folder: str) -> None:
-        self.system, self.root = file_store(folder)
-        self.system.create_dir(self.root, recursive=True)
+    A partition's batches come in order of (doc_id, batch_index), and so do the lines of its earlier
+    attempts, which are read along with them, a line at a time. A file takes what a second brings and
+    is closed, for stores that show a file only then; a slow translator has a file a batch."""
 
-    def _there(self, name: str) -> bool:
-        return self.system.get_file_info(f"{self.root}/{name}").type == pafs.FileType.File
+    def __init__(self, folder: str, partition: int) -> None:
+        self.system, self.root = file_store(folder)
+        self.own = f"{self.root}/{partition:05d}"
+        self.system.create_dir(self.own, recursive=True)
+        earlier = sorted(x.base_name for x in self.system.get_file_info(pafs.FileSelector(self.own)))
+        self.number = int(earlier[-1].partition("-")[0]) if earlier else 0
+        self.lines = self._read(earlier)
+        self.next = next(self.lines, None)
+        self.file, self.opened = None, 0.0
+
+    def _read(self, names: list[str]) -> Iterator[tuple[tuple[int, int], list[list]]]:
+        for name in names:
+            path = f"{self.own}/{name}"
+            with self.system.open_input_stream(path, compression=None) as file, io.TextIOWrapper(io.BufferedReader(file), "ascii", newline="\n") as lines:
+                for line in lines:
+                    if line.endswith("\n"):  # else its task ended within it
+                        doc, index, rows = json.loads(line)
+                        yield (doc, index), rows
 
     def limited(self) -> bool:
-        return self._there("limited")
+        return self.system.get_file_info(f"{self.root}/limited").type == pafs.FileType.File
 
     def limit(self) -> None:
-        self._write("limited", b"")
+        with self.system.open_output_stream(f"{self.root}/limited", compression=None):
+            pass
 
-    def done(self, doc: object, index: int) -> list[list] | None:
-        if not self._there(f"{doc}-{index}.json"):
-            return None
-        with self.system.open_input_stream(f"{self.root}/{doc}-{index}.json") as file:
-            return json.loads(file.read())
+    def done(self, doc: int, index: int) -> list[list] | None:
+        while self.next is not None and self.next[0] < (doc, index):
+            self.next = next(self.lines, None)
+        return self.next[1] if self.next is not None and self.next[0] == (doc, index) else None
 
-    def note(self, doc: object, index: int, rows: list[tuple]) -> None:
-        self._write(f"{doc}-{index}.json", json.dumps(rows).encode())
+    def note(self, doc: int, index: int, rows: list[tuple]) -> None:
+        if self.file is None:
+            self.number, self.opened = self.number + 1, time.monotonic()
+            self.file = self.system.open_output_stream(f"{self.own}/{self.number:09d}-{uuid.uuid4().hex}", compression=None)
+        self.file.write(json.dumps([int(doc), int(index), rows]).encode() + b"\n")
+        self.file.flush()
+        if time.monotonic() - self.opened > 1:
+            self.close()
 
-    def _write(self, name: str, body: bytes) -> None:
-        part = f"{self.root}/{name}.{time.time_ns()}.part"  # appears whole or not at all
-        with self.system.open_output_stream(part, compression=None) as file:
-            file.write(body)
-        self.system.move(part, f"{self.root}/{name}")
+    def close(self) -> None:
+        if self.file is not None:
+            self.file.close()
+            self.file = None
 
 
 def _calls(make: Callable[[], Translator], policy: Policy, notes_at: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
@@ -195,7 +220,8 @@ def _calls(make: Callable[[], Translator], policy: Policy, notes_at: str) -> Cal
         return [(i, done.get(i), code, message, *(counts if k == 0 else (0, 0, 0))) for k, (i, _) in enumerate(pairs)]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        translator, notes = None, Notes(notes_at)
+        task = TaskContext.get()
+        translator, notes = None, Notes(notes_at, task.partitionId() if task else 0)
         for frame in frames:
             out: list[tuple] = []
             for doc, index, of, items, terms in zip(*(frame[c] for c in ("doc_id", "batch_index", "of", "items", "glossary")), strict=True):
@@ -212,6 +238,7 @@ def _calls(make: Callable[[], Translator], policy: Policy, notes_at: str) -> Cal
                         notes.note(doc, index, rows)
                 out += [(doc, index, *r) for r in rows]
             yield pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")])
+        notes.close()
         if translator:
             translator.close()
 
@@ -275,6 +302,7 @@ def translate_segments(segments: DataFrame, make: Callable[[], Translator], poli
         counted = Observation(f"round-{turn}")
         called = in_order.mapInPandas(_calls(make, policy, f"{notes}/{turn}"), SCHEMA).observe(counted, *_counters())
         called.write.mode("overwrite").parquet(f"{rounds}/round={turn}")
+        remove(spark, f"{notes}/{turn}")
         if told is not None:
             told(turn, counted.get)
         through = of_round(turn).where("error_code is null")

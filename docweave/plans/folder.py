@@ -6,6 +6,9 @@ that an earlier run stored for the same path, direction and fingerprint are take
 and what a round gets through is stored before the next one begins, so a run that is
 broken off goes on where it stopped. A file that fails is a row of ``failures``; the
 others go on.
+
+Disk holds one type and direction at a time: when its outputs are written, what the run tells of it
+is kept as small tables, without texts, and its folder and shuffle files go.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.functions.session import qualified, small_files
+from docweave.functions.session import qualified, release, remove, small_files
 from docweave.operators.segments import BATCH, LIMIT, segment_documents
 from docweave.operators.translate import Policy
 from docweave.operators.translators import Translator
@@ -97,15 +100,17 @@ def _run(texts: DataFrame, out: str, make: Callable[[], Translator], policy: Pol
     say("read_source", "reading")
     with small_files(spark):
         texts = kept(texts, "texts")
-    unread = texts.where("stage is not null").select("source_path", "stage", "message")
+    unread = kept(texts.where("stage is not null").select("source_path", "stage", "message"), "unread")
     planned = plan_items(detection_texts(texts.where("stage is null").drop("stage", "message")), policy.direction, text="detection_text").drop("detection_text")
     if direction is not None:
         planned = planned.withColumn("resolved_direction", F.lit(direction)).withColumn("uses_fallback_direction", F.lit(False))
     plan = kept(planned.withColumn("doc_id", F.monotonically_increasing_id()), "plan")
+    remove(spark, f"{work}/texts")
+    release(spark)
     counts = plan_counts(plan, skipped).first().asDict()
     say("plan", f"{counts['total']} documents, {counts['zh_to_en']} zh_to_en, {counts['en_to_zh']} en_to_zh, {skipped} outputs of earlier runs left out")
     store = f"{out}/.doc_translation_cache"
-    written, failures, translations, reused, marked = [], [unread], [], [], []
+    written, failures, calls, reused, marked = [], [unread], [], [], []
     for row in sorted(plan.groupBy("document_type", "resolved_direction").count().collect()):
         kind, way = row["document_type"], row["resolved_direction"]
         say("translate", f"{row['count']} {kind} documents, {way}")
@@ -116,21 +121,28 @@ def _run(texts: DataFrame, out: str, make: Callable[[], Translator], policy: Pol
         named = named.select("source_path", F.concat(below, O.output_name(F.col("source_path"), F.lit(way))).alias("file_name"), "output")
         say("write_output", f"{kind}, {way}")
         wrote = write_documents(named, out)
-        marked.append(marks)
+        told = f"told/{kind}-{way}"
+        of = lambda rows, *columns: rows.join(part.select("doc_id", "source_path"), "doc_id").select("source_path", *columns)  # noqa: E731, B023
+        unwritten = wrote.where("error is not null").select("source_path", F.lit("write_output").alias("stage"), F.col("error").alias("message"))
+        marked.append(kept(marks, f"{told}/marks"))
         written.append(wrote)
-        failures.append(done.failures.join(part.select("doc_id", "source_path"), "doc_id").select("source_path", "stage", "message"))
-        failures.append(wrote.where("error is not null").select("source_path", F.lit("write_output").alias("stage"), F.col("error").alias("message")))
-        translations.append(done.translations.join(part.select("doc_id", "source_path"), "doc_id").drop("doc_id"))
-        reused.append(taken.join(part.select("doc_id", "source_path"), "doc_id").select("source_path"))
+        failures.append(kept(of(done.failures, "stage", "message").unionByName(unwritten), f"{told}/failures"))
+        calls.append(kept(of(done.translations, "batch_index", "error_code", "retries", "splits", "rescues", "round"), f"{told}/calls"))
+        reused.append(kept(of(taken).groupBy("source_path").agg(F.count(F.lit(1)).alias("cached")), f"{told}/reused"))
+        remove(spark, f"{work}/{kind}-{way}")
+        release(spark)
+    told = kept(plan.drop("text"), "told/plan")
+    remove(spark, f"{work}/plan")
+    plan = told
     failed = kept(_united(failures, spark, _FAILURE), "failures")
-    calls = _united(translations, spark, "batch_index long, seg_id string, translated_text string, error_code string, message string, retries long, splits long, rescues long, round int, source_path string")
-    files = kept(_files(plan, unread, failed, calls, _united(reused, spark, "source_path string"), time.time() - began), "files")
+    calls = _united(calls, spark, "source_path string, batch_index long, error_code string, retries long, splits long, rescues long, round int")
+    files = kept(_files(plan, unread, failed, calls, _united(reused, spark, "source_path string, cached long"), time.time() - began), "files")
     if marked and failed.isEmpty():  # this run's documents only; other runs keep theirs
         C.clear_checkpoints(_united(marked, spark, ""), store)
     say.files(files, failed)
     rollup = benchmark_rollup(files).first().asDict()
     say("done", f"{rollup['succeeded']} of {rollup['files']} files")
-    return Report(plan.drop("text"), _united(written, spark, "file_name string, output_path string, bytes_written long, error string, source_path string"), failed, files, counts, run_metrics(calls).first().asDict(), rollup)
+    return Report(plan, _united(written, spark, "file_name string, output_path string, bytes_written long, error string, source_path string"), failed, files, counts, run_metrics(calls).first().asDict(), rollup)
 
 
 def _translated(part: DataFrame, kind: str, policy: Policy, make: Callable[[], Translator], folder: str, store: str, limit: int, batch: int, parallel: int, glossary: DataFrame | None, told: Callable[[int, dict], None]) -> tuple[Outcome, DataFrame, DataFrame]:
@@ -157,10 +169,9 @@ def _files(plan: DataFrame, unread: DataFrame, failed: DataFrame, calls: DataFra
     """(source_path, ok, segments, batches, retries, backoffs, cached, seconds) of each
     file; the run's time is shared evenly, as files run side by side."""
     each = calls.groupBy("source_path").agg(F.count(F.lit(1)).alias("sent"), F.count_distinct("round", "batch_index").alias("batches"), F.sum("retries").alias("retries"), F.max("round").alias("backoffs"))
-    taken = reused.groupBy("source_path").agg(F.count(F.lit(1)).alias("cached"))
     paths = plan.select("source_path").unionByName(unread.select("source_path")).distinct()
     bad = failed.select("source_path").distinct().withColumn("bad", F.lit(True))
-    every = paths.join(each, "source_path", "left").join(taken, "source_path", "left").join(bad, "source_path", "left")
+    every = paths.join(each, "source_path", "left").join(reused, "source_path", "left").join(bad, "source_path", "left")
     number: Callable[[str], Column] = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
     share = F.lit(seconds) / F.lit(max(1, paths.count()))
     return every.select("source_path", F.col("bad").isNull().alias("ok"), (number("sent") + number("cached")).alias("segments"), number("batches").alias("batches"), number("retries").alias("retries"), number("backoffs").alias("backoffs"), number("cached").alias("cached"), share.alias("seconds"))
