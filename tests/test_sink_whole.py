@@ -48,6 +48,13 @@ def test_files_are_read_back_where_they_lie(spark, tmp_path):
     assert got == {"x/a.md": sha(b"changed"), "b.md": sha(b""), "c.md": None, "d.md": None}
 
 
+def test_contents_are_read_back_in_bounded_batches(spark, tmp_path):
+    texts = {f"{k}.md": chr(97 + k) * size for k, size in enumerate((10, 3 << 20, 5, 0, 1 << 20, 1 << 20, 7))}
+    rows = spark.createDataFrame([(k, k, v) for k, v in texts.items()], "source_path string, file_name string, output string")
+    report = write_documents(rows, str(tmp_path)).coalesce(1)
+    assert {r.file_name: bytes(r.content).decode() for r in read_back(report, str(tmp_path), whole=True).collect()} == texts
+
+
 def test_an_empty_table_writes_nothing(spark, tmp_path):
     rows = spark.createDataFrame([], "source_path string, file_name string, output string")
     assert write_documents(rows, str(tmp_path)).count() == 0 and list(tmp_path.iterdir()) == []
